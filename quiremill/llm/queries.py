@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, substring
+from quiremill.llm import bpe, jaccard, substring
 from quiremill.llm.io import table
 
 #: Rank file of the tokenizer; a path that every executor can open.
@@ -18,12 +18,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_jaccard": op3_jaccard,
     "op8_substring": op8_substring,
 }
 
