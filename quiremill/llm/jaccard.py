@@ -5,12 +5,15 @@
    sets form a class; its least id stands for it.
 2. Two sets can only reach the similarity if they share one of their first n - ceil(t * n) + 1
    members. Classes that share such a key join the group of the least class with that key.
-3. Each group is split into blocks of at most ``BLOCK`` classes. A task puts one block's ordered
-   sets into a trie and sends each set down it: sets with a common beginning share its overlap
-   count, and a subtree is left when the members that remain in it and in the set cannot reach the
-   required overlap. Pairs already connected in the block are skipped, so a block emits at most
-   one link for each class in it.
-4. Keys of groups with more than one block whose classes are still in several components are met
+3. Each group is split into blocks of at most ``BLOCK`` classes. With a set goes a parity bitmap of
+   about its size: the bits in which two bitmaps differ are at most the members in which the sets
+   differ, so what that bound rules out needs no text. What may still be similar forms subgroups;
+   subgroups with the same members are kept once.
+4. A task gets the texts of a subgroup and puts their ordered sets into a trie and sends each set
+   down it: sets with a common beginning share its overlap count, and a subtree is left when the
+   members that remain in it and in the set cannot reach the required overlap. Pairs already
+   connected are skipped, so a subgroup emits at most one link for each of its classes.
+5. Keys of groups with more than one block whose classes are still in several components are met
    again by pairs of blocks. After that every pair of similar texts is connected.
 
 Nothing is capped: heavy members only change the order, and any order is valid.
@@ -35,7 +38,7 @@ from quiremill.llm.kernel import Slab, Words, mix, row_sums, signed, slabs
 
 #: Most recurring shingles that are put last in the order; the bound on what is broadcast for them.
 HEAVY = 1 << 16
-BLOCK = 256
+BLOCK = 1024
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -75,8 +78,7 @@ def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, int] = {}
         for slab in slabs(batches):
-            row, h = shingles(slab, n)
-            h = np.unique(np.rec.fromarrays([h, row], names="h,r")).h
+            _, h = shingles(slab, n)
             h, count = np.unique(h, return_counts=True)
             often = count >= max(3, len(slab) // 100)
             for k, c in zip(signed(h[often]).tolist(), count[often].tolist(), strict=True):
@@ -90,6 +92,48 @@ def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
     return ranked[np.argsort(ranked[:, 0])]
 
 
+def parity_bitmaps(members: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """For each row a bitmap of its members modulo a power of two that is its size or more; a bit is the parity of its members."""
+    sizes = np.diff(borders)
+    width = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 256))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(width)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = at[row] + (members & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(bit, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((at // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+
+
+def maybe_similar(sizes: np.ndarray, bitmaps: list[np.ndarray], num: int, den: int, side: np.ndarray | None) -> list[list[int]]:
+    """Subgroups of two or more sets whose sizes and bitmaps don't rule out that they are similar (of different sides, if given)."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, bitmaps = sizes[order], [bitmaps[i] for i in order]
+    side = side[order] if side is not None else None
+    widths = np.array([len(b) for b in bitmaps])
+    rows = {w: (np.searchsorted(widths, w), np.stack([bitmaps[i] for i in np.flatnonzero(widths == w)])) for w in np.unique(widths)}
+    group = np.arange(len(sizes))
+    for i in range(1, len(sizes)):
+        low, mine = np.searchsorted(sizes[:i], -(-num * sizes[i] // den)), bitmaps[i]
+        while low < i:
+            w = len(mine)
+            first, matrix = rows.get(w, (i, None))
+            lo, hi = max(low, first), min(i, first + len(matrix)) if matrix is not None else i
+            if matrix is not None and lo < hi:
+                total = sizes[i] + sizes[lo:hi]
+                most = total - 2 * -(-num * total // (num + den))
+                near = np.bitwise_count(matrix[lo - first : hi - first] ^ mine).sum(1) <= most
+                if side is not None:
+                    near &= side[lo:hi] != side[i]
+                for g in np.unique(group[lo:hi][near]):
+                    group[: i + 1][group[: i + 1] == g] = group[i]
+            if w == 4:  # the narrowest bitmap
+                break
+            mine = mine[: w // 2] ^ mine[w // 2 :]
+            if not len(rows.get(w // 2, ((), ()))[1]) and w // 2 < widths[low]:
+                break
+    labels, where, count = np.unique(group, return_inverse=True, return_counts=True)
+    return [order[where == k].tolist() for k in np.flatnonzero(count > 1)]
+
+
 class Trie:
     """Ordered sets in a compressed trie: a node is a stretch of members that all sets below it share."""
 
@@ -184,6 +228,20 @@ def _linker(n: int, num: int, den: int, heavy):  # noqa: ANN001, ANN202
     return link
 
 
+def _subgroups(num: int, den: int):  # noqa: ANN202
+    def split(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side = rows["side"].to_numpy()
+        bitmaps = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows["bits"]]
+        found = maybe_similar(rows["n_shingles"].to_numpy(), bitmaps, num, den, side if side.max() > 0 else None)
+        node, (g, i, j) = rows["node"].to_numpy(), (rows[c][0].as_py() for c in "gij")
+        at = np.concatenate([np.asarray(x, np.int64) for x in found]) if found else np.zeros(0, np.int64)
+        part = np.repeat([int(node[x].min()) for x in found], [len(x) for x in found]) if found else at
+        return pa.table({"g": pa.array([g] * len(at), pa.int64()), "i": pa.array([i] * len(at), pa.int32()), "j": pa.array([j] * len(at), pa.int32()), "part": pa.array(part, pa.int64()), "node": pa.array(node[at]), "side": pa.array(side[at], pa.int32())})
+
+    return split
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of df: documents link at a Jaccard similarity of num / den or more."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -197,9 +255,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
             at = np.repeat(borders[:-1] - np.concatenate([[0], np.cumsum(first)[:-1]]), first) + np.arange(first.sum())
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(signed(members[at])))
             sums = [row_sums(signed(mix(members * np.uint64(odd))), borders) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-            yield pa.RecordBatch.from_arrays([slab.batch["doc_id"], pa.array(size, pa.int64()), *map(pa.array, sums), keys], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+            cols = [slab.batch["doc_id"], pa.array(size, pa.int64()), *map(pa.array, sums), keys, parity_bitmaps(members, borders)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "s1", "s2", "keys", "bits"])
 
-    rows = saved(docs.mapInArrow(summarise, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
+    rows = saved(docs.mapInArrow(summarise, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, bits binary"))
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = saved(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     nodes = classes.select("node").distinct()
@@ -210,26 +269,32 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     sizes = member.groupBy("g").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / F.lit(BLOCK - 1)).cast("int")
     placed = saved(member.join(sizes, "g").select("g", "node", blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    asked = placed.select("g", F.col("block").alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"))
-    spread = placed.where("node = g and n_blocks > 1").select("g", F.explode(F.expr("filter(sequence(0, n_blocks - 1), x -> x <> block)")).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"))
-    link = _linker(n, num, den, heavy)
+    sets = real.select(F.col("doc_id").alias("node"), "n_shingles", "bits")
+    split, link = _subgroups(num, den), _linker(n, num, den, heavy)
 
     def linked(asked: DataFrame) -> DataFrame:
-        texts = asked.join(docs.withColumnRenamed("doc_id", "node").where("text is not null"), "node")
-        return texts.groupBy("g", "i", "j").applyInArrow(link, "a long, b long")
+        """Links among what meets in a group (g, i, j), by bitmaps and then by tries."""
+        parts = saved(asked.join(sets, "node").groupBy("g", "i", "j").applyInArrow(split, "g long, i int, j int, part long, node long, side int").distinct())
+        names = ["g", "i", "j", "part"]
+        same = parts.groupBy(*names).agg(F.expr("sum(cast(xxhash64(node, side) as decimal(38, 0)))").alias("sum"), F.count("*").alias("n"))
+        once = same.groupBy("sum", "n").agg(F.min(F.struct(*names)).alias("p")).select("p.*")
+        texts = parts.join(once, names, "left_semi").join(docs.withColumnRenamed("doc_id", "node").where("text is not null"), "node")
+        return saved(texts.groupBy(*names).applyInArrow(link, "a long, b long"))
 
+    asked = placed.select("g", F.col("block").alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"))
+    spread = placed.where("node = g and n_blocks > 1").select("g", F.explode(F.expr("filter(sequence(0, n_blocks - 1), x -> x <> block)")).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"))
     same = real.join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    edges = saved(linked(asked.unionByName(spread)).unionByName(same).where("a <> b").distinct())
+    edges = linked(asked.unionByName(spread)).unionByName(same).where("a <> b")
     found = saved(components(edges))
     big = placed.where("n_blocks > 1")
-    named = keyed.join(big.select("g", "node", "block", "n_blocks"), ["g", "node"]).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = keyed.join(big, ["g", "node"]).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = saved(named)
     torn = named.groupBy("g", "k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g", "k")
     again = saved(named.join(torn, ["g", "k"], "left_semi").select("g", "node", "block", "n_blocks").distinct())
     if not again.isEmpty():
         pairs = F.expr("filter(transform(sequence(0, n_blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, cast(x < block as int) as side)), p -> p.i < p.j)")
         asked = again.select("g", "node", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "node", "p.side")
-        found = saved(components(edges.unionByName(saved(linked(asked)))))
+        found = saved(components(edges.unionByName(linked(asked))))
     return rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -18,8 +18,13 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 
-IS_WORD = np.ones(256, dtype=bool)
-IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Classes of bytes: runs of one class other than 0 are tokens.
+IS_WORD = np.ones(256, dtype=np.uint8)
+IS_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+#: Letters, digits and all bytes of other scripts; punctuation separates.
+LETTERS = np.array([(c >= 128) or chr(c).isalnum() for c in range(256)], dtype=np.uint8)
+#: The same, with runs of punctuation as tokens of their own.
+LETTERS_AND_MARKS = np.where(IS_WORD == 1, 2 - LETTERS, 0).astype(np.uint8)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -83,13 +88,14 @@ def slabs(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = S
 class Words:
     """Byte spans (start, end), row and 64-bit hash of every word of a slab."""
 
-    def __init__(self, slab: Slab, lower: bool = False):
+    def __init__(self, slab: Slab, lower: bool = False, classes: np.ndarray = IS_WORD):
         data, offs = slab.data, slab.offs
         self.data = data = LOWER[data] if lower else data
-        inside = IS_WORD[data]
+        kind = classes[data]
+        inside = kind > 0
         begins, stops = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        stops[:-1] &= ~inside[1:]
+        begins[1:] &= kind[1:] != kind[:-1]
+        stops[:-1] &= kind[1:] != kind[:-1]
         full = offs[1:] > offs[:-1]
         first, last = offs[:-1][full], offs[1:][full] - 1
         begins[first] = inside[first]
@@ -98,10 +104,14 @@ class Words:
         self.row_at = np.searchsorted(self.start, offs)  # words of row i: row_at[i] .. row_at[i+1]
         self.count = np.diff(self.row_at)
         self.row = np.repeat(np.arange(len(slab)), self.count)
-        up, down = powers(_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(_CODES[data] * up[:-1], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+        up, self._down = powers(_BASE, len(data) + 1)
+        self._bytes = np.zeros(len(data) + 1, dtype=_U)
+        np.cumsum(_CODES[data] * up[:-1], out=self._bytes[1:])
+        self.hash = self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each span of bytes."""
+        return mix((self._bytes[end] - self._bytes[start]) * self._down[start] + (end - start).astype(_U))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of every run of k words inside one row."""

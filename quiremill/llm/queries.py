@@ -7,13 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, jaccard, substring
+from quiremill.llm import bpe, jaccard, quality, substring, toxicity
 from quiremill.llm.io import table
+from quiremill.llm.labelled import fold
 
 #: Rank file of the tokenizer; a path that every executor can open.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _decided(scores: DataFrame, held_out, at: float) -> DataFrame:  # noqa: ANN001
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 5) == 0
+    models = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out)
+    return _decided(toxicity.score(docs, models), held_out, 0.5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
@@ -22,13 +33,21 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 4) == 2
+    models = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), ~held_out)
+    return _decided(quality.score(docs, models), held_out, 0.7)
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
+    "op5_quality": op5_quality,
     "op8_substring": op8_substring,
 }
 
