@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, jaccard, quality, substring, toxicity
+from quiremill.llm import bpe, jaccard, quality, repetition, secrets, substring, toxicity
 from quiremill.llm.io import table
 from quiremill.llm.labelled import fold
 
@@ -33,6 +33,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.measure(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 4) == 2
     models = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), ~held_out)
@@ -43,12 +48,25 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, r.kind)) for r in secrets.RULES[: secrets.BASE]]
+    counts = [(F.size("found") - n).cast("long").alias(f"n_{r.kind}") for n, r in zip(counts, secrets.RULES, strict=False)]
+    base = F.filter("found", lambda s: s["kind_no"] < secrets.BASE)
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
+    "op4_repetition": op4_repetition,
     "op5_quality": op5_quality,
     "op8_substring": op8_substring,
+    "op9_secrets": op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_secrets": secrets.oracle(),
+}
