@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -27,3 +27,21 @@ def saved(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows of df whose column may be among ids (one column): a filter before a join, which alone decides.
+
+    What is broadcast is a bitmap of ``bits`` hash slots, whatever the number of ids: 2 MB here. When
+    ids outnumber the slots it lets everything through, and the join does all the work.
+    """
+
+    def slot(c: str):  # noqa: ANN202
+        return F.pmod(F.xxhash64(F.lit(6), F.col(c)), F.lit(bits))
+
+    name = ids.columns[0]
+    held = ids.select(slot(name).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    at = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    known = df.withColumn("__slot", slot(column)).withColumn("__bucket", F.bitmap_bucket_number("__slot")).join(F.broadcast(held), "__bucket")
+    return known.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)

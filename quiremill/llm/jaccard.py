@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quiremill.llm.graph import components
-from quiremill.llm.io import saved
+from quiremill.llm.io import maybe_in, saved
 from quiremill.llm.kernel import Slab, Words, mix, row_sums, signed, slabs
 
 #: Most recurring shingles that are put last in the order; the bound on what is broadcast for them.
@@ -278,7 +278,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         names = ["g", "i", "j", "part"]
         same = parts.groupBy(*names).agg(F.expr("sum(cast(xxhash64(node, side) as decimal(38, 0)))").alias("sum"), F.count("*").alias("n"))
         once = same.groupBy("sum", "n").agg(F.min(F.struct(*names)).alias("p")).select("p.*")
-        texts = parts.join(once, names, "left_semi").join(docs.withColumnRenamed("doc_id", "node").where("text is not null"), "node")
+        kept = saved(parts.join(once, names, "left_semi"))
+        texts = kept.join(maybe_in(docs.withColumnRenamed("doc_id", "node").where("text is not null"), "node", kept.select("node")), "node")
         return saved(texts.groupBy(*names).applyInArrow(link, "a long, b long"))
 
     asked = placed.select("g", F.col("block").alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"))
