@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, jaccard, quality, repetition, secrets, substring, toxicity
+from quiremill.llm import bpe, decontam, html, jaccard, quality, repetition, secrets, substring, toxicity
 from quiremill.llm.io import table
 from quiremill.llm.labelled import fold
 
@@ -44,6 +44,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.score(docs, models), held_out, 0.7)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html.main_text(pages, html.learned(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -57,14 +62,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
     "op4_repetition": op4_repetition,
     "op5_quality": op5_quality,
+    "op6_html": op6_html,
     "op8_substring": op8_substring,
     "op9_secrets": op9_secrets,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLES: dict[str, str] = {
