@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, decontam, html, jaccard, quality, repetition, secrets, substring, toxicity
+from quiremill.llm import bpe, decontam, html, jaccard, lm, quality, repetition, secrets, substring, toxicity
 from quiremill.llm.io import table
 from quiremill.llm.labelled import fold
 
@@ -49,6 +49,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(pages, html.learned(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) == 2)
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repetition": op4_repetition,
     "op5_quality": op5_quality,
     "op6_html": op6_html,
+    "op7_lm": op7_lm,
     "op8_substring": op8_substring,
     "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,
