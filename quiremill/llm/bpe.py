@@ -2,7 +2,7 @@
 
 ``encode(df, ranks)`` adds token ids, ``decode(df, ranks)`` turns ids back into bytes. Texts are
 whole. A long text is first cut where the split pattern surely starts a new match: before a space
-or newline that follows a letter, digit or mark in ASCII. No match holds such a pair in its inside
+or newline that follows a letter or digit of any script or a mark of ASCII. No match holds such a pair in its inside
 (white space can only come first in a match), so the pieces' tokens are the text's tokens.
 
 Defined cases: null and empty text give no ids; ids that are null give empty bytes; an id outside
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, types as T
 
 PIECE = 1 << 16
 #: Before this white space a match of the pattern always starts.
-SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
+SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
 
 
 @functools.cache
