@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types
 
 #: Kinds of enumerators by the shape of a style's name, in order of precedence.
 ENUMERATORS = (
@@ -171,13 +171,13 @@ def rendered(kind: Column, level: Column, text: Column) -> Column:
     return F.when(kind == "HEADING", F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), level)).cast("int")), F.lit(" "), text)).when(kind == "BULLET", F.concat(F.repeat(F.lit("  "), (level - 1).cast("int")), F.lit("* "), text)).when(kind == "ORDERED", F.concat(F.repeat(F.lit("  "), (level - 1).cast("int")), F.lit("1. "), text)).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def normalize_label(text: pd.Series) -> pd.Series:
     """Composed Unicode, letters and digits only, case folded."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFC", s) if c.isalnum()).casefold())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(types.LongType())
 def wrapped_lines(text: pd.Series, em: pd.Series) -> pd.Series:
     """Lines that a text takes when glyphs are placed one after the other in lines of ``em``."""
 
