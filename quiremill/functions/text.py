@@ -35,7 +35,7 @@ def _first(pairs: list[tuple[Column, Column | str | int]], otherwise=None) -> Co
 
 def placeholders(text: Column) -> Column:
     """Names between double braces, each once, in order of first sight."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1)), lambda x: F.trim(x)))
 
 
 def enumerator_class(name: Column) -> Column:
@@ -93,6 +93,56 @@ def label_line(text: Column) -> Column:
     return F.nullif(label, F.lit(""))
 
 
+#: Unchecked and checked glyphs.
+CHECKBOXES = (("□", "■"), ("☐", "☑"), ("◻", "◼"))
+
+
+def checkboxes(text: Column) -> Column:
+    """array<struct<label, state>> of the checkbox glyphs in a text: the first word after a glyph, else the last before it; label lines with a blank tail are none."""
+    found = []
+    for off, on in CHECKBOXES:
+        for glyph, state in ((off, "off"), (on, "on")):
+            after = F.trim(F.regexp_extract(text, f"(?s){glyph}(.*)$", 1))
+            before = F.trim(F.substring_index(text, glyph, 1))
+            blank = after.rlike(r"^[^:：]*[:：][\s.~·\-년월일]*$")
+            first, last = F.split(after, r"\s+")[0], F.regexp_replace(F.regexp_extract(before, r"(\S+)$", 1), r"^[.·,)：:]+|[.·,)：:]+$", "")
+            label = F.when(~F.contains(text, F.lit(glyph)) | blank, None).when(after != "", first).otherwise(F.nullif(last, F.lit("")))
+            found.append(F.when(label.isNotNull(), F.struct(label.alias("label"), F.lit(state).alias("state"))))
+    return F.array_compact(F.array(*found))
+
+
+def toggled(text: Column, label: str, on: bool = True) -> Column:
+    """The text with the glyph beside a label set or cleared, on either side; nothing changes if it is so already."""
+    quoted = "\\Q" + label + "\\E"
+    for off, ticked in CHECKBOXES:
+        old, new = (off, ticked) if on else (ticked, off)
+        left = F.regexp_replace(text, f"{old}(\\s*)({quoted})", f"{new}$1$2")
+        text = F.when(left != text, left).otherwise(F.regexp_replace(text, f"({quoted})([^\\w\\n]*){old}", f"$1$2{new}"))
+    return text
+
+
+def tab_slots(text: Column) -> Column:
+    """struct<label, tails>: what precedes the first tab, and the current values after each tab."""
+    parts = F.split(text, "\t")
+    return F.when(F.size(parts) > 1, F.struct(F.trim(parts[0]).alias("label"), F.slice(parts, 2, F.size(parts)).alias("tails")))
+
+
+def split_run_tokens(joined: Column, runs: Column) -> Column:
+    """Placeholders that only show when a paragraph's runs are joined."""
+    return F.array_except(placeholders(joined), F.flatten(F.transform(runs, placeholders)))
+
+
+def document_title(meta_title: Column, first_heading: Column) -> Column:
+    """The title given, line breaks as spaces, else the first heading."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(meta_title, r"\s*\n\s*", " ")), F.lit("")), first_heading)
+
+
+def document_creator(creator: Column, lead: Column, author: Column, profile_name: Column) -> Column:
+    """The creator given, else the lead researcher's name, else the author, else the profile's name."""
+    name = F.split(F.trim(lead), r"\s+")[0]
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in (creator, name, author, profile_name)))
+
+
 def is_label_shaped(text: Column) -> Column:
     """Up to 20 characters, no sentence mark at the end, not a number."""
     return F.coalesce((F.length(text) > 0) & (F.length(text) <= 20) & ~F.substring(text, -1, 1).isin(".", "?", "!") & ~text.rlike(r"^[0-9.,/\-\s]+$"), F.lit(False))
@@ -147,7 +197,7 @@ def fitted_height(width: Column, px_w: Column, px_h: Column) -> Column:
 
 def tail_fit(total: Column, tail: Column, spacing: Column, ratio: Column, min_spacing: int = -5, min_ratio: int = 95) -> Column:
     """struct<spacing, ratio, fittable>: as many one-percent steps as the tail's share needs, first of spacing, then of ratio."""
-    steps = F.ceil(100 * tail / total)
+    steps = F.ceil(F.try_divide(100 * tail, total))
     room = F.greatest(spacing - min_spacing, F.lit(0))
     more = F.greatest(ratio - min_ratio, F.lit(0))
     by_spacing = F.least(steps, room)

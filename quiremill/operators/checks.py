@@ -67,7 +67,7 @@ def neutral_numbering(objects: DataFrame) -> DataFrame:
 
 def marker_census(paragraphs: DataFrame) -> DataFrame:
     """AG6: how often each marker stands in each section."""
-    return paragraphs.select("doc_id", "section_no", F.explode(F.transform(F.regexp_extract_all("text", F.lit(T.PLACEHOLDER), F.lit(1)), F.trim)).alias("token")).groupBy("doc_id", "section_no", "token").agg(F.count("*").alias("n"))
+    return paragraphs.select("doc_id", "section_no", F.explode(F.transform(F.regexp_extract_all("text", F.lit(T.PLACEHOLDER), F.lit(1)), lambda x: F.trim(x))).alias("token")).groupBy("doc_id", "section_no", "token").agg(F.count("*").alias("n"))
 
 
 def marker_warnings(census: DataFrame, known: list[str], exempt: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
@@ -136,3 +137,65 @@ def all_slots(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
 def fill_summary(filled: DataFrame) -> DataFrame:
     """AG16: numbers of filled and blank slots of each document."""
     return filled.groupBy("doc_id").agg(F.count(F.when(F.col("filled"), 1)).alias("n_filled"), F.count(F.when(~F.col("filled"), 1)).alias("n_blank"))
+
+
+#: Normalized labels and the profile fields they stand for.
+ALIASES = {
+    "성명": "name", "성명서명": "name", "이름": "name", "신청자": "name", "작성자": "name", "예금주": "name",
+    "생년월일": "birthdate", "생일": "birthdate", "성별": "gender", "전문분야": "field", "전공분야": "field",
+    "휴대폰": "mobile", "휴대전화": "mobile", "핸드폰": "mobile", "연락처": "mobile",
+    "email": "work.email", "이메일": "work.email", "전자우편": "work.email", "메일": "work.email",
+    "자택주소": "home.address", "자택전화번호": "home.phone", "직장명": "work.name", "소속": "work.name",
+    "직위직급": "work.title", "직위": "work.title", "직급": "work.title", "직장주소": "work.address",
+    "직장전화번호": "work.phone", "팩스": "work.fax", "계좌번호": "account.number", "금융기관명": "account.bank", "은행": "account.bank",
+}
+
+
+def matched_slots(slots: DataFrame, people: DataFrame, assigned: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """JN3: the profile value for each slot (doc_id, locator, name) of the person assigned to the document; own aliases (person_id, label, field) come first, then the common ones, then ``extra.<label>``."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("label"), F.lit(v).alias("common")) for k, v in ALIASES.items()))
+    common = slots.sparkSession.range(1).select(F.explode(pairs).alias("a")).select("a.*")
+    s = slots.withColumn("label", T.normalize_label(F.col("name"))).join(assigned, "doc_id").join(F.broadcast(common), "label", "left")
+    s = s.join(own.withColumnRenamed("field", "own"), ["person_id", "label"], "left") if own is not None else s.withColumn("own", F.lit(None).cast("string"))
+    s = s.withColumn("field", F.coalesce("own", "common", F.concat(F.lit("extra."), "label")))
+    return s.join(people, ["person_id", "field"], "left").select("doc_id", "locator", "field", "value")
+
+
+def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, today: str) -> DataFrame:
+    """JN5: what to fill: cells of repeated sections own their targets, then matched values, then today for date labels; the rest is blank."""
+    cell = F.concat_ws(":", F.lit("cell"), "table_index", "row", "col")
+    r = repeated.select("doc_id", cell.alias("locator"), "value", F.lit("repeated").alias("source"))
+    m = matched.select("doc_id", "locator", "value").join(r, ["doc_id", "locator"], "left_anti")
+    names = slots.select("doc_id", "locator", F.regexp_replace("name", r"\s+", "").alias("bare"))
+    m = m.join(names, ["doc_id", "locator"], "left")
+    dated = F.col("bare").isin("날짜", "작성일", "신청일", "일자") | (F.col("value") == "@today")
+    value = F.when(dated, F.lit(today)).otherwise(F.col("value"))
+    return r.unionByName(m.select("doc_id", "locator", value.alias("value"), F.when(dated, "today").when(F.col("value").isNotNull(), "matched").otherwise("blank").alias("source")))
+
+
+def _solve_rows(group: pd.DataFrame) -> pd.DataFrame:
+    """Heights of a table's rows: single-row cells first, then merges with one open row, then open rows share evenly."""
+    last = int((group["row"] + group["row_span"]).max())
+    height: dict[int, int] = {}
+    spans = sorted(zip(group["row_span"], group["row"], group["height"], strict=True))
+    for span, row, h in spans:
+        if span == 1:
+            height[row] = max(height.get(row, 0), h)
+    moved = True
+    while moved:
+        moved = False
+        for span, row, h in spans:
+            free = [r for r in range(row, row + span) if r not in height]
+            if len(free) == 1:
+                height[free[0]] = max(h - sum(height[r] for r in range(row, row + span) if r in height), 0)
+                moved = True
+    for span, row, h in spans:
+        free = [r for r in range(row, row + span) if r not in height]
+        rest = max(h - sum(height.get(r, 0) for r in range(row, row + span)), 0)
+        height |= {r: rest // len(free) for r in free}
+    return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "table_index": group["table_index"].iloc[0], "row": range(last), "height": [height.get(r, 0) for r in range(last)]})
+
+
+def row_heights(cells: DataFrame) -> DataFrame:
+    """AG12: the height of every row, merges solved."""
+    return cells.select(*AT, "row", "row_span", "height").groupBy(*AT).applyInPandas(_solve_rows, "doc_id long, table_index long, row long, height long")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quiremill.functions import text as T
+from quiremill.functions import blocks, text as T
 from quiremill.operators import checks, edits, forms, layout, markdown, media, styles
 from quiremill.sources import adapters as A
 from quiremill.streaming import revisions
@@ -498,3 +498,198 @@ def sc17(s, d):  # noqa: ANN001, ANN201
 @query("sc25_fitted_height", "SELECT p_partkey, round_even(p_size * 1000.0 * (1 + p_partkey % 7) / (3 + p_partkey % 5), 0)::BIGINT AS height FROM part")
 def sc25(s, d):  # noqa: ANN001, ANN201
     return A.read(s, d, "part").select("p_partkey", T.fitted_height(F.col("p_size") * 1000.0, 3 + F.col("p_partkey") % 5, 1 + F.col("p_partkey") % 7).alias("height"))
+
+
+_TOKENS = r"""list_transform(regexp_extract_all(text, '\{\{\s*([^{}]+?)\s*\}\}', 1), lambda x: trim(x))"""
+
+
+@query("ag6_marker_census", f"{A.with_tables('form_lines')}, e AS (SELECT doc_id, section_no, unnest({_TOKENS}) AS token FROM form_lines) SELECT doc_id, section_no, token, count(*) AS n FROM e GROUP BY 1, 2, 3")
+def ag6(s, d):  # noqa: ANN001, ANN201
+    return checks.marker_census(A.form_lines(s, d))
+
+
+@query(
+    "ag7_marker_warnings",
+    f"""{A.with_tables("form_lines")}, e AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM form_lines), c AS (SELECT doc_id, token, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT doc_id, token, n::BIGINT AS n, CASE WHEN token NOT IN ('t1', 't2', 't3') THEN 'unrecognized' ELSE 'ambiguous' END AS finding FROM c WHERE token NOT IN ('t1', 't2', 't3') OR (n > 1 AND token <> 't3')""",
+)
+def ag7(s, d):  # noqa: ANN001, ANN201
+    return checks.marker_warnings(checks.marker_census(A.form_lines(s, d)), ["t1", "t2"], ["t3"])
+
+
+@query("ag8_residual_tokens", f"{A.with_tables('form_lines')} SELECT DISTINCT doc_id, unnest({_TOKENS}) AS token FROM form_lines")
+def ag8(s, d):  # noqa: ANN001, ANN201
+    return checks.residual_tokens(A.form_lines(s, d))
+
+
+@query("sc1_placeholders", f"{A.with_tables('form_lines')} SELECT doc_id, para_idx, array_to_string(list_distinct({_TOKENS}), ',') AS tokens FROM form_lines")
+def sc1(s, d):  # noqa: ANN001, ANN201
+    return A.form_lines(s, d).select("doc_id", "para_idx", F.array_join(T.placeholders(F.col("text")), ",").alias("tokens"))
+
+
+@query("sc4_label_lines", f"{A.with_tables('form_lines')} SELECT doc_id, para_idx, nullif(regexp_extract(text, '^\\s*[□■○●\\-–—ㆍ·*]?\\s*([^:：\\n]+?)\\s*[:：][\\s.~·\\-년월일]*$', 1), '') AS label FROM form_lines")
+def sc4(s, d):  # noqa: ANN001, ANN201
+    return A.form_lines(s, d).select("doc_id", "para_idx", T.label_line(F.col("text")).alias("label"))
+
+
+@query("sc5_checkboxes", f"{A.with_tables('form_lines')} SELECT doc_id, para_idx, regexp_extract(text, '☑ (\\S+)', 1) AS label, 'on' AS state FROM form_lines WHERE contains(text, '☑')")
+def sc5(s, d):  # noqa: ANN001, ANN201
+    return A.form_lines(s, d).select("doc_id", "para_idx", F.explode(T.checkboxes(F.col("text"))).alias("c")).select("doc_id", "para_idx", "c.label", "c.state")
+
+
+@query("sc6_toggled", f"{A.with_tables('form_lines')} SELECT doc_id, para_idx, replace(text, '☑ agree0', '☐ agree0') AS text FROM form_lines")
+def sc6(s, d):  # noqa: ANN001, ANN201
+    return A.form_lines(s, d).select("doc_id", "para_idx", T.toggled(F.col("text"), "agree0", on=False).alias("text"))
+
+
+@query("sc31_tab_slots", f"{A.with_tables('form_lines')} SELECT doc_id, para_idx, trim(string_split(text, chr(9))[1]) AS label, array_to_string(string_split(text, chr(9))[2:], '/') AS tails FROM form_lines WHERE contains(text, chr(9))")
+def sc31(s, d):  # noqa: ANN001, ANN201
+    t = A.form_lines(s, d).select("doc_id", "para_idx", T.tab_slots(F.col("text")).alias("s")).where("s is not null")
+    return t.select("doc_id", "para_idx", "s.label", F.array_join("s.tails", "/").alias("tails"))
+
+
+_SLOTTED = """p AS (SELECT *, nullif(regexp_extract(text, '^\\s*□?\\s*([^:\\n]+?)\\s*:[\\s.~·\\-]*$', 1), '') AS label, lead(text = '') OVER o AS ne, lead(has_table) OVER o AS nt FROM form_lines WINDOW o AS (PARTITION BY doc_id, section_no ORDER BY para_idx)),
+sl AS (SELECT doc_id, CASE WHEN ne THEN 'section' ELSE 'label' END AS kind, label AS name, section_no, para_idx FROM p WHERE label IS NOT NULL AND NOT coalesce(nt, false) QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN ne THEN 'section' ELSE 'label' END, label ORDER BY section_no, para_idx) = 1)"""
+
+
+@query("wn15_section_slots", f"{A.with_tables('form_lines')},\n{_SLOTTED} SELECT * FROM sl")
+def wn15(s, d):  # noqa: ANN001, ANN201
+    return forms.section_slots(A.form_lines(s, d))
+
+
+@query(
+    "tk2_insertion_marker",
+    f"""{A.with_tables("form_lines")}, e AS (SELECT doc_id, section_no, para_idx, unnest(list_concat({_TOKENS}, [''])) AS token FROM form_lines), f AS (SELECT *, CASE token WHEN 'body' THEN 0 WHEN '' THEN 2 ELSE 1 END AS rank FROM e WHERE token IN ('', 'body', 't1', 't2'))
+SELECT doc_id, section_no, CASE WHEN token <> '' THEN para_idx END AS para_idx, nullif(token, '') AS token FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, CASE WHEN rank = 2 THEN -section_no ELSE section_no END, para_idx) = 1""",
+)
+def tk2(s, d):  # noqa: ANN001, ANN201
+    return markdown.insertion_marker(A.form_lines(s, d), ["body", "t1", "t2"])
+
+
+def _people_slots(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = A.read(s, d, "orders")
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f"cell:0:{i}:1").alias("locator")) for i, n in enumerate(("성 명", "소속", "계좌 번호", "비고", "작성일"))))
+    slots = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(pairs).alias("p")).select("doc_id", "p.*")
+    return slots, o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("person_id"))
+
+
+_MATCHED = """slots AS (SELECT o_orderkey AS doc_id, o_custkey AS person_id, unnest(['name', 'work.name', 'account.number', 'extra.비고', 'extra.작성일']) AS field, 'cell:0:' || unnest(range(5)) || ':1' AS locator FROM orders),
+matched AS (SELECT doc_id, locator, field, value FROM slots LEFT JOIN people USING (person_id, field))"""
+
+
+@query("jn3_matched_slots", f"{A.with_tables('people')},\n{_MATCHED} SELECT * FROM matched")
+def jn3(s, d):  # noqa: ANN001, ANN201
+    slots, assigned = _people_slots(s, d)
+    return forms.matched_slots(slots, A.people(s, d), assigned)
+
+
+_ITEMS = """items AS (SELECT l_orderkey AS doc_id, pos - 1 AS i, unnest(['번호', '수량']) AS field, unnest([(pos * 10)::VARCHAR, (pos * 7)::VARCHAR]) AS value FROM NUMBERED WHERE pos <= 3),
+repeated AS (SELECT i.doc_id, 0::BIGINT AS table_index, 4 + i AS "row", CASE field WHEN '번호' THEN 0 ELSE 1 END::BIGINT AS col, field, value FROM items i JOIN (SELECT doc_id, max("row") AS last FROM cells GROUP BY 1) USING (doc_id) WHERE 4 + i <= last)""".replace("NUMBERED", A._NUMBERED)
+
+
+def _repeated(s: SparkSession, d: str) -> DataFrame:
+    n = A._numbered(s, d).where("pos <= 3")
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), (F.col("pos") * k).cast("string").alias("value")) for f, k in (("번호", 10), ("수량", 7))))
+    items = n.select(F.col("l_orderkey").alias("doc_id"), (F.col("pos") - 1).alias("i"), F.explode(pairs).alias("p")).select("doc_id", "i", "p.*")
+    return forms.repeated_section(A.cells(s, d).join(A.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi"), ["번호", "수량"], items)
+
+
+@query("jn4_repeated_section", f"{A.with_tables('cells')},\n{_ITEMS} SELECT * FROM repeated WHERE doc_id IN (SELECT o_orderkey FROM orders)")
+def jn4(s, d):  # noqa: ANN001, ANN201
+    return _repeated(s, d)
+
+
+@query(
+    "jn5_mapping",
+    f"""{A.with_tables("cells", "people")},\n{_ITEMS},\n{_MATCHED}, r AS (SELECT doc_id, 'cell:' || table_index || ':' || "row" || ':' || col AS locator, value FROM repeated WHERE doc_id IN (SELECT o_orderkey FROM orders))
+SELECT doc_id, locator, value, 'repeated' AS source FROM r UNION ALL
+SELECT doc_id, locator, CASE WHEN locator = 'cell:0:4:1' THEN '2026. 6. 4.' ELSE value END, CASE WHEN locator = 'cell:0:4:1' THEN 'today' WHEN value IS NOT NULL THEN 'matched' ELSE 'blank' END FROM matched m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = m.doc_id AND r.locator = m.locator)""",
+)
+def jn5(s, d):  # noqa: ANN001, ANN201
+    slots, assigned = _people_slots(s, d)
+    return forms.build_mapping(forms.matched_slots(slots, A.people(s, d), assigned), _repeated(s, d), slots, "2026. 6. 4.")
+
+
+@query("jn6_filled_slots", f"""{A.with_tables("people")},\n{_MATCHED} SELECT doc_id, 'cell' AS kind, locator, CASE locator WHEN 'cell:0:0:1' THEN '성 명' WHEN 'cell:0:1:1' THEN '소속' WHEN 'cell:0:2:1' THEN '계좌 번호' WHEN 'cell:0:3:1' THEN '비고' ELSE '작성일' END AS name, coalesce(value, '') AS value, value IS NOT NULL AS filled FROM matched""")
+def jn6(s, d):  # noqa: ANN001, ANN201
+    slots, assigned = _people_slots(s, d)
+    values = forms.matched_slots(slots, A.people(s, d), assigned).where("value is not null").select("doc_id", F.col("locator").alias("key"), "value")
+    return forms.fill(slots.withColumns({"kind": F.lit("cell"), "current": F.lit("")}), values)
+
+
+@query("ag16_fill_summary", f"{A.with_tables('people')},\n{_MATCHED} SELECT doc_id, count(value) AS n_filled, count(*) - count(value) AS n_blank FROM matched GROUP BY 1")
+def ag16(s, d):  # noqa: ANN001, ANN201
+    return forms.fill_summary(jn6(s, d))
+
+
+@query("ag12_row_heights")
+def ag12(s, d):  # noqa: ANN001, ANN201
+    return forms.row_heights(A.cells(s, d).withColumn("height", (1000 + F.length("text") * 10).cast("long")))
+
+
+@query("sc21_markdown_blocks")
+def sc21(s, d):  # noqa: ANN001, ANN201
+    return blocks.parse_markdown(A.read(s, d, "documents").select("doc_id", "text")).select("doc_id", "ord", "kind", "level", "text", "blank_before")
+
+
+@query("sc16_links")
+def sc16(s, d):  # noqa: ANN001, ANN201
+    t = A.read(s, d, "pages").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(", [page]("), F.col("url"), F.lit(")")).alias("t"))
+    return t.select("page_id", F.posexplode(blocks.links(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.url")
+
+
+@query(
+    "wn3_bullet_ladder",
+    f"""{_STYLED}, b AS (SELECT *, CASE WHEN trim(coalesce(glyph, '')) = '' THEN 4 WHEN contains('■□▣◼￭▪◾', glyph) THEN 0 WHEN contains('●○⦁•◦', glyph) THEN 1 WHEN contains('-–—―−', glyph) THEN 2 WHEN contains('·ㆍ', glyph) THEN 3 ELSE 4 END::BIGINT AS rank FROM system WHERE heading_type = 'BULLET' OR glyph IS NOT NULL)
+SELECT doc_id, style_id, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank, size_pt DESC, outline_level, use_count DESC, pos) AS rung, false AS aborted FROM b""",
+)
+def wn3(s, d):  # noqa: ANN001, ANN201
+    return styles.bullet_ladder(_system(s, d))
+
+
+@query("jn14_applied_roles", f"{_STYLED}, m AS (SELECT DISTINCT doc_id, unnest(['1.', 'none']) AS name, unnest(['HEADING_1', 'BODY']) AS role FROM documents) SELECT m.doc_id, m.name, m.role, s.style_id, s.style_id IS NULL AS missing FROM m LEFT JOIN system s ON s.doc_id = m.doc_id AND s.name = m.name")
+def jn14(s, d):  # noqa: ANN001, ANN201
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("role")) for n, r in (("1.", "HEADING_1"), ("none", "BODY"))))
+    return styles.apply_roles(_system(s, d), A.read(s, d, "documents").select("doc_id", F.explode(pairs).alias("m")).select("doc_id", "m.*"))
+
+
+def _fields(s: SparkSession, d: str) -> DataFrame:
+    n = A._numbered(s, d)
+    f = n.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("section_no"), F.col("pos").cast("string").alias("field_id"), "l_partkey")
+    return f.where("l_partkey % 5 <> 0").withColumn("side", F.lit("begin")).unionByName(f.where("l_partkey % 7 <> 0").withColumn("side", F.lit("end"))).drop("l_partkey")
+
+
+@query("jn9_unpaired_fields", f"SELECT l_orderkey AS doc_id, 0::BIGINT AS section_no, pos::VARCHAR AS field_id, CASE WHEN l_partkey % 7 = 0 THEN 'begin alone' ELSE 'end alone' END AS finding FROM {A._NUMBERED} WHERE (l_partkey % 5 <> 0) <> (l_partkey % 7 <> 0)")
+def jn9(s, d):  # noqa: ANN001, ANN201
+    return checks.unpaired_fields(_fields(s, d))
+
+
+@query("tk4_next_version", "WITH t AS (SELECT DISTINCT user_id % 50 AS name, event_id % 9 AS version FROM events WHERE event_id % 3 <> 1 OR user_id % 2 = 0), g AS (SELECT name, unnest(range(2, 12)) AS v FROM t GROUP BY 1) SELECT name::VARCHAR AS name, min(v) AS next_version FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.name = g.name AND t.version = g.v) GROUP BY 1")
+def tk4(s, d):  # noqa: ANN001, ANN201
+    e = A.read(s, d, "events").where("event_id % 3 <> 1 or user_id % 2 = 0")
+    return checks.next_version(e.select((F.col("user_id") % 50).cast("string").alias("name"), (F.col("event_id") % 9).alias("version")))
+
+
+@query("pf3_kept_lines", f"{A.with_tables('paragraphs')} SELECT doc_id, section_no, para_idx, line_no FROM (SELECT *, unnest(range(line_segs)) AS line_no FROM paragraphs) WHERE NOT (line_segs >= 1 AND line_breaks + 1 > line_segs)")
+def pf3(s, d):  # noqa: ANN001, ANN201
+    p = A.paragraphs(s, d)
+    lines = p.where("line_segs > 0").select("doc_id", "section_no", "para_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("line_segs") - 1)).alias("line_no"))
+    return checks.without_stale_lines(lines, p)
+
+
+@query("wn18_inserted_paragraphs", f"{A.with_tables('paragraphs')}, u AS (SELECT doc_id, section_no, para_idx AS a, 0 AS side, text FROM paragraphs UNION ALL SELECT doc_id, section_no, para_idx, -1, 'new' FROM paragraphs WHERE forced_break) SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY a, side) - 1 AS para_idx, text FROM u")
+def wn18(s, d):  # noqa: ANN001, ANN201
+    p = A.paragraphs(s, d)
+    new = p.where("forced_break").select("doc_id", "section_no", F.col("para_idx").alias("anchor_idx"), F.lit(True).alias("before"), F.lit(0).alias("i"), F.lit("new").alias("text"))
+    return edits.insert_paragraphs(p, new)
+
+
+@query(
+    "wn17_deleted_rows",
+    f"""{A.with_tables("cells")}, bad AS (SELECT doc_id, min(error) AS error FROM (SELECT doc_id, 'split merge' AS error FROM cells WHERE "row" = 0 AND col = 1 AND row_span = 2 UNION ALL SELECT doc_id, 'out of range' FROM cells GROUP BY 1 HAVING max("row" + row_span - 1) < 2) GROUP BY 1)
+SELECT c.doc_id, table_index, CASE WHEN error IS NULL AND "row" > 2 THEN "row" - 2 ELSE "row" END AS "row", col, row_span, text, error FROM cells c LEFT JOIN bad USING (doc_id) WHERE error IS NOT NULL OR "row" NOT IN (1, 2)""",
+)
+def wn17(s, d):  # noqa: ANN001, ANN201
+    c = A.cells(s, d)
+    ranges = c.select("doc_id", "table_index").distinct().select("doc_id", "table_index", F.lit(1).cast("long").alias("first"), F.lit(2).cast("long").alias("last"))
+    return edits.delete_rows(c, ranges).select("doc_id", "table_index", "row", "col", "row_span", "text", "error")

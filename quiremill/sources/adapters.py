@@ -93,6 +93,22 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(lines).select("doc_id", F.lit(0).cast("long").alias("table_index"), "row", "col", "row_span", F.lit(1).cast("long").alias("col_span"), "text")
 
 
+def form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents turned into template text: placeholders, label lines, empty and plain paragraphs by turns."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("i", "t"))
+    n, m = F.length("t"), F.col("i") % 5
+    token = F.concat(F.lit("{{ t"), (n % 7).cast("string"), F.lit(" }}"))
+    text = F.when(m == 0, F.concat(token, F.lit(" and "), token)).when(m == 1, F.concat(F.lit("□ label"), (n % 4).cast("string"), F.lit(" : "))).when((m == 2) & (n % 2 == 0), "").when((m == 3) & (n % 3 == 0), F.concat(F.lit("☑ agree"), (n % 5).cast("string"), F.lit(" here"))).otherwise(F.concat(F.lit("x\t"), F.substring("t", 1, 9)))
+    return lines.select("doc_id", F.lit(0).cast("long").alias("section_no"), F.col("i").cast("long").alias("para_idx"), text.alias("text"), (n % 6 == 0).alias("has_table"))
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles in long form: (person_id, field, value)."""
+    c = read(spark, sf_dir, "customer")
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), v.cast("string").alias("value")) for f, v in (("name", F.col("c_name")), ("work.name", F.col("c_mktsegment")), ("account.number", F.col("c_nationkey")))))
+    return c.select(F.col("c_custkey").alias("person_id"), F.explode(pairs).alias("p")).select("person_id", "p.*")
+
+
 def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("ord", "text"))
     n, m = F.length("text"), F.col("ord") % 6
@@ -123,6 +139,9 @@ _NUMBERED = "(SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity)::BIG
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
 
 SQL = {
+    "form_lines": f"""form_lines AS (SELECT doc_id, 0::BIGINT AS section_no, i::BIGINT AS para_idx, CASE WHEN m = 0 THEN '{{{{ t' || (n % 7) || ' }}}} and {{{{ t' || (n % 7) || ' }}}}' WHEN m = 1 THEN '□ label' || (n % 4) || ' : '
+  WHEN m = 2 AND n % 2 = 0 THEN '' WHEN m = 3 AND n % 3 = 0 THEN '☑ agree' || (n % 5) || ' here' ELSE 'x' || chr(9) || substr(text, 1, 9) END AS text, n % 6 = 0 AS has_table FROM (SELECT *, length(text) AS n, i % 5 AS m FROM {_LINES}))""",
+    "people": """people AS (SELECT c_custkey AS person_id, unnest(['name', 'work.name', 'account.number']) AS field, unnest([c_name, c_mktsegment, c_nationkey::VARCHAR]) AS value FROM customer)""",
     "paragraphs": f"""paragraphs AS (SELECT doc_id, (i % 2)::BIGINT AS section_no, i::BIGINT AS para_idx, text, (length(text) % 7)::VARCHAR AS style_id,
   length(text) % 11 = 0 AS in_cell, length(text) % 13 = 0 AS in_note, (length(text) % 3)::BIGINT AS line_breaks, (length(text) % 4)::BIGINT AS line_segs,
   length(text) % 5 <> 0 AS plain_runs, CASE WHEN text = '' THEN 'empty' WHEN length(text) % 7 = 6 THEN 'object' ELSE 'text' END AS kind,
