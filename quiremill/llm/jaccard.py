@@ -77,7 +77,7 @@ def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, int] = {}
-        for slab in slabs(batches):
+        for slab in slabs(batches, size=1 << 20):
             _, h = shingles(slab, n)
             h, count = np.unique(h, return_counts=True)
             often = count >= max(3, len(slab) // 100)

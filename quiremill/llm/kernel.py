@@ -13,8 +13,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 20
+SLAB = 1 << 18
 _U = np.uint64
+#: Rows of a batch that are looked at together, so that only their texts are copied.
+_ROWS = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 
@@ -68,9 +70,7 @@ class Slab:
 
 def slabs(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLAB) -> Iterator[Slab]:
     """Cut batches into slabs. A null text counts as empty."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
         col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
         if col.null_count:
             col = col.fill_null("")
