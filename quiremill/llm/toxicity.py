@@ -3,7 +3,7 @@
 Confirmed toxic rows are the positives; a sample of all texts, toxic or not and with no label read,
 is the unlabelled set. With p the share of toxic text, the risk of a classifier is
 p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)), where R+ and R- are mean logistic
-losses against 1 and 0; where the second part falls below zero its gradient is reversed instead of
+losses against 1 and 0; where the second part falls below zero only the first is
 followed. Features are the distinct hashed words of the whole text and the words' beginnings of
 several lengths (a stem keeps its weight under any ending). Several classifiers, each with
 another order of the batches, are averaged.
@@ -25,7 +25,7 @@ from quiremill.llm.labelled import Sparse, bounded, featured, scored
 BITS = 20
 POSITIVES, UNLABELLED = 3000, 9000
 #: A word gets a weight if its share of the positives differs from its share of the unlabelled rows by this many standard errors.
-LEAST_Z = 4.0
+LEAST_Z = 6.0
 
 
 #: Bytes of the beginnings of words that are features beside the words.
@@ -50,7 +50,7 @@ def words_of(slab: Slab, live: np.ndarray | None = None) -> Sparse:
     return np.searchsorted(row, np.arange(len(slab) + 1)), (both & np.uint64((1 << BITS) - 1)).astype(np.int64), np.ones(len(both), np.float32)
 
 
-def fit(rows: list, prior: float, seed: int, epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit(rows: list, prior: float, seed: int, epochs: int = 60, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; y is 1 for positives and 0 for unlabelled rows."""
     w = np.zeros(1 << BITS, np.float32)
     seen = np.zeros((2, 1 << BITS))
@@ -87,7 +87,7 @@ def fit(rows: list, prior: float, seed: int, epochs: int = 30, batch: int = 256,
                     risks[y, sign] = np.logaddexp(0, -z if sign else z).mean()
                     grads[y, sign] = np.append(np.bincount(at, g[row], m - 1), g.sum()) / len(index)
             negative = risks[0, 0] - prior * risks[1, 0]
-            grad = prior * grads[1, 1] + grads[0, 0] - prior * grads[1, 0] if negative >= 0 else prior * grads[1, 0] - grads[0, 0]
+            grad = prior * grads[1, 1] + grads[0, 0] - prior * grads[1, 0] if negative >= 0 else prior * grads[1, 1]
             grad[:-1] += decay * theta[:-1]
             turn += 1
             first += 0.1 * (grad - first)
