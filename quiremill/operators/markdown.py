@@ -122,3 +122,28 @@ def reference_table(tables: DataFrame) -> DataFrame:
     designated = F.coalesce(F.col("caption").rlike(r"\{\{\s*table"), F.lit(False))
     o = W.partitionBy("doc_id").orderBy(F.desc(designated), "table_index")
     return tables.withColumn("rn", F.row_number().over(o)).where("rn = 1").select("doc_id", "table_index")
+
+
+#: Keys of report metadata in Korean and the slots they stand for.
+META_KEYS = {
+    "제목": "title", "부제": "subtitle", "부제목": "subtitle", "총서": "report_series", "총서명": "report_series", "시리즈": "report_series",
+    "과제번호": "report_number", "보고서번호": "report_number", "발간번호": "report_number", "저자": "authors", "표지저자": "authors",
+    "연구책임": "lead_researcher", "공동책임": "co_lead", "공동연구": "co_researchers", "발행일": "pub_date", "발행인": "publisher", "호수": "volume",
+    "머리제목": "running_title", "인쇄처": "printer", "종료일": "end_date", "과제종료일": "end_date", "작성자": "creator", "author": "creator",
+}
+
+
+def normalized_meta(meta: DataFrame) -> DataFrame:
+    """SC14: (doc_id, key, value) with aliases resolved, blanks dropped, and the values that follow from others: authors, the title's two lines, the subtitle's colon, the month of publication."""
+    alias = F.create_map(*(F.lit(x) for kv in META_KEYS.items() for x in kv))
+    key = F.trim("key")
+    m = meta.select("doc_id", F.coalesce(F.try_element_at(alias, key), key).alias("key"), F.trim("value").alias("value")).where("value <> ''")
+    wide = m.groupBy("doc_id").agg(*(F.min(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("title", "subtitle", "authors", "lead_researcher", "co_lead", "pub_date")))
+    title = F.replace(F.col("title"), F.lit(" // "), F.lit("\n"))
+    names = F.transform(F.filter(F.array("lead_researcher", "co_lead"), lambda x: x.isNotNull()), lambda x: F.split(x, r"\s+")[0])
+    authors = F.coalesce(F.replace(F.col("authors"), F.lit(" ; "), F.lit("\n")), F.when(F.col("lead_researcher").isNotNull(), F.array_join(names, "·")))
+    subtitle = F.when(F.col("subtitle").rlike("^[:\\-—–]"), F.col("subtitle")).otherwise(F.concat(F.lit(": "), "subtitle"))
+    derived = {"title": title, "title_1": F.substring_index(title, "\n", 1), "title_2": F.when(F.contains(title, F.lit("\n")), F.replace(F.expr("substr(replace(title, ' // ', '\\n'), instr(replace(title, ' // ', '\\n'), '\\n') + 1)"), F.lit("\n"), F.lit(" "))), "authors": authors, "subtitle": subtitle, "pub_date": T.publication_month(F.col("pub_date"))}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in derived.items())))
+    out = wide.select("doc_id", pairs.alias("p")).select("doc_id", "p.*").where("value is not null")
+    return out.unionByName(m.join(out.select("doc_id", "key"), ["doc_id", "key"], "left_anti"))

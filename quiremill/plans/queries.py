@@ -693,3 +693,128 @@ def wn17(s, d):  # noqa: ANN001, ANN201
     c = A.cells(s, d)
     ranges = c.select("doc_id", "table_index").distinct().select("doc_id", "table_index", F.lit(1).cast("long").alias("first"), F.lit(2).cast("long").alias("last"))
     return edits.delete_rows(c, ranges).select("doc_id", "table_index", "row", "col", "row_span", "text", "error")
+
+
+def _tables(s: SparkSession, d: str) -> DataFrame:
+    o = A.read(s, d, "orders")
+    k = F.col("o_orderkey")
+    caption = F.when(k % 5 == 0, "{{table 1}}").when(k % 5 == 1, "[그림 1] x").otherwise("표")
+    return o.select((k % 500).alias("doc_id"), k.alias("table_index"), caption.alias("caption"), (k % 2).cast("long").alias("treat_as_char"), F.when(k % 3 == 0, "TABLE").otherwise("CELL").alias("page_break"))
+
+
+_TABLES = "tables AS (SELECT o_orderkey % 500 AS doc_id, o_orderkey AS table_index, CASE o_orderkey % 5 WHEN 0 THEN '{{table 1}}' WHEN 1 THEN '[그림 1] x' ELSE '표' END AS caption, (o_orderkey % 2)::BIGINT AS treat_as_char, CASE WHEN o_orderkey % 3 = 0 THEN 'TABLE' ELSE 'CELL' END AS page_break FROM orders)"
+
+
+@query("tk3_reference_tables", f"WITH {_TABLES} SELECT doc_id, table_index FROM tables QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY starts_with(caption, '{{{{table') DESC, table_index) = 1")
+def tk3(s, d):  # noqa: ANN001, ANN201
+    return markdown.reference_table(_tables(s, d))
+
+
+@query("pf11_released_tables", f"WITH {_TABLES} SELECT doc_id, table_index, caption, 0::BIGINT AS treat_as_char, CASE WHEN treat_as_char = 1 THEN 'CELL' ELSE page_break END AS page_break, treat_as_char = 1 AS changed FROM tables")
+def pf11(s, d):  # noqa: ANN001, ANN201
+    return edits.released_tables(_tables(s, d)).withColumn("treat_as_char", F.col("treat_as_char").cast("long"))
+
+
+@query("pf12_without_residue", f"WITH {_TABLES} SELECT t.* FROM tables t JOIN orders o ON o_orderkey = table_index WHERE NOT starts_with(caption, '{{{{table') AND o_orderstatus <> 'O'")
+def pf12(s, d):  # noqa: ANN001, ANN201
+    cells = A.read(s, d, "orders").select((F.col("o_orderkey") % 500).alias("doc_id"), F.col("o_orderkey").alias("table_index"), F.when(F.col("o_orderstatus") == "O", " ").otherwise("x").alias("text"))
+    return edits.without_residue(_tables(s, d), cells)
+
+
+@query(
+    "ag11_box_heights",
+    f"""{A.with_tables("cells")}, h AS (SELECT doc_id, table_index, "row", max(1000 + length(text) * 10) AS h FROM cells GROUP BY 1, 2, 3) SELECT doc_id, table_index, sum(h)::BIGINT AS height FROM h GROUP BY 1, 2""",
+)
+def ag11(s, d):  # noqa: ANN001, ANN201
+    return forms.box_height(A.cells(s, d).withColumn("height", (1000 + F.length("text") * 10).cast("long")))
+
+
+@query("ag14_fingerprints", "SELECT conv_id AS doc_id, sha256(string_agg(turn::VARCHAR || chr(0) || text, '' ORDER BY turn::VARCHAR, text)) AS fingerprint FROM conversations WHERE turn <> 3 GROUP BY 1")
+def ag14(s, d):  # noqa: ANN001, ANN201
+    parts = A.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("string").alias("part_name"), F.encode("text", "UTF-8").alias("content"))
+    return checks.fingerprints(parts, "3")
+
+
+@query("ag17_coverage", "WITH n AS (SELECT doc_id % 97 AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 'saved' ELSE 'estimate' END AS engine, count(*) AS n FROM labels GROUP BY 1, 2) SELECT *, count(*) OVER (PARTITION BY doc_id) > 1 AS partial FROM n")
+def ag17(s, d):  # noqa: ANN001, ANN201
+    judged = A.read(s, d, "labels").select((F.col("doc_id") % 97).alias("doc_id"), F.when(F.col("doc_id") % 4 == 0, "saved").otherwise("estimate").alias("engine"))
+    return layout.coverage(judged)
+
+
+@query("wn8_footnote_numbers", f"{A.with_tables('paragraphs')} SELECT doc_id, section_no, para_idx, 0::BIGINT AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, para_idx) AS no FROM paragraphs WHERE in_note")
+def wn8(s, d):  # noqa: ANN001, ANN201
+    return markdown.footnote_numbers(A.paragraphs(s, d).where("in_note").select("doc_id", "section_no", "para_idx", F.lit(0).cast("long").alias("pos")))
+
+
+@query("wn4_normalization_plan")
+def wn4(s, d):  # noqa: ANN001, ANN201
+    system = _system(s, d)
+    return styles.normalization_plan(system, styles.role_map(system))
+
+
+@query("jn12_office_holders", "SELECT o_orderkey AS doc_id, o_orderdate::DATE::VARCHAR AS end_date, CASE WHEN o_orderdate::DATE BETWEEN DATE '1992-01-01' AND DATE '1994-06-30' THEN 'A' WHEN o_orderdate::DATE >= DATE '1995-01-01' THEN 'B' END AS name FROM orders")
+def jn12(s, d):  # noqa: ANN001, ANN201
+    holders = s.createDataFrame([("1992-01-01", "1994-06-30", "A"), ("1995-01-01", None, "B")], "first string, last string, name string").select(F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"), "name")
+    return markdown.office_holder(A.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("end_date")), holders).withColumn("end_date", F.col("end_date").cast("string"))
+
+
+@query("jn16_unreferenced", "SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 20 AS ref FROM lineitem a WHERE l_quantity < 25 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey % 20 = a.l_partkey % 20 AND NOT b.l_quantity < 25)")
+def jn16(s, d):  # noqa: ANN001, ANN201
+    uses = A.read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 20).alias("ref"), (F.col("l_quantity") < 25).alias("dropped"))
+    return media.unreferenced(uses.where("dropped"), uses.where("not dropped").select("doc_id", "ref"))
+
+
+@query("tk5_next_image", "SELECT l_orderkey AS doc_id, coalesce(max(CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey END), 0) + 1 AS next_id FROM lineitem GROUP BY 1")
+def tk5(s, d):  # noqa: ANN001, ANN201
+    items = A.read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.when(F.col("l_linenumber") % 3 != 0, "image").otherwise("ole"), F.col("l_partkey").cast("string")).alias("id"))
+    return media.next_image_id(items)
+
+
+@query(
+    "sm3_output_guard",
+    "SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN 'overwrite' WHEN o_orderkey % 3 = 0 THEN 'versioned-foreign' WHEN o_custkey % 2 = 0 THEN 'overwrite-own' ELSE 'versioned-drift' END AS status FROM orders",
+)
+def sm3(s, d):  # noqa: ANN001, ANN201
+    o = A.read(s, d, "orders").withColumn("path", F.col("o_orderkey").cast("string"))
+    current = o.where("o_orderkey % 4 <> 0").select("path", (F.col("o_custkey") % 2).cast("string").alias("fingerprint"))
+    return checks.output_guard(o.select("path", (F.col("o_orderkey") % 7 == 0).alias("force")), o.where("o_orderkey % 3 <> 0").select("path", F.lit("0").alias("fingerprint")), current)
+
+
+@query("pf4_neutral_numbering", "SELECT l_orderkey AS doc_id, l_linenumber, CASE WHEN l_linenumber % 2 = 0 AND l_partkey % 3 <> 0 AND l_suppkey % 4 <> 0 THEN 'NONE' WHEN l_linenumber % 2 = 0 THEN 'TABLE' ELSE 'NOTE' END AS numbering_type, l_linenumber % 2 = 0 AND l_partkey % 3 <> 0 AND l_suppkey % 4 <> 0 AS changed FROM lineitem")
+def pf4(s, d):  # noqa: ANN001, ANN201
+    objects = A.read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, "TABLE").otherwise("NOTE").alias("numbering_type"), (F.col("l_partkey") % 3 == 0).alias("has_caption"), F.when(F.col("l_suppkey") % 4 == 0, "Contents/header.xml").otherwise("Contents/section0.xml").alias("part_name"))
+    return checks.neutral_numbering(objects).select("doc_id", "l_linenumber", "numbering_type", "changed")
+
+
+@query(
+    "jn19_indent_templates",
+    f"""{A.with_tables("paragraphs")}, p AS (SELECT doc_id, section_no, para_idx, length(text) % 5 * 100 AS indent, forced_break FROM paragraphs),
+j AS (SELECT a.doc_id, a.section_no, a.para_idx, p.indent, p.para_idx AS template_idx FROM p a JOIN p ON p.doc_id = a.doc_id AND p.section_no = a.section_no AND abs(p.para_idx - a.para_idx) <= 40 WHERE a.forced_break)
+SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, section_no, para_idx, indent ORDER BY abs(template_idx - para_idx), template_idx) = 1""",
+)
+def jn19(s, d):  # noqa: ANN001, ANN201
+    p = A.paragraphs(s, d).withColumn("indent", (F.length("text") % 5 * 100).cast("long"))
+    return edits.indent_templates(p, p.where("forced_break").select("doc_id", "section_no", "para_idx"))
+
+
+@query("sc29_widow_tails", f"{A.with_tables('paragraphs')}, t AS (SELECT doc_id, section_no, para_idx, length(text) AS total, length(text) % 40 AS tail FROM paragraphs WHERE line_breaks = 0 AND length(text) > 40) SELECT doc_id, section_no, para_idx, tail::BIGINT AS tail, -least(ceil(100.0 * tail / total), 5)::BIGINT AS spacing, (100 - least(ceil(100.0 * tail / total) - least(ceil(100.0 * tail / total), 5), 5))::BIGINT AS ratio, ceil(100.0 * tail / total) <= 10 AS fittable FROM t WHERE tail BETWEEN 1 AND 4")
+def sc29(s, d):  # noqa: ANN001, ANN201
+    p = A.paragraphs(s, d)
+    lines = p.select("doc_id", "section_no", "para_idx", F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(40))).alias("line_no", "textpos"))
+    lines = lines.join(p.where(F.length("text") > 40).select("doc_id", "section_no", "para_idx"), ["doc_id", "section_no", "para_idx"], "left_semi")
+    return layout.widow_tails(lines, p)
+
+
+@query(
+    "st1_all_slots",
+    f"""{A.with_tables("form_lines")},\n{_SLOTTED}, ph AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS name FROM form_lines)
+SELECT doc_id, 'placeholder' AS kind, name AS locator, name FROM ph UNION ALL SELECT doc_id, kind, name, name FROM sl""",
+)
+def st1(s, d):  # noqa: ANN001, ANN201
+    return forms.all_slots(A.form_lines(s, d), A.cells(s, d).where("false"))
+
+
+_scalar("sc12_caption_frame", "regexp_replace('<표 ' || ord || '> ' || text, '^\\s*(?:[<〈]\\s*표\\s*[^>〉]*[>〉]|\\[\\s*그림\\s*[^\\]]*\\])\\s*', '')", lambda c: T.strip_caption_frame(F.concat(F.lit("<표 "), F.col("ord").cast("string"), F.lit("> "), c)))
+_scalar("sc23_alt_text", "'pic' || ord || '.png/' || (ord + 1) || '/' || (ord + 2)", lambda c: F.concat_ws("/", *(T.alt_text(F.concat(F.lit("원본 그림의 이름: pic"), F.col("ord").cast("string"), F.lit(".png\n원본 그림의 크기: 가로 "), (F.col("ord") + 1).cast("string"), F.lit("pixel, 세로 "), (F.col("ord") + 2).cast("string"), F.lit("pixel")))[k].cast("string") for k in ("origname", "px_w", "px_h"))))
+_scalar("sc36_document_title", "coalesce(nullif(trim(CASE WHEN ord % 2 = 0 THEN '' ELSE text END), ''), 'heading')", lambda c: T.document_title(F.when(F.col("ord") % 2 == 0, "").otherwise(c), F.lit("heading")))
+_scalar("sc19_math_spans", "'x^' || ord", lambda c: F.array_join(F.transform(T.math_spans(F.concat(F.lit("a $x^"), F.col("ord").cast("string"), F.lit("$ b $5 and $6 "))), lambda m: m["latex"]), ","))
