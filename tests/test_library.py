@@ -225,3 +225,36 @@ def test_layout(spark):
     assert {(r.page, r.step) for r in steps.collect()} == {(1, 1), (2, None)}
     cells = table(spark, "doc_id long, table_index long, row long, text string, em double, height long", (1, 0, 0, "가" * 19, 9.5, 100), (1, 0, 0, "a", 9.5, 100))
     assert layout.row_growth(cells).collect() == [(1, 0, 0, 300)]
+
+
+def test_normalized_meta(spark):
+    m = table(spark, "doc_id long, key string, value string", (1, "제목", "First // Second"), (1, "부제", "more"), (1, "연구책임", "Hong  Institute"), (1, "공동책임", "Kim X"), (1, "발행일", "2026-08"), (1, "인쇄처", " "), (2, "author", "me"))
+    got = {(r.doc_id, r.key): r.value for r in markdown.normalized_meta(m).collect()}
+    assert got[1, "title"] == "First\nSecond" and got[1, "title_1"] == "First" and got[1, "title_2"] == "Second"
+    assert got[1, "subtitle"] == ": more" and got[1, "authors"] == "Hong·Kim" and got[1, "pub_date"] == "2026년 8월"
+    assert (1, "printer") not in got and got[2, "creator"] == "me" and got[1, "lead_researcher"] == "Hong  Institute"
+
+
+def test_repairs(spark):
+    pr = table(spark, "doc_id long, ls_type string, ls_percent long", (1, "PERCENT", 1600), (1, "PERCENT", 160), (1, "FIXED", 2000))
+    tb = table(spark, "doc_id long, page_break string", (1, "TABLE"), (1, "CELL"), (2, "TABLE"), (2, "TABLE"))
+    declared = table(spark, "doc_id long, part_name string", (1, "Preview/a.txt"), (2, "Preview/a.txt"), (2, "Contents/x"))
+    parts = table(spark, "doc_id long, part_name string", (1, "Preview/a.txt"))
+    assert {tuple(r) for r in edits.repairs(pr, tb, declared, parts).collect()} == {(1, "linespacing:1"), (1, "pagebreak:1"), (2, "pagebreak:2"), (2, "preview:Preview/a.txt")}
+    assert sorted(r.ls_percent for r in edits.repaired_packages(pr).collect()) == [160, 160, 2000]
+
+
+def test_row_heights(spark):
+    c = table(spark, "doc_id long, table_index long, row long, row_span long, height long", (1, 0, 0, 1, 10), (1, 0, 0, 2, 25), (1, 0, 2, 2, 40))
+    assert sorted((r.row, r.height) for r in forms.row_heights(c).collect()) == [(0, 10), (1, 15), (2, 20), (3, 20)]
+
+
+def test_checkboxes(spark):
+    assert [[tuple(x) for x in r] for r in column(spark, ["□ 동의함", "동의합니다. ■", "□ 기간 : ", "x"], T.checkboxes)] == [[("동의함", "off")], [("동의합니다", "on")], [], []]
+    assert column(spark, ["□ 동의함", "동의함. □", "■ 동의함"], lambda c: T.toggled(c, "동의함")) == ["■ 동의함", "동의함. ■", "■ 동의함"]
+
+
+def test_judges(spark):
+    pages = table(spark, "doc_id long, page long, image binary", (1, 1, b"x"), (1, 2, b""))
+    got = media.judge_pages(pages, lambda b: b.assign(ok=b["image"].map(len) > 0, issue=None)[["doc_id", "page", "ok", "issue"]])
+    assert {(r.page, r.ok) for r in got.collect()} == {(1, True), (2, False)}
