@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, decontam, html, jaccard, lm, quality, repetition, secrets, substring, toxicity
+from quiremill.llm import bpe, decontam, html, jaccard, lm, oracles, quality, repetition, secrets, substring, toxicity
 from quiremill.llm.io import table
 from quiremill.llm.labelled import fold
 
@@ -84,5 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard": oracles.jaccard(4, 85, 100),
+    "op4_repetition": oracles.repetition(),
+    "op8_substring": oracles.substring(),
     "op9_secrets": secrets.oracle(),
 }
