@@ -22,9 +22,10 @@ ENUMERATOR_WORDS = {"로마자": "ROMAN"}
 GLYPHS = ("■□▣◼￭▪◾", "●○⦁•◦", "-–—―−", "·ㆍ")
 #: Numbering typed in front of a heading.
 HEADING_NUMBER = r"^\s*(?:부록\s*[0-9A-Za-z가-힣]+|제?\s*[0-9]+\s*[편장절관항]|[0-9]+(?:\s*[.\-]\s*[0-9]+)+|[0-9]+\s*[.)]|[A-Za-z](?:\s*[.\-]\s*[0-9]+)+|[IVXⅠ-Ⅻ]+\s*[.)])\s*[.)\]:：\-]*\s+(\S)"
+#: The frame typed around a caption, and placeholders.
 CAPTION_FRAME = r"^\s*(?:[<〈]\s*표\s*[^>〉]*[>〉]|\[\s*그림\s*[^\]]*\])\s*"
 PLACEHOLDER = r"\{\{\s*([^{}]+?)\s*\}\}"
-#: Display math, then inline math, as in the usual dollar notation: prices are not math.
+#: Display math, then inline math, as in the usual dollar notation: prices are not math.
 MATH = r"(?s)(?<![\\$])\$\$.+?\$\$|(?<![\\$])\$[^\s$](?:[^$]*?[^\s\\$])?\$(?![0-9$])"
 
 
