@@ -1,12 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are runs of letters and digits, lower-cased. Each of a few fixed masks picks some of the
-``SPAN`` words of a window and ignores the others; the hashes of the picked words of test items and
+window's words and ignores the others; the hashes of the picked words of test items and
 of training texts are joined, so a hit survives substitutions at ignored places. Around each hit the
 item is laid along the text, and the stretch with the most agreement (a match counts 1, a
 difference -1.5) says which of the item's words are there. A document holds an item if these are at
-least ``SHARE`` of the item's words and at least eight. Items shorter than a mask must be there word
-for word.
+least ``SHARE`` of the item's words and at least eight. Items of less than eight words must be there
+word for word.
+
+Two kinds of masks: three long ones of eight words, and all ways in which a stretch of most
+agreement can begin, up to its ``WEIGHT``-th match (its sum never falls below zero, so there are
+nine). Every alignment with a stretch of ``WEIGHT`` matches is therefore met, whichever words were
+changed; one that only a beginning meets counts if its stretch has eight words or the whole item.
 
 Test items come to the workers in blocks of about ``BLOCK_WORDS`` words (their hashes are what is
 broadcast); each block makes one pass over the texts. Texts are whole, no hit is dropped.
@@ -26,14 +31,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from quiremill.llm.kernel import LETTERS, Words, mix, slabs
 
+DIFFERENCE = 1.5
+SHARE = 0.5
+LEAST = 8
+WEIGHT = 5
 #: Fixed masks: 1 is a word that must match.
 MASKS = ("11101100111", "11011010111", "10111101011")
-SPAN = 11
-SHARE = 0.5
 BLOCK_WORDS = 1 << 20
 _TABLE = 20
 
 
+def beginnings(weight: int) -> list[str]:
+    """Every way in which a stretch of most agreement can begin, up to its weight-th match."""
+    done, growing = [], [("1", 1.0)]
+    while growing:
+        mask, score = growing.pop()
+        if mask.count("1") == weight:
+            done.append(mask)
+            continue
+        while score >= 0:
+            growing.append((mask + "1", score + 1))
+            mask, score = mask + "0", score - DIFFERENCE
+    return done
+
+
+LIGHT = tuple(beginnings(WEIGHT))
+
+
 def seeds(h: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash of the picked words) of every window inside one row."""
     n = len(h) - len(mask) + 1
@@ -48,22 +72,23 @@ def seeds(h: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.nda
 
 
 class Items:
-    """The test side of one block: words of each item, and sorted seeds of every mask and of every short length."""
+    """The test side of one block: words of each item, and sorted seeds of every mask and of every length under ``WEIGHT``."""
 
     def __init__(self, ids: list, texts: list[str]):
         batch = pa.record_batch({"text": pa.array(texts, pa.string()), "no": pa.array(range(len(texts)))})
         self.ids, self.words = ids, [np.zeros(0, np.uint64)] * len(ids)
-        parts: dict[str, list] = {m: [] for m in MASKS}
+        parts: dict[str, list] = {m: [] for m in (*MASKS, *LIGHT)}
         for slab in slabs([batch]):
             words = Words(slab, classes=LETTERS)
             no = slab.batch["no"].to_numpy()
             for i in range(len(slab)):
                 self.words[no[i]] = words.hash[words.row_at[i] : words.row_at[i + 1]]
-            for mask in [*MASKS, *("1" * n for n in np.unique(words.count) if 0 < n < SPAN)]:
+            for mask in [*MASKS, *LIGHT, *("1" * n for n in np.unique(words.count) if 0 < n < WEIGHT)]:
                 at, h = seeds(words.hash, words.row, mask)
-                keep = words.count[words.row[at]] >= SPAN if mask in MASKS else words.count[words.row[at]] == len(mask)
-                at, h = at[keep], h[keep]
-                parts.setdefault(mask, []).append((h, no[words.row[at]], at - words.row_at[words.row[at]]))
+                if len(mask) < WEIGHT:
+                    keep = words.count[words.row[at]] == len(mask)
+                    at, h = at[keep], h[keep]
+                parts.setdefault(mask, []).append((h, no[words.row[at]].astype(np.int32), (at - words.row_at[words.row[at]]).astype(np.int32)))
         self.seeds = {}
         for mask, found in parts.items():
             if found and sum(len(f[0]) for f in found):
@@ -76,7 +101,7 @@ class Items:
 
 def agreeing(equal: np.ndarray) -> np.ndarray:
     """Places that agree inside the stretch with the greatest sum of matches less 1.5 for each difference."""
-    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -1.5))])
+    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -DIFFERENCE))])
     lowest = np.minimum.accumulate(sums)
     end = int(np.argmax(sums - lowest))
     begin = int(np.argmin(sums[: end + 1]))
@@ -101,16 +126,21 @@ def overlaps(docs: DataFrame, items: Items) -> DataFrame:
                 which = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
                 at = np.repeat(at, many)
                 row = words.row[at]
-                hits.append(np.stack([row, item[which], at - words.row_at[row] - place[which]]))
+                hits.append(np.stack([row, item[which], at - words.row_at[row] - place[which], np.full(len(row), mask in LIGHT)]))
             found: dict[tuple[int, int], tuple[set, int]] = {}
-            every = np.unique(np.concatenate(hits, axis=1), axis=1) if hits else np.zeros((3, 0), np.int64)
-            for row, no, shift in every.T.tolist():
+            every = np.unique(np.concatenate(hits, axis=1), axis=1) if hits else np.zeros((4, 0), np.int64)
+            for row, no, shift, light in every.T.tolist():
                 own, text = test.words[no], words.hash[words.row_at[row] : words.row_at[row + 1]]
                 lo, hi = max(0, -shift), min(len(own), len(text) - shift)
-                places = lo + agreeing(own[lo:hi] == text[lo + shift : hi + shift])
+                equal = own[lo:hi] == text[lo + shift : hi + shift]
+                if light and np.count_nonzero(equal) < min(LEAST, len(own)):
+                    continue
+                places = lo + agreeing(equal)
+                if light and len(places) < min(LEAST, len(own)):
+                    continue
                 seen, first = found.get((row, no), (set(), len(text)))
                 found[row, no] = (seen | set(places.tolist()), min(first, int(places[0]) + shift) if len(places) else first)
-            good = [(k, len(seen), first) for k, (seen, first) in found.items() if len(seen) >= max(min(8, len(test.words[k[1]])), SHARE * len(test.words[k[1]]))]
+            good = [(k, len(seen), first) for k, (seen, first) in found.items() if len(seen) >= max(min(LEAST, len(test.words[k[1]])), SHARE * len(test.words[k[1]]))]
             ids = slab.batch["doc_id"].take(pa.array([k[0] for k, _, _ in good], pa.int64()))
             cols = [ids, *(pa.array(x, pa.int64()) for x in ([k[1] for k, _, _ in good], [n for _, n, _ in good], [f for _, _, f in good]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_no", "matched", "first_word"])

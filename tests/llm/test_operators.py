@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +247,24 @@ def test_decontam(spark, docs):
     assert decontam.contaminated(docs, bench).count() == 0
 
 
+def test_decontam_finds_what_the_verifier_accepts(spark):
+    r = random.Random(5)
+    sizes = [6, 8, 9, 10, 12, 15, 15, 17, 20, 28, 45]
+    items = [[f"q{i}x{k}" for k in range(n)] for i, n in enumerate(sizes)]
+    texts, want = [], set()
+    for i, n in enumerate(sizes):
+        for _ in range(60):
+            equal = [r.random() < r.choice([0.65, 0.75, 0.9]) for _ in range(n)]
+            seen = len(decontam.agreeing(np.array(equal)))
+            if seen >= max(min(8, n), 0.5 * n):
+                want.add((len(texts), i))
+            texts.append(" ".join(["some", "words", *(w if e else "other" for w, e in zip(items[i], equal, strict=True)), "more"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(df, bench).collect()} == want
+    assert {sizes[i] for _, i in want} == set(sizes)
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><article><h1>Head</h1><p>One &amp; two\n  three<br>four <b>fi</b>ve<script>var t="</p>";</script><div class="ad">buy</div><p>six</article><div id="comments"><p>me too</p></div><footer>&copy; x</footer>'
     cases = [page, page.replace("article", "div"), None, "", "plain  text", "<aside>never closed<article><p>kept</p></article>", "<p>a&#233;b</p>"]
