@@ -5,7 +5,8 @@ window's words and ignores the others; the hashes of the picked words of test it
 of training texts are joined, so a hit survives substitutions at ignored places. Around each hit the
 item is laid along the text, and the stretch with the most agreement (a match counts 1, a
 difference -1.5) says which of the item's words are there. A document holds an item if these are at
-least ``SHARE`` of the item's words and at least eight. Items of less than eight words must be there
+least ``SHARE`` of the item's words and at least eight, or if one stretch has ``PASSAGE`` of them,
+however long the item is. Items of less than eight words must be there
 word for word.
 
 Two kinds of masks: three long ones of eight words, and all ways in which a stretch of most
@@ -34,6 +35,8 @@ from quiremill.llm.kernel import LETTERS, Words, mix, slabs
 DIFFERENCE = 1.5
 SHARE = 0.5
 LEAST = 8
+#: Agreeing words of one stretch that are enough.
+PASSAGE = 13
 WEIGHT = 5
 #: Fixed masks: 1 is a word that must match.
 MASKS = ("11101100111", "11011010111", "10111101011")
@@ -127,7 +130,7 @@ def overlaps(docs: DataFrame, items: Items) -> DataFrame:
                 at = np.repeat(at, many)
                 row = words.row[at]
                 hits.append(np.stack([row, item[which], at - words.row_at[row] - place[which], np.full(len(row), mask in LIGHT)]))
-            found: dict[tuple[int, int], tuple[set, int]] = {}
+            found: dict[tuple[int, int], tuple[set, int, int]] = {}
             every = np.unique(np.concatenate(hits, axis=1), axis=1) if hits else np.zeros((4, 0), np.int64)
             for row, no, shift, light in every.T.tolist():
                 own, text = test.words[no], words.hash[words.row_at[row] : words.row_at[row + 1]]
@@ -138,9 +141,9 @@ def overlaps(docs: DataFrame, items: Items) -> DataFrame:
                 places = lo + agreeing(equal)
                 if light and len(places) < min(LEAST, len(own)):
                     continue
-                seen, first = found.get((row, no), (set(), len(text)))
-                found[row, no] = (seen | set(places.tolist()), min(first, int(places[0]) + shift) if len(places) else first)
-            good = [(k, len(seen), first) for k, (seen, first) in found.items() if len(seen) >= max(min(LEAST, len(test.words[k[1]])), SHARE * len(test.words[k[1]]))]
+                seen, first, most = found.get((row, no), (set(), len(text), 0))
+                found[row, no] = (seen | set(places.tolist()), min(first, int(places[0]) + shift) if len(places) else first, max(most, len(places)))
+            good = [(k, len(seen), first) for k, (seen, first, most) in found.items() if most >= PASSAGE or len(seen) >= max(min(LEAST, len(test.words[k[1]])), SHARE * len(test.words[k[1]]))]
             ids = slab.batch["doc_id"].take(pa.array([k[0] for k, _, _ in good], pa.int64()))
             cols = [ids, *(pa.array(x, pa.int64()) for x in ([k[1] for k, _, _ in good], [n for _, n, _ in good], [f for _, _, f in good]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_no", "matched", "first_word"])

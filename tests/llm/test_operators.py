@@ -256,7 +256,7 @@ def test_decontam_finds_what_the_verifier_accepts(spark):
         for _ in range(60):
             equal = [r.random() < r.choice([0.65, 0.75, 0.9]) for _ in range(n)]
             seen = len(decontam.agreeing(np.array(equal)))
-            if seen >= max(min(8, n), 0.5 * n):
+            if seen >= max(min(8, n), 0.5 * n) or seen >= decontam.PASSAGE:
                 want.add((len(texts), i))
             texts.append(" ".join(["some", "words", *(w if e else "other" for w, e in zip(items[i], equal, strict=True)), "more"]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -265,6 +265,17 @@ def test_decontam_finds_what_the_verifier_accepts(spark):
     assert {sizes[i] for _, i in want} == set(sizes)
 
 
+def test_decontam_parts_of_long_items(spark):
+    items = [" ".join(f"q{i}x{k}" for k in range(n)) for i, n in enumerate((59, 500))]
+    a, b = (x.split() for x in items)
+    broken = [w if k % 5 else "other" for k, w in enumerate(b[40:70])]
+    parts = [a[3:32], b[100:300], a[:13], b[487:], broken, a[:12], b[90:102]]
+    df = spark.createDataFrame([(i, " ".join(["some", "words", *p, "and", "more"])) for i, p in enumerate(parts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.matched, x.first_word) for x in decontam.contaminated(df, bench).collect()}
+    assert got == {(0, 0, 29, 2), (1, 1, 200, 2), (2, 0, 13, 2), (3, 1, 13, 2), (4, 1, 24, 3)}
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><article><h1>Head</h1><p>One &amp; two\n  three<br>four <b>fi</b>ve<script>var t="</p>";</script><div class="ad">buy</div><p>six</article><div id="comments"><p>me too</p></div><footer>&copy; x</footer>'
     cases = [page, page.replace("article", "div"), None, "", "plain  text", "<aside>never closed<article><p>kept</p></article>", "<p>a&#233;b</p>"]
