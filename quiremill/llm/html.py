@@ -1,10 +1,11 @@
 """HTML main text by a maximum-scoring subsequence.
 
 A page becomes a sequence of blocks (text between block tags) and tags. A word scores by the kind of
-element around its block, a tag scores below zero, and the contiguous stretch with the greatest sum
+element around its block, every tag scores below zero, and the contiguous stretch with the greatest sum
 is the content region (one linear scan). The weights come from labelled pages: pages that mark their
-own main text with one ``article`` or ``main`` element are the labels, and a kind of element weighs
-the log odds of its words lying inside the mark. Menus, headers, footers, sidebars, notices,
+own main text with one ``article`` or ``main`` element are the labels, and a kind of element or tag weighs
+the log odds of lying inside the mark. Every page is scored by these weights; its own mark, if
+it has just one, only moves a word by ``MARK`` up or down. Menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments, scripts and styles are told by tag, role, class or id and never
 belong to the text, inside the region or outside.
 
@@ -28,6 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 PAGES = 400
+#: What a word gains inside the only mark of its page, and loses outside.
+MARK = 0.5
+#: The most a tag scores; a tag of unknown weight scores this if it breaks no line.
+TAG = -0.1
 
 #: Elements of HTML that break a line of text.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -44,8 +49,8 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|
 _PART = re.compile(r"[a-z]+")
 #: A section that ends an excluded element which is never closed.
 _SECTION = re.compile(r"<(?:article|main|section)[\s>]", re.I)
-#: A block is (kind, tag count before it, text).
-Block = tuple[str, int, str]
+#: A block is (kind, tags before it, text).
+Block = tuple[str, list[str], str]
 
 
 def excluded(tag: str, attributes: str, in_main: bool) -> bool:
@@ -79,8 +84,8 @@ def _end_of(page: str, tag: str, at: int) -> int:
 
 def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
     """The blocks of a page without excluded elements; which lie inside the marked main element; whether there is just one such mark."""
-    blocks, inside, stack, text = [], [], [], []
-    tags = depth = marks = at = 0
+    blocks, inside, stack, text, tags = [], [], [], [], []
+    depth = marks = at = 0
 
     def flush() -> None:
         nonlocal tags
@@ -90,7 +95,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
             kind = next((t for t in reversed(stack) if t in BLOCKS), "none")
             blocks.append((kind + "/a" * ("a" in stack[-3:]), tags, body))
             inside.append(depth > 0)
-            tags = 0
+            tags = []
 
     while m := _TOKEN.search(page, at):
         text.append(page[at : m.start()])
@@ -98,10 +103,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
         if not m[2]:
             continue
         tag, attributes = m[2].lower(), m[3]
-        tags += 1
         if tag in BLOCKS or tag in EXCLUDED:
             flush()
         if m[1]:
+            tags.append(tag)
             if tag in stack:
                 while stack.pop() != tag:
                     pass
@@ -113,6 +118,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
             flush()
             at = at if empty else _end_of(page, tag, at)
             continue
+        tags.append(tag)
         if tag in ("article", "main"):
             depth += 1
             marks += depth == 1
@@ -127,42 +133,44 @@ def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
 
 
 def weights_of(pages: list[str], tag_score: float = -0.4) -> dict[str, float]:
-    """The weight of a word for each kind of block (log odds, from 0.2 to 2 for body text, below zero for what lies outside)."""
+    """The weight of a word for each kind of block (log odds, from 0.2 to 2 for body text, below zero for what lies outside) and of each tag (never above ``TAG``)."""
     within, total = Counter(), Counter()
     for page in pages:
         blocks, inside, marked = blocks_of(page)
         if marked:
-            for (kind, _, text), own in zip(blocks, inside, strict=True):
+            for (kind, tags, text), own in zip(blocks, inside, strict=True):
                 n = text.count(" ") + 1
                 total[kind] += n
                 within[kind] += n * own
+                for tag in tags:
+                    total[f"<{tag}>"] += 1
+                    within[f"<{tag}>"] += own
     odds = {k: math.log((within[k] + 5) / (total[k] - within[k] + 1)) for k in total if total[k] >= 20}
-    return {"": 1.0, "/a": -0.5, "<tag>": tag_score} | {k: max(-2.0, min(2.0, o)) for k, o in odds.items()}
+    return {"": 1.0, "/a": -0.5, "<tag>": tag_score} | {k: max(-2.0, min(TAG if k[0] == "<" else 2.0, o)) for k, o in odds.items()}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text: the best contiguous stretch of blocks, inside the page's own mark if it has just one."""
+    """The main text: the best contiguous stretch of blocks and the tags between them."""
     blocks, inside, marked = blocks_of(page or "")
+    marked = marked and any(inside)
     best, begin, end = 0.0, 0, 0
     score, start = 0.0, 0
     for i, (kind, tags, text) in enumerate(blocks):
-        if marked and any(inside):
-            words = 2.0 if inside[i] else -2.0
-        else:
-            words = weights.get(kind, weights["/a"] if kind.endswith("/a") else weights[""])
-        gain = words * (text.count(" ") + 1) + weights["<tag>"] * min(tags, 2) * (not (marked and inside[i]))
+        for tag in tags:
+            score += weights.get(f"<{tag}>", weights["<tag>"] if tag in BLOCKS else TAG)
         if score <= 0:
             score, start = 0.0, i
-        score += gain
+        word = weights.get(kind, weights["/a"] if kind.endswith("/a") else weights[""])
+        score += (word + MARK * (2 * inside[i] - 1) * marked) * (text.count(" ") + 1)
         if score > best:
             best, begin, end = score, start, i + 1
     return " ".join(text for _, _, text in blocks[begin:end])
 
 
 def learned(pages: DataFrame, key: str = "page_id", column: str = "html", most: int = PAGES) -> dict[str, float]:
-    """Weights from the labelled pages whose ids hash least, at most ``most`` of them."""
+    """Weights from the marked pages whose ids hash least, at most ``most`` of them."""
     marked = pages.where(F.lower(column).rlike("<(article|main)[ >]")).select(key, column)
-    few = pages.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(4), key), key).limit(4 * most)
+    few = marked.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(4), key), key).limit(most)
     rows = marked.join(F.broadcast(few), key).orderBy(F.xxhash64(F.lit(4), key), key).limit(most).select(column).collect()
     return weights_of([r[0] for r in rows])
 

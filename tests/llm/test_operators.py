@@ -287,6 +287,22 @@ def test_html(spark):
         html.main_text(df.withColumn("text", F.lit("")), {})
 
 
+def test_html_weights_decide_on_marked_pages(spark):
+    body = "".join(f"<p>Body sentence number {i} goes on for some more words here.</p>" for i in range(8))
+    text = " ".join(f"Body sentence number {i} goes on for some more words here." for i in range(8))
+    normal = f"<body><div><a href=x>Link list</a> <a href=y>More links</a></div><article><h1>Head</h1>{body}</article><div>Rights reserved by the makers</div></body>"
+    card = f"<body><div><article><h3>Card</h3></article></div><div>Rights reserved</div><div>{body}</div></body>"
+    late = [(i, "<div>no mark</div>") for i in range(1000)] + [(1000 + i, normal) for i in range(10)]
+    weights = html.learned(spark.createDataFrame(late, "page_id long, html string"), most=10)
+    assert weights == html.weights_of([normal] * 10)
+    assert weights["p"] > 0 > weights["div"]
+    assert html.extract(normal, weights) == "Head " + text
+    assert html.extract(normal.replace("article", "div"), weights) == "Head " + text
+    assert html.extract(card, weights).endswith(text)
+    far = "<p>" + "one two three four five</p>" + "<div></div>" * 40 + body
+    assert html.extract(far, html.weights_of([])) == text
+
+
 def labelled_corpus(spark):
     r = random.Random(9)
     words = ["w" + "".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
