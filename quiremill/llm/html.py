@@ -12,7 +12,7 @@ belong to the text, inside the region or outside.
 Bound: at most ``PAGES`` labelled pages are used for weights. Every page is extracted whole.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed elements end with the
-page or, for excluded ones, before the next section; plain text without tags is the text; repeated
+page or, for excluded ones, before the next section, or where HTML implies their end; plain text without tags is the text; repeated
 rows are treated alike; extra columns pass through.
 """
 
@@ -45,10 +45,24 @@ ROLES = set("banner navigation complementary contentinfo search dialog alert for
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo promoted promotion related replies reply respond responses share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Name and value; values are consumed, so that no name is found inside of them.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z]+")
 #: A section that ends an excluded element which is never closed.
 _SECTION = re.compile(r"<(?:article|main|section)[\s>]", re.I)
+_CELL = set("td th tr tbody thead tfoot".split())
+#: Start tags that end an element without an end tag, and elements inside of which they don't.
+ENDS = {
+    "p": set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre search section summary table ul".split()) | _CELL,
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "option": {"option", "optgroup", "hr"},
+    "td": _CELL,
+    "th": _CELL,
+    "tr": _CELL - {"td", "th"},
+}
+_SCOPES = set("ul ol menu dir dl table select button object template svg".split())
 #: A block is (kind, tags before it, text).
 Block = tuple[str, list[str], str]
 
@@ -71,8 +85,36 @@ def _opens_or_closes(tag: str) -> re.Pattern:
     return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
 
 
-def _end_of(page: str, tag: str, at: int) -> int:
-    """Where the element that opened before ``at`` ends; if it is never closed, the next section or the end of the page."""
+def _implied_end(page: str, tag: str, at: int, around: list[str]) -> int:
+    """Where an element whose end tag may be missing ends: its end tag, a start tag that ends it, or the end of an element around it."""
+    within: list[str] = []
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if name in within:
+                while within.pop() != name:
+                    pass
+            elif name == tag:
+                return at
+            elif name in around:
+                return m.start()
+            continue
+        if name in ENDS[tag] and not _SCOPES.intersection(within):
+            return m.start()
+        if name in RAW:
+            at = _end_of(page, name, at, [])
+        elif name not in _VOID and not m[3].endswith("/"):
+            within.append(name)
+    return len(page)
+
+
+def _end_of(page: str, tag: str, at: int, around: list[str]) -> int:
+    """Where the element that opened before ``at``, inside of those around, ends; if it is never closed, the next section or the end of the page."""
+    if tag in ENDS:
+        return _implied_end(page, tag, at, around)
     depth = 1
     for m in _opens_or_closes(tag).finditer(page, at):
         depth += -1 if m[1] else tag not in RAW
@@ -116,7 +158,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
         empty = tag in _VOID or attributes.endswith("/")
         if excluded(tag, attributes, depth > 0):
             flush()
-            at = at if empty else _end_of(page, tag, at)
+            at = at if empty else _end_of(page, tag, at, stack)
             continue
         tags.append(tag)
         if tag in ("article", "main"):

@@ -303,6 +303,44 @@ def test_html_weights_decide_on_marked_pages(spark):
     assert html.extract(far, html.weights_of([])) == text
 
 
+@pytest.mark.parametrize(
+    "attributes, out",
+    [
+        ('class="content" style="overflow:hidden"', False),
+        ('data-hidden="false"', False),
+        ('title="a hidden class=ad note"', False),
+        ('data-class="ad" data-id="comments"', False),
+        ('data-x = "role=navigation"', False),
+        ("hidden", True),
+        ('title="x"hidden', True),
+        ('CLASS = "Ad box"', True),
+        ("data-x=1 id=comments", True),
+        ('class="a" aria-hidden=true', True),
+    ],
+)
+def test_html_attributes(attributes, out):
+    text = html.extract(f"<body><div {attributes}>some words of the body</div></body>", html.weights_of([]))
+    assert text == ("" if out else "some words of the body")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<p class="notice">x y<p>kept words</p>',
+        '<p class="notice">x <b>y</b><div>kept words</div>',
+        '<div><p class="notice">x y</div>kept words',
+        '<ul><li class="ad">x<ul><li>y</ul><li>kept words</ul>',
+        '<ul><li class="ad">x<script>"</ul><li>"</script></ul>kept words',
+        '<dl><dt class="ad">x<dd>kept words</dl>',
+        '<table><tr><td class="ad">x<table><tr><td>y</table><td>kept words</table>',
+        '<table><tr class="ad"><td>x<td>y<tr><td>kept words</table>',
+        '<p class="notice">x</p>kept words',
+    ],
+)
+def test_html_implied_ends(page):
+    assert html.extract(f"<body>{page}</body>", html.weights_of([])) == "kept words"
+
+
 def labelled_corpus(spark):
     r = random.Random(9)
     words = ["w" + "".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
