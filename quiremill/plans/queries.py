@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quiremill.functions import blocks, text as T
-from quiremill.operators import checks, edits, forms, layout, markdown, media, styles
+from quiremill.functions import inline, text as T
+from quiremill.operators import blocks, checks, edits, forms, layout, markdown, media, styles
 from quiremill.sources import adapters as A
 from quiremill.streaming import revisions
 
@@ -635,7 +635,7 @@ def sc21(s, d):  # noqa: ANN001, ANN201
 @query("sc16_links")
 def sc16(s, d):  # noqa: ANN001, ANN201
     t = A.read(s, d, "pages").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(", [page]("), F.col("url"), F.lit(")")).alias("t"))
-    return t.select("page_id", F.posexplode(blocks.links(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.url")
+    return t.select("page_id", F.posexplode(inline.links(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.url")
 
 
 @query(

@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quiremill.functions import blocks as B, text as T
-from quiremill.operators import checks, edits, forms, layout, markdown, media, styles
+from quiremill.functions import inline as I, text as T
+from quiremill.operators import blocks as B, checks, edits, forms, layout, markdown, media, styles
 from quiremill.plans.queries import ORACLES, QUERIES
 from quiremill.sources import packages
 from quiremill.streaming import revisions
@@ -64,12 +64,12 @@ def test_scalars(spark):
 
 def test_links_and_spans(spark):
     cases = ["보기 https://www.law.go.kr에서 끝", "https://a.kr/법령/개인정보보호법.", "(https://a.kr/x_(y))", "[표시](https://b.kr) 뒤", "![그림](https://c.kr/a.png)", "[^1] 주", "<https://d.kr>"]
-    got = [[(p["text"], p["url"]) for p in r] for r in column(spark, cases, B.links)]
+    got = [[(p["text"], p["url"]) for p in r] for r in column(spark, cases, I.links)]
     urls = [[u for _, u in r if u] for r in got]
     assert urls == [["https://www.law.go.kr"], ["https://a.kr/법령/개인정보보호법"], ["https://a.kr/x_(y)"], ["https://b.kr"], [], [], ["https://d.kr"]]
     assert got[0][-1] == ("에서 끝", None)
-    assert column(spark, ["[" + "가" * 30 + "](https://a.kr)", "[짧은 글](https://a.kr)"], B.left_aligned) == [True, False]
-    assert [[(s["text"], s["bold"], s["italic"]) for s in r] for r in column(spark, ["a **b** *c* \\*d\\* $x*y*z$"], B.spans)] == [[("a ", False, False), ("b", True, False), (" ", False, False), ("c", False, True), (" *d* $x*y*z$", False, False)]]
+    assert column(spark, ["[" + "가" * 30 + "](https://a.kr)", "[짧은 글](https://a.kr)"], I.left_aligned) == [True, False]
+    assert [[(s["text"], s["bold"], s["italic"]) for s in r] for r in column(spark, ["a **b** *c* \\*d\\* $x*y*z$"], I.spans)] == [[("a ", False, False), ("b", True, False), (" ", False, False), ("c", False, True), (" *d* $x*y*z$", False, False)]]
 
 
 def test_markdown(spark):
@@ -79,8 +79,61 @@ def test_markdown(spark):
     t = got[6]
     assert t.rows == [["x", "y"], ["1", "a|b"]] and t.aligns == ["center", "right"] and t.caption == "표 제목" and t.note == "주) note" and got[7].note == "출처) s"
     assert B.footnote_definitions(table(spark, "doc_id long, text string", (1, text))).collect() == [(1, "1", "foot more")]
-    front = '---\ntitle: "a\\nb"\nco:\n  - x\n  - y\nnote: |\n  p\n  q\n# c\n---\nbody'
-    assert column(spark, [front, "none"], B.split_front_matter) == [({"title": ["a\nb"], "co": ["x", "y"], "note": ["p\nq"]}, "body"), ({}, "none")]
+    front = '\ufeff---\ntitle: "a\\nb"\n# c\nco:\n  - x 1\n  - \'it\'\'s\'\nnote: |\n  p: 1\n  - q\nbare: x: y\nnone:\n---\nbody\n---\n'
+    got = {r.doc_id: (r.meta, r.body) for r in B.split_front_matter(table(spark, "doc_id long, text string", (1, front), (2, "# none\n---\n"), (3, None))).collect()}
+    assert got == {1: ({"title": ["a\nb"], "co": ["x 1", "it's"], "note": ["p: 1\n- q"], "bare": ["x: y"], "none": []}, "body\n---\n"), 2: ({}, "# none\n---\n"), 3: (None, None)}
+
+
+LINKS = [
+    ("plain", [("plain", None)]),
+    ('[보고서](https://b.org/r.pdf "제목")', [("보고서", "https://b.org/r.pdf")]),
+    ("[위키](https://a.org/(x)) 끝", [("위키", "https://a.org/(x)"), (" 끝", None)]),
+    ("https://x.kr/page에서", [("https://x.kr/page", "https://x.kr/page"), ("에서", None)]),
+    ("https://e.com/a?x=1&y=2.", [("https://e.com/a?x=1&y=2", "https://e.com/a?x=1&y=2"), (".", None)]),
+    ("「https://a.kr/b」", [("「", None), ("https://a.kr/b", "https://a.kr/b"), ("」", None)]),
+    ("각주[^a] ![x](https://i.png)", [("각주[^a] ![x](https://i.png)", None)]),
+    ("[상대](./a.md) ![x](<https://i.png>)", [("[상대](./a.md) ![x](<https://i.png>)", None)]),
+    ("https://e.com/search?q=제주 검색", [("https://e.com/search?q=제주", "https://e.com/search?q=제주"), (" 검색", None)]),
+    ("https://e.com/#섹션", [("https://e.com/#섹션", "https://e.com/#섹션")]),
+    ("\\[x\\](https://a.kr/b) 끝", [("[x](", None), ("https://a.kr/b", "https://a.kr/b"), (") 끝", None)]),
+    ("[a \\*b\\*](https://a.kr)", [("a *b*", "https://a.kr")]),
+    ("[a](https://a.kr/c\\_d) [x](https\\://b.kr)", [("a", "https://a.kr/c_d"), (" ", None), ("x", "https://b.kr")]),
+    ("https://", [("https://", None)]),
+    ("", []),
+]
+
+
+def test_links_of_escapes_and_brackets():
+    assert [[(p["text"], p["url"]) for p in I.link_pieces(t)] for t, _ in LINKS] == [want for _, want in LINKS]
+
+
+def test_spans_of_escapes_code_and_math():
+    cases = ["코드 `\\-` 와 `` `\\*` `` 는", r"C:\Users\x", r"\*a\* **b\*c**", "$a*b*c$ *d*", "**a** * b *", "x ** y", r"$x \, y \_ z$", "", "*a\nb*"]
+    assert [[(s["text"], s["bold"], s["italic"]) for s in I.inline_spans(t)] for t in cases] == [
+        [("코드 `\\-` 와 `` `\\*` `` 는", False, False)],
+        [(r"C:\Users\x", False, False)],
+        [("*a* ", False, False), ("b*c", True, False)],
+        [("$a*b*c$ ", False, False), ("d", False, True)],
+        [("a", True, False), (" ", False, False), (" b ", False, True)],
+        [("x ** y", False, False)],
+        [(r"$x \, y \_ z$", False, False)],
+        [],
+        [("*a\nb*", False, False)],
+    ]
+
+
+def test_markdown_of_figures_captions_and_rows(spark):
+    text = (
+        "앞말\n[그림 1] 제목\n![](a.png) ![둘](<b c.png>){#f}\n![](d.png)\n자료: x\n주) y\n\n"
+        "표 제목\n\n| a | b |\n|---|:--:|\n| $\\left| x \\right|$ | 1 |\n\n다음 a | b 아님\n+ 아님\n\\- 아님\n\n- - -\n--\n$$\\begin{x}\n y\n$$\n$$ a $$\n$$ open\n## A형 조사"
+    )
+    got = B.parse_markdown(table(spark, "doc_id long, text string", (1, text))).orderBy("ord").collect()
+    assert [(r.kind, r.level, r.text, r.blank_before) for r in got] == [("paragraph", 0, "앞말", 0), ("figure", 0, "둘", 0), ("table", 0, "", 1), ("paragraph", 0, "다음 a | b 아님 + 아님 \\- 아님", 1), ("rule", 0, "", 1), ("paragraph", 0, "--", 0), ("math", 0, "\\begin{x}\n y", 0), ("math", 0, "a", 0), ("paragraph", 0, "$$ open", 0), ("heading", 2, "A형 조사", 0)]
+    figure, t = got[1], got[2]
+    assert (figure.caption, figure.paths, figure.label, figure.note) == ("제목", ["a.png", "b c.png", "d.png"], "f", "자료: x\n주) y")
+    assert t.caption == "표 제목" and t.rows == [["a", "b"], ["$\\left| x \\right|$", "1"]] and t.aligns == ["left", "center"]
+    bullets = B.parse_markdown(table(spark, "doc_id long, text string", (1, "● a\n  - b\n\t* c")), literal_bullets=True).orderBy("ord").collect()
+    assert [(r.kind, r.level, r.text) for r in bullets] == [("bullet", 1, "a"), ("bullet", 2, "b"), ("bullet", 2, "c")]
 
 
 def package(parts):
