@@ -24,6 +24,9 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
+from quiremill.llm.io import fresh
+from quiremill.llm.kernel import sha256
+
 PIECE = 1 << 16
 #: Before this white space a match of the pattern always starts.
 SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
@@ -64,14 +67,9 @@ def _of_pieces(enc: tiktoken.Encoding, text: str) -> list[int]:
     return [x for piece in pieces(text) for x in enc.encode_ordinary(piece)]
 
 
-def _fresh(df: DataFrame, *names: str) -> None:
-    if clash := {x.lower() for x in df.columns} & {x.lower() for x in names}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
-
-
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the column ``ids`` (array of int) in place of nothing: all other columns stay."""
-    _fresh(df, ids)
+    fresh(df, ids)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +84,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
 def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the raw bytes of ``ids`` as the binary column ``decoded``."""
-    _fresh(df, decoded)
+    fresh(df, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +106,6 @@ def digests(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     Encoding and decoding happen in one pass, so neither ids nor bytes leave the worker.
     """
-    from quiremill.llm.kernel import sha256
-
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

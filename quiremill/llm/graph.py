@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quiremill.llm.io import saved
+from quiremill.llm.io import discard, saved
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
-        edges = saved(_stars(_stars(edges, large=True), large=False))
+        before, edges = edges, saved(_stars(_stars(edges, large=True), large=False))
+        discard(before)
         now = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
         if now == seen:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a new local folder only where that is unset (tests)."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names. Only a local session, as in tests, may go without: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -26,7 +28,31 @@ def saved(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it from there: lineage ends, a lost executor costs no recomputation."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` wrote, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "saved_at", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, *names: str) -> None:
+    """An error if df has a column with one of these names, in whatever case."""
+    if clash := {x.lower() for x in df.columns} & {x.lower() for x in names}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+
+
+def whole_numbers(df: DataFrame, key: str) -> Column:
+    """The column of ids as long; ids of another type than a whole number are an error before any job runs."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, {key} is {df.schema[key].dataType.simpleString()}")
+    return F.col(key).cast("long")
 
 
 def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:

@@ -7,11 +7,18 @@ of all trigrams of one of its sets meet there. Only candidates are verified with
 itself. A rule without mandatory trigrams (``hex``) is verified on every row.
 
 Matches are leftmost and non-overlapping for each kind; those whose measured part is shorter than
-the rule asks for are dropped afterwards, so they still use up their characters. Positions count
-code points, the end is exclusive.
+the rule asks for are dropped afterwards, so they still use up their characters. Where a shorter
+match only lies in the stretch of characters that a long enough one would need (``hex``), the length
+is part of what is scanned for, with the same result. Positions count code points, the end is exclusive.
+
+Only candidates' texts are shuffled, behind a bitmap of fixed size; a rule that scans every row does so
+where the row is. Spans of a text with many matches are placed in stretches of ``STRETCH`` matches, so the
+work grows with their number.
 
 Defined cases: a null text counts as empty and has no spans; rows are told apart by id and text, so
-repeated rows get equal results and ids may repeat or be null; extra columns are not read.
+repeated rows get equal results and ids may repeat or be null; extra columns pass through unread,
+but one named like an output column (``found``) is an error before any job runs. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +30,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quiremill.llm.io import fresh, maybe_in, saved
+
+STRETCH = 256
+
 
 def either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -39,13 +50,15 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 0
+    #: The expression with the least length in it, where the matches that are long enough are the same.
+    scan: str = ""
 
 
 #: The first three are the base rules; the order is that of kinds with the same start.
 RULES = (
     Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16,}"),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abpr]-[A-Za-z0-9-]+", 0, 16),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
@@ -107,16 +120,26 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def _matches(rule: Rule, text: Column) -> Column:
     """array<struct<start, end>> of the rule's matches that are long enough."""
-    found, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
-    measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    pattern = rule.scan or rule.pattern
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
     each = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.arrays_zip(found.alias("m"), measured.alias("g")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), F.length(m["g"]).alias("g")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
     def step(a: Column, m: Column) -> Column:
         start, end = a["at"] + m["gap"], a["at"] + m["gap"] + m["n"]
         return F.struct(end.alias("at"), F.when(m["g"] >= rule.least, F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(each, empty, step, lambda a: a["out"])
+    def placed(matches: Column) -> Column:
+        """What a stretch of matches covers, and its spans counted from its own beginning."""
+        return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(each) - 1) / STRETCH).cast("int"))
+    stretches = F.transform(numbers, lambda k: placed(F.slice(each, k * STRETCH + 1, F.lit(STRETCH))))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    bases = F.aggregate(stretches, begin, lambda a, s: F.struct((a["at"] + s["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    moved = F.zip_with(stretches, bases, lambda s, base: F.transform(s["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"))))
+    return F.when(text.rlike(pattern), F.flatten(moved)).otherwise(none)
 
 
 def _named(no: int, kind: str):  # noqa: ANN202
@@ -125,18 +148,20 @@ def _named(no: int, kind: str):  # noqa: ANN202
 
 def find_spans(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with ``found``: array<struct<start, kind_no, end, kind>> of all kinds, in order of start and kind."""
-    empty = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = df.withColumn("rid", F.xxhash64(F.lit(9), F.col(key), F.col(text)))
-    verify = candidates(own.select("rid", body.alias("text")), rules)
-    own = own.join(verify, "rid", "left")
-    kinds = []
-    for no, rule in enumerate(rules):
-        scan = _matches(rule, body)
-        if trigram_query(rule.pattern) is not None:
-            scan = F.when(F.array_contains("rules", rule.kind), scan).otherwise(empty)
-        kinds.append(F.transform(scan, _named(no, rule.kind)))
-    return own.withColumn("found", F.array_sort(reduce(F.concat, kinds))).drop("rid", "rules")
+    fresh(df, "found")
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    empty = F.expr("cast(array() as array<struct<start: int, kind_no: int, end: int, kind: string>>)")
+    body, rid = F.coalesce(F.col(text), F.lit("")), F.xxhash64(F.lit(9), F.col(key), F.col(text))
+    indexed = [(no, r) for no, r in enumerate(rules) if trigram_query(r.pattern) is not None]
+    others = [(no, r) for no, r in enumerate(rules) if trigram_query(r.pattern) is None]
+    rows = df.select(rid.alias("rid"), body.alias("text"))
+    verify = saved(candidates(rows, rules))
+    some = maybe_in(rows, "rid", verify.select("rid")).join(verify, "rid")
+    kinds = [F.transform(F.when(F.array_contains("rules", r.kind), _matches(r, F.col("text"))).otherwise(none), _named(no, r.kind)) for no, r in indexed]
+    some = some.select(F.col("rid").alias("__rid"), reduce(F.concat, kinds, empty).alias("__some")).where("size(__some) > 0").groupBy("__rid").agg(F.first("__some").alias("__some"))
+    own = df.withColumns({"__rid": rid, "__all": reduce(F.concat, [F.transform(_matches(r, body), _named(no, r.kind)) for no, r in others], empty)})
+    found = F.array_sort(F.concat("__all", F.coalesce("__some", empty)))
+    return own.join(some, "__rid", "left").select(*(F.col(f"`{c}`") for c in df.columns), found.alias("found"))
 
 
 def listed(found: Column) -> Column:
@@ -147,16 +172,24 @@ def listed(found: Column) -> Column:
 def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of ``text`` replaced by mark (overlapping spans by one for each that begins after the last end)."""
     spans = find_spans(df, key, text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # The end of what is covered before each span; spans come in order of their starts.
+    many, number = F.size("found"), F.expr(f"cast(floor((size(found) - 1) / {STRETCH}) as int)")
+    parts = F.transform(F.sequence(F.lit(0), number), lambda k: F.slice("found", k * STRETCH + 1, F.lit(STRETCH)))
+    most = F.aggregate(
+        F.transform(parts, lambda p: F.array_max(F.transform(p, lambda s: s["end"]))),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda a, m: F.struct(F.greatest(a["at"], m).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+        lambda a: a["out"],
+    )
 
     def step(a: Column, s: Column) -> Column:
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        )
+        piece = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    return spans.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(F.col(text))).select(*df.columns)
+    pieces = F.zip_with(parts, most, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda a: a["out"]))
+    rest = F.substring(F.col(text), F.array_max(F.transform("found", lambda s: s["end"])) + 1, F.length(text))
+    clean = F.concat(F.array_join(pieces, ""), rest)
+    return spans.withColumn(text, F.when(many > 0, clean).otherwise(F.col(text))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
