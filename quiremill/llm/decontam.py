@@ -18,8 +18,9 @@ Test items come to the workers in blocks of about ``BLOCK_WORDS`` words (their h
 broadcast); each block makes one pass over the texts. Texts are whole, no hit is dropped.
 
 Defined cases: null and empty texts or items have no words and match nothing; items with equal
-words are all reported; repeated rows are reported alike, with a null id if theirs is null; extra
-columns are not read; an empty table on either side gives no rows.
+words are all reported; repeated rows are reported alike, with a null id if theirs is null; ids are
+whole numbers, others are an error before any job runs; extra columns are not read; an empty table on either side
+gives no rows. A text is taken whole and needs about 100 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from quiremill.llm.io import saved, whole_numbers
 from quiremill.llm.kernel import LETTERS, Words, mix, slabs
 
 DIFFERENCE = 1.5
@@ -111,9 +114,8 @@ def agreeing(equal: np.ndarray) -> np.ndarray:
     return begin + np.flatnonzero(equal[begin:end])
 
 
-def overlaps(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, item_no, matched, first_word) for one block of items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def overlaps(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(doc_id, item_no, matched, first_word) for one block of ``Items``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.value
@@ -154,10 +156,11 @@ def overlaps(docs: DataFrame, items: Items) -> DataFrame:
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, matched, first_word): a row for every document and every test item that it holds.
 
-    The items are collected block by block, never all at once.
+    The items are collected block by block, never all at once: with more than one block, each one's
+    rows are written before the next block is collected.
     """
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
-    tests = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text"))
+    docs = df.select(whole_numbers(df, key).alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
+    tests = benchmark.where(F.col(item_text).isNotNull()).select(whole_numbers(benchmark, item).alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text"))
     n_words = F.size(F.split("text", " "))
     blocks = max(1, -(-(tests.agg(F.sum(n_words)).first()[0] or 0) // BLOCK_WORDS))
     out = None
@@ -165,6 +168,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items([r.item_id for r in rows], [r.text for r in rows])
         names = docs.sparkSession.createDataFrame([(i, r.item_id, len(items.words[i])) for i, r in enumerate(rows)], "item_no long, item_id long, item_words long")
-        found = overlaps(docs, items).join(F.broadcast(names), "item_no").select("doc_id", "item_id", "item_words", "matched", "first_word")
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        found = overlaps(docs, shared).join(F.broadcast(names), "item_no").select("doc_id", "item_id", "item_words", "matched", "first_word")
+        if blocks > 1:
+            found = saved(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quiremill.llm.io import fresh
 from quiremill.llm.kernel import Slab, slabs
 
 #: (borders, indices, values) of a slab's rows: sparse vectors, row after row.
@@ -24,8 +25,12 @@ def bounded(ids: DataFrame, key: str, most: int) -> DataFrame:
     return ids.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(5), key), key).limit(most)
 
 
-def featured(docs: DataFrame, chosen: DataFrame, key: str, text: str, features: Callable[[Slab], Sparse]) -> list:
-    """The sparse vectors of the chosen rows (key, y), in the order of the ids' hashes. chosen is bounded by its maker."""
+def featured(docs: DataFrame, chosen: DataFrame, key: str, text: str, features: Callable[[Slab], Sparse], most: int) -> list:
+    """The sparse vectors of the chosen rows (key, y), at most ``most`` rows of each y, in the order of a hash of id and text.
+
+    chosen is bounded by its maker; the bound on rows holds after the join too, so an id that many rows
+    share brings no more of them to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches):
@@ -34,9 +39,11 @@ def featured(docs: DataFrame, chosen: DataFrame, key: str, text: str, features:
             cols = [slab.batch["k"], slab.batch["y"], pa.ListArray.from_arrays(at, pa.array(index, pa.int32())), pa.ListArray.from_arrays(at, pa.array(value, pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["k", "y", "i", "v"])
 
-    rows = docs.join(F.broadcast(chosen), key).select(F.col(key).cast("string").alias("k"), F.col("y").cast("int").alias("y"), F.col(text).cast("string").alias("text"))
-    got = rows.mapInArrow(run, "k string, y int, i array<int>, v array<float>").toArrow()
-    order = np.lexsort((got["k"].to_numpy(zero_copy_only=False).astype(str), got["y"].to_numpy()))
+    order = F.xxhash64(F.lit(5), F.col(key), F.col(text))
+    rows = docs.join(F.broadcast(chosen), key).select(order.alias("k"), F.col("y").cast("int").alias("y"), F.col(text).cast("string").alias("text"))
+    vectors = rows.mapInArrow(run, "k long, y int, i array<int>, v array<float>")
+    got = pa.concat_tables(vectors.where(F.col("y") == y).orderBy("k").limit(most).toArrow() for y in (0, 1))
+    order = np.lexsort((got["k"].to_numpy(), got["y"].to_numpy()))
     order = order[np.random.Generator(np.random.PCG64(11)).permutation(len(order))]
     index, value = got["i"].combine_chunks(), got["v"].combine_chunks()
     y = got["y"].to_numpy()
@@ -45,6 +52,7 @@ def featured(docs: DataFrame, chosen: DataFrame, key: str, text: str, features:
 
 def scored(docs: DataFrame, text: str, features: Callable[[Slab], Sparse], weights: list[tuple[np.ndarray, float]]) -> DataFrame:
     """docs with ``score``: the mean over the weight vectors of sigmoid(bias + dot product). An empty text has the score of the bias."""
+    fresh(docs, "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quiremill.llm.io import saved
+from quiremill.llm.io import saved, whole_numbers
 from quiremill.llm.kernel import Slab, Words, row_sums, sha256, signed, slabs
 
 
@@ -167,7 +167,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     docs go through the index in ``batches`` ascending ranges of key.
     """
     index = SubstringIndex(window, k)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_id(key, text).alias("rid"))
+    own = docs.select(whole_numbers(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"), row_id(key, text).alias("rid"))
     known = own.where("doc_id is not null")
     cuts = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))

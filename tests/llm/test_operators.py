@@ -206,7 +206,7 @@ def test_lm(docs, rows, empty):
 
 def test_lm_is_a_distribution(spark):
     """The probabilities of all one-bit continuations add up: codes are complete and scores are finite."""
-    code = lm.Code([5, 1, 1, 3, 9], 0)
+    code = lm.Code([5, 1, 1, 3, 9])
     assert sum(2.0 ** -int(n) for n in code.length) == 1
 
 
