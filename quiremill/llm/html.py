@@ -11,23 +11,30 @@ belong to the text, inside the region or outside.
 
 Bound: at most ``PAGES`` labelled pages are used for weights. Every page is extracted whole.
 
+All words of a block weigh the same, so the scan steps over blocks: no best stretch begins or ends within one.
+
 Defined cases: null, empty or text-free html gives an empty text; unclosed elements end with the
-page or, for excluded ones, before the next section, or where HTML implies their end; plain text without tags is the text; repeated
-rows are treated alike; extra columns pass through.
+page or, for excluded ones, before the next section, or where HTML implies their end; a tag, comment or
+attribute value that the page ends in swallows what follows it, as in HTML; plain text without tags is the
+text; repeated rows are treated alike; extra columns pass through, but one named like the text is an error
+before any job runs. Time and memory grow with a page's length, whatever is in it: some 300 bytes for each tag.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quiremill.llm.io import fresh
+
 PAGES = 400
 #: What a word gains inside the only mark of its page, and loses outside.
 MARK = 0.5
@@ -44,12 +51,12 @@ ROLES = set("banner navigation complementary contentinfo search dialog alert for
 #: Words of class or id names that mark what isn't main text.
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo promoted promotion related replies reply respond responses share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-#: Name and value; values are consumed, so that no name is found inside of them.
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+#: The next name, with its value if it has one, or the end of the tag. A quoted value that isn't closed ends with the page.
+_ATTR = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)?)""")
 _PART = re.compile(r"[a-z]+")
-#: A section that ends an excluded element which is never closed.
-_SECTION = re.compile(r"<(?:article|main|section)[\s>]", re.I)
+#: Sections that end an excluded element which is never closed.
+_SECTIONS = ("article", "main", "section")
 _CELL = set("td th tr tbody thead tfoot".split())
 #: Start tags that end an element without an end tag, and elements inside of which they don't.
 ENDS = {
@@ -67,109 +74,178 @@ _SCOPES = set("ul ol menu dir dl table select button object template svg".split(
 Block = tuple[str, list[str], str]
 
 
-def excluded(tag: str, attributes: str, in_main: bool) -> bool:
+class Tag:
+    """A tag: its place in the page, name, whether it closes, attributes, and for start tags whether they are empty."""
+
+    __slots__ = ("attributes", "begin", "closes", "empty", "end", "name")
+
+    def __init__(self, begin: int, end: int, name: str, closes: bool, attributes: list[tuple[str, str]], empty: bool):
+        self.begin, self.end, self.name, self.closes, self.attributes, self.empty = begin, end, name, closes, attributes, empty
+
+
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes from ``at`` and where their tag ends (beyond the page if it doesn't)."""
+    found = []
+    while m := _ATTR.match(page, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        found.append((m[2].lower(), m[3] or ""))
+    return found, len(page) + 1
+
+
+def tags_of(page: str) -> tuple[list[Tag], list[tuple[int, int]]]:
+    """All tags of a page in order, and the stretches of text between them (comments and raw content are neither)."""
+    tags, texts, at, last = [], [], 0, 0
+    while m := _TAG.search(page, at):
+        texts.append((last, m.start()))
+        if not m[2]:
+            comment = page.startswith("<!--", m.start())
+            end = page.find("-->" if comment else ">", m.end())
+            at = last = len(page) if end < 0 else end + (3 if comment else 1)
+            tags.append(None)
+            continue
+        attributes, at = _attributes(page, m.end())
+        if at > len(page):
+            return tags, [*texts, (len(page), len(page))]
+        name = m[2].lower()
+        tag = Tag(m.start(), at, name, bool(m[1]), attributes, name in _VOID or page[at - 2] == "/")
+        tags.append(tag)
+        if name in RAW and not m[1] and not tag.empty:
+            close = _closing(name).search(page, at)
+            at = close.start() if close else len(page)
+        last = at
+    return tags, [*texts, (last, len(page))]
+
+
+def excluded(tag: str, attributes: list[tuple[str, str]], in_main: bool) -> bool:
     """Whether an element holds what never is main text; the header of an article is part of it."""
     if tag in EXCLUDED or tag == "header" and not in_main:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, value in _ATTR.findall(attributes):
+    for name, value in attributes:
         words = set(_PART.findall(value.lower()))
-        if name.lower() == "role" and words & ROLES or name.lower() in ("class", "id") and words & MARKS or name.lower() == "hidden" or name.lower() == "aria-hidden" and "true" in words:
+        if name == "role" and words & ROLES or name in ("class", "id") and words & MARKS or name == "hidden" or name == "aria-hidden" and "true" in words:
             return True
     return False
 
 
-@functools.cache
-def _opens_or_closes(tag: str) -> re.Pattern:
-    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+def ends_of(tags: list[Tag | None]) -> dict[int, int]:
+    """For each start tag that an end tag of its name answers, the number of the tag after that."""
+    open_, ends = defaultdict(list), {}
+    for i, t in enumerate(tags):
+        if t and t.closes:
+            if open_[t.name]:
+                ends[open_[t.name].pop()] = i + 1
+        elif t and not t.empty:
+            open_[t.name].append(i)
+    return ends
 
 
-def _implied_end(page: str, tag: str, at: int, around: list[str]) -> int:
-    """Where an element whose end tag may be missing ends: its end tag, a start tag that ends it, or the end of an element around it."""
-    within: list[str] = []
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            if name in within:
-                while within.pop() != name:
-                    pass
-            elif name == tag:
-                return at
-            elif name in around:
-                return m.start()
+def _implied_end(tags: list[Tag | None], i: int, around: Counter) -> tuple[int, bool]:
+    """The number of the tag that follows the element of tag i, and whether the text between is outside: after its end tag, else up to a start tag that ends it or the end of an element around it."""
+    name, within, count, scopes = tags[i].name, [], Counter(), 0
+    for k in range(i + 1, len(tags)):
+        t = tags[k]
+        if not t:
             continue
-        if name in ENDS[tag] and not _SCOPES.intersection(within):
-            return m.start()
-        if name in RAW:
-            at = _end_of(page, name, at, [])
-        elif name not in _VOID and not m[3].endswith("/"):
-            within.append(name)
-    return len(page)
-
-
-def _end_of(page: str, tag: str, at: int, around: list[str]) -> int:
-    """Where the element that opened before ``at``, inside of those around, ends; if it is never closed, the next section or the end of the page."""
-    if tag in ENDS:
-        return _implied_end(page, tag, at, around)
-    depth = 1
-    for m in _opens_or_closes(tag).finditer(page, at):
-        depth += -1 if m[1] else tag not in RAW
-        if not depth:
-            return m.end()
-    section = _SECTION.search(page, at)
-    return section.start() if section else len(page)
+        if t.closes:
+            if count[t.name]:
+                while True:
+                    gone = within.pop()
+                    count[gone] -= 1
+                    scopes -= gone in _SCOPES
+                    if gone == t.name:
+                        break
+            elif t.name == name:
+                return k + 1, True
+            elif around[t.name]:
+                return k, False
+        elif t.name in ENDS[name] and not scopes:
+            return k, False
+        elif not t.empty and t.name not in RAW:
+            within.append(t.name)
+            count[t.name] += 1
+            scopes += t.name in _SCOPES
+    return len(tags), False
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[bool], bool]:
     """The blocks of a page without excluded elements; which lie inside the marked main element; whether there is just one such mark."""
-    blocks, inside, stack, text, tags = [], [], [], [], []
-    depth = marks = at = 0
+    tags, texts = tags_of(page)
+    ends = ends_of(tags)
+    sections = [i for i, t in enumerate(tags) if t and not t.closes and t.name in _SECTIONS]
+    blocks, inside, text, before = [], [], [], []
+    stack, lines, count = [], [], Counter()  # open elements, those of them that break lines, how many of each name
+    depth = marks = 0
 
     def flush() -> None:
-        nonlocal tags
+        nonlocal before
         body = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if body:
-            kind = next((t for t in reversed(stack) if t in BLOCKS), "none")
-            blocks.append((kind + "/a" * ("a" in stack[-3:]), tags, body))
+            blocks.append(((lines[-1] if lines else "none") + "/a" * ("a" in stack[-3:]), before, body))
             inside.append(depth > 0)
-            tags = []
+            before = []
 
-    while m := _TOKEN.search(page, at):
-        text.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def close(name: str) -> None:
+        while True:
+            gone = stack.pop()
+            count[gone] -= 1
+            if gone in BLOCKS:
+                lines.pop()
+            if gone == name:
+                break
+
+    i = 0
+    while i < len(tags):
+        text.append(page[slice(*texts[i])])
+        tag = tags[i]
+        if not tag:
+            i += 1
             continue
-        tag, attributes = m[2].lower(), m[3]
-        if tag in BLOCKS or tag in EXCLUDED:
+        name = tag.name
+        if name in BLOCKS or name in EXCLUDED:
             flush()
-        if m[1]:
-            tags.append(tag)
-            if tag in stack:
-                while stack.pop() != tag:
-                    pass
-            if tag in ("article", "main"):
+        if tag.closes:
+            before.append(name)
+            if count[name]:
+                close(name)
+            if name in ("article", "main"):
                 depth = max(0, depth - 1)
-            continue
-        empty = tag in _VOID or attributes.endswith("/")
-        if excluded(tag, attributes, depth > 0):
+        elif excluded(name, tag.attributes, depth > 0):
             flush()
-            at = at if empty else _end_of(page, tag, at, stack)
-            continue
-        tags.append(tag)
-        if tag in ("article", "main"):
-            depth += 1
-            marks += depth == 1
-        if tag == "p" and "p" in stack:
-            while stack.pop() != "p":
-                pass
-        if not empty:
-            stack.append(tag)
-    text.append(page[at:])
+            if not tag.empty:
+                if name in ENDS:
+                    i, outside = _implied_end(tags, i, count)
+                elif i in ends:
+                    i, outside = ends[i], True
+                else:
+                    later = bisect.bisect(sections, i)
+                    i, outside = sections[later] if later < len(sections) else len(tags), False
+                if not outside:
+                    texts[i] = (0, 0)
+                continue
+        else:
+            before.append(name)
+            if name in ("article", "main"):
+                depth += 1
+                marks += depth == 1
+            if name == "p" and count["p"]:
+                close("p")
+            if not tag.empty:
+                stack.append(name)
+                count[name] += 1
+                if name in BLOCKS:
+                    lines.append(name)
+        i += 1
+    text.append(page[slice(*texts[len(tags)])])
     flush()
     return blocks, inside, marks == 1
 
@@ -219,9 +295,8 @@ def learned(pages: DataFrame, key: str = "page_id", column: str = "html", most:
 
 def main_text(pages: DataFrame, weights: dict[str, float], column: str = "html", text: str = "text") -> DataFrame:
     """pages with ``text``; all other columns but the html stay."""
+    fresh(pages.drop(column), text)
     rest = [f for f in pages.schema.fields if f.name != column]
-    if text.lower() in {f.name.lower() for f in rest}:
-        raise ValueError(f"column {text} is there already")
     schema = T.StructType([*rest, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
