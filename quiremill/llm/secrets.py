@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -118,28 +119,43 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.where("n = needed").groupBy("rid").agg(F.collect_set("kind").alias("rules"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _matches(rule: Rule, text: Column) -> Column:
     """array<struct<start, end>> of the rule's matches that are long enough."""
     pattern = rule.scan or rule.pattern
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
-    each = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.arrays_zip(found.alias("m"), measured.alias("g")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), F.length(m["g"]).alias("g")))
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    parts = F.struct(
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("n"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), F.length).alias("g"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
+    )
 
     def step(a: Column, m: Column) -> Column:
         start, end = a["at"] + m["gap"], a["at"] + m["gap"] + m["n"]
         return F.struct(end.alias("at"), F.when(m["g"] >= rule.least, F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
 
-    def placed(matches: Column) -> Column:
-        """What a stretch of matches covers, and its spans counted from its own beginning."""
-        return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    def stretches(p: Column) -> Column:
+        """What each stretch of matches covers, and its spans counted from its own beginning."""
+        numbers = F.sequence(F.lit(0), F.floor((F.size(p["n"]) - 1) / STRETCH).cast("int"))
+
+        def one(k: Column) -> Column:
+            n, g, gap = (F.slice(p[x], k * STRETCH + 1, F.lit(STRETCH)) for x in ("n", "g", "gap"))
+            each = F.zip_with(F.arrays_zip(n.alias("n"), g.alias("g")), F.slice(gap, F.lit(1), F.size(n)), lambda m, gap: F.struct(gap.alias("gap"), m["n"].alias("n"), m["g"].alias("g")))
+            return F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+        return F.transform(numbers, one)
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(each) - 1) / STRETCH).cast("int"))
-    stretches = F.transform(numbers, lambda k: placed(F.slice(each, k * STRETCH + 1, F.lit(STRETCH))))
     begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    bases = F.aggregate(stretches, begin, lambda a, s: F.struct((a["at"] + s["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-    moved = F.zip_with(stretches, bases, lambda s, base: F.transform(s["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"))))
-    return F.when(text.rlike(pattern), F.flatten(moved)).otherwise(none)
+
+    def placed(made: Column) -> Column:
+        bases = F.aggregate(made, begin, lambda a, s: F.struct((a["at"] + s["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(made, bases, lambda s, base: F.transform(s["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end")))))
+
+    return F.when(text.rlike(pattern), _let(parts, lambda p: _let(stretches(p), placed))).otherwise(none)
 
 
 def _named(no: int, kind: str):  # noqa: ANN202
@@ -175,18 +191,28 @@ def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     # The end of what is covered before each span; spans come in order of their starts.
     many, number = F.size("found"), F.expr(f"cast(floor((size(found) - 1) / {STRETCH}) as int)")
     parts = F.transform(F.sequence(F.lit(0), number), lambda k: F.slice("found", k * STRETCH + 1, F.lit(STRETCH)))
-    most = F.aggregate(
-        F.transform(parts, lambda p: F.array_max(F.transform(p, lambda s: s["end"]))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda a, m: F.struct(F.greatest(a["at"], m).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-        lambda a: a["out"],
-    )
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece).alias("out"))
+    def most(held: Column) -> Column:
+        return F.aggregate(
+            F.transform(held, lambda p: F.array_max(F.transform(p, lambda s: s["end"]))),
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+            lambda a, m: F.struct(F.greatest(a["at"], m).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def cleaned(p: Column, at: Column) -> Column:
+        """What becomes of the text from ``at`` to the last end of a stretch of spans, cut out first: places are looked up from its beginning."""
+
+        def replaced(body: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                piece = F.when(s["start"] >= a["at"], F.concat(F.substring(body, a["at"] - at + 1, s["start"] - a["at"]), F.lit(mark))).otherwise("")
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["out"], piece).alias("out"))
+
+            return F.array_join(F.aggregate(p, F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, lambda a: a["out"]), "")
+
+        return _let(F.substring(F.col(text), at + 1, F.array_max(F.transform(p, lambda s: s["end"])) - at), replaced)
 
-    pieces = F.zip_with(parts, most, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda a: a["out"]))
+    pieces = _let(parts, lambda held: F.zip_with(held, most(held), cleaned))
     rest = F.substring(F.col(text), F.array_max(F.transform("found", lambda s: s["end"])) + 1, F.length(text))
     clean = F.concat(F.array_join(pieces, ""), rest)
     return spans.withColumn(text, F.when(many > 0, clean).otherwise(F.col(text))).select(*(F.col(f"`{c}`") for c in df.columns))
