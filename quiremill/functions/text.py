@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from functools import reduce
 
@@ -178,6 +179,13 @@ def math_spans(text: Column) -> Column:
     )
 
 
+def pipe_cell(text: Column) -> Column:
+    """A cell's text for a pipe table: pipes are escaped outside math, line breaks become ``<br>``."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MATH + r"|[^$]+|\$"), F.lit(0))
+    kept = F.transform(pieces, lambda p: F.when(p.startswith("$") & (F.length(p) > 1), p).otherwise(F.replace(p, F.lit("|"), F.lit("\\|"))))
+    return F.replace(F.array_join(kept, ""), F.lit("\n"), F.lit("<br>"))
+
+
 def alt_text(comment: Column) -> Column:
     """struct<origname, px_w, px_h> of a picture's description."""
     name = F.nullif(F.trim(F.regexp_extract(comment, r"원본 그림의 이름:\s*(.+)", 1)), F.lit(""))
@@ -191,6 +199,45 @@ def image_format(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head.startswith("424D"), "bmp")
 
 
+@F.pandas_udf(types.StructType([types.StructField("px_w", types.IntegerType()), types.StructField("px_h", types.IntegerType())]))
+def image_size(content: pd.Series) -> pd.DataFrame:
+    """struct<px_w, px_h> from the header of a png, gif, bmp or jpeg; nulls for anything else."""
+    return pd.DataFrame([_size(bytes(c)) if c is not None else (None, None) for c in content], columns=["px_w", "px_h"], dtype="Int32")
+
+
+def _size(b: bytes) -> tuple[int | None, int | None]:
+    try:
+        if b.startswith(b"\x89PNG\r\n\x1a\n"):
+            return struct.unpack(">II", b[16:24])
+        if b[:6] in (b"GIF87a", b"GIF89a"):
+            return struct.unpack("<HH", b[6:10])
+        if b.startswith(b"BM"):
+            w, h = struct.unpack("<ii", b[18:26])
+            return w, abs(h)
+        at = 2
+        while b.startswith(b"\xff\xd8") and at + 9 <= len(b):  # segments of a jpeg up to the frame header
+            if b[at] != 0xFF:
+                at += 1
+            elif b[at + 1] in (0xFF, 0x01, *range(0xD0, 0xDA)):
+                at += 1 if b[at + 1] == 0xFF else 2
+            elif 0xC0 <= b[at + 1] <= 0xCF and b[at + 1] not in (0xC4, 0xC8, 0xCC):
+                h, w = struct.unpack(">HH", b[at + 5 : at + 9])
+                return w, h
+            else:
+                at += 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
+    except struct.error:
+        pass
+    return None, None
+
+
+def fitted(width: Column, px_w: Column, px_h: Column, cap: Column) -> Column:
+    """struct<width, height, ratio>: the frame's width and the height that keeps the picture's shape; beyond the cap the height is the cap and the width follows. ratio is what the width was scaled by, to four places."""
+    height = fitted_height(width, px_w, px_h)
+    high = height > cap
+    own = F.when(high, F.bround(cap * px_w / px_h).cast("long")).otherwise(width.cast("long"))
+    return F.struct(own.alias("width"), F.when(high, cap.cast("long")).otherwise(height).alias("height"), F.round(own / width, 4).alias("ratio"))
+
+
 def fitted_height(width: Column, px_w: Column, px_h: Column) -> Column:
     """Height for an image in a frame of that width; half-way values go to the even neighbour."""
     return F.bround(width * px_h / px_w).cast("long")
@@ -217,6 +264,14 @@ def em_width(text: Column) -> Column:
     return wide + (F.length(text) - wide) * 0.55
 
 
+def figure_line(title: Column, paths: Column, label: Column, notes: Column) -> Column:
+    """A figure in Markdown: its pictures on one line, the first with the title, the label at the end; each note on a line below."""
+    target = F.transform(paths, lambda p: F.when(p.rlike(r"[\s)]"), F.concat(F.lit("<"), p, F.lit(">"))).otherwise(p))
+    images = F.transform(target, lambda p, i: F.concat(F.lit("!["), F.when(i == 0, F.coalesce(title, F.lit(""))).otherwise(""), F.lit("]("), p, F.lit(")")))
+    line = F.concat(F.array_join(images, " "), F.coalesce(F.concat(F.lit("{#"), label, F.lit("}")), F.lit("")))
+    return F.array_join(F.concat(F.array(line), F.filter(F.coalesce(notes, F.array().cast("array<string>")), lambda n: F.trim(n) != "")), "\n")
+
+
 def rendered(kind: Column, level: Column, text: Column) -> Column:
     """A paragraph in Markdown: headings 1 to 6, bullets and numbers indented by level."""
     return F.when(kind == "HEADING", F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), level)).cast("int")), F.lit(" "), text)).when(kind == "BULLET", F.concat(F.repeat(F.lit("  "), (level - 1).cast("int")), F.lit("* "), text)).when(kind == "ORDERED", F.concat(F.repeat(F.lit("  "), (level - 1).cast("int")), F.lit("1. "), text)).otherwise(text)

@@ -82,8 +82,8 @@ def residual_tokens(paragraphs: DataFrame) -> DataFrame:
 
 
 def findings(*parts: tuple[str, DataFrame, str]) -> DataFrame:
-    """ST2: one long table (doc_id, kind, where) of all findings."""
-    return reduce(DataFrame.unionByName, (df.select("doc_id", F.lit(kind).alias("kind"), F.expr(where).cast("string").alias("where")) for kind, df, where in parts))
+    """ST2: one long table (doc_id, kind, where) of all findings; kind and where are expressions over each part's columns."""
+    return reduce(DataFrame.unionByName, (df.select("doc_id", F.expr(kind).alias("kind"), F.expr(where).cast("string").alias("where")) for kind, df, where in parts))
 
 
 def fingerprints(parts: DataFrame, skip: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
 
@@ -19,30 +21,30 @@ def full_grid(cells: DataFrame) -> DataFrame:
     return c.withColumns({"row": F.explode(rows), "cols": cols}).withColumn("col", F.explode("cols")).select(*AT, "row", "col", "text")
 
 
-def pipe_tables(cells: DataFrame) -> DataFrame:
-    """SC32: each table in Markdown, the first row as header; pipes are escaped, breaks become <br>."""
-    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
-    rows = full_grid(cells).withColumn("text", text).groupBy(*AT, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"))
+def pipe_tables(cells: DataFrame, captions: DataFrame | None = None) -> DataFrame:
+    """SC32: each table in Markdown, the first row as header, below its caption (doc_id, table_index, caption) if it has one."""
+    rows = full_grid(cells).withColumn("text", T.pipe_cell(F.col("text"))).groupBy(*AT, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"))
     line = F.concat(F.lit("| "), F.array_join(F.col("c.text"), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("c")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size("c")))
     first = F.row_number().over(W.partitionBy(*AT).orderBy("row")) == 1
     rows = rows.select(*AT, "row", F.when(first, F.concat(line, F.lit("\n"), rule)).otherwise(line).alias("line"))
-    return rows.groupBy(*AT).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    tables = rows.groupBy(*AT).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    if captions is None:
+        return tables
+    above = F.concat_ws("\n\n", F.nullif(F.trim("caption"), F.lit("")), "markdown")
+    return tables.join(captions.select(*AT, "caption"), AT, "left").select(*AT, above.alias("markdown"))
 
 
 def label_targets(cells: DataFrame) -> DataFrame:
     """JN2: for each label-shaped cell the blank cell to its right, else below; none below a banner row."""
     g = full_grid(cells)
-    near = g.select(*AT, "row", "col", F.col("text").alias("near"))
-    right = near.withColumn("col", F.col("col") - 1).withColumnRenamed("near", "right")
-    below = near.withColumn("row", F.col("row") - 1).withColumnRenamed("near", "below")
-    r = W.partitionBy(*AT, "row")
-    same = F.count("*").over(W.partitionBy(*AT, "row", "text"))
-    banner = (F.count("*").over(r) >= 3) & (same >= F.count("*").over(r) - 1)
-    j = g.withColumn("banner", banner).where(T.is_label_shaped(F.trim("text")))
-    j = j.join(right, [*AT, "row", "col"], "left").join(below, [*AT, "row", "col"], "left")
+    across, down, r = W.partitionBy(*AT, "row").orderBy("col"), W.partitionBy(*AT, "col").orderBy("row"), W.partitionBy(*AT, "row")
+    banner = (F.count("*").over(r) >= 3) & (F.count("*").over(W.partitionBy(*AT, "row", "text")) >= F.count("*").over(r) - 1)
+    right = F.when(F.lead("col").over(across) == F.col("col") + 1, F.lead("text").over(across))
+    below = F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead("text").over(down))
+    g = g.withColumns({"banner": banner, "right": right, "below": below}).where(T.is_label_shaped(F.trim("text")))
     side = F.when(F.trim("right") == "", "right").when((F.trim("below") == "") & ~F.col("banner"), "below")
-    return j.withColumn("side", side).where("side is not null").select(*AT, "row", "col", "text", "side")
+    return g.withColumn("side", side).where("side is not null").select(*AT, "row", "col", "text", "side")
 
 
 def labelled_cell(cells: DataFrame, asked: DataFrame) -> DataFrame:
@@ -52,32 +54,59 @@ def labelled_cell(cells: DataFrame, asked: DataFrame) -> DataFrame:
     dr = F.when(F.col("direction") == "down", 1).when(F.col("direction") == "up", -1).otherwise(0)
     dc = F.when(F.col("direction") == "right", 1).when(F.col("direction") == "left", -1).otherwise(0)
     to = asked.withColumn("label", T.without_space(F.col("label"))).join(found, ["doc_id", "label"], "left").withColumns({"row": F.col("row") + dr, "col": F.col("col") + dc})
-    return to.join(full_grid(cells), [*AT, "row", "col"], "left").select("doc_id", "label", "direction", "row", "col", F.col("text").alias("value"))
+    return to.join(full_grid(cells), [*AT, "row", "col"], "left").select("doc_id", "label", "direction", "table_index", "row", "col", F.col("text").alias("value"))
+
 
+def repeated_section(cells: DataFrame, columns: dict[str, str], items: DataFrame) -> DataFrame:
+    """JN4: items (doc_id, i, field, value) go below the first row with two or more known column labels, while there are rows.
 
-def repeated_section(cells: DataFrame, columns: list[str], items: DataFrame) -> DataFrame:
-    """JN4: items (doc_id, i, field, value) go below the first row with two or more known column labels, while there are rows."""
-    known = cells.where(T.without_space(F.col("text")).isin(*columns))
+    columns: labels and the fields they stand for; labels are compared normalized.
+    """
+    pairs = F.create_map(*(F.lit(x) for kv in columns.items() for x in kv))
+    labelled = cells.where(F.length(F.trim("text")) > 0).select(*AT, "row", "col", F.try_element_at(pairs, T.normalize_label(F.col("text"))).alias("field"))
+    known = labelled.where("field is not null")
     heads = known.groupBy(*AT, "row").agg(F.count("*").alias("n")).where("n >= 2")
     first = heads.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("table_index", "row"))).where("rn = 1").select(*AT, F.col("row").alias("head"))
-    rows = cells.groupBy(*AT).agg(F.max("row").alias("last"))
-    where = known.join(first, AT).where("row = head").join(rows, AT).select(*AT, "head", "last", "col", T.without_space(F.col("text")).alias("field"))
-    return where.join(items, ["doc_id", "field"]).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last").select(*AT, "row", "col", "field", "value")
+    rows = cells.groupBy(*AT).agg(F.max(F.col("row") + F.col("row_span") - 1).alias("last"))
+    where = known.join(first, AT).where("row = head").join(rows, AT).select(*AT, "head", "last", "col", "field")
+    return where.join(items.where("value <> ''"), ["doc_id", "field"]).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last").select(*AT, "row", "col", "field", "value")
+
+
+def _keys(kind: Column, name: Column, locator: Column) -> Column:
+    """What a slot answers to, the surest first: its locator, kind and name, its name, its name without spaces."""
+    prefix = F.when(kind == "inline", "tab").otherwise(kind)
+    return F.array(locator, F.concat(prefix, F.lit(":"), name), name, T.without_space(name))
+
+
+def located(mapping: DataFrame, cells: DataFrame) -> DataFrame:
+    """JN6: mapping (doc_id, key, value) with keys like ``label > right`` turned into the cell's locator; those that no single label answers to stay."""
+    way = F.regexp_extract("key", r"^(.*?) > (right|below|left|above)$", 2)
+    m = mapping.withColumns({"label": F.when(way != "", F.regexp_extract("key", r"^(.*?) > (right|below|left|above)$", 1)), "direction": F.when(way == "below", "down").when(way == "above", "up").otherwise(way)})
+    asked = m.where("label is not null")
+    found = labelled_cell(cells, asked.select("doc_id", "label", "direction").distinct()).where("value is not null")
+    found = found.select("doc_id", "label", "direction", F.concat_ws(":", F.lit("cell"), "table_index", "row", "col").alias("locator"))
+    asked = asked.withColumn("label", T.without_space(F.col("label"))).join(found, ["doc_id", "label", "direction"], "left").select("doc_id", F.coalesce("locator", "key").alias("key"), "value")
+    return m.where("label is null").select("doc_id", "key", "value").unionByName(asked)
 
 
 def fill(slots: DataFrame, mapping: DataFrame) -> DataFrame:
-    """JN6: slots (doc_id, kind, locator, name, current) with what mapping (doc_id, key, value) gives: by locator, else name, else name without spaces."""
+    """JN6: slots (doc_id, kind, locator, name, current) with what mapping (doc_id, key, value) gives them.
+
+    A key is a locator (``cell:0:1:2``), a kind and a name (``checkbox:``, ``tab:``, ``label:``, ``section:``), or a name,
+    with or without spaces; a checkbox becomes on or off. Keys with a direction go through ``located`` first.
+    """
     m = mapping.groupBy("doc_id", "key").agg(F.min("value").alias("value"))
-    s = slots.withColumn("bare", T.without_space(F.col("name")))
-    for i, by in enumerate(("locator", "name", "bare")):
-        s = s.join(m.select("doc_id", F.col("key").alias(by), F.col("value").alias(f"v{i}")), ["doc_id", by], "left")
-    value = F.coalesce("v0", "v1", "v2")
-    return s.select("doc_id", "kind", "locator", "name", F.coalesce(value, F.col("current")).alias("value"), value.isNotNull().alias("filled"))
+    asked = slots.select("doc_id", "kind", "locator", F.posexplode(_keys(F.col("kind"), F.col("name"), F.col("locator"))).alias("rank", "key"))
+    got = asked.join(m, ["doc_id", "key"]).groupBy("doc_id", "kind", "locator").agg(F.min_by(F.struct("value"), "rank").alias("got"))
+    off = F.lower(F.trim("got.value")).isin("off", "0", "false", "no", "")
+    value = F.when(F.col("kind") == "checkbox", F.when(off, "off").otherwise("on")).otherwise(F.col("got.value"))
+    filled = F.col("got").isNotNull()
+    return slots.join(got, ["doc_id", "kind", "locator"], "left").select("doc_id", "kind", "locator", "name", F.when(filled, value).otherwise(F.col("current")).alias("value"), filled.alias("filled"))
 
 
 def missing_keys(slots: DataFrame, mapping: DataFrame) -> DataFrame:
     """JN6: keys of mapping that no slot answers to."""
-    keys = slots.select("doc_id", F.explode(F.array("locator", "name", T.without_space(F.col("name")))).alias("key")).distinct()
+    keys = slots.select("doc_id", F.explode(_keys(F.col("kind"), F.col("name"), F.col("locator"))).alias("key")).distinct()
     return mapping.select("doc_id", "key").distinct().join(keys, ["doc_id", "key"], "left_anti")
 
 
@@ -126,12 +155,18 @@ def placeholder_slots(paragraphs: DataFrame) -> DataFrame:
 
 
 def all_slots(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
-    """ST1: placeholders, cells next to labels and section or label lines in one table, each locator once."""
-    at = F.concat_ws(":", F.lit("cell"), "table_index", "row", "col")
-    by_cell = label_targets(cells).select("doc_id", F.lit("cell").alias("kind"), F.col("text").alias("name"), at.alias("locator"))
-    by_line = section_slots(paragraphs).select("doc_id", "kind", "name", F.col("name").alias("locator"))
-    every = placeholder_slots(paragraphs).unionByName(by_cell).unionByName(by_line)
-    return every.groupBy("doc_id", "kind", "locator").agg(F.min("name").alias("name"))
+    """ST1: placeholders, cells next to labels, checkboxes, tails after tabs, and section or label lines in one table, each locator once, with what is there now."""
+    none = F.lit(None).cast("string").alias("current")
+    row = F.when(F.col("side") == "below", F.col("row") + 1).otherwise(F.col("row"))
+    col = F.when(F.col("side") == "right", F.col("col") + 1).otherwise(F.col("col"))
+    by_cell = label_targets(cells).select("doc_id", F.lit("cell").alias("kind"), F.col("text").alias("name"), F.concat_ws(":", F.lit("cell"), "table_index", row, col).alias("locator"), F.lit("").alias("current"))
+    by_line = section_slots(paragraphs).select("doc_id", "kind", "name", F.concat_ws(":", "kind", "name").alias("locator"), none)
+    boxes = paragraphs.select("doc_id", F.explode(T.checkboxes(F.col("text"))).alias("c")).select("doc_id", F.lit("checkbox").alias("kind"), F.col("c.label").alias("name"), F.concat(F.lit("checkbox:"), F.col("c.label")).alias("locator"), F.col("c.state").alias("current"))
+    tails = paragraphs.select("doc_id", T.tab_slots(F.col("text")).alias("t")).where("t is not null and t.label <> ''").select("doc_id", F.lit("inline").alias("kind"), F.col("t.label").alias("name"), F.concat(F.lit("tab:"), F.col("t.label")).alias("locator"), F.trim(F.array_join("t.tails", "")).alias("current"))
+    every = placeholder_slots(paragraphs).select("doc_id", "kind", "name", "locator", none)
+    for more in (by_cell, by_line, boxes, tails):
+        every = every.unionByName(more)
+    return every.groupBy("doc_id", "kind", "locator").agg(F.min("name").alias("name"), F.min("current").alias("current"))
 
 
 def fill_summary(filled: DataFrame) -> DataFrame:
@@ -161,16 +196,21 @@ def matched_slots(slots: DataFrame, people: DataFrame, assigned: DataFrame, own:
     return s.join(people, ["person_id", "field"], "left").select("doc_id", "locator", "field", "value")
 
 
-def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, today: str) -> DataFrame:
-    """JN5: what to fill: cells of repeated sections own their targets, then matched values, then today for date labels; the rest is blank."""
+#: Labels that today's date answers to.
+DATE_LABELS = ("날짜", "작성일", "작성일자", "신청일", "신청일자", "작성년월일")
+
+
+def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, today: str, columns: Iterable[str] = ()) -> DataFrame:
+    """JN5: what to fill: cells of repeated sections own their targets and column labels, then matched values, then today for date labels without one; the rest is blank."""
     cell = F.concat_ws(":", F.lit("cell"), "table_index", "row", "col")
     r = repeated.select("doc_id", cell.alias("locator"), "value", F.lit("repeated").alias("source"))
     m = matched.select("doc_id", "locator", "value").join(r, ["doc_id", "locator"], "left_anti")
-    names = slots.select("doc_id", "locator", F.regexp_replace("name", r"\s+", "").alias("bare"))
-    m = m.join(names, ["doc_id", "locator"], "left")
-    dated = F.col("bare").isin("날짜", "작성일", "신청일", "일자") | (F.col("value") == "@today")
-    value = F.when(dated, F.lit(today)).otherwise(F.col("value"))
-    return r.unionByName(m.select("doc_id", "locator", value.alias("value"), F.when(dated, "today").when(F.col("value").isNotNull(), "matched").otherwise("blank").alias("source")))
+    names = slots.select("doc_id", "locator", T.normalize_label(F.col("name")).alias("label"))
+    m = m.join(names, ["doc_id", "locator"], "left").where(~F.coalesce(F.col("label").isin(*columns), F.lit(False)))
+    own = F.nullif("value", F.lit("@today"))
+    dated = own.isNull() & (F.coalesce(F.col("label").isin(*DATE_LABELS), F.lit(False)) | (F.col("value") == "@today"))
+    value = F.when(dated, F.lit(today)).otherwise(own)
+    return r.unionByName(m.select("doc_id", "locator", value.alias("value"), F.when(dated, "today").when(own.isNotNull(), "matched").otherwise("blank").alias("source")))
 
 
 def _solve_rows(group: pd.DataFrame) -> pd.DataFrame:
@@ -197,5 +237,10 @@ def _solve_rows(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def row_heights(cells: DataFrame) -> DataFrame:
-    """AG12: the height of every row, merges solved."""
-    return cells.select(*AT, "row", "row_span", "height").groupBy(*AT).applyInPandas(_solve_rows, "doc_id long, table_index long, row long, height long")
+    """AG12: the height of every row; only tables with merges over several rows are solved by themselves, the others are an aggregation."""
+    t = W.partitionBy(*AT)
+    c = cells.select(*AT, "row", "row_span", "height").withColumn("merged", F.max("row_span").over(t) > 1)
+    solved = c.where("merged").groupBy(*AT).applyInPandas(_solve_rows, "doc_id long, table_index long, row long, height long")
+    plain = c.where("not merged").groupBy(*AT, "row").agg(F.max("height").alias("height"))
+    rows = plain.groupBy(*AT).agg(F.max("row").alias("last")).select(*AT, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("row"))
+    return solved.unionByName(rows.join(plain, [*AT, "row"], "left").select(*AT, "row", F.coalesce("height", F.lit(0)).cast("long").alias("height")))

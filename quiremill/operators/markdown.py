@@ -13,12 +13,38 @@ def body_only(blocks: DataFrame, is_h1: str, order: str) -> DataFrame:
     return blocks.withColumn("first_h1", first).where(F.col("first_h1").isNull() | (F.col(order) >= F.col("first_h1"))).drop("first_h1")
 
 
-def corpus_markdown(classified: DataFrame) -> DataFrame:
-    """SC33, SC35: one text for each document from paragraphs with roles: blocks in order, at most one blank line between."""
-    line = T.rendered(F.col("role_kind"), F.coalesce("role_level", F.lit(1)), F.col("text"))
-    parts = F.sort_array(F.collect_list(F.struct("section_no", "para_idx", line.alias("line"))))
-    whole = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
-    return classified.groupBy("doc_id").agg(F.trim(F.regexp_replace(whole, r"\n{3,}", "\n\n")).alias("markdown"))
+def corpus_markdown(classified: DataFrame, tables: DataFrame | None = None, figures: DataFrame | None = None, notes: DataFrame | None = None, body_from_h1: bool = False) -> DataFrame:
+    """SC33, SC34, SC35: one text for each document: paragraphs with roles, tables, figures and note definitions, a blank line between blocks.
+
+    classified: doc_id, section_no, para_idx, role_kind, role_level, text; tables (doc_id, section_no, para_idx, markdown) and
+    figures (doc_id, section_no, para_idx, title, paths, label, notes) stand in place of their paragraph; notes
+    (doc_id, section_no, para_idx, pos, text) are numbered in order, marked at the end of their paragraph
+    and defined at the end. Blank paragraphs are left out; with body_from_h1 so is all before the first heading of level 1.
+    """
+    at = ["doc_id", "section_no", "para_idx"]
+    h1 = (F.col("role_kind") == "HEADING") & (F.col("role_level") == 1)
+    blocks = classified.select(*at, F.col("text"), F.lit(0).alias("kind"), F.coalesce(h1, F.lit(False)).alias("h1"), "role_kind", "role_level")
+    none = [F.lit(False).alias("h1"), F.lit(None).cast("string").alias("role_kind"), F.lit(None).cast("long").alias("role_level")]
+    for more, text in ((tables, F.col("markdown")), (figures, T.figure_line(F.col("title"), F.col("paths"), F.col("label"), F.col("notes")))):
+        if more is not None:
+            blocks = blocks.join(more.select(*at), at, "left_anti").unionByName(more.select(*at, text.alias("text"), F.lit(1).alias("kind"), *none))
+    definitions = None
+    if notes is not None:
+        numbered = footnote_numbers(notes)
+        marks = numbered.groupBy(*at).agg(F.array_join(F.transform(F.sort_array(F.collect_list("no")), lambda n: F.concat(F.lit("[^"), n, F.lit("]"))), "").alias("marks"))
+        blocks = blocks.join(marks, at, "left").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("kind") == 0, F.coalesce("marks", F.lit(""))).otherwise("")))
+        line = F.concat(F.lit("[^"), F.col("no"), F.lit("]: "), F.regexp_replace(F.trim("text"), r"\s*\n\s*", " "))
+        definitions = numbered.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("definitions"))
+    blocks = blocks.where("text <> ''")
+    if body_from_h1:
+        place = F.struct("section_no", "para_idx")
+        blocks = blocks.withColumn("begin", F.min(F.when(F.col("h1"), place)).over(W.partitionBy("doc_id"))).where(place >= F.col("begin"))
+    body = F.when(F.col("kind") == 0, T.rendered(F.col("role_kind"), F.greatest(F.coalesce("role_level", F.lit(1)), F.lit(1)), F.col("text"))).otherwise(F.col("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_no", "para_idx", "kind", body.alias("line")))), lambda p: p["line"]), "\n\n")
+    texts = blocks.groupBy("doc_id").agg(whole.alias("markdown"))
+    if definitions is not None:
+        texts = texts.join(definitions, "doc_id", "full").select("doc_id", F.concat_ws("\n\n", "markdown", "definitions").alias("markdown"))
+    return texts.select("doc_id", F.regexp_replace(F.regexp_replace("markdown", r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("markdown"))
 
 
 def preview(paragraphs: DataFrame, limit: int = 2000) -> DataFrame:
@@ -86,9 +112,21 @@ def running_titles(blocks: DataFrame) -> DataFrame:
 
 
 def office_holder(ends: DataFrame, holders: DataFrame) -> DataFrame:
-    """JN12: ends (doc_id, end_date) with the holder (first, last or null, name) in office on that day; holders are few and joined by range."""
-    inside = (F.col("end_date") >= F.col("first")) & (F.col("end_date") <= F.coalesce("last", F.lit("9999-12-31").cast("date")))
-    return ends.join(holders, inside, "left").select("doc_id", "end_date", "name")
+    """JN12: ends (doc_id, end_date) with the holder (first, last or null, name) in office on that day.
+
+    Terms are dealt to the years that they touch, so the join is on the year; an open term lasts to the latest end.
+    """
+    latest = ends.agg(F.max("end_date")).scalar()
+    terms = holders.withColumn("until", F.coalesce("last", F.greatest(latest, "first")))
+    terms = terms.where("until >= first").select("first", "until", "name", F.explode(F.sequence(F.year("first"), F.year("until"))).alias("year"))
+    inside = (F.year("end_date") == F.col("year")) & F.col("end_date").between(F.col("first"), F.col("until"))
+    return ends.join(terms, inside, "left").select("doc_id", "end_date", "name")
+
+
+def instructions(paragraphs: DataFrame, roles: DataFrame) -> DataFrame:
+    """PF6: the non-blank paragraphs in the style of the role INSTRUCTION, with the slots that they name."""
+    own = roles.where("role = 'INSTRUCTION'").select("doc_id", "style_id").distinct()
+    return paragraphs.where(F.trim("text") != "").join(own, ["doc_id", "style_id"], "left_semi").select("doc_id", "section_no", "para_idx", "text", T.placeholders(F.col("text")).alias("slots"))
 
 
 def meta_slots(tokens: DataFrame, meta: DataFrame, required: list[str]) -> DataFrame:

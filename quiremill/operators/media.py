@@ -36,12 +36,17 @@ def _mirrors(pages: pd.DataFrame) -> pd.DataFrame:
 
 def bands(signatures: DataFrame) -> DataFrame:
     """WN11: runs of pages with one signature, lettered by first appearance; a dash for pages without any."""
-    s = signatures.groupBy("doc_id").applyInPandas(_mirrors, "doc_id long, page long, signature string")
     o = W.partitionBy("doc_id").orderBy("page")
+    # Only documents in which two pages in a row repeat the one before the last can hold a mirrored run; the others need no Python.
+    back = F.coalesce((F.col("signature") == F.lag("signature", 2).over(o)) & (F.col("signature") != F.lag("signature").over(o)), F.lit(False))
+    s = signatures.withColumn("back", back).withColumn("both", F.col("back") & F.coalesce(F.lag("back").over(o), F.lit(False)))
+    s = s.withColumn("mirrored", F.max("both").over(W.partitionBy("doc_id"))).select("doc_id", "page", "signature", "mirrored")
+    s = s.where("not mirrored").drop("mirrored").unionByName(s.where("mirrored").drop("mirrored").groupBy("doc_id").applyInPandas(_mirrors, "doc_id long, page long, signature string"))
     s = s.withColumn("cut", F.coalesce((F.col("signature") != F.lag("signature").over(o)).cast("int"), F.lit(1))).withColumn("band", F.sum("cut").over(o))
     b = s.groupBy("doc_id", "band", "signature").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
     seen = b.where("signature <> ''").groupBy("doc_id", "signature").agg(F.min("first_page").alias("seen"))
-    letter = seen.select("doc_id", "signature", F.char(F.lit(64) + F.row_number().over(W.partitionBy("doc_id").orderBy("seen"))).alias("letter"))
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("seen")) - 1
+    letter = seen.select("doc_id", "signature", F.concat(F.when(n >= 26, F.char(F.lit(64) + F.floor(n / 26))).otherwise(""), F.char(F.lit(65) + n % 26)).alias("letter"))
     return b.join(letter, ["doc_id", "signature"], "left").select("doc_id", "first_page", "last_page", F.coalesce("letter", F.lit("—")).alias("letter"))
 
 
@@ -74,11 +79,14 @@ def figure_tables(tables: DataFrame, cells: DataFrame, pics: DataFrame) -> DataF
     return t.join(pics.where("row = 0 and col = 0"), ["doc_id", "table_index"], "left_semi")
 
 
-def link_census(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """AG15: hyperlinks, bare URLs and math spans of each document."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    bare = F.regexp_count(t, F.lit(r"""(?<![("'=\w])https?://[^\s<>"']+"""))
-    return pages.select(F.col(key), F.regexp_count(t, F.lit("(?i)<a\\s[^>]*href")).cast("long").alias("n_links"), bare.cast("long").alias("n_bare"), F.size(T.math_spans(t)).cast("long").alias("n_math"))
+def link_census(fields: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """AG15: of each document the hyperlink fields (side, field_type), bare URLs in the text, equations, and LaTeX left as text (math with a backslash, a caret or an underscore), its first 60 characters."""
+    linked = fields.where("side = 'begin' and field_type = 'HYPERLINK'").groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    bare = F.regexp_count("text", F.lit(r"""(?<![("'=\w])https?://[^\s<>"']+"""))
+    left = F.transform(F.filter(T.math_spans(F.col("text")), lambda m: m["latex"].rlike(r"[\\^_]")), lambda m: F.substring(m["latex"], 1, 60))
+    p = paragraphs.select("doc_id", "section_no", "para_idx", bare.alias("bare"), left.alias("left"), F.coalesce("equations", F.lit(0)).alias("equations"))
+    said = p.groupBy("doc_id").agg(F.sum("bare").cast("long").alias("n_bare"), F.sum("equations").cast("long").alias("n_equations"), F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("left") > 0, F.struct("section_no", "para_idx", "left")))), lambda x: x["left"])).alias("latex_left"))
+    return said.join(linked, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_bare", "n_equations", "latex_left")
 
 
 def judge_pages(pages: DataFrame, judge, schema: str = "doc_id long, page long, ok boolean, issue string") -> DataFrame:  # noqa: ANN001

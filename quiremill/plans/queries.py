@@ -85,14 +85,50 @@ def jn1(s, d):  # noqa: ANN001, ANN201
     return _classified(s, d)
 
 
+_OBJECTS = """w AS (SELECT *, length(text) AS n, string_split(text, ' ') AS w FROM paragraphs),
+tbl AS (SELECT doc_id, section_no, para_idx, concat_ws(chr(10) || chr(10), CASE WHEN n % 3 = 0 THEN 'T' || n END, '| ' || replace(coalesce(w[1], ''), '|', '\\|') || ' | ' || replace(coalesce(w[2], ''), '|', '\\|') || ' |' || chr(10) || '|---|---|' || chr(10)
+  || '| ' || replace(coalesce(w[3], ''), '|', '\\|') || ' | ' || replace(coalesce(w[3], ''), '|', '\\|') || ' |') AS line FROM w WHERE n % 14 = 6),
+fig AS (SELECT doc_id, section_no, para_idx, '![' || substr(text, 1, 9) || '](p' || para_idx || '.png)' || CASE WHEN n % 3 = 0 THEN ' ![](<b c.png>)' ELSE '' END || CASE WHEN n % 4 = 1 THEN '{#f' || (n % 5) || '}' ELSE '' END
+  || CASE WHEN n % 3 = 1 THEN chr(10) || '자료: ' || n ELSE '' END AS line FROM w WHERE n % 14 = 13),
+nt AS (SELECT doc_id, section_no, para_idx, 'note ' || n AS text, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, para_idx) AS no FROM w WHERE in_note),
+said AS (SELECT c.doc_id, c.section_no, c.para_idx, role_kind, greatest(coalesce(role_level, 1), 1) AS level, c.text || coalesce('[^' || nt.no || ']', '') AS text, coalesce(tbl.line, fig.line) AS object
+  FROM classified c LEFT JOIN tbl USING (doc_id, section_no, para_idx) LEFT JOIN fig USING (doc_id, section_no, para_idx) LEFT JOIN nt USING (doc_id, section_no, para_idx)),
+lines AS (SELECT doc_id, section_no, para_idx, object IS NULL AND role_kind = 'HEADING' AND level = 1 AS h1, CASE WHEN object IS NOT NULL THEN object WHEN role_kind = 'HEADING' THEN repeat('#', least(6, level)::INT) || ' ' || text
+  WHEN role_kind = 'BULLET' THEN repeat('  ', (level - 1)::INT) || '* ' || text WHEN role_kind = 'ORDERED' THEN repeat('  ', (level - 1)::INT) || '1. ' || text ELSE text END AS line FROM said WHERE object IS NOT NULL OR text <> '')"""
+_WHOLE = """body AS (SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY section_no, para_idx) AS body FROM lines WHERE KEPT GROUP BY 1),
+df AS (SELECT doc_id, string_agg('[^' || no || ']: ' || trim(text), chr(10) ORDER BY no) AS defs FROM nt GROUP BY 1)
+SELECT doc_id, regexp_replace(regexp_replace(concat_ws(chr(10) || chr(10), body, defs), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS markdown FROM body FULL JOIN df USING (doc_id)"""
+
+
+def _markdown(s: SparkSession, d: str, body_from_h1: bool) -> DataFrame:
+    at = ["doc_id", "section_no", "para_idx"]
+    p = A.paragraphs(s, d).withColumns({"n": F.length("text"), "w": F.split("text", " ")})
+    table, figure = p.where("n % 14 = 6"), p.where("n % 14 = 13")
+
+    def cell(row: int, col: int, span: int, word: int) -> Column:
+        return F.struct(*(F.lit(x).cast("long").alias(k) for k, x in (("row", row), ("col", col), ("row_span", 1), ("col_span", span))), F.coalesce(F.get("w", F.lit(word)), F.lit("")).alias("text"))
+
+    cells = table.select("doc_id", F.col("para_idx").alias("table_index"), F.explode(F.array(cell(0, 0, 1, 0), cell(0, 1, 1, 1), cell(1, 0, 2, 2))).alias("c")).select("doc_id", "table_index", "c.*")
+    captions = table.select("doc_id", F.col("para_idx").alias("table_index"), F.when(F.col("n") % 3 == 0, F.concat(F.lit("T"), F.col("n"))).alias("caption"))
+    tables = forms.pipe_tables(cells, captions).withColumnRenamed("table_index", "para_idx").join(table.select(*at), ["doc_id", "para_idx"])
+    paths = F.concat(F.array(F.concat(F.lit("p"), F.col("para_idx"), F.lit(".png"))), F.when(F.col("n") % 3 == 0, F.array(F.lit("b c.png"))).otherwise(F.array().cast("array<string>")))
+    label, said = F.when(F.col("n") % 4 == 1, F.concat(F.lit("f"), F.col("n") % 5)), F.when(F.col("n") % 3 == 1, F.array(F.concat(F.lit("자료: "), F.col("n"))))
+    figures = figure.select(*at, F.substring("text", 1, 9).alias("title"), paths.alias("paths"), label.alias("label"), said.alias("notes"))
+    notes = p.where("in_note").select(*at, F.lit(0).cast("long").alias("pos"), F.concat(F.lit("note "), F.col("n")).alias("text"))
+    return markdown.corpus_markdown(_classified(s, d), tables, figures, notes, body_from_h1)
+
+
+@query("sc35_corpus_markdown", f"{_ROLED},\n{_KINDS},\n{_OBJECTS},\n{_WHOLE}".replace("KEPT", "true"))
+def sc35(s, d):  # noqa: ANN001, ANN201
+    return _markdown(s, d, body_from_h1=False)
+
+
 @query(
-    "sc35_corpus_markdown",
-    f"""{_ROLED},\n{_KINDS}, lines AS (SELECT doc_id, section_no, para_idx, CASE role_kind WHEN 'HEADING' THEN repeat('#', greatest(1, least(6, role_level))::INT) || ' ' || text WHEN 'BULLET' THEN repeat('  ', (role_level - 1)::INT) || '* ' || text
-  WHEN 'ORDERED' THEN repeat('  ', (role_level - 1)::INT) || '1. ' || text ELSE text END AS line FROM classified)
-SELECT doc_id, trim(regexp_replace(string_agg(line, chr(10) ORDER BY section_no, para_idx), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ') AS markdown FROM lines GROUP BY 1""",
+    "sc35_body_only",
+    f"{_ROLED},\n{_KINDS},\n{_OBJECTS},\nstarts AS (SELECT doc_id, arg_min(struct_pack(s := section_no, p := para_idx), struct_pack(s := section_no, p := para_idx)) AS start FROM lines WHERE h1 GROUP BY 1),\n{_WHOLE}".replace("FROM lines WHERE KEPT", "FROM lines JOIN starts USING (doc_id) WHERE struct_pack(s := section_no, p := para_idx) >= start"),
 )
-def sc35(s, d):  # noqa: ANN001, ANN201
-    return markdown.corpus_markdown(_classified(s, d))
+def sc35_body(s, d):  # noqa: ANN001, ANN201
+    return _markdown(s, d, body_from_h1=True)
 
 
 @query(
@@ -174,16 +210,45 @@ def pf2(s, d):  # noqa: ANN001, ANN201
     return checks.stale_lines(A.paragraphs(s, d))
 
 
+_CLASSES = f"""cl AS (SELECT doc_id, sum(use_count) AS n, sum(CASE WHEN heading_type = 'OUTLINE' THEN use_count ELSE 0 END)::BIGINT AS n_outline, count(DISTINCT CASE WHEN heading_type = 'OUTLINE' AND use_count > 0 THEN outline_level END) AS n_levels,
+  count(DISTINCT CASE WHEN regexp_matches({_OVERRIDE}, '^HEADING_[0-9]+$') THEN {_OVERRIDE} END) AS n_declared FROM system GROUP BY 1),
+kl AS (SELECT doc_id, CASE WHEN n = 0 THEN 'flat' WHEN n_outline >= 3 AND n_levels >= 2 THEN 'structured' WHEN n_declared >= 2 THEN 'structured' WHEN n_outline = 0 THEN 'flat' ELSE 'weak' END AS c FROM cl)"""
+
+
 @query(
     "st2_findings",
-    f"""{_ROLED}, {A.SQL["header_items"]} SELECT doc_id, 'duplicate id' AS kind, id::VARCHAR AS "where" FROM header_items GROUP BY doc_id, item, id HAVING count(*) > 1
+    f"""{_ROLED}, {A.SQL["header_items"]}, {A.SQL["refs"]}, {A.SQL["form_lines"]},\n{_CLASSES},
+hd AS (SELECT r.doc_id, split_part(role, '_', 2)::BIGINT AS level, size_pt FROM roles r LEFT JOIN system s USING (doc_id, style_id) WHERE role LIKE 'HEADING_%'), gp AS (SELECT doc_id, unnest(range(min(level), max(level) + 1)) AS level FROM hd GROUP BY 1),
+tk AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '\\{{\\{{\\s*([^{{}}]+?)\\s*\\}}\\}}', 1), lambda x: trim(x))) AS token FROM form_lines), tc AS (SELECT doc_id, token, count(*) AS n FROM tk GROUP BY 1, 2)
+SELECT doc_id, 'not structured' AS kind, c AS "where" FROM kl WHERE c <> 'structured'
+UNION ALL SELECT doc_id, 'duplicate id', id::VARCHAR FROM header_items GROUP BY doc_id, item, id HAVING count(*) > 1
 UNION ALL SELECT doc_id, 'wrong count', item FROM header_items GROUP BY doc_id, item HAVING max(item_cnt) <> count(*)
+UNION ALL SELECT doc_id, 'no page', section_no::VARCHAR FROM paragraphs GROUP BY doc_id, section_no HAVING NOT bool_or(forced_break)
+UNION ALL SELECT doc_id, CASE WHEN token NOT IN ('t1', 't2', 't3') THEN 'unrecognized' ELSE 'ambiguous' END, token FROM tc WHERE token NOT IN ('t1', 't2', 't3') OR (n > 1 AND token <> 't3')
+UNION ALL SELECT doc_id, 'missing level', level::VARCHAR FROM gp WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.doc_id = gp.doc_id AND hd.level = gp.level)
+UNION ALL SELECT doc_id, 'bigger than the level above', level::VARCHAR FROM (SELECT *, last_value(size_pt IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM hd) WHERE size_pt > above
+UNION ALL SELECT doc_id, 'id order', item || ':' || pos FROM (SELECT *, lag(id) OVER (PARTITION BY doc_id, item ORDER BY pos) AS before FROM header_items) WHERE id <> coalesce(before, -1) + 1 QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY pos) = 1
+UNION ALL SELECT DISTINCT doc_id, 'dangling reference', item || ':' || ref_id FROM refs r WHERE ref_id <> 4294967295 AND EXISTS (SELECT 1 FROM header_items h WHERE h.doc_id = r.doc_id AND h.item = r.item) AND NOT EXISTS (SELECT 1 FROM header_items h WHERE h.doc_id = r.doc_id AND h.item = r.item AND h.id = r.ref_id)
+UNION ALL SELECT l_orderkey, CASE WHEN l_partkey % 7 = 0 THEN 'begin alone' ELSE 'end alone' END, pos::VARCHAR FROM {A._NUMBERED} WHERE (l_partkey % 5 <> 0) <> (l_partkey % 7 <> 0)
 UNION ALL SELECT doc_id, 'stale lines', para_idx::VARCHAR FROM paragraphs WHERE line_segs >= 1 AND line_breaks + 1 > line_segs
 UNION ALL SELECT doc_id, 'unmapped style', style_id FROM system s WHERE use_count > 0 AND NOT EXISTS (SELECT 1 FROM roles r WHERE r.doc_id = s.doc_id AND r.style_id = s.style_id)""",
 )
 def st2(s, d):  # noqa: ANN001, ANN201
-    items, system = A.header_items(s, d), _system(s, d)
-    return checks.findings(("duplicate id", checks.duplicate_ids(items), "id"), ("wrong count", checks.wrong_counts(items), "item"), ("stale lines", checks.stale_lines(A.paragraphs(s, d)), "para_idx"), ("unmapped style", styles.unmapped_styles(system, styles.role_map(system)), "style_id"))
+    items, system, p = A.header_items(s, d), _system(s, d), A.paragraphs(s, d)
+    roles = styles.role_map(system)
+    return checks.findings(
+        ("'not structured'", styles.classify(system).where("classification <> 'structured'"), "classification"),
+        ("'duplicate id'", checks.duplicate_ids(items), "id"),
+        ("'wrong count'", checks.wrong_counts(items), "item"),
+        ("'no page'", checks.sections_without_page(p, "forced_break"), "section_no"),
+        ("finding", checks.marker_warnings(checks.marker_census(A.form_lines(s, d)), ["t1", "t2"], ["t3"]), "token"),
+        ("finding", styles.ladder_gaps(system, roles), "level"),
+        ("'id order'", checks.id_order(items), "concat(item, ':', pos)"),
+        ("'dangling reference'", checks.dangling_refs(A.refs(s, d), items), "concat(item, ':', ref_id)"),
+        ("finding", checks.unpaired_fields(_fields(s, d)), "field_id"),
+        ("'stale lines'", checks.stale_lines(p), "para_idx"),
+        ("'unmapped style'", styles.unmapped_styles(system, roles), "style_id"),
+    )
 
 
 @query(
@@ -206,21 +271,21 @@ def sc32_grid(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "sc32_pipe_tables",
-    f"""{A.with_tables("cells")},\n{_GRID}, r AS (SELECT doc_id, table_index, "row", '| ' || string_agg(replace(replace(text, '|', '\\|'), chr(10), '<br>'), ' | ' ORDER BY col, text) || ' |' AS line, '|' || repeat(' --- |', count(*)::INT) AS rule FROM grid GROUP BY 1, 2, 3)
+    f"""{A.with_tables("cells")},\n{_GRID}, r AS (SELECT doc_id, table_index, "row", '| ' || string_agg(replace(replace(text, '|', '\\|'), chr(10), '<br>'), ' | ' ORDER BY col, text) || ' |' AS line, '|' || repeat('---|', count(*)::INT) AS rule FROM grid GROUP BY 1, 2, 3)
 SELECT doc_id, table_index, string_agg(CASE WHEN "row" = 0 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY "row") AS markdown FROM r GROUP BY 1, 2""",
 )
 def sc32(s, d):  # noqa: ANN001, ANN201
     return forms.pipe_tables(A.cells(s, d))
 
 
-@query(
-    "jn2_label_targets",
-    f"""{A.with_tables("cells")},\n{_GRID}, g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, table_index, "row") AS n, count(*) OVER (PARTITION BY doc_id, table_index, "row", text) AS same FROM grid),
-j AS (SELECT g.doc_id, g.table_index, g."row", g.col, g.text, CASE WHEN trim(r.text) = '' THEN 'right' WHEN trim(b.text) = '' AND NOT (n >= 3 AND same >= n - 1) THEN 'below' END AS side FROM g
-  LEFT JOIN grid r ON r.doc_id = g.doc_id AND r.table_index = g.table_index AND r."row" = g."row" AND r.col = g.col + 1 LEFT JOIN grid b ON b.doc_id = g.doc_id AND b.table_index = g.table_index AND b."row" = g."row" + 1 AND b.col = g.col
-  WHERE length(trim(g.text)) BETWEEN 1 AND 20 AND right(trim(g.text), 1) NOT IN ('.', '?', '!') AND NOT regexp_matches(trim(g.text), '^[0-9.,/\\-\\s]+$'))
-SELECT * FROM j WHERE side IS NOT NULL""",
-)
+_TARGETS = """g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, table_index, "row") AS n, count(*) OVER (PARTITION BY doc_id, table_index, "row", text) AS same,
+  CASE WHEN lead(col) OVER a = col + 1 THEN lead(text) OVER a END AS r, CASE WHEN lead("row") OVER b = "row" + 1 THEN lead(text) OVER b END AS b
+  FROM grid WINDOW a AS (PARTITION BY doc_id, table_index, "row" ORDER BY col), b AS (PARTITION BY doc_id, table_index, col ORDER BY "row")),
+targets AS (SELECT * FROM (SELECT doc_id, table_index, "row", col, text, CASE WHEN trim(r) = '' THEN 'right' WHEN trim(b) = '' AND NOT (n >= 3 AND same >= n - 1) THEN 'below' END AS side FROM g
+  WHERE length(trim(text)) BETWEEN 1 AND 20 AND right(trim(text), 1) NOT IN ('.', '?', '!') AND NOT regexp_matches(trim(text), '^[0-9.,/\\-\\s]+$')) WHERE side IS NOT NULL)"""
+
+
+@query("jn2_label_targets", f"{A.with_tables('cells')},\n{_GRID},\n{_TARGETS} SELECT * FROM targets")
 def jn2(s, d):  # noqa: ANN001, ANN201
     return forms.label_targets(A.cells(s, d))
 
@@ -234,7 +299,7 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     f"""{A.with_tables("cells")},\n{_GRID}, asked AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '금액' ELSE '상태' END AS label, CASE WHEN o_orderkey % 5 = 0 THEN 'down' ELSE 'right' END AS direction FROM orders),
 f AS (SELECT doc_id, table_index, "row", col, text AS label FROM cells QUALIFY count(*) OVER (PARTITION BY doc_id, text) = 1),
 t AS (SELECT a.*, f.table_index, f."row" + (direction = 'down')::INT AS "row", f.col + (direction = 'right')::INT AS col FROM asked a LEFT JOIN f USING (doc_id, label))
-SELECT t.doc_id, label, direction, t."row", t.col, g.text AS value FROM t LEFT JOIN grid g ON g.doc_id = t.doc_id AND g.table_index = t.table_index AND g."row" = t."row" AND g.col = t.col""",
+SELECT t.doc_id, label, direction, t.table_index, t."row", t.col, g.text AS value FROM t LEFT JOIN grid g ON g.doc_id = t.doc_id AND g.table_index = t.table_index AND g."row" = t."row" AND g.col = t.col""",
 )
 def jn7(s, d):  # noqa: ANN001, ANN201
     return forms.labelled_cell(A.cells(s, d), _asked(s, d))
@@ -387,9 +452,19 @@ def wn11(s, d):  # noqa: ANN001, ANN201
     return media.bands(media.recurring_hashes(A.page_images(s, d)))
 
 
-@query("ag15_link_census", None)
+_SPANNED = r"""sp AS (SELECT doc_id, section_no, para_idx, length(text) AS n, CASE WHEN length(text) % 3 = 0 THEN 'see https://a.kr/x and $a_1$ ' ELSE '$5 and $10 $x$ ' END AS t FROM paragraphs)"""
+
+
+@query(
+    "ag15_link_census",
+    f"""{A.with_tables("paragraphs")}, {_SPANNED}, k AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM {A._NUMBERED} WHERE l_partkey % 5 <> 0 AND pos % 2 = 0 GROUP BY 1)
+SELECT doc_id, coalesce(k.n, 0) AS n_links, count(*) FILTER (sp.n % 3 = 0) AS n_bare, sum(sp.n % 2)::BIGINT AS n_equations, coalesce(string_agg(CASE WHEN sp.n % 3 = 0 THEN 'a_1' END, ','), '') AS latex_left FROM sp LEFT JOIN k USING (doc_id) GROUP BY 1, 2""",
+)
 def ag15(s, d):  # noqa: ANN001, ANN201
-    return media.link_census(A.read(s, d, "pages").select("page_id", "html"), "page_id", "html")
+    n = F.length("text")
+    p = A.paragraphs(s, d).select("doc_id", "section_no", "para_idx", (n % 2).alias("equations"), F.when(n % 3 == 0, "see https://a.kr/x and $a_1$ ").otherwise("$5 and $10 $x$ ").alias("text"))
+    fields = _fields(s, d).withColumn("field_type", F.when(F.col("field_id").cast("long") % 2 == 0, "HYPERLINK").otherwise("CLICK"))
+    return media.link_census(fields, p).withColumn("latex_left", F.array_join("latex_left", ","))
 
 
 _LATEST = "latest AS (SELECT * FROM revisions QUALIFY row_number() OVER (PARTITION BY name ORDER BY modified_time DESC, file_id DESC) = 1), state AS (SELECT * FROM revisions WHERE confirmed QUALIFY row_number() OVER (PARTITION BY name ORDER BY modified_time DESC, file_id DESC) = 1)"
@@ -583,15 +658,15 @@ def jn3(s, d):  # noqa: ANN001, ANN201
     return forms.matched_slots(slots, A.people(s, d), assigned)
 
 
-_ITEMS = """items AS (SELECT l_orderkey AS doc_id, pos - 1 AS i, unnest(['번호', '수량']) AS field, unnest([(pos * 10)::VARCHAR, (pos * 7)::VARCHAR]) AS value FROM NUMBERED WHERE pos <= 3),
+_ITEMS = """items AS (SELECT l_orderkey AS doc_id, pos - 1 AS i, unnest(['번호', '수량']) AS field, unnest([(pos * 10)::VARCHAR, (pos * 7)::VARCHAR]) AS value FROM NUMBERED),
 repeated AS (SELECT i.doc_id, 0::BIGINT AS table_index, 4 + i AS "row", CASE field WHEN '번호' THEN 0 ELSE 1 END::BIGINT AS col, field, value FROM items i JOIN (SELECT doc_id, max("row") AS last FROM cells GROUP BY 1) USING (doc_id) WHERE 4 + i <= last)""".replace("NUMBERED", A._NUMBERED)
 
 
 def _repeated(s: SparkSession, d: str) -> DataFrame:
-    n = A._numbered(s, d).where("pos <= 3")
+    n = A._numbered(s, d)
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), (F.col("pos") * k).cast("string").alias("value")) for f, k in (("번호", 10), ("수량", 7))))
     items = n.select(F.col("l_orderkey").alias("doc_id"), (F.col("pos") - 1).alias("i"), F.explode(pairs).alias("p")).select("doc_id", "i", "p.*")
-    return forms.repeated_section(A.cells(s, d).join(A.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi"), ["번호", "수량"], items)
+    return forms.repeated_section(A.cells(s, d).join(A.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi"), {"번호": "번호", "수량": "수량"}, items)
 
 
 @query("jn4_repeated_section", f"{A.with_tables('cells')},\n{_ITEMS} SELECT * FROM repeated WHERE doc_id IN (SELECT o_orderkey FROM orders)")
@@ -622,7 +697,11 @@ def ag16(s, d):  # noqa: ANN001, ANN201
     return forms.fill_summary(jn6(s, d))
 
 
-@query("ag12_row_heights")
+@query(
+    "ag12_row_heights",
+    f"""{A.with_tables("cells")}, h AS (SELECT *, 1000 + length(text) * 10 AS h FROM cells), f AS (SELECT doc_id, table_index, "row", max(h) AS h FROM h WHERE row_span = 1 GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, table_index, unnest(range(max("row" + row_span))) AS "row" FROM cells GROUP BY 1, 2) SELECT r.doc_id, r.table_index, r."row", coalesce(f.h, 0)::BIGINT AS height FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.table_index = r.table_index AND f."row" = r."row" """,
+)
 def ag12(s, d):  # noqa: ANN001, ANN201
     return forms.row_heights(A.cells(s, d).withColumn("height", (1000 + F.length("text") * 10).cast("long")))
 
@@ -664,10 +743,10 @@ def jn9(s, d):  # noqa: ANN001, ANN201
     return checks.unpaired_fields(_fields(s, d))
 
 
-@query("tk4_next_version", "WITH t AS (SELECT DISTINCT user_id % 50 AS name, event_id % 9 AS version FROM events WHERE event_id % 3 <> 1 OR user_id % 2 = 0), g AS (SELECT name, unnest(range(2, 12)) AS v FROM t GROUP BY 1) SELECT name::VARCHAR AS name, min(v) AS next_version FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.name = g.name AND t.version = g.v) GROUP BY 1")
+@query("tk4_next_version", "WITH t AS (SELECT DISTINCT user_id % 500 AS name, event_id % 9 AS version FROM events), g AS (SELECT name, unnest(range(2, 12)) AS v FROM t GROUP BY 1) SELECT name::VARCHAR AS name, min(v) AS next_version FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.name = g.name AND t.version = g.v) GROUP BY 1")
 def tk4(s, d):  # noqa: ANN001, ANN201
-    e = A.read(s, d, "events").where("event_id % 3 <> 1 or user_id % 2 = 0")
-    return checks.next_version(e.select((F.col("user_id") % 50).cast("string").alias("name"), (F.col("event_id") % 9).alias("version")))
+    e = A.read(s, d, "events")
+    return checks.next_version(e.select((F.col("user_id") % 500).cast("string").alias("name"), (F.col("event_id") % 9).alias("version")))
 
 
 @query("pf3_kept_lines", f"{A.with_tables('paragraphs')} SELECT doc_id, section_no, para_idx, line_no FROM (SELECT *, unnest(range(line_segs)) AS line_no FROM paragraphs) WHERE NOT (line_segs >= 1 AND line_breaks + 1 > line_segs)")
@@ -695,6 +774,21 @@ def wn17(s, d):  # noqa: ANN001, ANN201
     return edits.delete_rows(c, ranges).select("doc_id", "table_index", "row", "col", "row_span", "text", "error")
 
 
+@query(
+    "wn17_repeated_rows",
+    f"""{A.with_tables("cells")}, bad AS (SELECT doc_id, 'split merge' AS error FROM cells WHERE "row" = 0 AND col = 1 AND row_span = 2), sz AS (SELECT doc_id, max("row" + row_span - 1) AS last FROM cells GROUP BY 1),
+o AS (SELECT c.*, error, last FROM cells c LEFT JOIN bad USING (doc_id) JOIN sz USING (doc_id))
+SELECT doc_id, table_index, "row" + CASE WHEN error IS NULL AND "row" > 1 THEN 2 ELSE 0 END AS "row", col, row_span, text, error FROM o
+UNION ALL SELECT doc_id, table_index, "row" + k, col, row_span, '', NULL FROM (SELECT *, unnest([1, 2]) AS k FROM o WHERE error IS NULL AND "row" = 1)
+UNION ALL SELECT doc_id, table_index, "row" + 3, col, row_span, '', NULL FROM o WHERE error IS NULL AND "row" = last""",
+)
+def wn17_repeats(s, d):  # noqa: ANN001, ANN201
+    c = A.cells(s, d)
+    t = c.select("doc_id", "table_index").distinct()
+    repeats = t.select("doc_id", "table_index", *(F.lit(x).cast("long").alias(n) for n, x in (("first", 1), ("last", 1), ("n", 2)))).unionByName(t.select("doc_id", "table_index", *(F.lit(x).cast("long").alias(n) for n, x in (("first", None), ("last", None), ("n", 1)))))
+    return edits.repeat_rows(c, repeats).select("doc_id", "table_index", "row", "col", "row_span", "text", "error")
+
+
 def _tables(s: SparkSession, d: str) -> DataFrame:
     o = A.read(s, d, "orders")
     k = F.col("o_orderkey")
@@ -807,11 +901,15 @@ def sc29(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "st1_all_slots",
-    f"""{A.with_tables("form_lines")},\n{_SLOTTED}, ph AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS name FROM form_lines)
-SELECT doc_id, 'placeholder' AS kind, name AS locator, name FROM ph UNION ALL SELECT doc_id, kind, name, name FROM sl""",
+    f"""{A.with_tables("form_lines", "cells")},\n{_SLOTTED},\n{_GRID},\n{_TARGETS}, ph AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS name FROM form_lines),
+every AS (SELECT doc_id, 'placeholder' AS kind, name AS locator, name, NULL::VARCHAR AS cur FROM ph UNION ALL SELECT doc_id, kind, kind || ':' || name, name, NULL FROM sl
+  UNION ALL SELECT doc_id, 'cell', 'cell:' || table_index || ':' || ("row" + (side = 'below')::INT) || ':' || (col + (side = 'right')::INT), text, '' FROM targets
+  UNION ALL SELECT doc_id, 'checkbox', 'checkbox:' || regexp_extract(text, '☑ (\\S+)', 1), regexp_extract(text, '☑ (\\S+)', 1), 'on' FROM form_lines WHERE contains(text, '☑')
+  UNION ALL SELECT doc_id, 'inline', 'tab:' || trim(string_split(text, chr(9))[1]), trim(string_split(text, chr(9))[1]), trim(array_to_string(string_split(text, chr(9))[2:], ''), ' ') FROM form_lines WHERE contains(text, chr(9)))
+SELECT doc_id, kind, locator, min(name) AS name, min(cur) AS current FROM every GROUP BY 1, 2, 3""",
 )
 def st1(s, d):  # noqa: ANN001, ANN201
-    return forms.all_slots(A.form_lines(s, d), A.cells(s, d).where("false"))
+    return forms.all_slots(A.form_lines(s, d), A.cells(s, d))
 
 
 _scalar("sc12_caption_frame", "regexp_replace('<표 ' || ord || '> ' || text, '^\\s*(?:[<〈]\\s*표\\s*[^>〉]*[>〉]|\\[\\s*그림\\s*[^\\]]*\\])\\s*', '')", lambda c: T.strip_caption_frame(F.concat(F.lit("<표 "), F.col("ord").cast("string"), F.lit("> "), c)))

@@ -176,9 +176,18 @@ def test_forms(spark):
     cells = table(spark, "doc_id long, table_index long, row long, col long, row_span long, col_span long, text string, height long", (1, 0, 0, 0, 1, 1, "과제명", 5), (1, 0, 0, 1, 1, 1, "", 9), (1, 0, 1, 0, 1, 1, "책임자", 4), (1, 0, 1, 1, 1, 1, "홍", 4))
     assert [(r.text, r.side) for r in forms.label_targets(cells).collect()] == [("과제명", "right")]
     assert forms.box_height(cells).collect() == [(1, 0, 13)]
-    assert {r.kind for r in forms.all_slots(p, cells).collect()} == {"placeholder", "cell", "section", "label"}
+    more = table(spark, "doc_id long, section_no long, para_idx long, text string, has_table boolean", (1, 0, 6, "☑ 동의함 x", False), (1, 0, 7, "전화\t02\t03", False))
+    every = {(r.kind, r.locator, r.name, r.current) for r in forms.all_slots(p.unionByName(more), cells).collect()}
+    assert every == {("placeholder", "a", "a", None), ("cell", "cell:0:0:1", "과제명", ""), ("section", "section:변경사유", "변경사유", None), ("label", "label:유형", "유형", None), ("checkbox", "checkbox:동의함", "동의함", "on"), ("inline", "tab:전화", "전화", "0203")}
+    keys = table(spark, "doc_id long, key string, value string", (1, "책임자 > right", "김"), (1, "과제명 > right", "P"), (1, "checkbox:동의함", "0"), (1, "tab:전화", "t"), (1, "section: x", "?"), (1, "없음 > left", "?"))
+    asked = forms.located(keys, cells)
+    assert {(r.key, r.value) for r in asked.collect()} == {("cell:0:1:1", "김"), ("cell:0:0:1", "P"), ("checkbox:동의함", "0"), ("tab:전화", "t"), ("section: x", "?"), ("없음 > left", "?")}
+    routed = {(r.locator, r.value) for r in forms.fill(forms.all_slots(more, cells), asked).where("filled").collect()}
+    assert routed == {("cell:0:0:1", "P"), ("checkbox:동의함", "off"), ("tab:전화", "t")}
+    piped = table(spark, "doc_id long, table_index long, row long, col long, row_span long, col_span long, text string", (1, 0, 0, 0, 1, 2, "a|b $x|y$"), (1, 0, 1, 0, 1, 1, "p\nq"), (1, 0, 1, 1, 1, 1, None))
+    assert forms.pipe_tables(piped, table(spark, "doc_id long, table_index long, caption string", (1, 0, " 표 1 "))).collect() == [(1, 0, "표 1\n\n| a\\|b $x|y$ | a\\|b $x|y$ |\n|---|---|\n| p<br>q |  |")]
     items = table(spark, "doc_id long, i long, field string, value string", (1, 0, "책임자", "김"), (1, 5, "책임자", "far"))
-    rep = forms.repeated_section(table(spark, cells.drop("height").schema.simpleString()[7:-1].replace(":", " "), (1, 0, 0, 0, 1, 1, "책임자"), (1, 0, 0, 1, 1, 1, "소속"), (1, 0, 1, 0, 1, 1, ""), (1, 0, 1, 1, 1, 1, "")), ["책임자", "소속"], items)
+    rep = forms.repeated_section(table(spark, cells.drop("height").schema.simpleString()[7:-1].replace(":", " "), (1, 0, 0, 0, 1, 1, "책임자"), (1, 0, 0, 1, 1, 1, "소속"), (1, 0, 1, 0, 1, 1, ""), (1, 0, 1, 1, 1, 1, "")), {"책임자": "책임자", "소속": "소속"}, items)
     assert [(r.row, r.col, r.value) for r in rep.collect()] == [(1, 0, "김")]
 
 
@@ -188,6 +197,12 @@ def test_edits(spark):
     got = edits.delete_rows(cells, ranges).collect()
     assert sorted((r.doc_id, r.row, r.text, r.error) for r in got if r.doc_id == 1) == [(1, 0, "0", None), (1, 1, "3", None), (1, 2, "4", None)]
     assert {(r.row, r.error) for r in got if r.doc_id == 2} == {(0, "split merge"), (2, "split merge")}
+    repeats = table(spark, "doc_id long, table_index long, first long, last long, n long", (1, 0, 0, 1, 2), (1, 0, None, None, 1), (2, 0, 1, 2, 1))
+    got = edits.repeat_rows(cells, repeats).collect()
+    assert sorted((r.row, r.text) for r in got if r.doc_id == 1) == [(0, "0"), (1, "1"), (2, ""), (3, ""), (4, ""), (5, ""), (6, "2"), (7, "3"), (8, "4"), (9, "")]
+    assert {(r.row, r.error) for r in got if r.doc_id == 2} == {(0, "split merge"), (2, "split merge")}
+    both = edits.restructure_rows(cells, table(spark, "doc_id long, table_index long, first long, last long", (1, 0, 1, 3)), repeats)
+    assert sorted((r.row, r.text, r.error) for r in both.collect() if r.doc_id == 1) == [(i, str(i), "overlap") for i in range(5)]
     p = table(spark, "doc_id long, section_no long, para_idx long, text string", (1, 0, 0, "a"), (1, 0, 1, "b"))
     new = table(spark, "doc_id long, section_no long, anchor_idx long, before boolean, i int, text string", (1, 0, 1, True, 0, "x"), (1, 0, 0, True, 0, "w"), (1, 0, 1, False, 0, "z"))
     assert [r.text for r in edits.insert_paragraphs(p, new).orderBy("para_idx").collect()] == ["w", "a", "x", "b", "z"]
@@ -311,3 +326,24 @@ def test_judges(spark):
     pages = table(spark, "doc_id long, page long, image binary", (1, 1, b"x"), (1, 2, b""))
     got = media.judge_pages(pages, lambda b: b.assign(ok=b["image"].map(len) > 0, issue=None)[["doc_id", "page", "ok", "issue"]])
     assert {(r.page, r.ok) for r in got.collect()} == {(1, True), (2, False)}
+
+
+def test_figures_images_and_instructions(spark):
+    f = table(spark, "t string, p array<string>, l string, n array<string>", ("제목", ["a.png", "b c.png"], "f", ["자료: x", " "]), (None, ["a.png"], None, None))
+    assert [r[0] for r in f.select(T.figure_line(F.col("t"), F.col("p"), F.col("l"), F.col("n"))).collect()] == ["![제목](a.png) ![](<b c.png>){#f}\n자료: x", "![](a.png)"]
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
+    jpg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + (20).to_bytes(2, "big") + (30).to_bytes(2, "big") + b"\0"
+    bmp = b"BM" + b"\0" * 16 + (7).to_bytes(4, "little") + (-9).to_bytes(4, "little", signed=True)
+    got = spark.createDataFrame([(i, c) for i, c in enumerate([png, jpg, bmp, b"GIF89a\x05\0\x06\0", b"\xff\xd8\xff", b"", None])], "i int, c binary").select("i", T.image_size(F.col("c")).alias("s")).orderBy("i").collect()
+    assert [tuple(r.s) for r in got] == [(300, 200), (30, 20), (7, 9), (5, 6), (None, None), (None, None), (None, None)]
+    e = table(spark, "w long, x long, y long, cap long", (1000, 200, 100, 600), (1000, 100, 200, 600)).select(T.fitted(F.col("w"), F.col("x"), F.col("y"), F.col("cap")).alias("e"))
+    assert [tuple(r.e) for r in e.collect()] == [(1000, 500, 1.0), (300, 600, 0.3)]
+    p = table(spark, "doc_id long, section_no long, para_idx long, style_id string, text string", (1, 0, 0, "9", "쓰기 {{a}}"), (1, 0, 1, "9", " "), (1, 0, 2, "0", "b"))
+    assert [tuple(r) for r in markdown.instructions(p, table(spark, "doc_id long, role string, style_id string", (1, "INSTRUCTION", "9"), (1, "BODY", "0"))).collect()] == [(1, 0, 0, "쓰기 {{a}}", ["a"])]
+
+
+def test_bands_beyond_the_alphabet(spark):
+    pages = table(spark, "doc_id long, page long, signature string", *[(1, i, f"s{i:02d}") for i in range(28)], *[(2, i, "ab"[i % 2]) for i in range(5)], (3, 0, ""))
+    got = {(r.doc_id, r.first_page, r.last_page): r.letter for r in media.bands(pages).collect()}
+    assert (got[1, 25, 25], got[1, 26, 26], got[1, 27, 27]) == ("Z", "AA", "AB")
+    assert got[2, 0, 4] == "A" and got[3, 0, 0] == "—"
