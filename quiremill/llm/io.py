@@ -55,19 +55,24 @@ def whole_numbers(df: DataFrame, key: str) -> Column:
     return F.col(key).cast("long")
 
 
-def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """The rows of df whose column may be among ids (one column): a filter before a join, which alone decides.
+def marked(df: DataFrame, column: str, ids: DataFrame, mark: str = "__maybe", bits: int = 1 << 24) -> DataFrame:
+    """df with a boolean ``mark``: false only if the row's column surely isn't among ids (one column), so that such rows need no join.
 
     What is broadcast is a bitmap of ``bits`` hash slots, whatever the number of ids: 2 MB here. When
-    ids outnumber the slots it lets everything through, and the join does all the work.
+    ids outnumber the slots it marks everything, and the join does all the work.
     """
 
-    def slot(c: str):  # noqa: ANN202
+    def slot(c: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(6), F.col(c)), F.lit(bits))
 
     name = ids.columns[0]
     held = ids.select(slot(name).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
     at = F.bitmap_bit_position("__slot")
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    known = df.withColumn("__slot", slot(column)).withColumn("__bucket", F.bitmap_bucket_number("__slot")).join(F.broadcast(held), "__bucket")
-    return known.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+    known = df.withColumn("__slot", slot(column)).withColumn("__bucket", F.bitmap_bucket_number("__slot")).join(F.broadcast(held), "__bucket", "left")
+    return known.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(mark))
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows of df whose column may be among ids (one column): a filter before a join, which alone decides."""
+    return marked(df, column, ids, bits=bits).where("__maybe").drop("__maybe")

@@ -3,32 +3,41 @@
 A window is ``window`` consecutive words of one document. A window repeats when its word sequence
 also starts in a document with a smaller id; every word that a repeated window covers is removed.
 
-The index holds sorted immutable runs of (fp, rid, doc_id). A window's fingerprint is the least
-hash of its ``k``-word grams, so equal windows have equal fingerprints while neighbours share
-theirs: a run has about one row for every (window - k) / 2 words. A new batch becomes a run of its
-own, is merge-joined with the runs before it on fp, and what they share is verified: only the
-windows behind shared fingerprints get their full 64-bit hash, compared within one fingerprint (so
-on 128 bits). Windows that share a fingerprint travel as one array; equal arrays (copies) are
-aggregated to their least doc_id before any window is listed by itself, so a group of copies costs
-one row for each map task. ``fan`` runs of one level are compacted to one of the next.
+The index holds sorted immutable runs of (fp, rid, doc_id), each a Parquet table in buckets of fp, so a
+batch is merge-joined with them where they lie: only the batch itself is dealt out. A window's
+fingerprint is the least hash of its ``k``-word grams, so equal windows have equal fingerprints while
+neighbours share theirs: a run has about one row for every (window - k) / 2 words. What a batch shares with
+the runs before it is verified: only the windows behind shared fingerprints get their full 64-bit
+hash, compared within one fingerprint (so on 128 bits). Windows that share a fingerprint travel as
+one array; equal arrays (copies) are aggregated to their least doc_id before any window is listed by
+itself, so a group of copies costs one row for each map task. ``fan`` runs of one level are compacted
+to one of the next.
+
+An index in a folder keeps the texts of its documents and a list of its runs there, and
+``SubstringIndex.opened`` goes on from it in a later session; one without a folder is for one job.
 
 Batches must come in ascending ranges of doc_id, since a batch is only judged against itself and
 what came before. Defined cases: null and empty text have no words; a null doc_id is neither
 source nor target; rows with one doc_id never count against each other; repeated rows are judged
-alike; extra columns are not read. An empty table gives an empty result.
+alike; ids are whole numbers, others are an error before any job runs; extra columns are not read. An empty
+table gives an empty result. A text is taken whole and needs about 100 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quiremill.llm.io import saved, whole_numbers
+from quiremill.llm.io import marked, maybe_in, saved, shared_folder, whole_numbers
 from quiremill.llm.kernel import Slab, Words, row_sums, sha256, signed, slabs
 
+_RUN = "fp bigint, rid bigint, doc_id bigint"
+
 
 def row_id(key: str, text: str) -> Column:
     return F.xxhash64(F.lit(8), F.col(key), F.col(text))
@@ -53,11 +62,39 @@ def minimizers(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarra
 class SubstringIndex:
     """Runs of historical fingerprints; ``repeats`` judges a batch and then adds it."""
 
-    def __init__(self, window: int = 50, k: int = 10, fan: int = 2, max_run: int = 64):
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 50, k: int = 10, fan: int = 4, max_run: int = 64, buckets: int | None = None):
         if not 1 <= k <= window:
             raise ValueError("k must be from 1 to window")
-        self.window, self.k, self.fan, self.max_run = window, k, fan, max_run
-        self.runs: list[tuple[int, DataFrame, DataFrame]] = []  # level, fingerprints, documents that they come from
+        self.spark, self.window, self.k, self.fan, self.max_run = spark, window, k, fan, max_run
+        self.kept, self.folder = folder is not None, (folder or shared_folder(spark)).rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version = 0
+        self.runs: list[tuple[int, str]] = []  # level and name of each run, oldest first
+        self.texts: list[DataFrame] = []  # documents that the runs come from
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str) -> SubstringIndex:
+        """The index that was kept in a folder, as the last batch left it."""
+        listed = spark.read.parquet(f"{folder.rstrip('/')}/list")
+        last = listed.agg(F.max("version")).first()[0]
+        rows = listed.where(F.col("version") == last).orderBy("no").collect()
+        r = rows[0]
+        index = cls(spark, folder, r.window, r.k, r.fan, r.max_run, r.buckets)
+        index.version, index.runs = last, [(x.level, x.name) for x in rows]
+        index.texts = [spark.read.parquet(f"{index.folder}/texts")]
+        return index
+
+    def run(self, name: str) -> DataFrame:
+        """A run as a table in buckets; a session that hasn't seen it yet learns of it here."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({_RUN}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, rid) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(name)
+
+    def written(self, rows: DataFrame) -> str:
+        """Write a run, one file for each bucket, and give its name."""
+        name = f"run_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp", "rid").option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         """(fp, rid, doc_id), once for each fingerprint of a row."""
@@ -105,32 +142,28 @@ class SubstringIndex:
 
         return docs.select("rid", "doc_id", "text", "fps").mapInArrow(run, "rid long, doc_id long, fp long, pos int, hs array<long>")
 
-    def repeats(self, docs: DataFrame) -> DataFrame:
-        """(rid, starts) for the rows of this batch that have repeated windows; then the batch joins the index.
+    def repeats(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """(rid, starts) for the rows of this batch that have repeated windows; then the batch joins the index, unless it is the last of a job.
 
         docs: rid, doc_id, text, without null doc_id.
         """
-        new = saved(self.fingerprints(docs).repartitionByRange("fp", "rid").sortWithinPartitions("fp", "rid"))
-        totals = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        new = self.written(self.fingerprints(docs))
+        totals = self.run(new).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         shared = totals.where("lo < hi").select("fp")
-        sources, texts = [new], docs
+        wanted, texts = self.run(new), docs
+        if self.runs:
+            hits = [self.run(name).join(totals.select("fp"), "fp", "left_semi") for _, name in self.runs]
+            past = saved(_union(hits))  # each run and the batch, merged on fp
+            shared, wanted = shared.unionByName(past.select("fp")).distinct(), wanted.unionByName(past)
+            texts = _union([docs, *self.texts])
+        wanted = saved(wanted.join(shared, "fp", "left_semi").groupBy("rid").agg(F.collect_set("fp").alias("fps")))
+        found = self.verify(maybe_in(texts, "rid", wanted.select("rid")).join(wanted, "rid"))
         if self.runs:
-            past = self.runs[0][1]
-            for _, run, _ in self.runs[1:]:
-                past = past.unionByName(run)
-            hits = saved(past.join(totals.select("fp"), "fp", "left_semi"))  # the runs and the batch, merged on fp
-            shared = shared.unionByName(hits.select("fp")).distinct()
-            sources.append(hits)
-            for _, _, earlier in self.runs:
-                texts = texts.unionByName(earlier)
-        shared = saved(shared)
-        wanted = sources[0]
-        for s in sources[1:]:
-            wanted = wanted.unionByName(s)
-        wanted = wanted.join(shared, "fp", "left_semi").groupBy("rid").agg(F.collect_set("fp").alias("fps"))
-        found = self.verify(texts.join(wanted, "rid"))
-        self.add(new, docs)
-        return found.join(docs.select("rid").distinct(), "rid", "left_semi") if len(sources) > 1 else found
+            found = found.join(docs.select("rid").distinct(), "rid", "left_semi")
+        if not last or self.kept:
+            found = saved(found)
+            self.add(new, docs)
+        return found
 
     def verify(self, candidates: DataFrame) -> DataFrame:
         """(rid, starts): starts of the windows that a smaller doc_id has too."""
@@ -138,7 +171,8 @@ class SubstringIndex:
         variants = occ.groupBy("fp", "vid", "hs").agg(F.min("doc_id").alias("first"))
         variants = saved(variants)
         many = variants.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        listed = variants.join(many, "fp", "left_semi").select("fp", "vid", "first", F.posexplode("hs").alias("i", "h"))
+        # Dealt out anew by window: one fingerprint may have many arrays, and the join before can be split then.
+        listed = variants.join(many, "fp", "left_semi").select("fp", "vid", "first", F.posexplode("hs").alias("i", "h")).repartition("fp", "h")
         least = listed.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
         earlier = listed.join(least, ["fp", "h"]).where("least < first")
         earlier = earlier.groupBy("fp", "vid").agg(F.map_from_entries(F.collect_list(F.struct("i", "least"))).alias("earlier"))
@@ -149,16 +183,25 @@ class SubstringIndex:
         starts = F.when(F.col("first") < F.col("doc_id"), every).when(F.col("earlier").isNotNull(), some)
         return judged.select("rid", starts.alias("s")).where("size(s) > 0").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
 
-    def add(self, fingerprints: DataFrame, docs: DataFrame) -> None:
-        """Append a run; compact while ``fan`` runs have one level."""
-        self.runs.append((0, fingerprints, docs))
-        while len(self.runs) >= self.fan and len({level for level, _, _ in self.runs[-self.fan :]}) == 1:
+    def add(self, run: str, docs: DataFrame) -> None:
+        """Append a run, compact while ``fan`` runs have one level, and note the new state."""
+        self.runs.append((0, run))
+        while len(self.runs) >= self.fan and len({level for level, _ in self.runs[-self.fan :]}) == 1:
             merged = self.runs[-self.fan :]
-            fps, texts = merged[0][1], merged[0][2]
-            for _, f, t in merged[1:]:
-                fps, texts = fps.unionByName(f), texts.unionByName(t)
-            fps = saved(fps.repartitionByRange("fp", "rid").sortWithinPartitions("fp", "rid"))
-            self.runs[-self.fan :] = [(merged[0][0] + 1, fps, texts)]
+            self.runs[-self.fan :] = [(merged[0][0] + 1, self.written(_union([self.run(name) for _, name in merged])))]
+        if not self.kept:
+            self.texts.append(docs)
+            return
+        docs.select("rid", "doc_id", "text").write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/texts")
+        self.texts = [self.spark.read.parquet(f"{self.folder}/texts")]
+        self.version += 1
+        rows = [(self.version, no, level, name, self.window, self.k, self.fan, self.max_run, self.buckets) for no, (level, name) in enumerate(self.runs)]
+        schema = "version long, no long, level long, name string, window int, k int, fan int, max_run int, buckets int"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/list")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 10, batches: int = 2) -> DataFrame:
@@ -166,21 +209,24 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     docs go through the index in ``batches`` ascending ranges of key.
     """
-    index = SubstringIndex(window, k)
+    index = SubstringIndex(docs.sparkSession, None, window, k)
     own = docs.select(whole_numbers(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"), row_id(key, text).alias("rid"))
     known = own.where("doc_id is not null")
     cuts = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    found = None
+    parts = []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = known
         if lo is not None:
             part = part.where(F.col("doc_id") > lo)
         if hi is not None:
             part = part.where(F.col("doc_id") <= hi)
-        got = saved(index.repeats(part))
-        found = got if found is None else found.unionByName(got)
-    return own.join(found, "rid", "left")
+        parts.append(index.repeats(part, last=hi is None))
+    found = saved(_union(parts))
+    # Rows without repeats needn't meet the result: the bitmap leaves them where they are.
+    own = marked(own, "rid", found.select("rid"), "hit")
+    none = F.lit(None).cast(found.schema["starts"].dataType).alias("starts")
+    return own.where("hit").drop("hit").join(found, "rid", "left").unionByName(own.where("not hit").drop("hit").withColumn("starts", none))
 
 
 def kept_words(found: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:

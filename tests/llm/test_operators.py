@@ -185,6 +185,27 @@ def test_substring(docs, rows, window, k, batches):
     assert got.count() == docs.count()
 
 
+def test_substring_index_goes_on_in_another_session(spark, docs, tmp_path):
+    folder = str(tmp_path / "index")
+    own = docs.where("doc_id is not null").select(substring.row_id("doc_id", "text").alias("rid"), "doc_id", "text")
+    want = {r.rid: sorted(r.starts) for r in substring.find_repeats(docs, window=12, k=4, batches=1).where("starts is not null").collect()}
+    parts = [own.where("doc_id < 30"), own.where("doc_id between 30 and 60"), own.where("doc_id between 61 and 80"), own.where("doc_id > 80")]
+    got = {}
+    index = substring.SubstringIndex(spark, folder, window=12, k=4, fan=2)
+    for i, part in enumerate(parts):
+        if i == 2:
+            for _, name in index.runs:
+                spark.sql(f"DROP TABLE {name}")
+            assert [level for level, _ in index.runs] == [1]
+            index = substring.SubstringIndex.opened(spark.newSession(), folder)
+            assert (index.window, index.k, index.fan, len(index.runs)) == (12, 4, 2, 1)
+        got |= {r.rid: sorted(r.starts) for r in index.repeats(part).collect()}
+    assert got == want and len(want) > 10
+    assert [level for level, _ in index.runs] == [2]
+    plan = index.run(index.runs[0][1]).join(index.run(index.runs[0][1]).groupBy("fp").count(), "fp")._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_substring_empty(empty):
     assert substring.kept_words(substring.find_repeats(empty)).count() == 0
 
