@@ -5,7 +5,7 @@
    sets form a class; its least id stands for it.
 2. Two sets can only reach the similarity if they share one of their first n - ceil(t * n) + 1
    members. Classes that share such a key join the group of the least class with that key.
-3. Each group is split into blocks of at most ``BLOCK`` classes. With a set goes a parity bitmap of
+3. Each group is split into blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles, whichever is fewer. With a set goes a parity bitmap of
    about its size: the bits in which two bitmaps differ are at most the members in which the sets
    differ, so what that bound rules out needs no text. What may still be similar forms subgroups;
    subgroups with the same members are kept once.
@@ -40,6 +40,8 @@ from quiremill.llm.kernel import Slab, Words, mix, row_sums, signed, slabs
 #: Most recurring shingles that are put last in the order; the bound on what is broadcast for them.
 HEAVY = 1 << 16
 BLOCK = 1024
+#: Shingles of a block's sets, some 30 MB of text: a task holds the texts of one block.
+BLOCK_SHINGLES = 1 << 22
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -73,7 +75,8 @@ def ordered_sets(slab: Slab, n: int, heavy: np.ndarray) -> tuple[np.ndarray, np.
 def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
     """Up to HEAVY shingles that recur most, sorted by hash, with the rank as second column (rarest first).
 
-    A task reports those that recur within a slab; only the order depends on that, no result.
+    A task adds up those that recur within a slab of 1 MB, so a passage in one of a thousand texts is met in
+    some slabs of a large corpus; only the order depends on that, no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +84,12 @@ def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
         for slab in slabs(batches, size=1 << 20):
             _, h = shingles(slab, n)
             h, count = np.unique(h, return_counts=True)
-            often = count >= max(3, len(slab) // 100)
+            often = count >= max(2, len(slab) // 200)
             for k, c in zip(signed(h[often]).tolist(), count[often].tolist(), strict=True):
                 found[k] = found.get(k, 0) + c
             if len(found) > 4 * HEAVY:
                 found = dict(sorted(found.items(), key=lambda x: -x[1])[:HEAVY])
+        found = dict(sorted(found.items(), key=lambda x: -x[1])[:HEAVY])
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["h", "c"])
 
     top = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).collect()
@@ -263,12 +267,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = saved(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     nodes = classes.select("node").distinct()
-    keyed = real.select("doc_id", "keys").join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("k"))
-    groups = keyed.groupBy("k").agg(F.min("node").alias("g"), F.max("node").alias("hi")).where("g < hi").select("k", "g")
+    keyed = real.select("doc_id", "n_shingles", "keys").join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", F.explode("keys").alias("k"))
+    # What is joined back to the rows that it was counted from is written first: a hot key's rows can be split then.
+    groups = saved(keyed.groupBy("k").agg(F.min("node").alias("g"), F.max("node").alias("hi")).where("g < hi").select("k", "g"))
     keyed = saved(keyed.join(groups, "k"))
-    member = saved(keyed.select("g", "node").distinct())
-    sizes = member.groupBy("g").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK - 1)).cast("int")
+    member = saved(keyed.groupBy("g", "node").agg(F.max("n_shingles").alias("n_shingles")))
+    sizes = saved(member.groupBy("g").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")))
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK - 1), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     placed = saved(member.join(sizes, "g").select("g", "node", blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     sets = real.select(F.col("doc_id").alias("node"), "n_shingles", "bits")
     split, link = _subgroups(num, den), _linker(n, num, den, heavy)

@@ -56,6 +56,24 @@ def words_of(slab: Slab, live: np.ndarray | None = None) -> Sparse:
     return np.searchsorted(row, np.arange(len(slab) + 1)), (both & np.uint64((1 << BITS) - 1)).astype(np.int64), np.ones(len(both), np.float32)
 
 
+def risk(theta: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of theta (weights, then the bias) on rows of feature numbers, and the gradient that is followed."""
+    m = len(theta)
+
+    def losses(rows: list[np.ndarray], *labels: int) -> list[tuple[float, np.ndarray]]:
+        sizes = np.array([len(r) for r in rows])
+        at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+        z = np.bincount(row, theta[at], len(rows)) + theta[-1]
+        p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        made = [(np.logaddexp(0, -z if y else z).mean(), p - y) for y in labels]
+        return [(loss, np.append(np.bincount(at, g[row], m - 1), g.sum()) / len(rows)) for loss, g in made]
+
+    (found, up), (missed, down) = losses(positives, 1, 0)
+    (negative, g) = losses(unlabelled, 0)[0]
+    rest = negative - prior * missed
+    return prior * found + max(0.0, rest), prior * up + (g - prior * down if rest >= 0 else 0)
+
+
 def fit(rows: list, prior: float, seed: int, epochs: int = 60, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; y is 1 for positives and 0 for unlabelled rows."""
     w = np.zeros(1 << BITS, np.float32)
@@ -75,25 +93,12 @@ def fit(rows: list, prior: float, seed: int, epochs: int = 60, batch: int = 256,
     theta, first, second, turn = np.zeros(m), np.zeros(m), np.zeros(m), 0
     theta[-1] = np.log(prior / (1 - prior))
 
-    def part(group: list, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(group[i]) for i in index])
-        return np.concatenate([group[i] for i in index]), np.repeat(np.arange(len(index)), sizes), sizes
-
     steps = max(1, len(x[0]) // batch)
     for _ in range(epochs):
         unlabelled, positive = random.permutation(len(x[0])), random.permutation(np.resize(np.arange(len(x[1])), max(len(x[1]), steps * 64)))
         for s in range(steps):
-            pieces = [(1, positive[s * len(positive) // steps : (s + 1) * len(positive) // steps]), (0, unlabelled[s * batch : (s + 1) * batch])]
-            grads, risks = {}, {}
-            for y, index in pieces:
-                at, row, _ = part(x[y], index)
-                z = np.bincount(row, theta[at], len(index)) + theta[-1]
-                p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-                for sign, g in ((1, p - 1), (0, p)):
-                    risks[y, sign] = np.logaddexp(0, -z if sign else z).mean()
-                    grads[y, sign] = np.append(np.bincount(at, g[row], m - 1), g.sum()) / len(index)
-            negative = risks[0, 0] - prior * risks[1, 0]
-            grad = prior * grads[1, 1] + grads[0, 0] - prior * grads[1, 0] if negative >= 0 else prior * grads[1, 1]
+            some = [[x[1][i] for i in positive[s * len(positive) // steps : (s + 1) * len(positive) // steps]], [x[0][i] for i in unlabelled[s * batch : (s + 1) * batch]]]
+            grad = risk(theta, *some, prior)[1]
             grad[:-1] += decay * theta[:-1]
             turn += 1
             first += 0.1 * (grad - first)
