@@ -9,11 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quiremill.llm import bpe, decontam, graph, html, jaccard, lm, quality, repetition, secrets, substring, toxicity
-from quiremill.llm.labelled import fold
+from quiremill.llm.kernel import Words, slabs
+from quiremill.llm.labelled import featured, fold
 
 SPACE = r"[^\x20\x09-\x0D]+"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -88,6 +90,16 @@ def test_bpe_pieces_keep_the_tokens():
         assert [x for p in bpe.pieces(text, 100) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_bpe_runs_of_white_space():
+    enc, r = bpe.encoding(RANKS, P.PATTERN), random.Random(3)
+    for _ in range(60):
+        text = "".join(r.choice(["word", "x", "", "12", "!?"]) + r.choice([" ", "\n", "\t", "\u3000", "\r\n", "\xa0", " \n"]) * r.choice([1, 3, 999, 1000, 1001]) for _ in range(4)) + r.choice(["", "end"])
+        assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)
+    for text in (" " * 2_000_000, "\n" * 2_000_000 + "x", " \n\t" * 700_000 + "é", "a" * 2_000_000, "日本" * 500_000):
+        ids = bpe.encode_text(enc, text)
+        assert enc.decode_bytes(ids) == text.encode()
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for i, t in rows:
@@ -225,10 +237,92 @@ def test_lm(docs, rows, empty):
     assert lm.scores(empty, F.lit(False)).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    """The probabilities of all one-bit continuations add up: codes are complete and scores are finite."""
-    code = lm.Code([5, 1, 1, 3, 9])
-    assert sum(2.0 ** -int(n) for n in code.length) == 1
+def small_model(words, seed=4):
+    """A model of these words and made-up counts, with their slab's hashes."""
+    r = np.random.Generator(np.random.PCG64(seed))
+    own = Words(next(slabs([pa.record_batch({"text": pa.array([" ".join(words)])})])), lower=True).hash
+    known = np.sort(own)
+    frequent = np.append(np.isin(known, own[:3]), [False, False])
+    code = lm.Code(r.integers(1, 90, len(words) + 2))
+    model = lm.Model(known, frequent, code, code.seen(), r.integers(0, 60, (2, 1 << 12, 2)).astype(np.float32))
+    model.weights = r.normal(0.3, 0.2, (lm.GATES, lm.INPUTS))
+    return model
+
+
+def tokens_of(model, texts):
+    return lm.Tokens(next(slabs([pa.record_batch({"text": pa.array(texts)})], size=1 << 20)), model.known, model.frequent)
+
+
+def test_lm_is_a_distribution():
+    """After any beginning, the probabilities of all words of the vocabulary, of the escape and of the end add up to 1."""
+    assert sum(2.0 ** -int(n) for n in lm.Code(np.array([5, 1, 1, 3, 9])).length) == 1
+    words = [f"w{i}" for i in range(40)]
+    model = small_model(words).ready()
+    for n in (0, 5, 33, 100):
+        start = [words[i * 7 % 40] if i % 5 else "new" for i in range(n)]
+        t = tokens_of(model, [" ".join([*start, w]) for w in [*words, "unknown"]] + [" ".join(start)])
+        p = 10 ** model.log10s(t, len(words) + 2)
+        assert math.isclose(sum(p[t.borders[i] + n] for i in range(len(words) + 2)), 1, rel_tol=1e-5)
+
+
+def test_lm_bit_by_bit():
+    """The vectorised score is that of a plain loop over tokens and bits."""
+    words = [f"w{i}" for i in range(30)]
+    model = small_model(words)
+    counts, seen, weights = model.counts.copy(), model.seen.copy(), model.weights.copy()
+    r, texts = random.Random(2), ["", "w1", "nothing known here"]
+    texts += [" ".join(r.choice([*words[:9], "other"]) for _ in range(n)) for n in (31, 32, 33, 700, 1700)]
+    model.ready()
+    t = tokens_of(model, texts)
+    got = model.log10s(t, len(texts))
+    code, mask = model.code, (1 << 32) - 1
+    for row in range(len(texts)):
+        own, slope, curve, end = [0.0] * 4, [0.0] * 4, [0.0] * 4, lm.FIRST
+        last = often = None
+        for place, i in enumerate(range(t.borders[row], t.borders[row + 1])):
+            if place == end:
+                own = [max(-1, min(1, w - g / (100 + 4 * h))) for w, g, h in zip(own, slope, curve)]
+                slope, end = [0.0] * 4, end + min(end, lm.STEP)
+            total = 0.0
+            for at in range(code.start[t.symbol[i]], code.start[t.symbol[i]] + code.length[t.symbol[i]]):
+                bit, x, evidence = int(code.bit[at]), [math.log((seen[1][at] + 0.4) / (seen[0][at] + 0.4))], []
+                for k, (word, odd) in enumerate(((last, 0x9E3779B1), (often, 0xC2B2AE35))):
+                    context = (int(word) >> 32) * odd & mask if word is not None else 0
+                    zeros, ones = counts[k][((context ^ int(code.key[at])) * 0x2C1B3C6D & mask) >> 20]
+                    x.append(math.log((ones + 0.4) / (zeros + 0.4)))
+                    evidence.append(sum(int(zeros + ones > most) for most in (0, 4, 40)))
+                x.append(1.0)
+                z = sum((w + o) * v for w, o, v in zip(weights[evidence[1] * 4 + evidence[0]], own, x))
+                p = 1 / (1 + math.exp(-z))
+                total += math.log10(p if bit else 1 - p)
+                for k in range(4):
+                    slope[k] += (p - bit) * x[k]
+                    curve[k] += p * (1 - p) * x[k] ** 2
+            assert math.isclose(got[i], total, rel_tol=2e-3, abs_tol=2e-4), (row, place)
+            last = t.hash[i]
+            often = t.hash[i] if model.frequent[t.symbol[i]] else often
+
+
+def test_lm_longer_contexts(spark):
+    r = random.Random(6)
+    rows = [(i, r.random() < 0.3, [r.randrange(6) for _ in range(n)], [r.randrange(4) for _ in range(n)], [-r.random() * 3 for _ in range(n)]) for i, n in enumerate([0, 1, 5, 9, 4, 30])]
+    df = spark.createDataFrame(rows, "rid long, held_out boolean, context array<long>, symbol array<int>, log10 array<double>")
+    train = Counter((c, s) for _, held, cs, ss, _ in rows if not held for c, s in zip(cs, ss))
+    want = {}
+    for rid, held, cs, ss, ls in rows:
+        for c, s, log in zip(cs, ss, ls):
+            others = {k: n - (k == s and not held) for (x, k), n in train.items() if x == c}
+            n, kinds = sum(others.values()), sum(v > 0 for v in others.values())
+            if n:
+                want[rid] = want.get(rid, 0) + math.log10((others.get(s, 0) + kinds * 10**log) / (n + kinds)) - log
+    got = {x.rid: x.gain for x in lm.followed(df).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lm.scores(docs, fold("doc_id", 7) == 2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held.s > held.b
 
 
 def test_secrets(spark, docs):
@@ -388,3 +482,116 @@ def test_classifiers_on_held_out_rows(spark, op, label, at):
     assert (((x.score >= at) == (x[label] == 1)).mean()) > 0.95
     assert op.score(docs, op.train(docs, labels.limit(0), ~held)).count() == docs.count()
     assert op.score(docs.limit(0), op.train(docs, labels, ~held)).count() == 0
+
+
+def test_risk_and_its_gradient():
+    r = np.random.Generator(np.random.PCG64(8))
+    rows = [[r.choice(6, r.integers(0, 5), replace=False) for _ in range(n)] for n in (5, 9)]
+    for prior, scale in ((0.2, 0.5), (0.9, 3.0)):
+        theta = r.normal(0, scale, 7)
+
+        def parts(theta, prior=prior):
+            def mean(rows, y):
+                return sum(math.log(1 + math.exp((1 - 2 * y) * (sum(theta[i] for i in x) + theta[-1]))) for x in rows) / len(rows)
+
+            return prior * mean(rows[0], 1), mean(rows[1], 0) - prior * mean(rows[0], 0)
+
+        plain, rest = parts(theta)
+        risk, grad = toxicity.risk(theta, *rows, prior)
+        assert math.isclose(risk, plain + max(0, rest), rel_tol=1e-9)
+        for i in range(7):
+            up, down = theta.copy(), theta.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            slope = [(a - b) / 2e-5 for a, b in zip(parts(up), parts(down))]
+            assert math.isclose(grad[i], slope[0] + (slope[1] if rest >= 0 else 0), abs_tol=1e-6)
+
+
+def test_ftrl_step_by_step():
+    r = random.Random(12)
+    rows = []
+    for _ in range(12):
+        i = np.array(sorted(r.sample(range(9), r.randint(0, 4))), np.int32)
+        rows.append((i, np.array([r.random() for _ in i], np.float32), r.randint(0, 1)))
+    w, bias = quality.ftrl(rows, epochs=3)
+    z, n, order = {}, {}, np.random.Generator(np.random.PCG64(3))
+
+    def weight(k):
+        s = z.get(k, 0.0)
+        return 0.0 if abs(s) <= 0.02 else (math.copysign(0.02, s) - s) / (1 + math.sqrt(n.get(k, 0.0)) + 0.02)
+
+    for _ in range(3):
+        for x in order.permutation(len(rows)):
+            own = [*zip(rows[x][0].tolist(), rows[x][1].tolist()), ("bias", 0.3)]
+            at = {k: weight(k) for k, _ in own}
+            p = 1 / (1 + math.exp(-sum(at[k] * v for k, v in own)))
+            for k, v in own:
+                g = (p - rows[x][2]) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) * at[k]
+                n[k] = n.get(k, 0.0) + g * g
+    assert np.allclose(w[:9], [weight(k) for k in range(9)], atol=1e-5) and not w[9:].any()
+    assert math.isclose(bias, 0.3 * weight("bias"), rel_tol=1e-5)
+
+
+def test_training_rows_are_bounded_when_an_id_is_on_a_third_of_them(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    chosen = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id long, y int")
+    rows = featured(df, chosen, "doc_id", "text", quality.ngrams_of, 20)
+    assert sorted(y for _, _, y in rows) == [0, 0] + [1] * 20
+
+
+def test_clashing_columns_and_other_ids(spark, docs):
+    bench = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    for call in (
+        lambda d: secrets.find_spans(d.withColumn("Found", F.lit(1))),
+        lambda d: toxicity.score(d.withColumn("score", F.lit(1)), []),
+        lambda d: quality.score(d.withColumn("SCORE", F.lit(1)), []),
+        lambda d: bpe.decode(d.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("decoded", F.lit(1)), RANKS, P.PATTERN),
+    ):
+        with pytest.raises(ValueError):
+            call(docs)
+    words = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for call in (jaccard.jaccard_components, substring.find_repeats, lambda d: decontam.contaminated(d, bench)):
+        with pytest.raises(TypeError):
+            call(words)
+    odd = docs.withColumns({"rules": F.lit(1), "__x": F.lit(2), "fp": F.lit(3), "component": F.lit(4), "k": F.lit(5), "g": F.lit(6)})
+    assert secrets.redacted(odd).columns == odd.columns and secrets.redacted(odd).count() == odd.count()
+    assert jaccard.one_of_each(odd).columns == odd.columns
+    assert substring.kept_words(substring.find_repeats(odd)).count() == odd.count()
+    assert repetition.measure(odd).count() == odd.count()
+
+
+def test_secrets_in_a_text_with_many(spark):
+    n = 3000
+    text = " ".join(f"password=abcdefghijk{i:06d}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.find_spans(df).first().found
+    assert [(s["start"], s["end"]) for s in found if s["kind"] == "assign"] == [(27 * i, 27 * i + 26) for i in range(n)]
+    assert secrets.redacted(df).first().text == " ".join(["[SECRET]"] * n)
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    weights = html.weights_of([])
+    for unit in ('<a href="', "<nav><main>", "<li class=ad><ul>", "<b>x<br>", "<p class=ad>x", "<!--", "<!x", "<a b='>\""):
+        page, began = unit * (300_000 // len(unit)), time.time()
+        html.extract(page, weights)
+        assert time.time() - began < 5, unit
+
+
+def test_html_scan_finds_the_best_stretch():
+    r = random.Random(4)
+    weights = {"": 1.0, "/a": -0.5, "<tag>": -0.4, "p": 0.9, "div": -0.7, "li": 0.2}
+    for _ in range(60):
+        page = "".join(f"<{t}>{' '.join('w' for _ in range(r.randint(0, 4)))}" + f"</{t}>" * r.randint(0, 1) for t in (r.choice(["p", "div", "li"]) for _ in range(r.randint(1, 9))))
+        blocks, _, _ = html.blocks_of(page)
+        cost = [sum(-0.4 for _ in tags) for _, tags, _ in blocks]
+        own = [weights[kind] * len(text.split()) for kind, _, text in blocks]
+        sums = [(sum(own[a:b]) + sum(cost[a + 1 : b]), a, b) for a in range(len(blocks)) for b in range(a + 1, len(blocks) + 1)]
+        best = max([s for s, _, _ in sums], default=0)
+        text = html.extract(page, weights)
+        if best <= 1e-9:
+            assert text == ""
+        else:
+            assert any(text == " ".join(t for _, _, t in blocks[a:b]) for s, a, b in sums if s > best - 1e-9)
