@@ -26,6 +26,10 @@ FRONT = r"(?s)\A\x{feff}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 _CELL = r"((?:\\.|\$[^\s$](?:[^$]*[^\s$\\])?\$(?![0-9$])|[^|])*)\|"
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _by_line():  # noqa: ANN202
     return W.partitionBy("doc_id").orderBy("i")
 
@@ -45,7 +49,7 @@ def _with_notes(lines: DataFrame) -> DataFrame:
 def footnote_definitions(docs: DataFrame, text: str = "text") -> DataFrame:
     """SC22: (doc_id, note_id, note); the last definition of an id counts."""
     notes = _with_notes(_lines(docs, F.col(text))).where("note").withColumn("no", F.sum(F.col("head").cast("int")).over(_by_line()))
-    said = F.trim(F.when(F.col("head"), F.regexp_extract("line", NOTE_DEFINITION, 2)).otherwise(F.col("line")))
+    said = _stripped(F.when(F.col("head"), F.regexp_extract("line", NOTE_DEFINITION, 2)).otherwise(F.col("line")))
     whole = notes.groupBy("doc_id", "no").agg(
         F.max(F.when(F.col("head"), F.regexp_extract("line", NOTE_DEFINITION, 1))).alias("note_id"),
         F.trim(F.array_join(F.sort_array(F.collect_list(F.struct("i", said.alias("said"))))["said"], " ")).alias("note"),
@@ -55,13 +59,13 @@ def footnote_definitions(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _cells(line: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"(?<!\\)\|$", "")
-    return F.transform(F.regexp_extract_all(F.concat(inner, F.lit("|")), F.lit(_CELL), F.lit(1)), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+    return F.transform(F.regexp_extract_all(F.concat(inner, F.lit("|")), F.lit(_CELL), F.lit(1)), lambda c: F.replace(_stripped(c), F.lit("\\|"), F.lit("|")))
 
 
 def _kinds(lines: DataFrame, bullet: str) -> DataFrame:
     """Lines with n (place), kind (of the line by itself, tables and display math found by windows) and first (of its table or math)."""
     o = W.partitionBy("doc_id").orderBy("n")
-    l = lines.withColumns({"n": F.row_number().over(_by_line()), "line": F.rtrim("line")})  # noqa: E741
+    l = lines.withColumns({"n": F.row_number().over(_by_line()), "line": F.regexp_replace("line", r"\s+$", "")})  # noqa: E741
     pipe = F.contains("line", F.lit("|"))
     l = l.withColumn("opens", pipe & F.coalesce(F.lead(F.col("line").rlike(DELIMITER_ROW)).over(o), F.lit(False)))  # noqa: E741
     l = l.withColumn("row", pipe | F.coalesce(F.lag("opens").over(o), F.lit(False)))  # noqa: E741
@@ -77,7 +81,7 @@ def _kinds(lines: DataFrame, bullet: str) -> DataFrame:
     l = l.withColumns({"of_pair": F.sum(F.col("edge").cast("int")).over(W.partitionBy("doc_id", "pair")), "led": F.min(F.when(F.col("edge"), F.struct("n", F.col("line").rlike(r"^\s*\$\$").alias("led")))).over(W.partitionBy("doc_id", "pair"))})  # noqa: E741
     inside = F.col("edge") | (F.col("edges") % 2 == 1)
     display = F.coalesce((F.col("of_pair") == 2) & F.col("led.led") & inside & ~F.col("table"), F.lit(False))
-    kind = F.when(F.col("table"), "table").when(F.col("alone") | display, "math").when(F.col("line").rlike(FIGURE_LINE), "figure").when(F.trim("line") == "", "blank")
+    kind = F.when(F.col("table"), "table").when(F.col("alone") | display, "math").when(F.col("line").rlike(FIGURE_LINE), "figure").when(F.col("line") == "", "blank")
     for name, pattern in (("rule", RULE_LINE), ("heading", HEADING_LINE), ("ordered", ORDERED_LINE), ("bullet", bullet)):
         kind = kind.when(F.col("line").rlike(pattern), name)
     first = F.when(F.col("table"), F.col("first")).when(F.col("alone"), F.col("n")).when(display, F.col("led.n"))
@@ -118,7 +122,7 @@ def parse_markdown(docs: DataFrame, text: str = "text", literal_bullets: bool =
     def of(kind: str) -> Column:
         return F.transform(F.filter("held", lambda x: x["kind"] == kind), lambda x: x["line"])
 
-    whole = F.array_join(F.transform(of("paragraph"), lambda x: F.trim(x)), " ")
+    whole = F.array_join(F.transform(of("paragraph"), _stripped), " ")
     caption = F.nullif(F.trim(F.array_join(of("caption"), " ")), F.lit(""))
     # A paragraph one blank line above a table without a caption is the caption.
     gives = (F.col("kind") == "paragraph") & (F.col("next_kind") == "table") & ~F.col("next_captioned") & (F.col("next_blank") <= 1)
@@ -128,10 +132,10 @@ def parse_markdown(docs: DataFrame, text: str = "text", literal_bullets: bool =
     blocks = blocks.withColumn("caption", F.coalesce("own", F.when(F.lag("given").over(o), F.lag("whole").over(o)))).where("not given")
 
     line = F.get(of("heading"), F.lit(0))
-    title = F.trim(F.regexp_extract(line, HEADING_LINE, 2))
+    title = _stripped(F.regexp_extract(line, HEADING_LINE, 2))
     item = F.coalesce(F.get(of("ordered"), F.lit(0)), F.get(of("bullet"), F.lit(0)))
     mark = LITERAL_BULLET_LINE if literal_bullets else BULLET_LINE
-    item_text = F.trim(F.when(F.col("kind") == "ordered", F.regexp_extract(item, ORDERED_LINE, 2)).otherwise(F.regexp_extract(item, mark, 2)))
+    item_text = _stripped(F.when(F.col("kind") == "ordered", F.regexp_extract(item, ORDERED_LINE, 2)).otherwise(F.regexp_extract(item, mark, 2)))
     indent = F.regexp_replace(F.regexp_extract(item, r"^(\s*)", 1), r"  | ?\t", "xx")
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(line, HEADING_LINE, 1))).when(F.col("kind").isin("ordered", "bullet"), F.floor(F.length(indent) / 2) + 1).otherwise(0)
     latex = F.regexp_replace(F.array_join(of("math"), "\n"), r"^\s*\$\$\s*|\s*\$\$\s*$", "")
@@ -157,7 +161,7 @@ def parse_markdown(docs: DataFrame, text: str = "text", literal_bullets: bool =
         F.when(is_table, rows).alias("rows"),
         F.when(is_table, aligns).alias("aligns"),
         caption.alias("caption"),
-        F.nullif(F.array_join(F.transform(of("note"), F.trim), "\n"), F.lit("")).alias("note"),
+        F.nullif(F.array_join(F.transform(of("note"), _stripped), "\n"), F.lit("")).alias("note"),
         F.when(is_figure, F.transform(paths, lambda p: F.regexp_replace(p, "^<(.*)>$", "$1"))).alias("paths"),
         F.when(is_figure, F.nullif(F.regexp_extract(figure, r"\)\s*\{#([^}]+)\}", 1), F.lit(""))).alias("label"),
     )

@@ -711,7 +711,10 @@ def sc21(s, d):  # noqa: ANN001, ANN201
     return blocks.parse_markdown(A.read(s, d, "documents").select("doc_id", "text")).select("doc_id", "ord", "kind", "level", "text", "blank_before")
 
 
-@query("sc16_links")
+@query(
+    "sc16_links",
+    """SELECT page_id, unnest([0, 1, 2, 3]) AS i, unnest(['see ', url, ', ', 'page']) AS text, unnest([NULL, url, NULL, url]) AS url FROM pages""",
+)
 def sc16(s, d):  # noqa: ANN001, ANN201
     t = A.read(s, d, "pages").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(", [page]("), F.col("url"), F.lit(")")).alias("t"))
     return t.select("page_id", F.posexplode(inline.links(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.url")

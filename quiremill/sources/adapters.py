@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: pos, style_id, name, eng_name, heading_type, outline_level, size_pt, glyph
@@ -134,6 +140,34 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("name"), F.col("event_id").alias("file_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("modified_time"), (F.floor("value").cast("long") % 5).alias("declarations"), (F.col("event_id") % 10 < 7).alias("confirmed"))
 
 
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a package: a paragraph for each line, a table of its id and source, a header with a list of styles, and metadata."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(str(d), _package(int(d), t or "", s)) for d, t, s in zip(b["doc_id"], b["text"], b["source"], strict=True)], columns=["doc_id", "content"])
+
+    return read(spark, sf_dir, "documents").select("doc_id", "text", "source").mapInPandas(run, "doc_id string, content binary")
+
+
+def _package(doc: int, text: str, source: str | None) -> bytes:
+    def cell(col: int, value: str) -> str:
+        return f'<p:tc><p:subList><p:p><p:run><p:t>{escape(value)}</p:t></p:run></p:p></p:subList><p:cellAddr rowAddr="0" colAddr="{col}"/><p:cellSpan rowSpan="1" colSpan="1"/></p:tc>'
+
+    lines = "".join(f'<p:p styleIDRef="{len(line) % 7}" paraPrIDRef="0"><p:run><p:t>{escape(line)}</p:t></p:run></p:p>' for line in text.split("\n"))
+    table = f'<p:p styleIDRef="0" paraPrIDRef="1"><p:run><p:tbl><p:tr>{cell(0, str(doc))}{cell(1, source or "")}</p:tr></p:tbl></p:run></p:p>'
+    parts = {
+        "Contents/section0.xml": f'<s:sec xmlns:s="u" xmlns:p="v">{lines}{table}</s:sec>',
+        "Contents/header.xml": f'<hh:head xmlns:hh="h"><hh:styles itemCnt="{2 + doc % 2}"><hh:style id="0" name="a"/><hh:style id="{1 + doc % 3}" name="b"/></hh:styles></hh:head>',
+        "Contents/content.hpf": f'<opf:package xmlns:opf="o"><opf:metadata><opf:title>T{doc}</opf:title><opf:meta name="creator" content="text">{escape(source or "")}</opf:meta></opf:metadata></opf:package>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in STYLES)
 _NUMBERED = "(SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity)::BIGINT AS qty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem)"
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"

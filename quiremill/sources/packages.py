@@ -6,12 +6,18 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quiremill.functions import text as T
+
 PARTS = "doc_id string, part_name string, part_order int, content binary, error string"
 PARAGRAPHS = "doc_id string, section_no int, para_idx int, in_cell boolean, style_id string, para_pr_id string, text string, line_breaks int, line_segs int, has_table boolean"
+LINES = "doc_id string, section_no int, para_idx int, line_no int, textpos int, vertpos int, vertsize int, spacing int"
+FIELDS = "doc_id string, section_no int, ord int, side string, field_id string, field_type string, url string"
+PICTURES = "doc_id string, section_no int, para_idx int, ref string, width int, height int, comment string, caption string"
 CELLS = "doc_id string, section_no int, table_index int, row int, col int, row_span int, col_span int, width int, height int, text string"
 
 
@@ -22,14 +28,14 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame
 
 
 def parts(packages: DataFrame, binaries: bool = False) -> DataFrame:
-    """SRC2: the parts of each package; what isn't a ZIP file is one row with an error."""
+    """SRC2: the parts of each package; what isn't a ZIP file is one row with an error, and so is a part of XML that can't be parsed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, content in zip(b["doc_id"], b["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(doc, n, i, z.read(n), None) for i, n in enumerate(z.namelist()) if binaries or not n.startswith("BinData/")]
+                        rows = [_part(doc, n, i, z.read(n)) for i, n in enumerate(z.namelist()) if binaries or not n.startswith("BinData/")]
                 except (zipfile.BadZipFile, TypeError) as e:
                     rows = [(doc, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["doc_id", "part_name", "part_order", "content", "error"])
@@ -37,6 +43,15 @@ def parts(packages: DataFrame, binaries: bool = False) -> DataFrame:
     return packages.select("doc_id", "content").mapInPandas(run, PARTS)
 
 
+def _part(doc: str, name: str, order: int, content: bytes) -> tuple:
+    if name.endswith((".xml", ".hpf")):
+        try:
+            expat.ParserCreate().Parse(content, True)
+        except expat.ExpatError as e:
+            return doc, name, order, None, str(e)
+    return doc, name, order, content, None
+
+
 def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
@@ -64,7 +79,7 @@ def _walk(found: DataFrame, schema: str, rows_of) -> DataFrame:  # noqa: ANN001
             for doc, part, content in zip(b["doc_id"], b["part_name"], b["content"], strict=True):
                 yield pd.DataFrame([(doc, _number(part), *r) for r in rows_of(ET.fromstring(content))], columns=columns)
 
-    return found.where(F.col("part_name").rlike(r"Contents/section[0-9]+\.xml$")).select("doc_id", "part_name", "content").mapInPandas(run, schema)
+    return found.where(F.col("part_name").rlike(r"Contents/section[0-9]+\.xml$") & F.col("error").isNull()).select("doc_id", "part_name", "content").mapInPandas(run, schema)
 
 
 def _paragraph_rows(root: ET.Element) -> list[tuple]:
@@ -83,6 +98,56 @@ def paragraphs(found: DataFrame) -> DataFrame:
     return _walk(found, PARAGRAPHS, _paragraph_rows)
 
 
+def _paragraphs(root: ET.Element) -> list[tuple[int, ET.Element]]:
+    return list(enumerate(x for x in root.iter() if _name(x) == "p"))
+
+
+def _line_rows(root: ET.Element) -> list[tuple]:
+    """The saved lines of each paragraph."""
+    out = []
+    for i, p in _paragraphs(root):
+        saved = [s for a in p if _name(a) == "linesegarray" for s in a if _name(s) == "lineseg"]
+        out += [(i, k, *(int(s.get(n, 0)) for n in ("textpos", "vertpos", "vertsize", "spacing"))) for k, s in enumerate(saved)]
+    return out
+
+
+def lines(found: DataFrame) -> DataFrame:
+    """SRC3: the saved line layout, for WN12 and SC29."""
+    return _walk(found, LINES, _line_rows)
+
+
+def _field_rows(root: ET.Element) -> list[tuple]:
+    out = []
+    for e in root.iter():
+        if _name(e) in ("fieldBegin", "fieldEnd"):
+            begins = _name(e) == "fieldBegin"
+            command = next((c.text for c in e.iter() if c.get("name") == "Command"), None) if begins else None
+            out.append((len(out), "begin" if begins else "end", e.get("id") if begins else e.get("beginIDRef"), e.get("type"), command))
+    return out
+
+
+def fields(found: DataFrame) -> DataFrame:
+    """SRC3: begins and ends of fields in order, for JN9 and AG15; the URL is the field's command, decoded."""
+    return _walk(found, FIELDS, _field_rows).withColumn("url", T.command_to_url(F.col("url")))
+
+
+def _picture_rows(root: ET.Element) -> list[tuple]:
+    out = []
+    for i, p in _paragraphs(root):
+        for pic in (e for r in p if _name(r) == "run" for e in r if _name(e) == "pic"):
+            own = {_name(e): e for e in pic.iter()}
+            size = own.get("curSz", own.get("sz", ET.Element("none")))
+            image, comment = own.get("img", ET.Element("none")), own.get("shapeComment")
+            out.append((i, image.get("binaryItemIDRef"), int(size.get("width", 0)), int(size.get("height", 0)), "".join(comment.itertext()) if comment is not None else None, _text(p)))
+    return out
+
+
+def pictures(found: DataFrame) -> DataFrame:
+    """SRC8: the pictures of all sections: reference, extent, description with original name and pixels, and the text of the paragraph around them as caption."""
+    pics = _walk(found, PICTURES, _picture_rows).withColumn("alt", T.alt_text(F.col("comment")))
+    return pics.select("doc_id", "section_no", "para_idx", "ref", "width", "height", "caption", "alt.origname", "alt.px_w", "alt.px_h")
+
+
 def _cell_rows(root: ET.Element) -> list[tuple]:
     out = []
     for t, table in enumerate(x for x in root.iter() if _name(x) == "tbl"):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quiremill.functions import inline as I, text as T
 from quiremill.operators import blocks as B, checks, edits, forms, layout, markdown, media, styles
+from quiremill.plans import extra  # noqa: F401 (adds queries)
 from quiremill.plans.queries import ORACLES, QUERIES
 from quiremill.sources import packages
 from quiremill.streaming import revisions
@@ -150,15 +151,16 @@ def test_packages(spark, tmp_path):
     hpf = '<opf:package xmlns:opf="o"><opf:metadata><opf:title>T</opf:title><opf:meta name="creator" content="text">me</opf:meta></opf:metadata></opf:package>'
     (tmp_path / "a.hwpx").write_bytes(package({"Contents/section0.xml": section, "Contents/header.xml": head, "Contents/content.hpf": hpf, "BinData/image1.png": b"x"}))
     (tmp_path / "b.hwpx").write_bytes(b"not a zip")
+    (tmp_path / "c.hwpx").write_bytes(package({"Contents/section0.xml": "<s:sec xmlns:s='u'><p", "Contents/section1.xml": "<sec/>"}))
     found = packages.parts(packages.scan(spark, str(tmp_path))).cache()
-    assert found.where("error is not null").count() == 1 and found.where("part_name like 'BinData%'").count() == 0
+    assert {(r.doc_id, r.part_name) for r in found.where("error is not null").collect()} == {("b.hwpx", None), ("c.hwpx", "Contents/section0.xml")} and found.where("part_name like 'BinData%'").count() == 0
     p = packages.paragraphs(found).orderBy("para_idx").collect()
     assert [(r.text, r.line_breaks, r.line_segs, r.in_cell, r.has_table) for r in p] == [("a\nb\tc", 1, 1, False, False), ("", 0, 0, False, True), ("cell", 0, 0, True, False)]
     assert [tuple(r)[2:] for r in packages.cells(found).collect()] == [(0, 0, 1, 2, 1, 5, 7, "cell")]
     assert [tuple(r)[1:] for r in packages.header_items(found).orderBy("pos").collect()] == [("styles", 1, 0, 3), ("styles", 2, 2, 3)]
     assert packages.metadata(found).select("title", "creator", "language").first() == ("T", "me", None)
     assert {(r.item, r.ref_id, r.n) for r in packages.refs(found).collect()} == {("style", 1, 1), ("style", 0, 1), ("paraPr", 2, 1)}
-    assert checks.fingerprints(found.where("error is null"), "META-INF/fp").count() == 1
+    assert checks.fingerprints(found.where("error is null"), "META-INF/fp").count() == 2
     packages.write_texts(p and spark.createDataFrame([(1, "t")], "doc_id long, markdown string"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
@@ -347,3 +349,18 @@ def test_bands_beyond_the_alphabet(spark):
     got = {(r.doc_id, r.first_page, r.last_page): r.letter for r in media.bands(pages).collect()}
     assert (got[1, 25, 25], got[1, 26, 26], got[1, 27, 27]) == ("Z", "AA", "AB")
     assert got[2, 0, 4] == "A" and got[3, 0, 0] == "—"
+
+
+def test_lines_fields_and_pictures_of_packages(spark):
+    pic = '<p:pic><p:curSz width="70" height="30"/><p:img binaryItemIDRef="image3"/><p:shapeComment>그림입니다. 원본 그림의 이름: a.png\n원본 그림의 크기: 가로 7pixel, 세로 3pixel</p:shapeComment></p:pic>'
+    field = '<p:ctrl><p:fieldBegin id="5" type="HYPERLINK"><p:parameters><p:stringParam name="Command">http\\://a.kr;1;0;2;</p:stringParam></p:parameters></p:fieldBegin></p:ctrl><p:t>x</p:t><p:ctrl><p:fieldEnd beginIDRef="5"/></p:ctrl>'
+    lines = '<p:linesegarray><p:lineseg textpos="0" vertpos="10" vertsize="5" spacing="2"/><p:lineseg textpos="4" vertpos="20" vertsize="5" spacing="2"/></p:linesegarray>'
+    section = f'<s:sec xmlns:s="u" xmlns:p="v"><p:p><p:run>{field}</p:run>{lines}</p:p><p:p><p:run>{pic}<p:t>cap</p:t></p:run></p:p></s:sec>'
+    found = packages.parts(spark.createDataFrame([("a", package({"Contents/section2.xml": section}))], "doc_id string, content binary"))
+    assert [tuple(r) for r in packages.lines(found).collect()] == [("a", 2, 0, 0, 0, 10, 5, 2), ("a", 2, 0, 1, 4, 20, 5, 2)]
+    fields = packages.fields(found)
+    assert [tuple(r) for r in fields.collect()] == [("a", 2, 0, "begin", "5", "HYPERLINK", "http://a.kr"), ("a", 2, 1, "end", "5", None, None)]
+    assert checks.unpaired_fields(fields).count() == 0
+    assert [tuple(r) for r in packages.pictures(found).collect()] == [("a", 2, 1, "image3", 70, 30, "cap", "a.png", 7, 3)]
+    p = packages.paragraphs(found).withColumn("equations", F.lit(1))
+    assert media.link_census(fields, p).collect() == [("a", 1, 0, 2, [])]
