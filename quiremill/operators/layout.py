@@ -43,11 +43,49 @@ def page_gaps(boxes: DataFrame, height: int, small: float = 10.0) -> DataFrame:
     return b.select("doc_id", "section_no", "page", "gap_pct", F.when(F.col("gap_pct") <= small, "full").when(F.col("next_lines") <= 3, "pull").otherwise("gap").alias("kind"))
 
 
-def first_step(chunks: DataFrame, ladder: list[tuple[int, int, int]], slack: int = 100) -> DataFrame:
-    """WN13: chunks (doc_id, page, need, lines): the first (spacing, line) step whose gain per line covers the need and a slack; null if none does."""
-    steps = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(s).alias("spacing"), F.lit(l).alias("line"), F.lit(g).alias("gain")) for i, (s, l, g) in enumerate(ladder)))
-    fit = F.filter(steps, lambda x: x["gain"] * F.col("lines") >= F.col("need") + slack)
-    return chunks.withColumn("s", F.try_element_at(fit, F.lit(1))).select("doc_id", "page", "need", "lines", F.col("s.step").cast("long").alias("step"), F.col("s.spacing").cast("long").alias("spacing"), F.col("s.line").cast("long").alias("line"))
+def ladder(max_spacing_cut: int = 50, max_line_cut: int = 10) -> list[tuple[int, int]]:
+    """WN13: (paragraph spacing cut, line spacing cut) in percent: spacing first in steps of 10, then lines in steps of 2."""
+    spacing = [*range(10, max_spacing_cut, 10), max_spacing_cut]
+    return [(s, 0) for s in spacing] + [(max_spacing_cut, c) for c in [*range(2, max_line_cut, 2), max_line_cut]]
+
+
+def page_plan(lines: DataFrame, height: int, steps: list[tuple[int, int]], threshold: float = 10.0, max_lines: int = 3, margin: int = 100) -> DataFrame:
+    """WN13: what would fill each page: one row for each boundary inside a section that is worth a change.
+
+    lines: doc_id, section_no, para_idx, line_no, vertpos, vertsize, spacing, forced_break, para_space (what a paragraph has above and below).
+    The chunk is the first paragraph of the next page, if it ends there. kind is forced (a forced break follows a gap),
+    gap (a share of the page beyond the threshold is empty) or pull (a chunk of few lines could come back). The first
+    step whose gain covers the need and the margin is taken; without one the boundary is unfittable.
+    """
+    section, para = ["doc_id", "section_no"], ["doc_id", "section_no", "para_idx"]
+    l = pages(lines).withColumn("tall", F.col("vertsize") + F.col("spacing"))  # noqa: E741
+    place = F.struct("para_idx", "line_no")
+    p = l.groupBy(*section, "page").agg(
+        F.max(F.col("vertpos") + F.col("vertsize")).alias("bottom"),
+        F.sum("tall").alias("tall"),
+        F.sum(F.when(F.col("line_no") == 0, F.col("para_space"))).alias("spaces"),
+        F.max_by("spacing", place).alias("last_spacing"),
+        F.min_by(F.col("forced_break") & (F.col("line_no") == 0), place).alias("forced"),
+        F.min("para_idx").alias("para_idx"),
+    )
+    ends = l.groupBy(*para).agg(F.max("page").alias("last_page"))
+    chunk = l.groupBy(*para, "page").agg(F.count("*").alias("n"), F.sum("tall").alias("tall"), F.max_by("spacing", "line_no").alias("last_spacing"), F.max(F.when(F.col("line_no") == 0, F.col("para_space"))).alias("space"))
+    heads = p.select(*para, "page", "forced").join(chunk, [*para, "page"]).join(ends, para)
+    heads = heads.select(*section, (F.col("page") - 1).alias("page"), "forced", F.when(F.col("last_page") == F.col("page"), F.struct("n", (F.col("tall") - F.col("last_spacing")).alias("height"), "tall", F.coalesce("space", F.lit(0)).alias("space"))).alias("chunk"))
+    b = p.drop("forced", "para_idx").join(heads, [*section, "page"])
+    gap = F.lit(height) - F.col("bottom")
+    b = b.withColumns({"gap": gap, "gap_pct": F.round(gap * 100.0 / height, 2)})
+    wide = F.col("gap_pct") >= threshold
+    kind = F.when(F.col("forced"), F.when(wide, "forced")).when(wide, "gap").when(F.col("chunk.n") <= max_lines, "pull")
+    b = b.withColumn("kind", kind).where("kind is not null")
+    need = F.when(F.col("kind") != "forced", F.col("last_spacing") + F.col("chunk.space") + F.col("chunk.height") - F.col("gap"))
+    room = F.array(*(F.struct(F.lit(s).alias("spacing_cut"), F.lit(c).alias("line_cut")) for s, c in steps))
+    b = b.withColumn("needed", need)
+    spaces, tall = F.coalesce("spaces", F.lit(0)) + F.col("chunk.space"), F.col("tall") + F.col("chunk.height")
+    fit = F.filter(room, lambda x: F.floor((spaces * x["spacing_cut"] + tall * x["line_cut"]) / 100) >= F.greatest("needed", F.lit(0)) + margin)
+    step = F.when(F.col("needed").isNotNull(), F.get(fit, F.lit(0)))
+    status = F.when(F.col("kind") == "forced", "forced").when(step.isNull(), "unfittable").otherwise("fittable")
+    return b.select(*section, "page", "gap_pct", "kind", F.col("needed").cast("long").alias("needed"), status.alias("status"), *(step[c].cast("long").alias(c) for c in ("spacing_cut", "line_cut")))
 
 
 def coverage(judged: DataFrame) -> DataFrame:

@@ -237,3 +237,26 @@ def uf1(s, d):  # noqa: ANN001, ANN201
 
     c = A.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("page"), F.length("text").alias("n"))
     return media.judge_pages(c, judge)
+
+
+_STEPS = ", ".join(f"{{'s': {a}, 'c': {b}}}" for a, b in layout.ladder())
+
+
+@query(
+    "wn13_page_plan",
+    f"""WITH lines AS (SELECT l_orderkey AS doc_id, pos // 2 AS para_idx, pos % 2 AS line_no, (pos * 1600 + qty * 60) % 7000 AS vertpos, 1000 AS vertsize, 300 AS spacing, l_partkey % 11 = 0 AS forced_break, l_partkey % 400 AS para_space FROM {A._NUMBERED}),
+cuts AS (SELECT *, coalesce(vertpos < lag(vertpos) OVER o OR (line_no = 0 AND forced_break AND lag(vertpos) OVER o IS NOT NULL), false)::INT AS cut FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY para_idx, line_no)),
+pg AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY para_idx, line_no) AS page FROM cuts),
+p AS (SELECT doc_id, page, max(vertpos + vertsize) AS bottom, sum(vertsize + spacing) AS tall, sum(CASE WHEN line_no = 0 THEN para_space END) AS spaces, bool_or(forced_break AND line_no = 0 AND f) AS forced, min(para_idx) AS para_idx
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_idx, line_no) = 1 AS f FROM pg) GROUP BY 1, 2),
+h AS (SELECT p.doc_id, p.page - 1 AS page, any_value(p.forced) AS forced, count(*) FILTER (pg.page = p.page) AS n, max(pg.page) = p.page AS whole, coalesce(max(CASE WHEN line_no = 0 AND pg.page = p.page THEN para_space END), 0) AS space FROM p JOIN pg ON pg.doc_id = p.doc_id AND pg.para_idx = p.para_idx GROUP BY p.doc_id, p.page),
+b AS (SELECT p.doc_id, p.page, 8000 - bottom AS gap, round((8000 - bottom) * 100.0::DOUBLE / 8000, 2) AS gap_pct, tall, coalesce(spaces, 0) AS spaces, h.forced, CASE WHEN whole THEN n END AS n, CASE WHEN whole THEN space END AS space, CASE WHEN whole THEN n * 1300 - 300 END AS height FROM p JOIN h ON h.doc_id = p.doc_id AND h.page = p.page),
+k AS (SELECT *, CASE WHEN forced THEN CASE WHEN gap_pct >= 10 THEN 'forced' END WHEN gap_pct >= 10 THEN 'gap' WHEN n <= 3 THEN 'pull' END AS kind, CASE WHEN NOT forced THEN 300 + space + height - gap END AS needed FROM b),
+f AS (SELECT *, list_filter([{_STEPS}], lambda x: floor(((spaces + space) * x.s + (tall + height) * x.c) / 100) >= greatest(needed, 0) + 100)[1] AS step FROM k WHERE kind IS NOT NULL)
+SELECT doc_id, 0::BIGINT AS section_no, page::BIGINT AS page, gap_pct, kind, needed::BIGINT AS needed, CASE WHEN kind = 'forced' THEN 'forced' WHEN step IS NULL OR needed IS NULL THEN 'unfittable' ELSE 'fittable' END AS status,
+  CASE WHEN needed IS NOT NULL THEN step.s END::BIGINT AS spacing_cut, CASE WHEN needed IS NOT NULL THEN step.c END::BIGINT AS line_cut FROM f""",
+)
+def wn13_plan(s, d):  # noqa: ANN001, ANN201
+    x = A._numbered(s, d)
+    lines = x.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("section_no"), F.floor(F.col("pos") / 2).alias("para_idx"), (F.col("pos") % 2).alias("line_no"), ((F.col("pos") * 1600 + F.col("qty") * 60) % 7000).alias("vertpos"), F.lit(1000).alias("vertsize"), F.lit(300).alias("spacing"), (F.col("l_partkey") % 11 == 0).alias("forced_break"), (F.col("l_partkey") % 400).alias("para_space"))
+    return layout.page_plan(lines, 8000, layout.ladder())

@@ -291,8 +291,12 @@ def test_layout(spark):
     seg = table(spark, "doc_id long, section_no long, para_idx long, line_no long, textpos long", (1, 0, 0, 0, 0), (1, 0, 0, 1, 97), (1, 0, 1, 0, 0))
     p = table(spark, "doc_id long, section_no long, para_idx long, text string, line_breaks long", (1, 0, 0, "x" * 100, 0), (1, 0, 1, "y", 0))
     assert layout.widow_tails(seg, p).collect() == [(1, 0, 0, 3, -3, 100, True)]
-    steps = layout.first_step(table(spark, "doc_id long, page long, need long, lines long", (1, 1, 100, 10), (1, 2, 900, 1)), [(-1, 160, 10), (-2, 155, 30)])
-    assert {(r.page, r.step) for r in steps.collect()} == {(1, 1), (2, None)}
+    assert layout.ladder(25, 3) == [(10, 0), (20, 0), (25, 0), (25, 2), (25, 3)]
+    names = "doc_id long, section_no long, para_idx long, line_no long, vertpos long, vertsize long, spacing long, forced_break boolean, para_space long"
+    # A full page and a short paragraph; a gap before a paragraph that goes on; a forced break.
+    rows = [(1, 0, 0, 0, 100, 9500, 300, False, 2000), (1, 0, 1, 0, 0, 500, 300, False, 100), (1, 0, 1, 1, 800, 500, 300, False, 100), (1, 0, 2, 0, 0, 500, 300, True, 0)]
+    plan = layout.page_plan(table(spark, names, *rows), 10000, layout.ladder()).orderBy("page").collect()
+    assert [tuple(r)[2:] for r in plan] == [(0, 4.0, "pull", 1300, "fittable", 50, 4), (1, 87.0, "forced", None, "forced", None, None)]
     cells = table(spark, "doc_id long, table_index long, row long, text string, em double, height long", (1, 0, 0, "가" * 19, 9.5, 100), (1, 0, 0, "a", 9.5, 100))
     assert layout.row_growth(cells).collect() == [(1, 0, 0, 300)]
 
