@@ -8,11 +8,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+#: A table read in fewer splits than this (1 GB at the usual size of a split) is dealt out to all cores first.
+FEW_SPLITS = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table of texts. A small one in a single file would keep one core busy: it is dealt out; larger ones are read as they lie."""
+    df, cores = table(spark, sf_dir, name, *columns), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names. Only a local session, as in tests, may go without: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

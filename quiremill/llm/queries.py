@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.llm import bpe, decontam, html, jaccard, lm, oracles, quality, repetition, secrets, substring, toxicity
-from quiremill.llm.io import table
+from quiremill.llm.io import table, texts
 from quiremill.llm.labelled import fold
 
 #: Rank file of the tokenizer; a path that every executor can open.
@@ -20,45 +20,45 @@ def _decided(scores: DataFrame, held_out, at: float) -> DataFrame:  # noqa: ANN0
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 5) == 0
+    docs, held_out = texts(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 5) == 0
     models = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out)
     return _decided(toxicity.score(docs, models), held_out, 0.5)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(texts(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
+    return jaccard.jaccard_components(texts(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
 
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repetition.measure(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = repetition.measure(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 4) == 2
+    docs, held_out = texts(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 4) == 2
     models = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), ~held_out)
     return _decided(quality.score(docs, models), held_out, 0.7)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    pages = texts(spark, sf_dir, "pages", "page_id", "url", "html")
     return html.main_text(pages, html.learned(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) == 2)
+    return lm.scores(texts(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) == 2)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.kept_words(substring.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return substring.kept_words(substring.find_repeats(texts(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = secrets.find_spans(texts(spark, sf_dir, "documents", "doc_id", "text"))
     kinds = F.transform("found", lambda s: s["kind"])
     counts = [F.size(F.array_remove(kinds, r.kind)) for r in secrets.RULES[: secrets.BASE]]
     counts = [(F.size("found") - n).cast("long").alias(f"n_{r.kind}") for n, r in zip(counts, secrets.RULES, strict=False)]
@@ -67,7 +67,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontam.contaminated(texts(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
