@@ -39,7 +39,7 @@ from quiremill.llm.kernel import Slab, Words, mix, row_sums, signed, slabs
 
 #: Most recurring shingles that are put last in the order; the bound on what is broadcast for them.
 HEAVY = 1 << 16
-BLOCK = 1024
+BLOCK = 512
 #: Shingles of a block's sets, some 30 MB of text: a task holds the texts of one block.
 BLOCK_SHINGLES = 1 << 22
 _TOP = np.uint64(1) << np.uint64(63)
