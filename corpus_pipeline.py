@@ -1,4 +1,10 @@
-"""Documents to token ids in five stages; each reads what the stage before it wrote."""
+"""Documents to token ids in five stages; each reads what the stage before it wrote.
+
+Defined cases, for every stage: a null or empty text is a text without words; a null id is kept and never the
+copy, source or member of anything; repeated rows are treated alike; further columns of documents pass through
+all stages but the last; an empty table gives an empty table. Ids are whole numbers, others are an error before any
+job runs, and so is a column named ``score``, ``found``, ``ids`` or ``decoded``. Long texts are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -8,36 +14,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.llm import bpe, decontam, jaccard, quality, secrets
-from quiremill.llm.io import saved, table
+from quiremill.llm.io import discard, saved, table, texts
 
 #: Documents whose quality score is lower go.
 LEAST_QUALITY = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier, trained on the labelled documents, rejects."""
+    """Drop what the classifier, trained on the labelled documents, rejects.
+
+    Null and empty texts have the score of the bias; without usable labels nothing is rejected.
+    """
     models = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), F.lit(True))
     return quality.score(docs, models).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the least id stays."""
+    """Of each group of near duplicates (five words, 0.8) the document with the least id stays.
+
+    Texts without words are no duplicates of each other; rows that share an id stay or go together.
+    """
     return jaccard.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a test item."""
+    """Drop documents that hold a test item, whichever row of an id holds it; a null id stays."""
     hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; no document goes."""
+    """Replace secrets in the texts; no document goes, a null text stays null, n_chars follows the text."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the decoded ids are the text's bytes."""
+    """doc_id, n_tokens, ids, and whether the decoded ids are the text's bytes; null and empty texts have no ids."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
     intact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -57,7 +69,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        before, docs = docs, saved(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
