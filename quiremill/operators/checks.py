@@ -65,8 +65,10 @@ def neutral_numbering(objects: DataFrame) -> DataFrame:
     return objects.withColumn("changed", F.coalesce(hit, F.lit(False))).withColumn("numbering_type", F.when(hit, "NONE").otherwise(F.col("numbering_type")))
 
 
-def marker_census(paragraphs: DataFrame) -> DataFrame:
-    """AG6: how often each marker stands in each section."""
+def marker_census(paragraphs: DataFrame, instructions: DataFrame | None = None) -> DataFrame:
+    """AG6: how often each marker stands in each section; paragraphs of instructions (PF6) aren't counted."""
+    if instructions is not None:
+        paragraphs = paragraphs.join(instructions, ["doc_id", "section_no", "para_idx"], "left_anti")
     return paragraphs.select("doc_id", "section_no", F.explode(F.transform(F.regexp_extract_all("text", F.lit(T.PLACEHOLDER), F.lit(1)), lambda x: F.trim(x))).alias("token")).groupBy("doc_id", "section_no", "token").agg(F.count("*").alias("n"))
 
 
