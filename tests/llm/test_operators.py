@@ -304,18 +304,24 @@ def test_lm_bit_by_bit():
 
 
 def test_lm_longer_contexts(spark):
-    r = random.Random(6)
-    rows = [(i, r.random() < 0.3, [r.randrange(6) for _ in range(n)], [r.randrange(4) for _ in range(n)], [-r.random() * 3 for _ in range(n)]) for i, n in enumerate([0, 1, 5, 9, 4, 30])]
-    df = spark.createDataFrame(rows, "rid long, held_out boolean, context array<long>, symbol array<int>, log10 array<double>")
-    train = Counter((c, s) for _, held, cs, ss, _ in rows if not held for c, s in zip(cs, ss))
+    """Against sums over all other training texts; symbol 3 is the escape, behind which there are words."""
+    r, told = random.Random(6), math.log10(0.01)
+    rows = [(i, r.random() < 0.3, [r.randrange(6) for _ in range(n)], [r.randrange(4) for _ in range(n)], [-r.random() * 3 for _ in range(n)]) for i, n in enumerate([0, 1, 5, 9, 4, 60])]
+    rows = [(i, held, cs, ss, [r.randrange(1, 4) if s == 3 else 0 for s in ss], ls) for i, held, cs, ss, ls in rows]
+    df = spark.createDataFrame(rows, "rid long, held_out boolean, context array<long>, symbol array<int>, word array<long>, log10 array<double>")
+    every = {1: 7, 2: 11, 3: 2}
+    train = Counter((c, s) for _, held, cs, ss, _, _ in rows if not held for c, s in zip(cs, ss))
+    words = Counter((c, w) for _, held, cs, _, ws, _ in rows if not held for c, w in zip(cs, ws) if w)
     want = {}
-    for rid, held, cs, ss, ls in rows:
-        for c, s, log in zip(cs, ss, ls):
-            others = {k: n - (k == s and not held) for (x, k), n in train.items() if x == c}
-            n, kinds = sum(others.values()), sum(v > 0 for v in others.values())
-            if n:
-                want[rid] = want.get(rid, 0) + math.log10((others.get(s, 0) + kinds * 10**log) / (n + kinds)) - log
-    got = {x.rid: x.gain for x in lm.followed(df).collect()}
+    for rid, held, cs, ss, ws, ls in rows:
+        for c, s, w, log in zip(cs, ss, ws, ls):
+            for counts, own, p in ((train, s, 10**log), *([(words, w, 0.01 * every[w])] if w else [])):
+                others = {k: n - (k == own and not held) for (x, k), n in counts.items() if x == c}
+                n, kinds = sum(others.values()), sum(v > 0 for v in others.values())
+                if n:
+                    want[rid] = want.get(rid, 0) + math.log10((others.get(own, 0) / p + kinds) / (n + kinds))
+    counts = spark.createDataFrame(list(every.items()), "h long, c long")
+    got = {x.rid: x.gain for x in lm.followed(df, counts, 3, told).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
