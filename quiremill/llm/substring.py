@@ -170,10 +170,11 @@ class SubstringIndex:
         occ = saved(self.occurrences(candidates).withColumn("vid", F.xxhash64("fp", "hs")))
         variants = occ.groupBy("fp", "vid", "hs").agg(F.min("doc_id").alias("first"))
         variants = saved(variants)
-        many = variants.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        # Dealt out anew by window: one fingerprint may have many arrays, and the join before can be split then.
-        listed = variants.join(many, "fp", "left_semi").select("fp", "vid", "first", F.posexplode("hs").alias("i", "h")).repartition("fp", "h")
-        least = listed.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
+        many = saved(variants.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+        # Both are written: one fingerprint may have many arrays and one window be in many of them, and joins that count
+        # nothing on the way can be split.
+        listed = saved(variants.join(many, "fp", "left_semi").select("fp", "vid", "first", F.posexplode("hs").alias("i", "h")))
+        least = saved(listed.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most"))
         earlier = listed.join(least, ["fp", "h"]).where("least < first")
         earlier = earlier.groupBy("fp", "vid").agg(F.map_from_entries(F.collect_list(F.struct("i", "least"))).alias("earlier"))
         firsts = variants.select("fp", "vid", "first").join(earlier, ["fp", "vid"], "left")
