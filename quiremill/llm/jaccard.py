@@ -75,22 +75,25 @@ def ordered_sets(slab: Slab, n: int, heavy: np.ndarray) -> tuple[np.ndarray, np.
 def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
     """Up to HEAVY shingles that recur most, sorted by hash, with the rank as second column (rarest first).
 
-    A task adds up those that recur within a slab of 1 MB, so a passage in one of a thousand texts is met in
+    A task adds up those that recur within a slab of 512 KB, so a passage in one of a thousand texts is met in
     some slabs of a large corpus; only the order depends on that, no result.
     """
 
+    def most(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.argsort(-c, kind="stable")[:HEAVY]
+        return h[own], c[own]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
-        for slab in slabs(batches, size=1 << 20):
-            _, h = shingles(slab, n)
-            h, count = np.unique(h, return_counts=True)
+        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for slab in slabs(batches, size=1 << 19):
+            new, count = np.unique(shingles(slab, n)[1], return_counts=True)
             often = count >= max(2, len(slab) // 200)
-            for k, c in zip(signed(h[often]).tolist(), count[often].tolist(), strict=True):
-                found[k] = found.get(k, 0) + c
-            if len(found) > 4 * HEAVY:
-                found = dict(sorted(found.items(), key=lambda x: -x[1])[:HEAVY])
-        found = dict(sorted(found.items(), key=lambda x: -x[1])[:HEAVY])
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["h", "c"])
+            h, at = np.unique(np.concatenate([h, new[often]]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([c, count[often]]), len(h)).astype(np.int64)
+            if len(h) > 4 * HEAVY:
+                h, c = most(h, c)
+        h, c = most(h, c)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], names=["h", "c"])
 
     top = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).collect()
     ranked = np.array([(x.h, len(top) - i) for i, x in enumerate(top)], dtype=np.uint64).reshape(-1, 2)
