@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiremill.llm import bpe, decontam, html, jaccard, lm, oracles, quality, repetition, secrets, substring, toxicity
+from quiremill.llm import bpe, decontam, html, infill, jaccard, lm, oracles, quality, repetition, secrets, sharding, substring, toxicity, vectorcodes
 from quiremill.llm.io import table, texts
 from quiremill.llm.labelled import fold
 
@@ -70,6 +70,20 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(texts(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infilled(texts(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(infill.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, text = sharding.sharded(table(spark, sf_dir, "documents", "doc_id", "text")), F.coalesce("text", F.lit(""))
+    return placed.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -81,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,
+    "op11_infill": op11_infill,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +105,6 @@ ORACLES: dict[str, str] = {
     "op4_repetition": oracles.repetition(),
     "op8_substring": oracles.substring(),
     "op9_secrets": secrets.oracle(),
+    "op11_infill": infill.oracle(),
+    "op12_vector_codes": vectorcodes.oracle(),
 }

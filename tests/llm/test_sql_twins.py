@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 def test_sql_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     have, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(have.columns) == sorted(want.columns)
 
