@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quiremill.functions import inline, text as T
 from quiremill.operators import blocks, checks, edits, forms, layout, markdown, media, styles
 from quiremill.sources import adapters as A
+from quiremill.sources.shared import shared_folder
 from quiremill.streaming import revisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +494,30 @@ def sm2(s, d):  # noqa: ANN001, ANN201
     return revisions.regressions(_forms(r), _forms(r.where("confirmed")))
 
 
+@query(
+    "sm1_rerun_set",
+    f"""{A.with_tables("revisions")}, {_LATEST}, c AS (SELECT l.name, s.name IS NULL OR l.modified_time <> s.modified_time AS changed FROM latest l LEFT JOIN state s ON l.name = s.name) SELECT name, changed FROM c WHERE (SELECT bool_or(changed) FROM c)""",
+)
+def sm1_rerun(s, d):  # noqa: ANN001, ANN201
+    return revisions.rerun_set(sm1(s, d))
+
+
+@query(
+    "sm1_keyed_stream",
+    f"""{A.with_tables("revisions")}, {_LATEST}, m AS (SELECT name, max(modified_time) AS seen, epoch_ms(max(modified_time)::TIMESTAMP) + 86400000 < (SELECT epoch_ms(max(modified_time)::TIMESTAMP) FROM revisions) AS gone FROM revisions GROUP BY 1)
+SELECT m.name, CASE WHEN gone THEN 'disappeared' WHEN s.name IS NULL THEN 'new' WHEN seen <> s.modified_time THEN 'changed' ELSE 'same' END AS status, CASE WHEN NOT gone THEN seen END AS modified_time, s.modified_time AS confirmed_time, s.declarations FROM m LEFT JOIN state s ON s.name = m.name""",
+)
+def sm1_stream(s, d):  # noqa: ANN001, ANN201
+    """The revisions as a stream: every one is a listing, the confirmed ones are taken over at once."""
+    A.revisions(s, d).write.parquet(source := shared_folder(s))
+    r = s.readStream.schema(A.revisions(s, d).schema).parquet(source).withColumn("at", F.to_timestamp("modified_time"))
+    kinds = F.explode(F.when(F.col("confirmed"), F.array(F.lit("listed"), F.lit("confirmed"))).otherwise(F.array(F.lit("listed"))))
+    events = r.select("name", kinds.alias("kind"), "at", F.col("file_id").cast("string").alias("file_id"), "modified_time", F.lit(None).cast("string").alias("classification"), "declarations")
+    log = shared_folder(s)
+    revisions.followed(revisions.follow(events, late="0 seconds"), log, shared_folder(s)).awaitTermination()
+    return revisions.standing(s, log).select("name", "status", "modified_time", "confirmed_time", "declarations")
+
+
 @query("snk3_confirmed_state", f"{A.with_tables('revisions')}, {_LATEST}, ok AS (SELECT * FROM latest WHERE declarations > 0) SELECT name, modified_time FROM ok UNION ALL SELECT name, modified_time FROM state WHERE name NOT IN (SELECT name FROM ok)")
 def snk3(s, d):  # noqa: ANN001, ANN201
     r = A.revisions(s, d)

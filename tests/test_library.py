@@ -2,7 +2,7 @@
 
 import io
 import zipfile
-from datetime import date
+from datetime import date, datetime
 
 import pandas as pd
 import pytest
@@ -257,18 +257,48 @@ def test_revisions(spark, tmp_path):
     listing = table(spark, "name string, file_id string, modified_time string", ("a", "1", "2"), ("b", "1", "5"), ("n", "1", "1"))
     state = table(spark, "name string, file_id string, modified_time string", ("a", "1", "3"), ("b", "1", "5"), ("gone", "1", "1"))
     assert dict(revisions.changes(listing, state).collect()) == {"a": "changed", "b": "same", "n": "new", "gone": "disappeared"}
-    source, out, held, seen = tmp_path / "in", str(tmp_path / "out"), {"df": state}, []
-
-    def write(found, new_state):
-        seen.append(sorted(tuple(r) for r in found.collect()))
-        held["df"] = spark.createDataFrame(new_state.collect(), new_state.schema)
-
-    for i, rows in enumerate(([("a", "1", "9")], [("a", "1", "4"), ("b", "1", "5")])):
-        spark.createDataFrame(rows, listing.schema).coalesce(1).write.mode("append").parquet(str(source))
-        q = revisions.follow(spark.readStream.schema(listing.schema).parquet(str(source)), lambda: held["df"], write).option("checkpointLocation", out).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert seen == [[("a", "changed")], [("a", "changed")]]
-    assert {(r.name, r.modified_time) for r in held["df"].collect()} == {("a", "4"), ("b", "5"), ("gone", "1")}
+    assert dict(revisions.rerun_set(revisions.changes(listing, state)).collect()) == {"a": True, "b": False, "n": True}
+    same = revisions.changes(state, state)
+    assert revisions.rerun_set(same).count() == 0 and revisions.rerun_set(same, force=True).count() == 3
+
+
+def test_keyed_revision_stream(spark, tmp_path):
+    """Batches with an older time, a repeated batch, a confirmation behind its listing and a restart give the batch query's rows; silence makes a name disappear."""
+    source, log, checkpoint = (str(tmp_path / x) for x in ("in", "log", "checkpoint"))
+    t = [datetime(2026, 1, 1 + i) for i in range(9)]
+    row = dict(zip(("name", "kind", "at", "file_id", "modified_time", "classification", "declarations"), [None] * 7, strict=True))
+
+    def listed(name, at, time, file="1"):
+        return row | {"name": name, "kind": "listed", "at": at, "file_id": file, "modified_time": time}
+
+    def confirmed(name, at, time, n=1):
+        return row | {"name": name, "kind": "confirmed", "at": at, "modified_time": time, "classification": "structured", "declarations": n}
+
+    state = spark.createDataFrame([("old", t[0], "7", "flat", 0), ("lost", t[0], "7", "flat", 0)], "name string, at timestamp, modified_time string, classification string, declarations long")
+    batches = [
+        [listed("a", t[1], "5"), listed("b", t[1], "5"), listed("old", t[1], "7"), listed("a", t[1], "5")],
+        [listed("a", t[1], "5"), confirmed("a", t[1], "5"), listed("c", t[1], "1", "9"), listed("c", t[1], "1", "8")],
+        [listed("a", t[2], "4"), listed("b", t[2], "6"), confirmed("b", t[2], "6", 3), listed("old", t[2], "7")],
+        [listed("a", t[2], "4"), listed("b", t[2], "6"), confirmed("b", t[2], "6", 3), listed("old", t[2], "7")],
+        [listed("a", t[8], "4"), listed("old", t[8], "8")],
+    ]
+    wanted = [
+        {"a": "new", "b": "new", "old": "same"},
+        {"a": "same", "b": "new", "old": "same", "c": "new"},
+        {"a": "changed", "b": "same", "old": "same", "c": "new"},
+        {"a": "changed", "b": "same", "old": "same", "c": "new"},
+        {"a": "changed", "b": "disappeared", "old": "changed", "c": "disappeared", "lost": "disappeared"},
+    ]
+    schema = spark.createDataFrame([], revisions.EVENTS).schema
+    for rows, want in zip(batches, wanted, strict=True):
+        spark.createDataFrame([tuple(r.values()) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = revisions.follow(spark.readStream.schema(schema).parquet(source), state, patience_ms=3 * 86_400_000, late="12 hours")
+        revisions.followed(stream, log, checkpoint).awaitTermination()  # a new start each time, from the checkpoint
+        found = {r.name: r for r in revisions.standing(spark, log).collect()}
+        assert {n: r.status for n, r in found.items()} == want
+    assert (found["b"].confirmed_time, found["b"].declarations, found["lost"].confirmed_time, found["c"].confirmed_time) == ("6", 3, "7", None)
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "done").load().select("key.name", "value.modified_time").collect()
+    assert dict(held) == {"a": "5", "b": "6", "old": "7", "lost": "7"}
 
 
 def test_partitioning_does_not_matter(spark):
