@@ -12,13 +12,13 @@ from quiremill.plans.queries import _MATCHED, _TABLES, _TOKENS, _people_slots, _
 from quiremill.sources import adapters as A, packages
 
 
-def _parts(s: SparkSession, d: str) -> DataFrame:
-    return packages.parts(A.packages(s, d))
+def _contents(s: SparkSession, d: str) -> DataFrame:
+    return packages.contents(A.packages(s, d))
 
 
 @query("src2_parts", "SELECT doc_id::VARCHAR AS doc_id, unnest(['Contents/section0.xml', 'Contents/header.xml', 'Contents/content.hpf']) AS part_name, unnest([0, 1, 2]) AS part_order FROM documents")
 def src2(s, d):  # noqa: ANN001, ANN201
-    return _parts(s, d).where("error is null").select("doc_id", "part_name", "part_order")
+    return packages.parts(A.packages(s, d)).where("error is null").select("doc_id", "part_name", "part_order")
 
 
 @query(
@@ -28,22 +28,22 @@ SELECT doc_id::VARCHAR AS doc_id, 0 AS section_no, i::INT AS para_idx, false AS
 UNION ALL SELECT doc_id::VARCHAR, 0, n::INT, false, '0', '', true FROM n UNION ALL SELECT doc_id::VARCHAR, 0, (n + 1)::INT, true, NULL, doc_id::VARCHAR, false FROM n UNION ALL SELECT doc_id::VARCHAR, 0, (n + 2)::INT, true, NULL, source, false FROM n""",
 )
 def src3(s, d):  # noqa: ANN001, ANN201
-    return packages.paragraphs(_parts(s, d)).select("doc_id", "section_no", "para_idx", "in_cell", "style_id", "text", "has_table")
+    return packages.paragraphs(_contents(s, d)).select("doc_id", "section_no", "para_idx", "in_cell", "style_id", "text", "has_table")
 
 
 @query("src4_cells", "SELECT doc_id::VARCHAR AS doc_id, 0 AS table_index, 0 AS \"row\", unnest([0, 1]) AS col, unnest([doc_id::VARCHAR, source]) AS text FROM documents")
 def src4(s, d):  # noqa: ANN001, ANN201
-    return packages.cells(_parts(s, d)).select("doc_id", "table_index", "row", "col", "text")
+    return packages.cells(_contents(s, d)).select("doc_id", "table_index", "row", "col", "text")
 
 
 @query("src6_header_items", "SELECT doc_id::VARCHAR AS doc_id, 'styles' AS item, unnest([1, 2]) AS pos, unnest([0, 1 + doc_id % 3]) AS id, 2 + doc_id % 2 AS item_cnt FROM documents")
 def src6(s, d):  # noqa: ANN001, ANN201
-    return packages.header_items(_parts(s, d))
+    return packages.header_items(_contents(s, d))
 
 
 @query("src7_metadata", "SELECT doc_id::VARCHAR AS doc_id, 'T' || doc_id AS title, NULL AS language, nullif(trim(source), '') AS creator FROM documents")
 def src7(s, d):  # noqa: ANN001, ANN201
-    return packages.metadata(_parts(s, d)).select("doc_id", "title", "language", "creator")
+    return packages.metadata(_contents(s, d)).select("doc_id", "title", "language", "creator")
 
 
 @query("src10_manifests", "SELECT l_orderkey AS doc_id, string_agg('part ' || (l_partkey % 50), chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS markdown FROM lineitem GROUP BY 1")

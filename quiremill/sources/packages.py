@@ -1,24 +1,42 @@
-"""Landing packages (ZIP files of XML parts) as tables. Bytes pass once; pictures stay behind unless asked for."""
+"""Landing packages (ZIP files of XML parts) as tables.
+
+One pass reads a package: its members are inflated and parsed piece by piece, and everything that is found becomes rows of
+one table (``contents``) with a column ``kind``; the other functions take their kind of rows from it. What can't be read
+- no ZIP file, a damaged, encrypted or oversized member, XML that ends early - is a part row with an error, and that
+part gives no other rows.
+"""
 
 from __future__ import annotations
 
 import io
-import xml.etree.ElementTree as ET
 import zipfile
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.functions import text as T
-
-PARTS = "doc_id string, part_name string, part_order int, content binary, error string"
-PARAGRAPHS = "doc_id string, section_no int, para_idx int, in_cell boolean, style_id string, para_pr_id string, text string, line_breaks int, line_segs int, has_table boolean"
-LINES = "doc_id string, section_no int, para_idx int, line_no int, textpos int, vertpos int, vertsize int, spacing int"
-FIELDS = "doc_id string, section_no int, ord int, side string, field_id string, field_type string, url string"
-PICTURES = "doc_id string, section_no int, para_idx int, ref string, width int, height int, comment string, caption string"
-CELLS = "doc_id string, section_no int, table_index int, row int, col int, row_span int, col_span int, width int, height int, text string"
+from quiremill.sources.sections import Section
+
+#: Rows of all kinds. ``node`` and ``stop`` number the XML elements of a part in the order of their begins: an element holds another if node < other's node <= stop.
+CONTENTS = (
+    "kind string, doc_id string, part_name string, part_order int, content binary, error string, section_no int, node int, stop int, para_idx int, in_cell boolean, style_id string, "
+    "para_pr_id string, text string, line_breaks int, line_segs int, has_table boolean, line_no int, textpos int, vertpos int, vertsize int, spacing int, ord int, side string, "
+    "field_id string, field_type string, url string, ref string, width int, height int, comment string, caption string, table_index int, row int, col int, row_span int, col_span int, "
+    "row_cnt int, col_cnt int, page_break string, treat_as_char int, item string, ref_id long, n long"
+)
+PARTS = ["doc_id", "part_name", "part_order", "content", "error"]
+PARAGRAPHS = ["doc_id", "section_no", "para_idx", "in_cell", "style_id", "para_pr_id", "text", "line_breaks", "line_segs", "has_table"]
+LINES = ["doc_id", "section_no", "para_idx", "line_no", "textpos", "vertpos", "vertsize", "spacing"]
+FIELDS = ["doc_id", "section_no", "ord", "side", "field_id", "field_type"]
+CELLS = ["doc_id", "section_no", "table_index", "row", "col", "row_span", "col_span", "width", "height", "text"]
+TABLES = ["doc_id", "section_no", "table_index", "para_idx", "row_cnt", "col_cnt", "page_break", "treat_as_char", "caption"]
+#: Bytes of a member that are inflated, and bytes that are parsed at a time.
+LARGEST, PIECE = 1 << 28, 1 << 16
+_ROWS, _BYTES = 4096, 1 << 26
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
@@ -27,141 +45,145 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_id"), "path", F.col("modificationTime").alias("modified"), "length", "content")
 
 
-def parts(packages: DataFrame, binaries: bool = False) -> DataFrame:
-    """SRC2: the parts of each package; what isn't a ZIP file is one row with an error, and so is a part of XML that can't be parsed."""
+def _schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (c.strip().split(" ") for c in CONTENTS.split(","))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for doc, content in zip(b["doc_id"], b["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [_part(doc, n, i, z.read(n)) for i, n in enumerate(z.namelist()) if binaries or not n.startswith("BinData/")]
-                except (zipfile.BadZipFile, TypeError) as e:
-                    rows = [(doc, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["doc_id", "part_name", "part_order", "content", "error"])
 
-    return packages.select("doc_id", "content").mapInPandas(run, PARTS)
+def contents(packages: DataFrame, binaries: bool = False, bodies: bool = False, walk: bool = True, largest: int = LARGEST) -> DataFrame:
+    """SRC2-SRC4, SRC6, SRC8: the rows of every package (doc_id, content) in one pass.
 
+    Part rows hold the bytes of the members that aren't sections, with ``bodies`` of sections too, with ``binaries`` of pictures
+    too. A part's rows are held until its end, so that a damaged part leaves none behind; members over ``largest`` bytes aren't inflated.
+    """
+    schema = _schema()
 
-def _part(doc: str, name: str, order: int, content: bytes) -> tuple:
-    if name.endswith((".xml", ".hpf")):
-        try:
-            expat.ParserCreate().Parse(content, True)
-        except expat.ExpatError as e:
-            return doc, name, order, None, str(e)
-    return doc, name, order, content, None
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema)
 
-
-def _name(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2]
-
-
-def _text(e: ET.Element) -> str:
-    """Text of a paragraph's runs: line breaks and tabs as characters, nested tables left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for doc, content in zip(b["doc_id"], b["content"], strict=True):
+                for rows in _package_rows(doc.as_py(), content, binaries, bodies, walk, largest):
+                    held += rows
+                    size += len(rows[0].get("content") or b"")
+                    if len(held) >= _ROWS or size >= _BYTES:
+                        yield from (batch(held[i : i + _ROWS]) for i in range(0, len(held), _ROWS))
+                        held, size = [], 0
+        yield batch(held)
+
+    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, CONTENTS)
+
+
+def _package_rows(doc: str, content: pa.BinaryScalar, binaries: bool, bodies: bool, walk: bool, largest: int) -> Iterator[list[dict]]:
+    """The rows of one member after the other."""
+    try:
+        package = zipfile.ZipFile(io.BytesIO(content.as_buffer() if content.is_valid else b""))
+    except (zipfile.BadZipFile, ValueError, OSError) as e:
+        yield [{"kind": "part", "doc_id": doc, "error": str(e) or "not a package"}]
+        return
+    with package as z:
+        for order, member in enumerate(z.infolist()):
+            name = member.filename
+            if not binaries and name.startswith("BinData/"):
+                continue
+            own = {"kind": "part", "doc_id": doc, "part_name": name, "part_order": order}
+            section = name.startswith("Contents/section") and name[16:-4].isdigit() and name.endswith(".xml")
+            try:
+                if member.file_size > largest:
+                    raise ValueError(f"{member.file_size} bytes, at most {largest} are read")
+                walker = Section(int(name[16:-4])) if section and walk else None
+                refs: Counter = Counter()
+                data = _read(z, member, name, walker, refs, keep=bodies or not section)
+            except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, ValueError, expat.ExpatError) as e:
+                yield [own | {"error": f"{type(e).__name__}: {e}"}]
+                continue
+            rows = [own | {"content": data}]
+            rows += [{"kind": "ref", "doc_id": doc, "part_name": name, "item": i, "ref_id": r, "n": n} for (i, r), n in refs.items()]
+            rows += [{"doc_id": doc, "part_name": name} | r for r in walker.rows] if walker else []
+            yield rows
+
+
+def _read(z: zipfile.ZipFile, member: zipfile.ZipInfo, name: str, walker: Section | None, refs: Counter, keep: bool) -> bytes | None:
+    """Inflate a member piece by piece; XML goes through the parser, which counts references and feeds the walker."""
+    parser = expat.ParserCreate() if name.endswith((".xml", ".hpf")) else None
+    if parser:
+        counts = name.endswith(".xml")
+
+        def start(tag: str, attributes: dict[str, str]) -> None:
+            if counts:
+                for key, value in attributes.items():
+                    if key.endswith("IDRef") and value.isdigit():
+                        refs[key[:-5], int(value)] += 1
+            if walker:
+                walker.start(tag.rpartition(":")[2], attributes)
+
+        parser.StartElementHandler = start
+        parser.buffer_text = True
+        if walker:
+            parser.EndElementHandler = lambda tag: walker.end(tag.rpartition(":")[2])
+            parser.CharacterDataHandler = walker.characters
     out = []
-    for run in (r for r in e if _name(r) == "run"):
-        for t in (t for t in run if _name(t) == "t"):
-            out.append(t.text or "")
-            for c in t:
-                out += [{"lineBreak": "\n", "tab": "\t"}.get(_name(c), "".join(c.itertext())), c.tail or ""]
-    return "".join(out)
-
+    with z.open(member) as f:
+        while piece := f.read(PIECE):
+            if parser:
+                parser.Parse(piece)
+            if keep:
+                out.append(piece)
+    if parser:
+        parser.Parse(b"", True)
+    return b"".join(out) if keep else None
 
-def _number(part: str) -> int:
-    return int("".join(c for c in part.rpartition("/")[2] if c.isdigit()) or 0)
 
+def _of(found: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    return found.where(F.col("kind") == kind).select(*columns)
 
-def _walk(found: DataFrame, schema: str, rows_of) -> DataFrame:  # noqa: ANN001
-    columns = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for doc, part, content in zip(b["doc_id"], b["part_name"], b["content"], strict=True):
-                yield pd.DataFrame([(doc, _number(part), *r) for r in rows_of(ET.fromstring(content))], columns=columns)
 
-    return found.where(F.col("part_name").rlike(r"Contents/section[0-9]+\.xml$") & F.col("error").isNull()).select("doc_id", "part_name", "content").mapInPandas(run, schema)
+def parts(packages: DataFrame, binaries: bool = False) -> DataFrame:
+    """SRC2: the parts of each package with their bytes; what can't be read is a row with an error."""
+    return _of(contents(packages, binaries, bodies=True, walk=False), "part", PARTS)
 
 
-def _paragraph_rows(root: ET.Element) -> list[tuple]:
-    inside = {id(p) for c in root.iter() if _name(c) == "tc" for p in c.iter() if _name(p) == "p"}
-    out = []
-    for i, p in enumerate(x for x in root.iter() if _name(x) == "p"):
-        own = [e for r in p if _name(r) == "run" for e in r]
-        segs = sum(_name(s) == "lineseg" for a in p if _name(a) == "linesegarray" for s in a)
-        text = _text(p)
-        out.append((i, id(p) in inside, p.get("styleIDRef"), p.get("paraPrIDRef"), text, text.count("\n"), segs, any(_name(e) == "tbl" for e in own)))
-    return out
+def errors(found: DataFrame) -> DataFrame:
+    """SRC2: what couldn't be read of ``contents``: (doc_id, part_name or null for a whole package, error)."""
+    return _of(found, "part", ["doc_id", "part_name", "error"]).where("error is not null")
 
 
 def paragraphs(found: DataFrame) -> DataFrame:
     """SRC3: the paragraphs of all sections in document order."""
-    return _walk(found, PARAGRAPHS, _paragraph_rows)
-
-
-def _paragraphs(root: ET.Element) -> list[tuple[int, ET.Element]]:
-    return list(enumerate(x for x in root.iter() if _name(x) == "p"))
-
-
-def _line_rows(root: ET.Element) -> list[tuple]:
-    """The saved lines of each paragraph."""
-    out = []
-    for i, p in _paragraphs(root):
-        saved = [s for a in p if _name(a) == "linesegarray" for s in a if _name(s) == "lineseg"]
-        out += [(i, k, *(int(s.get(n, 0)) for n in ("textpos", "vertpos", "vertsize", "spacing"))) for k, s in enumerate(saved)]
-    return out
+    return _of(found, "paragraph", PARAGRAPHS)
 
 
 def lines(found: DataFrame) -> DataFrame:
     """SRC3: the saved line layout, for WN12 and SC29."""
-    return _walk(found, LINES, _line_rows)
-
-
-def _field_rows(root: ET.Element) -> list[tuple]:
-    out = []
-    for e in root.iter():
-        if _name(e) in ("fieldBegin", "fieldEnd"):
-            begins = _name(e) == "fieldBegin"
-            command = next((c.text for c in e.iter() if c.get("name") == "Command"), None) if begins else None
-            out.append((len(out), "begin" if begins else "end", e.get("id") if begins else e.get("beginIDRef"), e.get("type"), command))
-    return out
+    return _of(found, "line", LINES)
 
 
 def fields(found: DataFrame) -> DataFrame:
     """SRC3: begins and ends of fields in order, for JN9 and AG15; the URL is the field's command, decoded."""
-    return _walk(found, FIELDS, _field_rows).withColumn("url", T.command_to_url(F.col("url")))
-
-
-def _picture_rows(root: ET.Element) -> list[tuple]:
-    out = []
-    for i, p in _paragraphs(root):
-        for pic in (e for r in p if _name(r) == "run" for e in r if _name(e) == "pic"):
-            own = {_name(e): e for e in pic.iter()}
-            size = own.get("curSz", own.get("sz", ET.Element("none")))
-            image, comment = own.get("img", ET.Element("none")), own.get("shapeComment")
-            out.append((i, image.get("binaryItemIDRef"), int(size.get("width", 0)), int(size.get("height", 0)), "".join(comment.itertext()) if comment is not None else None, _text(p)))
-    return out
+    return _of(found, "field", [*FIELDS, "url"]).withColumn("url", T.command_to_url(F.col("url")))
 
 
 def pictures(found: DataFrame) -> DataFrame:
     """SRC8: the pictures of all sections: reference, extent, description with original name and pixels, and the text of the paragraph around them as caption."""
-    pics = _walk(found, PICTURES, _picture_rows).withColumn("alt", T.alt_text(F.col("comment")))
+    pics = found.where("kind = 'picture'").withColumn("alt", T.alt_text(F.col("comment")))
     return pics.select("doc_id", "section_no", "para_idx", "ref", "width", "height", "caption", "alt.origname", "alt.px_w", "alt.px_h")
 
 
-def _cell_rows(root: ET.Element) -> list[tuple]:
-    out = []
-    for t, table in enumerate(x for x in root.iter() if _name(x) == "tbl"):
-        for tc in (c for tr in table if _name(tr) == "tr" for c in tr if _name(c) == "tc"):
-            own = {_name(e): e for e in tc}
-            at, span, size = (own.get(k, ET.Element("none")) for k in ("cellAddr", "cellSpan", "cellSz"))
-            text = "\n".join(_text(p) for s in tc if _name(s) == "subList" for p in s if _name(p) == "p")
-            out.append((t, int(at.get("rowAddr", 0)), int(at.get("colAddr", 0)), int(span.get("rowSpan", 1)), int(span.get("colSpan", 1)), int(size.get("width", 0)), int(size.get("height", 0)), text))
-    return out
-
-
 def cells(found: DataFrame) -> DataFrame:
     """SRC4: the cells of all tables; covered positions follow from the spans."""
-    return _walk(found, CELLS, _cell_rows)
+    return _of(found, "cell", CELLS)
+
+
+def tables(found: DataFrame) -> DataFrame:
+    """SRC4: the tables themselves: size, page break, whether they are laid out as characters, caption, and the paragraph around them."""
+    return _of(found, "table", TABLES)
+
+
+def nodes(found: DataFrame) -> DataFrame:
+    """Begin and end numbers of paragraphs, tables, pictures and fields: (doc_id, section_no, kind, node, stop, para_idx, table_index, in_cell, text, caption, ref)."""
+    return found.where("kind in ('paragraph', 'table', 'picture')").select("doc_id", "section_no", "kind", "node", "stop", "para_idx", "table_index", "in_cell", "text", "caption", "ref")
 
 
 def header_items(found: DataFrame) -> DataFrame:
@@ -173,9 +195,8 @@ def header_items(found: DataFrame) -> DataFrame:
 
 
 def refs(found: DataFrame) -> DataFrame:
-    """SRC6: every *IDRef of every part, pre-aggregated."""
-    body = found.where(F.col("part_name").endswith(".xml")).select("doc_id", "part_name", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r'\b(\w+IDRef="[0-9]+)"'), F.lit(1))).alias("r"))
-    return body.groupBy("doc_id", "part_name", F.regexp_extract("r", r"^(\w+)IDRef", 1).alias("item"), F.regexp_extract("r", r'"([0-9]+)$', 1).cast("long").alias("ref_id")).agg(F.count("*").alias("n"))
+    """SRC6: every *IDRef of every part, counted while it was parsed."""
+    return _of(found, "ref", ["doc_id", "part_name", "item", "ref_id", "n"])
 
 
 def metadata(found: DataFrame) -> DataFrame:

@@ -152,19 +152,75 @@ def test_packages(spark, tmp_path):
     (tmp_path / "a.hwpx").write_bytes(package({"Contents/section0.xml": section, "Contents/header.xml": head, "Contents/content.hpf": hpf, "BinData/image1.png": b"x"}))
     (tmp_path / "b.hwpx").write_bytes(b"not a zip")
     (tmp_path / "c.hwpx").write_bytes(package({"Contents/section0.xml": "<s:sec xmlns:s='u'><p", "Contents/section1.xml": "<sec/>"}))
-    found = packages.parts(packages.scan(spark, str(tmp_path))).cache()
-    assert {(r.doc_id, r.part_name) for r in found.where("error is not null").collect()} == {("b.hwpx", None), ("c.hwpx", "Contents/section0.xml")} and found.where("part_name like 'BinData%'").count() == 0
+    found = packages.contents(packages.scan(spark, str(tmp_path))).cache()
+    assert {(r.doc_id, r.part_name) for r in packages.errors(found).collect()} == {("b.hwpx", None), ("c.hwpx", "Contents/section0.xml")} and found.where("part_name like 'BinData%'").count() == 0
     p = packages.paragraphs(found).orderBy("para_idx").collect()
     assert [(r.text, r.line_breaks, r.line_segs, r.in_cell, r.has_table) for r in p] == [("a\nb\tc", 1, 1, False, False), ("", 0, 0, False, True), ("cell", 0, 0, True, False)]
     assert [tuple(r)[2:] for r in packages.cells(found).collect()] == [(0, 0, 1, 2, 1, 5, 7, "cell")]
     assert [tuple(r)[1:] for r in packages.header_items(found).orderBy("pos").collect()] == [("styles", 1, 0, 3), ("styles", 2, 2, 3)]
     assert packages.metadata(found).select("title", "creator", "language").first() == ("T", "me", None)
     assert {(r.item, r.ref_id, r.n) for r in packages.refs(found).collect()} == {("style", 1, 1), ("style", 0, 1), ("paraPr", 2, 1)}
-    assert checks.fingerprints(found.where("error is null"), "META-INF/fp").count() == 2
+    assert [tuple(r)[1:] for r in packages.tables(found).collect()] == [(0, 0, 1, 0, 0, None, 0, None)]
+    around = {r.kind: (r.node, r.stop) for r in packages.nodes(found).where("doc_id = 'a.hwpx' and coalesce(text, 'x') in ('', 'cell', 'x')").collect() if r.text != "cell"}
+    assert around["paragraph"][0] < around["table"][0] <= around["table"][1] <= around["paragraph"][1]
+    parts = packages.parts(packages.scan(spark, str(tmp_path)))
+    assert parts.where("part_name = 'Contents/section0.xml' and doc_id = 'a.hwpx'").first().content == section.encode()
+    assert checks.fingerprints(parts.where("error is null"), "META-INF/fp").count() == 2
     packages.write_texts(p and spark.createDataFrame([(1, "t")], "doc_id long, markdown string"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def damaged(name):
+    """Packages that can't be read as a whole: cut, one flipped byte in the data, a member marked as encrypted, one that is too large."""
+    good = package({"Contents/section0.xml": "<sec>" + "<p><run><t>text</t></run></p>" * 50 + "</sec>", "Contents/section1.xml": "<sec><p/></sec>"})
+    if name == "cut":
+        return good[: len(good) // 2]
+    if name == "crc":
+        at = good.index(b"text") + 1
+        return good[:at] + b"T" + good[at + 1 :]
+    if name == "deflate":
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("Contents/section0.xml", "<sec>" + "".join(f"<p a='{i * i % 97}'/>" for i in range(500)) + "</sec>")
+            z.writestr("Contents/section1.xml", "<sec><p/></sec>")
+        raw = bytearray(out.getvalue())
+        raw[80:120] = b"\xff" * 40
+        return bytes(raw)
+    if name == "encrypted":
+        raw = bytearray(good)
+        for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+            raw[raw.index(mark) + at] |= 1
+        return bytes(raw)
+    return good
+
+
+def test_what_cannot_be_read_is_an_error_row(spark):
+    names = ["cut", "crc", "deflate", "encrypted", "large", None]
+    df = spark.createDataFrame([(str(n), damaged(n) if n else None) for n in names], "doc_id string, content binary").repartition(2)
+    found = packages.contents(df, largest=500).cache()
+    errors = {(r.doc_id, r.part_name): r.error for r in packages.errors(found).collect()}
+    whole = {("cut", None), ("None", None)}
+    assert set(errors) == whole | {(n, "Contents/section0.xml") for n in ("crc", "deflate", "encrypted", "large")} and all(errors.values())
+    assert {(r.doc_id, r.section_no) for r in packages.paragraphs(found).collect()} == {(n, 1) for n in ("crc", "deflate", "encrypted", "large")}
+    found = packages.contents(df)
+    errors = {(r.doc_id, r.part_name): r.error.split(":")[0] for r in packages.errors(found).collect()}
+    assert {n: errors[n, "Contents/section0.xml"] for n in ("crc", "deflate", "encrypted")} == {"crc": "BadZipFile", "deflate": "error", "encrypted": "RuntimeError"} and ("large", "Contents/section0.xml") not in errors
+
+
+def test_one_walk_for_all_kinds(spark):
+    """All tables come from one Python stage, nested tables keep their cells apart."""
+    inner = '<p:tbl rowCnt="1" colCnt="1"><p:tr><p:tc><p:subList><p:p><p:run><p:t>in</p:t></p:run></p:p></p:subList></p:tc></p:tr></p:tbl>'
+    caption = '<p:caption><p:subList><p:p><p:run><p:t>{{table 1}}</p:t></p:run></p:p></p:subList></p:caption>'
+    outer = f'<p:tbl rowCnt="1" colCnt="2" pageBreak="TABLE"><p:pos treatAsChar="1"/>{caption}<p:tr><p:tc><p:subList><p:p><p:run><p:t>a</p:t>{inner}</p:run></p:p><p:p><p:run><p:t>b</p:t></p:run></p:p></p:subList><p:cellAddr rowAddr="0" colAddr="0"/></p:tc><p:tc><p:cellAddr rowAddr="0" colAddr="1"/></p:tc></p:tr></p:tbl>'
+    section = f'<s:sec xmlns:s="u" xmlns:p="v"><p:p><p:run>{outer}<p:t>x<p:mark>y</p:mark>&amp;<p:lineBreak/>z</p:t></p:run></p:p></s:sec>'
+    found = packages.contents(spark.createDataFrame([("a", package({"Contents/section0.xml": section}))], "doc_id string, content binary"))
+    assert {(r.table_index, r.row, r.col, r.text) for r in packages.cells(found).collect()} == {(0, 0, 0, "a\nb"), (0, 0, 1, ""), (1, 0, 0, "in")}
+    assert {tuple(r)[2:] for r in packages.tables(found).collect()} == {(0, 0, 1, 2, "TABLE", 1, "{{table 1}}"), (1, 2, 1, 1, None, 0, None)}
+    assert [(r.para_idx, r.text, r.in_cell) for r in packages.paragraphs(found).orderBy("para_idx").collect()] == [(0, "xy&\nz", False), (1, "{{table 1}}", False), (2, "a", True), (3, "in", True), (4, "b", True)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_forms(spark):
     slots = table(spark, "doc_id long, kind string, locator string, name string, current string", (1, "cell", "cell:0:0:1", "성 명", ""), (1, "placeholder", "title", "title", ""), (1, "label", "기간", "기간", "x"))
     mapping = table(spark, "doc_id long, key string, value string", (1, "성명", "홍"), (1, "title", "T"), (1, "none", "?"))
@@ -390,7 +446,7 @@ def test_lines_fields_and_pictures_of_packages(spark):
     field = '<p:ctrl><p:fieldBegin id="5" type="HYPERLINK"><p:parameters><p:stringParam name="Command">http\\://a.kr;1;0;2;</p:stringParam></p:parameters></p:fieldBegin></p:ctrl><p:t>x</p:t><p:ctrl><p:fieldEnd beginIDRef="5"/></p:ctrl>'
     lines = '<p:linesegarray><p:lineseg textpos="0" vertpos="10" vertsize="5" spacing="2"/><p:lineseg textpos="4" vertpos="20" vertsize="5" spacing="2"/></p:linesegarray>'
     section = f'<s:sec xmlns:s="u" xmlns:p="v"><p:p><p:run>{field}</p:run>{lines}</p:p><p:p><p:run>{pic}<p:t>cap</p:t></p:run></p:p></s:sec>'
-    found = packages.parts(spark.createDataFrame([("a", package({"Contents/section2.xml": section}))], "doc_id string, content binary"))
+    found = packages.contents(spark.createDataFrame([("a", package({"Contents/section2.xml": section}))], "doc_id string, content binary"))
     assert [tuple(r) for r in packages.lines(found).collect()] == [("a", 2, 0, 0, 0, 10, 5, 2), ("a", 2, 0, 1, 4, 20, 5, 2)]
     fields = packages.fields(found)
     assert [tuple(r) for r in fields.collect()] == [("a", 2, 0, "begin", "5", "HYPERLINK", "http://a.kr"), ("a", 2, 1, "end", "5", None, None)]
