@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quiremill.functions import inline, text as T
 from quiremill.operators import blocks, edits, forms, layout, markdown, media
 from quiremill.plans.queries import _MATCHED, _TABLES, _TOKENS, _people_slots, _tables, query
-from quiremill.sources import adapters as A, packages
+from quiremill.sources import adapters as A, landing, packages
+from quiremill.sources.shared import shared_folder
 
 
 def _contents(s: SparkSession, d: str) -> DataFrame:
@@ -31,6 +32,40 @@ def src3(s, d):  # noqa: ANN001, ANN201
     return packages.paragraphs(_contents(s, d)).select("doc_id", "section_no", "para_idx", "in_cell", "style_id", "text", "has_table")
 
 
+def _landed(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The documents landed as packages, and landed again: of ids that end in 7 with a line more, in 9 with another time, without those that end in 5."""
+
+    def packed(docs: DataFrame) -> DataFrame:
+        meta = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("in/"), "doc_id").alias("path"), "modified")
+        made = A.packages(s, d, docs).withColumn("length", F.length("content").cast("long"))
+        return made.join(meta, "doc_id").select("doc_id", "path", "modified", "length", "content")
+
+    docs, target = A.read(s, d, "documents").withColumns({"modified": F.timestamp_seconds(F.lit(0)), "last": F.col("doc_id") % 10}), shared_folder(s)
+    landing.land(packed(docs), target)
+    later = docs.where("last <> 5").withColumns({"text": F.when(F.col("last") == 7, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")), "modified": F.when(F.col("last").isin(7, 9), F.timestamp_seconds(F.lit(1))).otherwise(F.col("modified"))})
+    landing.land(packed(later), target)
+    return target, docs
+
+
+@query(
+    "src1_landing",
+    """WITH d AS (SELECT doc_id, doc_id % 10 AS x, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 10 <> 5)
+SELECT doc_id::VARCHAR AS doc_id, (x = 7)::INT AS rows_run, CASE WHEN x = 9 THEN 'touched' ELSE 'landed' END AS status, (n + 3 + (x = 7)::INT)::BIGINT AS n_paragraphs, 2::BIGINT AS n_cells FROM d""",
+)
+def src1(s, d):  # noqa: ANN001, ANN201
+    target, _ = _landed(s, d)
+    n = landing.contents(s, target).groupBy("doc_id").agg(F.count_if(F.col("kind") == "paragraph").alias("n_paragraphs"), F.count_if(F.col("kind") == "cell").alias("n_cells"))
+    return landing.current(s, target).join(n, "doc_id").select("doc_id", "rows_run", "status", "n_paragraphs", "n_cells")
+
+
+@query(
+    "src11_landing_log",
+    """SELECT doc_id::VARCHAR AS doc_id, unnest(CASE doc_id % 10 WHEN 7 THEN [0, 1] WHEN 9 THEN [0, 1] WHEN 5 THEN [0, 1] ELSE [0] END) AS run, unnest(CASE doc_id % 10 WHEN 7 THEN ['landed', 'landed'] WHEN 9 THEN ['landed', 'touched'] WHEN 5 THEN ['landed', 'removed'] ELSE ['landed'] END) AS status FROM documents""",
+)
+def src11_log(s, d):  # noqa: ANN001, ANN201
+    return landing.log(s, _landed(s, d)[0]).select("doc_id", "run", "status")
+
+
 @query("src4_cells", "SELECT doc_id::VARCHAR AS doc_id, 0 AS table_index, 0 AS \"row\", unnest([0, 1]) AS col, unnest([doc_id::VARCHAR, source]) AS text FROM documents")
 def src4(s, d):  # noqa: ANN001, ANN201
     return packages.cells(_contents(s, d)).select("doc_id", "table_index", "row", "col", "text")

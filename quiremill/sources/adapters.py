@@ -140,14 +140,15 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("name"), F.col("event_id").alias("file_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("modified_time"), (F.floor("value").cast("long") % 5).alias("declarations"), (F.col("event_id") % 10 < 7).alias("confirmed"))
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packages(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Each document as a package: a paragraph for each line, a table of its id and source, a header with a list of styles, and metadata."""
+    documents = read(spark, sf_dir, "documents") if documents is None else documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([(str(d), _package(int(d), t or "", s)) for d, t, s in zip(b["doc_id"], b["text"], b["source"], strict=True)], columns=["doc_id", "content"])
 
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "source").mapInPandas(run, "doc_id string, content binary")
+    return documents.select("doc_id", "text", "source").mapInPandas(run, "doc_id string, content binary")
 
 
 def _package(doc: int, text: str, source: str | None) -> bytes:
@@ -164,7 +165,7 @@ def _package(doc: int, text: str, source: str | None) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, content in parts.items():
-            z.writestr(name, content)
+            z.writestr(zipfile.ZipInfo(name), content)  # the same bytes each time
     return out.getvalue()
 
 

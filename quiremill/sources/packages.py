@@ -39,12 +39,28 @@ LARGEST, PIECE = 1 << 28, 1 << 16
 _ROWS, _BYTES = 4096, 1 << 26
 
 
+_FILES = "binaryFile"
+
+
 def scan(spark: SparkSession, folder: str, pattern: str = "*.hwpx") -> DataFrame:
     """SRC1: (doc_id, path, modified, length, content) of every package below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return named(spark.read.format(_FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder))
+
+
+def opened(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same of the packages with these paths."""
+    return named(spark.read.format(_FILES).load(paths))
+
+
+def named(files: DataFrame) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_id"), "path", F.col("modificationTime").alias("modified"), "length", "content")
 
 
+def is_scan(found: DataFrame) -> bool:
+    """Whether a table of packages is read from files, so that single packages can be opened by path."""
+    return bool(found.inputFiles()) and {"path", "modified", "length", "content"} <= set(found.columns) and _FILES in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _schema() -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(n, kinds[t]) for n, t in (c.strip().split(" ") for c in CONTENTS.split(","))])

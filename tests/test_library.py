@@ -1,6 +1,7 @@
 """Expectations of the library's rules, restated as data; and every SQL twin against its query."""
 
 import io
+import os
 import zipfile
 from datetime import date, datetime
 
@@ -12,7 +13,7 @@ from quiremill.functions import inline as I, text as T
 from quiremill.operators import blocks as B, checks, edits, forms, layout, markdown, media, styles
 from quiremill.plans import extra  # noqa: F401 (adds queries)
 from quiremill.plans.queries import ORACLES, QUERIES
-from quiremill.sources import packages
+from quiremill.sources import landing, packages
 from quiremill.streaming import revisions
 
 SF = "/root/testdata/sf0.001"
@@ -141,7 +142,7 @@ def package(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, content in parts.items():
-            z.writestr(name, content)
+            z.writestr(zipfile.ZipInfo(name), content)
     return out.getvalue()
 
 
@@ -221,6 +222,52 @@ def test_one_walk_for_all_kinds(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def landed_package(text):
+    return package({"Contents/section0.xml": f"<sec><p><run><t>{text}</t></run></p></sec>"})
+
+
+def texts_of(spark, target):
+    return {r.doc_id: r.text for r in packages.paragraphs(landing.contents(spark, target)).collect()}
+
+
+def test_landing_rewrites_what_changed(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "landed")
+    folder.mkdir()
+    for i in range(100):
+        (folder / f"{i}.hwpx").write_bytes(landed_package(f"text {i}"))
+    assert landing.land(packages.scan(spark, str(folder)), target) == 0
+    (folder / "7.hwpx").write_bytes(landed_package("changed!"))
+    os.utime(folder / "8.hwpx", (1, 1))
+    (folder / "9.hwpx").unlink()
+    (folder / "new.hwpx").write_bytes(b"no package")
+    assert landing.land(packages.scan(spark, str(folder)), target) == 1
+    second = {r.doc_id: r.status for r in landing.log(spark, target).where("run = 1").collect()}
+    assert second == {"7.hwpx": "landed", "8.hwpx": "touched", "9.hwpx": "removed", "new.hwpx": "landed"}
+    rows = spark.read.parquet(f"{target}/rows/run=1")
+    assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == {"7.hwpx", "new.hwpx"}
+    want = {f"{i}.hwpx": f"text {i}" for i in range(100) if i != 9} | {"7.hwpx": "changed!"}
+    assert texts_of(spark, target) == want
+    assert [(r.doc_id, r.part_name) for r in packages.errors(landing.contents(spark, target)).collect()] == [("new.hwpx", None)]
+    assert landing.land(packages.scan(spark, str(folder)), target) == 2 or landing.log(spark, target).where("run = 2").count() == 0
+    (folder / "7.hwpx").write_bytes(landed_package("text 7"))  # back to what it was, and a removed one returns
+    (folder / "9.hwpx").write_bytes(landed_package("text 9"))
+    landing.land(packages.scan(spark, str(folder)), target)
+    assert texts_of(spark, target) == {f"{i}.hwpx": f"text {i}" for i in range(100)}
+    landing.compacted(spark, target, str(tmp_path / "compact"))
+    assert texts_of(spark, str(tmp_path / "compact")) == texts_of(spark, target) and spark.read.parquet(str(tmp_path / "compact/rows")).where("kind = 'paragraph'").count() == 100
+
+
+def test_landing_as_a_stream(spark, tmp_path):
+    folder, target, checkpoint = tmp_path / "in", str(tmp_path / "landed"), str(tmp_path / "checkpoint")
+    for day, texts in ((1, {"a": "one", "b": "two"}), (2, {"a": "one", "b": "three", "c": "four"})):
+        (folder / str(day)).mkdir(parents=True)
+        for name, text in texts.items():
+            (folder / str(day) / f"{name}.hwpx").write_bytes(landed_package(text))
+        landing.follow(spark, str(folder), target, checkpoint).awaitTermination()
+    assert texts_of(spark, target) == {"a.hwpx": "one", "b.hwpx": "three", "c.hwpx": "four"}
+    assert {r.doc_id: (r.status, r.rows_run) for r in landing.current(spark, target).collect()} == {"a.hwpx": ("touched", 0), "b.hwpx": ("landed", 1), "c.hwpx": ("landed", 1)}
+
+
 def test_forms(spark):
     slots = table(spark, "doc_id long, kind string, locator string, name string, current string", (1, "cell", "cell:0:0:1", "성 명", ""), (1, "placeholder", "title", "title", ""), (1, "label", "기간", "기간", "x"))
     mapping = table(spark, "doc_id long, key string, value string", (1, "성명", "홍"), (1, "title", "T"), (1, "none", "?"))
