@@ -51,6 +51,12 @@ def glyph_rank(glyph: Column) -> Column:
     return _first([((c != "") & F.contains(F.lit(g), c), F.lit(i)) for i, g in enumerate(GLYPHS)], F.lit(len(GLYPHS))).cast("long")
 
 
+def glyph_name(name: Column) -> Column:
+    """The glyph that is all of a style's name, or null."""
+    t = F.trim(name)
+    return F.when((F.length(t) == 1) & (glyph_rank(t) < len(GLYPHS)), t)
+
+
 def role_override(name: Column, eng_name: Column) -> Column:
     """The role that a style's name (or else its English name) declares as ``AI:<ROLE>``; ``H<n>`` is ``HEADING_<n>``."""
 
@@ -231,11 +237,12 @@ def _size(b: bytes) -> tuple[int | None, int | None]:
 
 
 def fitted(width: Column, px_w: Column, px_h: Column, cap: Column) -> Column:
-    """struct<width, height, ratio>: the frame's width and the height that keeps the picture's shape; beyond the cap the height is the cap and the width follows. ratio is what the width was scaled by, to four places."""
+    """struct<width, height, ratio>: the frame's width and the height that keeps the picture's shape; beyond the cap the height is the cap and the width follows. ratio is width over height, to four places (half-way values to the even one)."""
     height = fitted_height(width, px_w, px_h)
     high = height > cap
     own = F.when(high, F.bround(cap * px_w / px_h).cast("long")).otherwise(width.cast("long"))
-    return F.struct(own.alias("width"), F.when(high, cap.cast("long")).otherwise(height).alias("height"), F.round(own / width, 4).alias("ratio"))
+    tall = F.when(high, cap.cast("long")).otherwise(height)
+    return F.struct(own.alias("width"), tall.alias("height"), (F.rint(F.try_divide(own, tall) * 10000) / 10000).alias("ratio"))
 
 
 def fitted_height(width: Column, px_w: Column, px_h: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T_
 
 from quiremill.functions import text as T
 
@@ -89,16 +92,39 @@ def findings(*parts: tuple[str, DataFrame, str]) -> DataFrame:
 
 
 def fingerprints(parts: DataFrame, skip: str) -> DataFrame:
-    """AG14: digest of a package's parts but the fingerprint's own: sha256 over name, NUL and bytes in name order."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.encode("part_name", "UTF-8").alias("name"), "content")))
-    joined = F.aggregate(ordered, F.lit(b""), lambda a, p: F.concat(a, p["name"], F.lit(b"\0"), p["content"]))
-    return parts.where(F.col("part_name") != skip).groupBy("doc_id").agg(F.sha2(joined, 256).alias("fingerprint"))
+    """AG14: digest of a package's parts but the fingerprint's own: sha256 over name, NUL and bytes in name order.
+
+    Parts are sorted by package and name in each partition and hashed as they stream by, so that only one batch is held
+    at a time, whatever a package's size.
+    """
+    schema = T_.StructType([parts.schema["doc_id"], T_.StructField("fingerprint", T_.StringType())])
+    rows = parts.where(F.col("part_name") != skip).select("doc_id", F.encode("part_name", "UTF-8").alias("name"), F.coalesce("content", F.lit(b"")).alias("content"))
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "name", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, digest = None, None
+        for b in batches:
+            ids, done = b["doc_id"].to_pylist(), []
+            for i, name, content in zip(ids, b["name"], b["content"], strict=True):
+                if digest is None or i != doc:
+                    if digest is not None:
+                        done.append((doc, digest.hexdigest()))
+                    doc, digest = i, hashlib.sha256()
+                digest.update(name.as_py() + b"\0")
+                digest.update(content.as_buffer())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], b.schema.field("doc_id").type), pa.array([x for _, x in done])], names=schema.names)
+            kind = b.schema.field("doc_id").type
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([doc], kind), pa.array([digest.hexdigest()])], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def output_guard(targets: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame:
-    """SM3: what may be done with a target (path, force): new, overwrite, or a version beside it."""
+    """SM3: what may be done with a target (path, force): new, overwrite-own (it is as we wrote it, or forced), or a version beside it."""
     j = targets.join(stored.withColumnRenamed("fingerprint", "stored"), "path", "left").join(current.withColumnRenamed("fingerprint", "current"), "path", "left")
-    status = F.when(F.col("current").isNull(), "new").when(F.col("force"), "overwrite").when(F.col("stored").isNull(), "versioned-foreign").when(F.col("stored") == F.col("current"), "overwrite-own").otherwise("versioned-drift")
+    status = F.when(F.col("current").isNull(), "new").when(F.col("force"), "overwrite-own").when(F.col("stored").isNull(), "versioned-foreign").when(F.col("stored") == F.col("current"), "overwrite-own").otherwise("versioned-drift")
     return j.select("path", status.alias("status"))
 
 
@@ -110,12 +136,22 @@ def next_version(taken: DataFrame) -> DataFrame:
     return taken.select("name").distinct().join(run, "name", "left").select("name", (F.coalesce("last", F.lit(1)) + 1).cast("long").alias("next_version"))
 
 
-def page_verdicts(verdicts: DataFrame) -> DataFrame:
-    """AG13: whether a document passed, its problem pages and what was wrong: at least one page judged and all good."""
-    return verdicts.groupBy("doc_id").agg(
-        F.count("*").alias("n_pages"),
-        (F.bool_and(F.coalesce("ok", F.lit(True))) & (F.count("ok") > 0)).alias("passed"),
-        F.array_join(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("page")))), ",").alias("problem_pages"),
-        F.count(F.when(F.col("issue") == "overflow", 1)).alias("n_overflow"),
-        F.count(F.when(F.col("issue") == "overlap", 1)).alias("n_overlap"),
-    )
+#: What can be wrong with a page.
+ISSUES = ("missing_image", "layout_broken", "text_truncated", "object_overlap", "empty_page", "render_failure")
+
+
+def page_verdicts(verdicts: DataFrame, documents: DataFrame) -> DataFrame:
+    """AG13: one row for each document of documents (doc_id, page_count, error): how many pages were judged, whether it passed, its problem pages, and its issues by type.
+
+    verdicts: (doc_id, page, ok or null if not judged, issues array<struct<type, detail>>). Passed: no error, at least one page, at least one judged, all judged ones good.
+    """
+    v = verdicts.where("ok is not null")
+    found = F.flatten(F.collect_list(F.transform(F.coalesce("issues", F.array().cast("array<struct<type:string,detail:string>>")), lambda i: i["type"])))
+    a = v.groupBy("doc_id").agg(F.count("*").alias("checked"), F.bool_and("ok").alias("good"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("page")))).alias("bad"), found.alias("found"))
+    d = documents.select("doc_id", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), F.coalesce("error", F.lit("")).alias("error")).join(a, "doc_id", "left")
+    passed = (F.col("error") == "") & (F.col("page_count") > 0) & F.coalesce("good", F.lit(False))
+
+    def times(kind: str) -> Column:
+        return F.coalesce(F.size(F.filter("found", lambda x: x == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+
+    return d.select("doc_id", "page_count", F.coalesce("checked", F.lit(0)).cast("long").alias("checked"), passed.alias("passed"), F.coalesce(F.array_join("bad", ","), F.lit("")).alias("problem_pages"), "error", *map(times, ISSUES))

@@ -156,17 +156,20 @@ def placeholder_slots(paragraphs: DataFrame) -> DataFrame:
 
 def all_slots(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     """ST1: placeholders, cells next to labels, checkboxes, tails after tabs, and section or label lines in one table, each locator once, with what is there now."""
-    none = F.lit(None).cast("string").alias("current")
+    none, start = F.lit(None).cast("string").alias("current"), F.lit(0).cast("long")
     row = F.when(F.col("side") == "below", F.col("row") + 1).otherwise(F.col("row"))
     col = F.when(F.col("side") == "right", F.col("col") + 1).otherwise(F.col("col"))
-    by_cell = label_targets(cells).select("doc_id", F.lit("cell").alias("kind"), F.col("text").alias("name"), F.concat_ws(":", F.lit("cell"), "table_index", row, col).alias("locator"), F.lit("").alias("current"))
-    by_line = section_slots(paragraphs).select("doc_id", "kind", "name", F.concat_ws(":", "kind", "name").alias("locator"), none)
-    boxes = paragraphs.select("doc_id", F.explode(T.checkboxes(F.col("text"))).alias("c")).select("doc_id", F.lit("checkbox").alias("kind"), F.col("c.label").alias("name"), F.concat(F.lit("checkbox:"), F.col("c.label")).alias("locator"), F.col("c.state").alias("current"))
-    tails = paragraphs.select("doc_id", T.tab_slots(F.col("text")).alias("t")).where("t is not null and t.label <> ''").select("doc_id", F.lit("inline").alias("kind"), F.col("t.label").alias("name"), F.concat(F.lit("tab:"), F.col("t.label")).alias("locator"), F.trim(F.array_join("t.tails", "")).alias("current"))
-    every = placeholder_slots(paragraphs).select("doc_id", "kind", "name", "locator", none)
+    at = [F.col("section_no").cast("long").alias("section_no"), F.col("para_idx").cast("long").alias("place")]
+    # What a document has twice is the one that comes first in it: by section, paragraph and place in the text, or by table, row and column.
+    by_cell = label_targets(cells).select("doc_id", F.lit("cell").alias("kind"), F.col("text").alias("name"), F.concat_ws(":", F.lit("cell"), "table_index", row, col).alias("locator"), F.lit("").alias("current"), F.col("table_index").cast("long").alias("section_no"), F.col("row").cast("long").alias("place"), F.col("col").cast("long").alias("i"))
+    by_line = section_slots(paragraphs).select("doc_id", "kind", "name", F.concat_ws(":", "kind", "name").alias("locator"), none, *at, start.alias("i"))
+    boxes = paragraphs.select("doc_id", *at, F.posexplode(T.checkboxes(F.col("text"))).alias("i", "c")).select("doc_id", F.lit("checkbox").alias("kind"), F.col("c.label").alias("name"), F.concat(F.lit("checkbox:"), F.col("c.label")).alias("locator"), F.col("c.state").alias("current"), "section_no", "place", F.col("i").cast("long").alias("i"))
+    tails = paragraphs.select("doc_id", *at, T.tab_slots(F.col("text")).alias("t")).where("t is not null and t.label <> ''").select("doc_id", F.lit("inline").alias("kind"), F.col("t.label").alias("name"), F.concat(F.lit("tab:"), F.col("t.label")).alias("locator"), F.trim(F.array_join("t.tails", "")).alias("current"), "section_no", "place", start.alias("i"))
+    every = placeholder_slots(paragraphs).select("doc_id", "kind", "name", "locator", none, start.alias("section_no"), start.alias("place"), start.alias("i"))
     for more in (by_cell, by_line, boxes, tails):
         every = every.unionByName(more)
-    return every.groupBy("doc_id", "kind", "locator").agg(F.min("name").alias("name"), F.min("current").alias("current"))
+    first = F.min_by(F.struct("name", "current"), F.struct("section_no", "place", "i"))
+    return every.groupBy("doc_id", "kind", "locator").agg(first.alias("s")).select("doc_id", "kind", "locator", "s.name", "s.current")
 
 
 def fill_summary(filled: DataFrame) -> DataFrame:

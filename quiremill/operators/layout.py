@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
 
@@ -49,43 +49,96 @@ def ladder(max_spacing_cut: int = 50, max_line_cut: int = 10) -> list[tuple[int,
     return [(s, 0) for s in spacing] + [(max_spacing_cut, c) for c in [*range(2, max_line_cut, 2), max_line_cut]]
 
 
-def page_plan(lines: DataFrame, height: int, steps: list[tuple[int, int]], threshold: float = 10.0, max_lines: int = 3, margin: int = 100) -> DataFrame:
-    """WN13: what would fill each page: one row for each boundary inside a section that is worth a change.
+_BLOCK = ("para_idx", "n", "first", "last", "tall", "last_spacing", "last_tall", "notes", "kind", "heading", "sb", "sa", "percent")
 
-    lines: doc_id, section_no, para_idx, line_no, vertpos, vertsize, spacing, forced_break, para_space (what a paragraph has above and below).
-    The chunk is the first paragraph of the next page, if it ends there. kind is forced (a forced break follows a gap),
-    gap (a share of the page beyond the threshold is empty) or pull (a chunk of few lines could come back). The first
-    step whose gain covers the need and the margin is taken; without one the boundary is unfittable.
+
+def page_blocks(lines: DataFrame, paras: DataFrame) -> DataFrame:
+    """WN13: one row for each page of a section: bottom, forced and ``blocks``, what each paragraph has on the page, in order.
+
+    lines: doc_id, section_no, para_idx, line_no, vertpos, vertsize, spacing, forced_break, note_height (of the notes called in the line, 0 if none).
+    paras: doc_id, section_no, para_idx, kind (text, empty, object), heading, sb and sa (space before and after), percent (line spacing can be cut).
     """
-    section, para = ["doc_id", "section_no"], ["doc_id", "section_no", "para_idx"]
-    l = pages(lines).withColumn("tall", F.col("vertsize") + F.col("spacing"))  # noqa: E741
-    place = F.struct("para_idx", "line_no")
-    p = l.groupBy(*section, "page").agg(
-        F.max(F.col("vertpos") + F.col("vertsize")).alias("bottom"),
+    para = ["doc_id", "section_no", "para_idx"]
+    l = pages(lines).withColumns({"tall": F.col("vertsize") + F.col("spacing"), "bottom": F.col("vertpos") + F.col("vertsize")})  # noqa: E741
+    ends = W.partitionBy(*para)
+    l = l.withColumns({"from_line": F.min("line_no").over(ends), "to_line": F.max("line_no").over(ends)})  # noqa: E741
+    own = F.sort_array(F.collect_list(F.struct("line_no", "tall", "spacing")))
+    b = l.groupBy(*para, "page").agg(
+        F.count("*").alias("n"),
+        F.bool_or(F.col("line_no") == F.col("from_line")).alias("first"),
+        F.bool_or(F.col("line_no") == F.col("to_line")).alias("last"),
         F.sum("tall").alias("tall"),
-        F.sum(F.when(F.col("line_no") == 0, F.col("para_space"))).alias("spaces"),
-        F.max_by("spacing", place).alias("last_spacing"),
-        F.min_by(F.col("forced_break") & (F.col("line_no") == 0), place).alias("forced"),
-        F.min("para_idx").alias("para_idx"),
-    )
-    ends = l.groupBy(*para).agg(F.max("page").alias("last_page"))
-    chunk = l.groupBy(*para, "page").agg(F.count("*").alias("n"), F.sum("tall").alias("tall"), F.max_by("spacing", "line_no").alias("last_spacing"), F.max(F.when(F.col("line_no") == 0, F.col("para_space"))).alias("space"))
-    heads = p.select(*para, "page", "forced").join(chunk, [*para, "page"]).join(ends, para)
-    heads = heads.select(*section, (F.col("page") - 1).alias("page"), "forced", F.when(F.col("last_page") == F.col("page"), F.struct("n", (F.col("tall") - F.col("last_spacing")).alias("height"), "tall", F.coalesce("space", F.lit(0)).alias("space"))).alias("chunk"))
-    b = p.drop("forced", "para_idx").join(heads, [*section, "page"])
-    gap = F.lit(height) - F.col("bottom")
-    b = b.withColumns({"gap": gap, "gap_pct": F.round(gap * 100.0 / height, 2)})
-    wide = F.col("gap_pct") >= threshold
-    kind = F.when(F.col("forced"), F.when(wide, "forced")).when(wide, "gap").when(F.col("chunk.n") <= max_lines, "pull")
-    b = b.withColumn("kind", kind).where("kind is not null")
-    need = F.when(F.col("kind") != "forced", F.col("last_spacing") + F.col("chunk.space") + F.col("chunk.height") - F.col("gap"))
+        F.max_by("spacing", "line_no").alias("last_spacing"),
+        F.max_by("tall", "line_no").alias("last_tall"),
+        F.filter(F.collect_list("note_height"), lambda x: x > 0).alias("notes"),
+        F.slice(own, 1, 2).alias("two"),
+        F.max("bottom").alias("bottom"),
+        F.min_by(F.col("forced_break") & (F.col("line_no") == F.col("from_line")), "line_no").alias("forced"),
+    ).join(paras.select(*para, "kind", "heading", "sb", "sa", "percent"), para)
+    block = F.struct(*_BLOCK, "two")
+    return b.groupBy("doc_id", "section_no", "page").agg(F.max("bottom").alias("bottom"), F.min_by("forced", "para_idx").alias("forced"), F.sort_array(F.collect_list(block)).alias("blocks"))
+
+
+def _leading_chunk(blocks: Column) -> Column:
+    """The blocks at the head of a page that would move back together, or null: see ``page_plan``."""
+    head = F.get(blocks, F.array_position(F.transform(blocks, lambda b: b["kind"] != "empty"), True).cast("int") - 1)
+    at = F.array_position(F.transform(blocks, lambda b: b["kind"] != "empty"), True).cast("int")
+    after = F.get(blocks, at)
+    upto = F.slice(blocks, 1, F.greatest(at, F.lit(1)))
+
+    def of(b: Column) -> Column:
+        return F.struct(*(b[c].alias(c) for c in _BLOCK))
+
+    two = F.aggregate(after["two"], F.lit(0).cast("long"), lambda s, x: s + x["tall"])
+    lead = {"n": F.lit(2).cast("long"), "last": F.lit(False), "tall": two, "last_spacing": F.element_at(after["two"], -1)["spacing"], "last_tall": F.element_at(after["two"], -1)["tall"]}
+    part = F.struct(*(lead.get(c, after[c]).alias(c) for c in _BLOCK))
+    with_next = F.when(after.isNull() | ~after["first"], None).when((after["kind"] == "text") & (after["n"] >= 4), F.concat(F.transform(upto, of), F.array(part))).when(after["last"], F.transform(F.slice(blocks, 1, at + 1), of))
+    whole = F.when((at == 0) | ~head["last"], None).when(~head["heading"], F.transform(upto, of)).otherwise(with_next)
+    return F.when(blocks[0]["first"], whole).when(blocks[0]["last"], F.transform(F.slice(blocks, 1, 1), of))
+
+
+def page_plan(lines: DataFrame, paras: DataFrame, height: int, steps: list[tuple[int, int]], threshold: float = 10.0, max_lines: int = 3, margin: int = 100, note_gap: int = 0) -> DataFrame:
+    """WN13: what would fill each page: one row for each boundary inside a section that is worth a change; lines and paras as for ``page_blocks``.
+
+    The chunk that would come back is the rest of a paragraph that ends on the next page, else its first block with the blank
+    paragraphs before it; a heading takes the block after it along, of a text of four lines or more its first two. kind is forced (a
+    forced break follows a gap), gap (a share of the page beyond the threshold is empty) or pull (a chunk of few lines and no
+    object could come back). needed is what the page lacks for the chunk, its spaces and notes. The first step whose gain, in
+    paragraph spacing and line spacing of page and chunk, covers the need and the margin is taken; without one the boundary is unfittable.
+    """
+    o = W.partitionBy("doc_id", "section_no").orderBy("page")
+    p = page_blocks(lines, paras)
+    p = p.withColumns({"next": F.lead("blocks").over(o), "next_forced": F.lead("forced").over(o)}).where("next is not null").withColumn("chunk", _leading_chunk(F.col("next")))
+
+    def total(blocks: Column, of) -> Column:  # noqa: ANN001
+        return F.aggregate(blocks, F.lit(0).cast("long"), lambda s, b: s + F.coalesce(of(b), F.lit(0)).cast("long"))
+
+    heights = F.filter(F.flatten(F.transform("blocks", lambda b: b["notes"])), lambda x: x > 0)
+    own_notes = F.when(F.size(heights) > 0, F.lit(note_gap) + F.aggregate(heights, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(0)
+    p = p.withColumn("own_notes", own_notes).withColumn("gap", F.lit(height) - F.col("own_notes") - F.col("bottom"))
+    p = p.withColumn("share", F.col("gap") * 100.0 / height)
+    chunk, tail, end = F.col("chunk"), F.element_at("blocks", -1), F.element_at("chunk", -1)
+    n = total(chunk, lambda b: F.when(b["kind"] != "empty", b["n"]))
+    small = (n <= max_lines) & ~F.exists(chunk, lambda b: b["kind"] == "object")
+    wide = F.col("share") >= threshold
+    kind = F.when(F.col("next_forced"), F.when(wide, "forced")).when(wide, "gap").when(chunk.isNotNull() & small, "pull")
+    p = p.withColumn("boundary", kind).where("boundary is not null")
+    inner = F.slice(chunk, 1, F.greatest(F.size(chunk) - 1, F.lit(0)))
+    add = tail["last_spacing"] + F.when(tail["last"], tail["sa"]).otherwise(0) + total(chunk, lambda b: F.when(b["first"], b["sb"]).otherwise(0) + b["tall"]) + total(inner, lambda b: F.when(b["last"], b["sa"])) - end["last_spacing"]
+    more = F.flatten(F.transform(chunk, lambda b: b["notes"]))
+    notes = F.when(F.size(more) > 0, F.when(F.col("own_notes") > 0, F.col("own_notes")).otherwise(note_gap) + F.aggregate(more, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.col("own_notes"))
+    moves = chunk.isNotNull() & (F.col("boundary") != "forced")
+    p = p.withColumn("needed", F.when(moves, F.col("bottom") + add + notes - height).otherwise(0))
+    begun = F.filter("blocks", lambda b: b["first"])
+    spaces = total(begun, lambda b: b["sb"] + F.when(b["last"], b["sa"]).otherwise(0)) + total(chunk, lambda b: F.when(b["first"], b["sb"])) + total(inner, lambda b: F.when(b["last"], b["sa"]))
+    soft = lambda b: b["percent"] & (b["kind"] != "object")
+    tall = total(begun, lambda b: F.when(soft(b), b["tall"])) + total(chunk, lambda b: F.when(soft(b), b["tall"])) - F.when(soft(end), end["last_tall"]).otherwise(0)
+    p = p.withColumns({"spaces": spaces, "tall": tall, "n": F.when(moves, n).otherwise(0)})
     room = F.array(*(F.struct(F.lit(s).alias("spacing_cut"), F.lit(c).alias("line_cut")) for s, c in steps))
-    b = b.withColumn("needed", need)
-    spaces, tall = F.coalesce("spaces", F.lit(0)) + F.col("chunk.space"), F.col("tall") + F.col("chunk.height")
-    fit = F.filter(room, lambda x: F.floor((spaces * x["spacing_cut"] + tall * x["line_cut"]) / 100) >= F.greatest("needed", F.lit(0)) + margin)
-    step = F.when(F.col("needed").isNotNull(), F.get(fit, F.lit(0)))
-    status = F.when(F.col("kind") == "forced", "forced").when(step.isNull(), "unfittable").otherwise("fittable")
-    return b.select(*section, "page", "gap_pct", "kind", F.col("needed").cast("long").alias("needed"), status.alias("status"), *(step[c].cast("long").alias(c) for c in ("spacing_cut", "line_cut")))
+    fit = F.filter(room, lambda x: F.floor((F.col("spaces") * x["spacing_cut"] + F.col("tall") * x["line_cut"]) / 100) >= F.greatest("needed", F.lit(0)) + margin)
+    step = F.when(moves, F.get(fit, F.lit(0)))
+    status = F.when(F.col("boundary") == "forced", "forced").when(step.isNull(), "unfittable").otherwise("fittable")
+    return p.select("doc_id", "section_no", "page", (F.rint(F.col("gap") * 10000.0 / height) / 100).alias("gap_pct"), F.col("boundary").alias("kind"), F.col("n").cast("long").alias("chunk_lines"), F.col("needed").cast("long").alias("needed"), status.alias("status"), *(step[c].cast("long").alias(c) for c in ("spacing_cut", "line_cut")))
 
 
 def coverage(judged: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
+from quiremill.operators.edits import TABLE_TOKEN
 
 
 def body_only(blocks: DataFrame, is_h1: str, order: str) -> DataFrame:
-    """PF5: what comes before a document's first level-1 heading goes; documents without one keep all."""
+    """PF5: what comes before a document's first level-1 heading goes; documents without one have no body."""
     first = F.min(F.when(F.expr(is_h1), F.col(order))).over(W.partitionBy("doc_id"))
-    return blocks.withColumn("first_h1", first).where(F.col("first_h1").isNull() | (F.col(order) >= F.col("first_h1"))).drop("first_h1")
+    return blocks.withColumn("first_h1", first).where(F.col(order) >= F.col("first_h1")).drop("first_h1")
 
 
 def corpus_markdown(classified: DataFrame, tables: DataFrame | None = None, figures: DataFrame | None = None, notes: DataFrame | None = None, body_from_h1: bool = False) -> DataFrame:
@@ -19,32 +20,43 @@ def corpus_markdown(classified: DataFrame, tables: DataFrame | None = None, figu
     classified: doc_id, section_no, para_idx, role_kind, role_level, text; tables (doc_id, section_no, para_idx, markdown) and
     figures (doc_id, section_no, para_idx, title, paths, label, notes) stand in place of their paragraph; notes
     (doc_id, section_no, para_idx, pos, text) are numbered in order, marked at the end of their paragraph
-    and defined at the end. Blank paragraphs are left out; with body_from_h1 so is all before the first heading of level 1.
+    and defined at the end. Blank paragraphs are left out. With body_from_h1 a document begins with its first heading of
+    level 1 that no table or figure stands for, blank or not: nothing before it is rendered, numbered or defined, and a
+    document without one has no row.
     """
     at = ["doc_id", "section_no", "para_idx"]
-    h1 = (F.col("role_kind") == "HEADING") & (F.col("role_level") == 1)
-    blocks = classified.select(*at, F.col("text"), F.lit(0).alias("kind"), F.coalesce(h1, F.lit(False)).alias("h1"), "role_kind", "role_level")
-    none = [F.lit(False).alias("h1"), F.lit(None).cast("string").alias("role_kind"), F.lit(None).cast("long").alias("role_level")]
-    for more, text in ((tables, F.col("markdown")), (figures, T.figure_line(F.col("title"), F.col("paths"), F.col("label"), F.col("notes")))):
-        if more is not None:
-            blocks = blocks.join(more.select(*at), at, "left_anti").unionByName(more.select(*at, text.alias("text"), F.lit(1).alias("kind"), *none))
-    definitions = None
+    kinds = {"role_kind": "string", "role_level": "long", "text": "string", "object": "string", "note": "struct<pos:long,text:string>"}
+
+    def rows(df: DataFrame, **have) -> DataFrame:  # noqa: ANN003
+        return df.select(*at, *(have.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+
+    # Everything about a paragraph comes together in one shuffle by document; all that follows keeps that partitioning.
+    every = rows(classified, role_kind=F.coalesce("role_kind", F.lit("")), role_level=F.col("role_level"), text=F.coalesce("text", F.lit("")))
+    if tables is not None:
+        every = every.unionByName(rows(tables, object=F.col("markdown")))
+    if figures is not None:
+        every = every.unionByName(rows(figures, object=T.figure_line(F.col("title"), F.col("paths"), F.col("label"), F.col("notes"))))
     if notes is not None:
-        numbered = footnote_numbers(notes)
-        marks = numbered.groupBy(*at).agg(F.array_join(F.transform(F.sort_array(F.collect_list("no")), lambda n: F.concat(F.lit("[^"), n, F.lit("]"))), "").alias("marks"))
-        blocks = blocks.join(marks, at, "left").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("kind") == 0, F.coalesce("marks", F.lit(""))).otherwise("")))
-        line = F.concat(F.lit("[^"), F.col("no"), F.lit("]: "), F.regexp_replace(F.trim("text"), r"\s*\n\s*", " "))
-        definitions = numbered.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("definitions"))
-    blocks = blocks.where("text <> ''")
+        every = every.unionByName(rows(notes, note=F.struct(F.col("pos").cast("long").alias("pos"), "text")))
+    b = every.repartition("doc_id").groupBy(*at).agg(F.max("role_kind").alias("role_kind"), F.max("role_level").alias("role_level"), F.max("text").alias("text"), F.array_join(F.sort_array(F.collect_list("object")), "\n\n").alias("object"), F.count("object").alias("n_objects"), F.sort_array(F.collect_list("note")).alias("notes"))
+    place, doc = F.struct("section_no", "para_idx"), W.partitionBy("doc_id")
     if body_from_h1:
-        place = F.struct("section_no", "para_idx")
-        blocks = blocks.withColumn("begin", F.min(F.when(F.col("h1"), place)).over(W.partitionBy("doc_id"))).where(place >= F.col("begin"))
-    body = F.when(F.col("kind") == 0, T.rendered(F.col("role_kind"), F.greatest(F.coalesce("role_level", F.lit(1)), F.lit(1)), F.col("text"))).otherwise(F.col("text"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_no", "para_idx", "kind", body.alias("line")))), lambda p: p["line"]), "\n\n")
-    texts = blocks.groupBy("doc_id").agg(whole.alias("markdown"))
-    if definitions is not None:
-        texts = texts.join(definitions, "doc_id", "full").select("doc_id", F.concat_ws("\n\n", "markdown", "definitions").alias("markdown"))
-    return texts.select("doc_id", F.regexp_replace(F.regexp_replace("markdown", r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("markdown"))
+        h1 = (F.col("n_objects") == 0) & (F.col("role_kind") == "HEADING") & (F.col("role_level") == 1)
+        b = b.withColumn("begin", F.min(F.when(h1, place)).over(doc)).where(place >= F.col("begin"))
+    before = F.coalesce(F.sum(F.size("notes")).over(doc.orderBy("section_no", "para_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = F.transform("notes", lambda n, i: F.struct((F.col("before") + i + 1).alias("no"), n["text"].alias("text")))
+    b = b.withColumn("before", before).withColumn("notes", numbered)
+    marks = F.array_join(F.transform("notes", lambda n: F.concat(F.lit("[^"), n["no"], F.lit("]"))), "")
+    text = F.concat(F.coalesce("text", F.lit("")), marks)
+    said = F.when(text != "", T.rendered(F.nullif("role_kind", F.lit("")), F.greatest(F.coalesce("role_level", F.lit(1)), F.lit(1)), text))
+    line = F.when(F.col("n_objects") > 0, F.nullif("object", F.lit(""))).otherwise(said)
+    define = F.transform("notes", lambda n: F.concat(F.lit("[^"), n["no"], F.lit("]: "), F.regexp_replace(F.trim(n["text"]), r"\s*\n\s*", " ")))
+    whole = F.sort_array(F.collect_list(F.struct("section_no", "para_idx", line.alias("line"), define.alias("define"))))
+    texts = b.groupBy("doc_id").agg(whole.alias("w"))
+    lines, defined = F.filter("w.line", lambda x: x.isNotNull()), F.flatten("w.define")
+    texts = texts.where((F.size(lines) > 0) | (F.size(defined) > 0))
+    markdown = F.concat_ws("\n\n", F.when(F.size(lines) > 0, F.array_join(lines, "\n\n")), F.when(F.size(defined) > 0, F.array_join(defined, "\n")))
+    return texts.select("doc_id", F.regexp_replace(F.regexp_replace(markdown, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("markdown"))
 
 
 def preview(paragraphs: DataFrame, limit: int = 2000) -> DataFrame:
@@ -130,9 +142,9 @@ def instructions(paragraphs: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def meta_slots(tokens: DataFrame, meta: DataFrame, required: list[str]) -> DataFrame:
-    """JN13: tokens (doc_id, name, fallback) with their value, else fallback, else blank; blank required ones are reported."""
+    """JN13: tokens (doc_id, name, fallback) with their value, else fallback, else blank; blank required ones are reported, and a blank first line of the title (title_1) as a missing title."""
     value = F.coalesce(F.nullif("value", F.lit("")), F.col("fallback"), F.lit(""))
-    return tokens.join(meta, ["doc_id", "name"], "left").select("doc_id", "name", value.alias("value"), ((value == "") & F.col("name").isin(*required)).alias("missing"))
+    return tokens.join(meta, ["doc_id", "name"], "left").select("doc_id", "name", value.alias("value"), F.when((value == "") & F.col("name").isin(*required, *(["title_1"] if "title" in required else [])), F.regexp_replace("name", "^title_1$", "title")).alias("missing"))
 
 
 def merged_meta(meta: DataFrame, known: list[str]) -> DataFrame:
@@ -146,20 +158,25 @@ def co_researchers(df: DataFrame, leads: str, others: str) -> DataFrame:
     return df.withColumn("names", F.concat(F.col(leads), F.filter(F.col(others), lambda x: ~F.array_contains(F.col(leads), x))))
 
 
-def insertion_marker(paragraphs: DataFrame, known: list[str]) -> DataFrame:
-    """TK2: where content goes: ``{{body}}`` anywhere, else the first known marker, else the last section."""
-    p = paragraphs.select("doc_id", "section_no", "para_idx", F.explode(F.concat(T.placeholders(F.col("text")), F.array(F.lit("")))).alias("token")).where(F.col("token").isin("", *known))
-    rank = F.when(F.col("token") == "body", 0).when(F.col("token") != "", 1).otherwise(2)
+def insertion_marker(paragraphs: DataFrame, known: list[str], token: str | None = None) -> DataFrame:
+    """TK2: where content goes: the given token alone, or else ``{{body}}`` anywhere, else the first known marker; without any the last section, with a warning if there are more."""
+    tokens = [token] if token else known
+    p = paragraphs.select("doc_id", "section_no", "para_idx", F.explode(F.concat(T.placeholders(F.col("text")), F.array(F.lit("")))).alias("token")).where(F.col("token").isin("", *tokens))
+    rank = F.when(F.col("token") == (token or "body"), 0).when(F.col("token") != "", 1).otherwise(2)
     section = F.when(rank == 2, -F.col("section_no")).otherwise(F.col("section_no"))
-    o = W.partitionBy("doc_id").orderBy(rank, section, "para_idx")
-    return p.withColumn("rn", F.row_number().over(o)).where("rn = 1").select("doc_id", "section_no", F.when(F.col("token") != "", F.col("para_idx")).alias("para_idx"), F.nullif("token", F.lit("")).alias("token"))
-
-
-def reference_table(tables: DataFrame) -> DataFrame:
-    """TK3: the first table with a {{table...}} caption, else the first."""
-    designated = F.coalesce(F.col("caption").rlike(r"\{\{\s*table"), F.lit(False))
-    o = W.partitionBy("doc_id").orderBy(F.desc(designated), "table_index")
-    return tables.withColumn("rn", F.row_number().over(o)).where("rn = 1").select("doc_id", "table_index")
+    d = W.partitionBy("doc_id")
+    several = F.min("section_no").over(d) < F.max("section_no").over(d)
+    p = p.withColumns({"rn": F.row_number().over(d.orderBy(rank, section, "para_idx")), "warned": several & (F.col("token") == "")}).where("rn = 1")
+    return p.select("doc_id", "section_no", F.when(F.col("token") != "", F.col("para_idx")).alias("para_idx"), F.nullif("token", F.lit("")).alias("token"), "warned")
+
+
+def reference_table(tables: DataFrame, pattern: str | None = None) -> DataFrame:
+    """TK3: the table that others are modelled on: the first with a {{table...}} caption, or one that a caption pattern finds, else the first; ``designated`` tells which."""
+    wanted = F.col("caption").rlike(TABLE_TOKEN)
+    if pattern:
+        wanted |= F.col("caption").rlike(pattern)
+    o = W.partitionBy("doc_id").orderBy(F.desc("designated"), "table_index")
+    return tables.withColumn("designated", F.coalesce(wanted, F.lit(False))).withColumn("rn", F.row_number().over(o)).where("rn = 1").select("doc_id", "table_index", "designated")
 
 
 #: Keys of report metadata in Korean and the slots they stand for.

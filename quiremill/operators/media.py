@@ -18,36 +18,56 @@ def recurring_hashes(page_images: DataFrame) -> DataFrame:
     return s
 
 
-def _mirrors(pages: pd.DataFrame) -> pd.DataFrame:
-    """Runs of four pages or more that alternate between two signatures get the union of both."""
-    pages = pages.sort_values("page").reset_index(drop=True)
-    sig, i = pages["signature"].tolist(), 0
-    while i < len(sig) - 3:
-        j = i + 2
-        while j < len(sig) and sig[j] == sig[j - 2] and sig[j] != sig[j - 1]:
-            j += 1
-        if j - i >= 4 and sig[i] != sig[i + 1] and sig[i] and sig[i + 1]:
-            pages.loc[i : j - 1, "signature"] = ",".join(sorted({x for s in (sig[i], sig[i + 1]) for x in s.split(",")}))
-            i = j
-        else:
-            i += 1
-    return pages[["doc_id", "page", "signature"]]
+def _mirrored(signatures: DataFrame) -> DataFrame:
+    """Pages with ``first`` and ``last`` of the mirrored run that each is in: four pages or more that alternate between two signatures.
+
+    A page goes on alternating if it repeats the page before the last but not the last. Unbroken such pages, with the two
+    before them, are the longest runs; two of them share one page at most. From the front, a run takes its shared page
+    unless the run before it took it: one of five pages or more can spare it, of four-page runs in a row every second one gives way.
+    """
+    d = W.partitionBy("doc_id")
+    o = d.orderBy("page")
+    s = signatures.withColumn("i", F.row_number().over(o))
+    on = F.coalesce((F.col("signature") == F.lag("signature", 2).over(o)) & (F.col("signature") != F.lag("signature").over(o)), F.lit(False))
+    s = s.withColumn("on", on).withColumn("island", F.col("i") - F.sum(F.col("on").cast("int")).over(o))
+    runs = s.where("on").groupBy("doc_id", "island").agg((F.min("i") - 2).alias("first"), F.max("i").alias("last")).withColumn("n", F.col("last") - F.col("first") + 1)
+    r = d.orderBy("first")
+    shares = F.coalesce(F.lag("last").over(r) == F.col("first"), F.lit(False))
+    runs = runs.withColumn("shares", shares).withColumn("chained", shares & (F.col("n") == 4) & F.coalesce(F.lag("n").over(r) == 4, F.lit(False)))
+    # Within a chain of four-page runs the first is taken unless it shares a page with a longer run that is; then every second one.
+    runs = runs.withColumn("chain", F.sum((~F.col("chained")).cast("int")).over(r))
+    runs = runs.withColumn("step", F.row_number().over(W.partitionBy("doc_id", "chain").orderBy("first")) - 1)
+    loses = F.col("shares") & F.coalesce(F.lag("n").over(r) >= 5, F.lit(False))
+    runs = runs.withColumn("loses", loses)
+    runs = runs.withColumn("behind", F.max(F.when(F.col("step") == 0, F.col("loses").cast("int"))).over(W.partitionBy("doc_id", "chain")))
+    taken = (F.col("n") >= 5) | ((F.col("n") == 4) & ((F.col("step") + F.col("behind")) % 2 == 0))
+    runs = runs.withColumn("taken", taken)
+    cut = F.col("shares") & F.coalesce(F.lag("taken").over(r), F.lit(False))
+    runs = runs.withColumn("first", F.when(cut, F.col("first") + 1).otherwise(F.col("first"))).where("taken")
+    ends = runs.select("doc_id", F.col("first").alias("i"), "first", "last")
+    s = s.join(ends, ["doc_id", "i"], "left").withColumns({"first": F.last("first", ignorenulls=True).over(o), "last": F.last("last", ignorenulls=True).over(o)})
+    inside = F.col("i") <= F.col("last")
+    return s.select("doc_id", "page", "signature", F.when(inside, F.col("first")).alias("first"), F.when(inside, F.col("last")).alias("last"))
 
 
 def bands(signatures: DataFrame) -> DataFrame:
-    """WN11: runs of pages with one signature, lettered by first appearance; a dash for pages without any."""
-    o = W.partitionBy("doc_id").orderBy("page")
-    # Only documents in which two pages in a row repeat the one before the last can hold a mirrored run; the others need no Python.
-    back = F.coalesce((F.col("signature") == F.lag("signature", 2).over(o)) & (F.col("signature") != F.lag("signature").over(o)), F.lit(False))
-    s = signatures.withColumn("back", back).withColumn("both", F.col("back") & F.coalesce(F.lag("back").over(o), F.lit(False)))
-    s = s.withColumn("mirrored", F.max("both").over(W.partitionBy("doc_id"))).select("doc_id", "page", "signature", "mirrored")
-    s = s.where("not mirrored").drop("mirrored").unionByName(s.where("mirrored").drop("mirrored").groupBy("doc_id").applyInPandas(_mirrors, "doc_id long, page long, signature string"))
-    s = s.withColumn("cut", F.coalesce((F.col("signature") != F.lag("signature").over(o)).cast("int"), F.lit(1))).withColumn("band", F.sum("cut").over(o))
+    """WN11: runs of pages with one signature, mirrored runs as one with both, lettered by first appearance; a dash for pages without any.
+
+    ``decidable``: the document has more than one band and at least one with a letter.
+    """
+    d = W.partitionBy("doc_id")
+    o = d.orderBy("page")
+    m = _mirrored(signatures)
+    both = F.array_join(F.array_sort(F.array_distinct(F.split(F.concat_ws(",", F.collect_set(F.nullif("signature", F.lit(""))).over(W.partitionBy("doc_id", "first"))), ","))), ",")
+    s = m.withColumn("signature", F.when(F.col("first").isNotNull(), both).otherwise(F.col("signature")))
+    begins = (F.col("signature") != F.lag("signature").over(o)) | ~F.col("first").eqNullSafe(F.lag("first").over(o))
+    s = s.withColumn("band", F.sum(F.coalesce(begins.cast("int"), F.lit(1))).over(o))
     b = s.groupBy("doc_id", "band", "signature").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
     seen = b.where("signature <> ''").groupBy("doc_id", "signature").agg(F.min("first_page").alias("seen"))
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("seen")) - 1
+    n = F.row_number().over(d.orderBy("seen")) - 1
     letter = seen.select("doc_id", "signature", F.concat(F.when(n >= 26, F.char(F.lit(64) + F.floor(n / 26))).otherwise(""), F.char(F.lit(65) + n % 26)).alias("letter"))
-    return b.join(letter, ["doc_id", "signature"], "left").select("doc_id", "first_page", "last_page", F.coalesce("letter", F.lit("—")).alias("letter"))
+    decidable = (F.count("*").over(d) > 1) & (F.count("letter").over(d) > 0)
+    return b.join(letter, ["doc_id", "signature"], "left").select("doc_id", "first_page", "last_page", F.coalesce("letter", F.lit("—")).alias("letter"), decidable.alias("decidable"))
 
 
 def next_image_id(bin_items: DataFrame) -> DataFrame:
@@ -62,15 +82,17 @@ def unreferenced(dropped: DataFrame, remaining: DataFrame) -> DataFrame:
 
 
 def match_images(requests: DataFrame, pics: DataFrame) -> DataFrame:
-    """JN15: requests (doc_id, request_id, ref or caption, ext): by ref, else by exact caption, else by a caption that contains it."""
+    """JN15: requests (doc_id, request_id, ref or caption, ext or null if the bytes are no picture, present): by ref, else by exact caption, else by a caption that contains it. What is wrong with the file comes first."""
     p = pics.select("doc_id", F.col("ref").alias("pic"), T.caption_key(F.col("caption")).alias("have"), F.col("ext").alias("slot"))
     j = requests.withColumn("want", T.caption_key(F.col("caption"))).join(p, "doc_id", "left")
     score = F.when(F.col("ref") == F.col("pic"), 3).when(F.col("ref").isNull() & (F.col("want") == F.col("have")), 2).when(F.col("ref").isNull() & F.contains("have", F.col("want")), 1)
     best = F.max("score").over(W.partitionBy("doc_id", "request_id"))
     m = j.withColumn("score", score).withColumn("best", best).where("best is null or score = best")
-    a = m.groupBy("doc_id", "request_id", "ext", "best").agg(F.count("score").alias("n"), F.min(F.when(F.col("score").isNotNull(), F.col("pic"))).alias("pic"), F.min("slot").alias("slot"))
-    status = F.when(F.col("best").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").when(F.col("ext").isNull(), "bad_image").when(F.col("slot") != F.col("ext"), "format_mismatch").otherwise("replaced")
-    return a.select("doc_id", "request_id", F.when(F.col("n") == 1, F.col("pic")).alias("ref"), status.alias("status"))
+    a = m.groupBy("doc_id", "request_id", "ext", "present", "best").agg(F.count("score").alias("n"), F.min(F.when(F.col("score").isNotNull(), F.col("pic"))).alias("pic"), F.min("slot").alias("slot"))
+    slot, ext = (F.regexp_replace(F.lower(c), "^jpg$", "jpeg") for c in ("slot", "ext"))
+    status = F.when(~F.col("present"), "missing_file").when(F.col("ext").isNull(), "bad_image").when(F.col("best").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").when(slot != ext, "format_mismatch").otherwise("replaced")
+    usable = F.col("present") & F.col("ext").isNotNull() & (F.col("n") == 1)
+    return a.select("doc_id", "request_id", F.when(usable, F.col("pic")).alias("ref"), status.alias("status"))
 
 
 def figure_tables(tables: DataFrame, cells: DataFrame, pics: DataFrame) -> DataFrame:
@@ -89,7 +111,7 @@ def link_census(fields: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return said.join(linked, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_bare", "n_equations", "latex_left")
 
 
-def judge_pages(pages: DataFrame, judge, schema: str = "doc_id long, page long, ok boolean, issue string") -> DataFrame:  # noqa: ANN001
+def judge_pages(pages: DataFrame, judge, schema: str = "doc_id long, page long, ok boolean, issues array<struct<type:string,detail:string>>, note string") -> DataFrame:  # noqa: ANN001
     """UF1, UF2: a caller's function over page rows, a pandas batch at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

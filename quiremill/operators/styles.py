@@ -70,23 +70,31 @@ def heading_ladder(system: DataFrame, most: int = 6) -> DataFrame:
 
 
 def bullet_ladder(system: DataFrame) -> DataFrame:
-    """WN3: bullets by glyph rank, size, level and use; tied neighbours abort the document's ladder."""
-    rank = T.glyph_rank(F.col("glyph"))
+    """WN3: used bullets, and used plain styles whose name is one glyph, by glyph rank, size, level and use; tied neighbours abort the document's ladder. A bullet with an unknown glyph goes by the first character of its name."""
+    own, named, unknown = T.glyph_rank(F.col("glyph")), T.glyph_rank(F.col("name")), len(T.GLYPHS)
+    bullet, plain = F.col("heading_type") == "BULLET", (F.col("heading_type") == "NONE") & T.glyph_name(F.col("name")).isNotNull()
     d = W.partitionBy("doc_id")
-    o = d.orderBy("rank", F.desc("size_pt"), "outline_level", F.desc("use_count"), "pos")
-    b = system.where("heading_type = 'BULLET' or glyph is not null").withColumn("rank", rank)
-    b = b.withColumn("rung", F.row_number().over(o)).withColumn("tie", F.coalesce((F.lag("rank").over(o) == F.col("rank")) & (F.lag("size_pt").over(o) == F.col("size_pt")), F.lit(False)))
+    number = F.coalesce(F.when(F.col("style_id").rlike("^[0-9]+$"), F.col("style_id").cast("long")), F.lit(0))
+    o = d.orderBy("rank", F.desc(F.coalesce("size_pt", F.lit(0.0))), F.coalesce("outline_level", F.lit(0)), F.desc("use_count"), number, "pos")
+    b = system.where((bullet | plain) & (F.col("use_count") > 0)).withColumn("rank", F.when(plain | (own == unknown), named).otherwise(own))
+    same = (F.lag("rank").over(o) == F.col("rank")) & F.lag("size_pt").over(o).eqNullSafe(F.col("size_pt"))
+    b = b.withColumn("rung", F.row_number().over(o)).withColumn("tie", F.coalesce(same, F.lit(False)))
     return b.select("doc_id", "style_id", "rank", F.col("rung").cast("long").alias("rung"), F.max("tie").over(d).alias("aborted"))
 
 
-def normalization_plan(system: DataFrame, roles: DataFrame) -> DataFrame:
-    """WN4: style -> role for documents that declare no heading ladder themselves."""
-    declared = system.where(T.role_override(F.col("name"), F.col("eng_name")).startswith("HEADING_")).select("doc_id").distinct()
+def normalization_plan(system: DataFrame) -> DataFrame:
+    """WN4: style -> role for the ladders that a document doesn't declare itself, with the class it has and would have: structured with two heading levels, declared or planned."""
+    own = T.role_override(F.col("name"), F.col("eng_name"))
+    said = system.select("doc_id", own.alias("role")).where("role is not null")
+    known = said.groupBy("doc_id").agg(F.bool_or(F.col("role").startswith("HEADING_")).alias("heads"), F.bool_or(F.col("role").startswith("BULLET_")).alias("bullets"), F.collect_set(F.when(F.col("role").rlike("^HEADING_[0-9]+$"), F.col("role"))).alias("levels"))
     h = heading_ladder(system).where("status = 'ok'").select("doc_id", "style_id", F.concat(F.lit("HEADING_"), F.col("rung").cast("string")).alias("role"))
     b = bullet_ladder(system).where("not aborted").select("doc_id", "style_id", F.concat(F.lit("BULLET_"), F.col("rung").cast("string")).alias("role"))
-    plan = h.unionByName(b).join(declared, "doc_id", "left_anti")
-    n = F.sum(F.col("role").startswith("HEADING_").cast("int")).over(W.partitionBy("doc_id"))
-    return plan.withColumn("expected", F.when(n >= 2, "structured").otherwise("unchanged"))
+    plan = h.unionByName(b).join(known, "doc_id", "left")
+    plan = plan.where(~F.coalesce(F.when(F.col("role").startswith("HEADING_"), F.col("heads")).otherwise(F.col("bullets")), F.lit(False)))
+    planned = F.collect_set(F.when(F.col("role").startswith("HEADING_"), F.col("role"))).over(W.partitionBy("doc_id"))
+    n = F.size(F.array_union(planned, F.coalesce("levels", F.array().cast("array<string>"))))
+    plan = plan.withColumn("n", n).join(classify(system).select("doc_id", F.col("classification").alias("before")), "doc_id")
+    return plan.select("doc_id", "style_id", "role", "before", F.when(F.col("n") >= 2, "structured").otherwise(F.col("before")).alias("expected"))
 
 
 def ladder_gaps(system: DataFrame, roles: DataFrame) -> DataFrame:

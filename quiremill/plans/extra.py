@@ -116,12 +116,12 @@ def pf10(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "jn13_meta_slots",
-    """WITH t AS (SELECT o_orderkey AS doc_id, unnest(['title', 'printer', 'volume']) AS name, unnest([NULL, 'P', NULL]) AS fallback FROM orders), m AS (SELECT o_orderkey AS doc_id, 'title' AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_clerk END AS value FROM (SELECT *, 'c' || o_custkey AS o_clerk FROM orders)),
-v AS (SELECT t.doc_id, t.name, coalesce(nullif(value, ''), fallback, '') AS value FROM t LEFT JOIN m ON m.doc_id = t.doc_id AND m.name = t.name) SELECT doc_id, name, value, value = '' AND name IN ('title') AS missing FROM v""",
+    """WITH t AS (SELECT o_orderkey AS doc_id, unnest(['title', 'title_1', 'printer', 'volume']) AS name, unnest([NULL, NULL, 'P', NULL]) AS fallback FROM orders), m AS (SELECT o_orderkey AS doc_id, 'title' AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_clerk END AS value FROM (SELECT *, 'c' || o_custkey AS o_clerk FROM orders)),
+v AS (SELECT t.doc_id, t.name, coalesce(nullif(value, ''), fallback, '') AS value FROM t LEFT JOIN m ON m.doc_id = t.doc_id AND m.name = t.name) SELECT doc_id, name, value, CASE WHEN value = '' AND name IN ('title', 'title_1') THEN 'title' END AS missing FROM v""",
 )
 def jn13(s, d):  # noqa: ANN001, ANN201
     o = A.read(s, d, "orders").withColumn("doc_id", F.col("o_orderkey"))
-    tokens = o.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f).cast("string").alias("fallback")) for n, f in (("title", None), ("printer", "P"), ("volume", None))))).alias("t")).select("doc_id", "t.*")
+    tokens = o.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f).cast("string").alias("fallback")) for n, f in (("title", None), ("title_1", None), ("printer", "P"), ("volume", None))))).alias("t")).select("doc_id", "t.*")
     meta = o.select("doc_id", F.lit("title").alias("name"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("c"), "o_custkey")).alias("value"))
     return markdown.meta_slots(tokens, meta, ["title"])
 
@@ -129,12 +129,12 @@ def jn13(s, d):  # noqa: ANN001, ANN201
 @query(
     "jn15_images",
     """WITH n AS (SELECT l_orderkey, count(*) FILTER (l_linenumber = 1) AS n FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS doc_id, o_custkey AS request_id, CASE WHEN n = 1 THEN 'image1' END AS ref, CASE WHEN coalesce(n, 0) = 0 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN o_orderkey % 4 = 0 THEN 'bad_image' WHEN o_orderkey % 3 = 0 THEN 'format_mismatch' ELSE 'replaced' END AS status FROM orders LEFT JOIN n ON l_orderkey = o_orderkey""",
+SELECT o_orderkey AS doc_id, o_custkey AS request_id, CASE WHEN n = 1 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 THEN 'image1' END AS ref, CASE WHEN o_orderkey % 5 = 0 THEN 'missing_file' WHEN o_orderkey % 4 = 0 THEN 'bad_image' WHEN coalesce(n, 0) = 0 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN o_orderkey % 3 = 0 THEN 'format_mismatch' ELSE 'replaced' END AS status FROM orders LEFT JOIN n ON l_orderkey = o_orderkey""",
 )
 def jn15(s, d):  # noqa: ANN001, ANN201
     pics = A.read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("image"), "l_linenumber").alias("ref"), F.lit("cap").alias("caption"), F.lit("png").alias("ext"))
     k = F.col("o_orderkey")
-    requests = A.read(s, d, "orders").select(k.alias("doc_id"), F.col("o_custkey").alias("request_id"), F.lit("image1").alias("ref"), F.lit(None).cast("string").alias("caption"), F.when(k % 4 == 0, None).when(k % 3 == 0, "jpg").otherwise("png").alias("ext"))
+    requests = A.read(s, d, "orders").select(k.alias("doc_id"), F.col("o_custkey").alias("request_id"), F.lit("image1").alias("ref"), F.lit(None).cast("string").alias("caption"), F.when(k % 4 == 0, None).when(k % 3 == 0, "jpg").otherwise("png").alias("ext"), (k % 5 != 0).alias("present"))
     return media.match_images(requests, pics)
 
 
@@ -242,7 +242,7 @@ def sc24(s, d):  # noqa: ANN001, ANN201
 @query(
     "sc25_fitted",
     """WITH h AS (SELECT p_partkey, p_size * 1000 AS w, 3 + p_partkey % 5 AS x, 1 + p_partkey % 7 AS y, round_even(p_size * 1000.0 * (1 + p_partkey % 7) / (3 + p_partkey % 5), 0)::BIGINT AS h FROM part),
-f AS (SELECT *, CASE WHEN h > 30000 THEN round_even(30000.0 * x / y, 0)::BIGINT ELSE w END AS width FROM h) SELECT p_partkey, width, least(h, 30000) AS height, round(width::DOUBLE / w, 4) AS ratio FROM f""",
+f AS (SELECT *, CASE WHEN h > 30000 THEN round_even(30000.0 * x / y, 0)::BIGINT ELSE w END AS width FROM h) SELECT p_partkey, width, least(h, 30000) AS height, round_even(width::DOUBLE / least(h, 30000) * 10000, 0) / 10000 AS ratio FROM f""",
 )
 def sc25(s, d):  # noqa: ANN001, ANN201
     k = F.col("p_partkey")
@@ -264,14 +264,14 @@ def sc30(s, d):  # noqa: ANN001, ANN201
     return A.form_lines(s, d).select("doc_id", "para_idx", F.array_join(T.split_run_tokens(F.col("text"), runs), ",").alias("tokens"))
 
 
-@query("uf1_judged_pages", "SELECT conv_id AS doc_id, turn::BIGINT AS page, length(text) % 2 = 0 AS ok, CASE WHEN length(text) % 2 = 1 THEN 'overflow' END AS issue FROM conversations")
+@query("uf1_judged_pages", "SELECT conv_id AS doc_id, turn::BIGINT AS page, length(text) % 2 = 0 AS ok, CASE WHEN length(text) % 2 = 1 THEN 'text_truncated' END AS issue FROM conversations")
 def uf1(s, d):  # noqa: ANN001, ANN201
     def judge(b: pd.DataFrame) -> pd.DataFrame:
         odd = b["n"] % 2 == 1
-        return pd.DataFrame({"doc_id": b["doc_id"], "page": b["page"], "ok": ~odd, "issue": odd.map({True: "overflow", False: None})})
+        return pd.DataFrame({"doc_id": b["doc_id"], "page": b["page"], "ok": ~odd, "issues": [[{"type": "text_truncated", "detail": ""}] if x else [] for x in odd], "note": ""})
 
     c = A.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("page"), F.length("text").alias("n"))
-    return media.judge_pages(c, judge)
+    return media.judge_pages(c, judge).select("doc_id", "page", "ok", F.get("issues", F.lit(0))["type"].alias("issue"))
 
 
 _STEPS = ", ".join(f"{{'s': {a}, 'c': {b}}}" for a, b in layout.ladder())
@@ -279,19 +279,32 @@ _STEPS = ", ".join(f"{{'s': {a}, 'c': {b}}}" for a, b in layout.ladder())
 
 @query(
     "wn13_page_plan",
-    f"""WITH lines AS (SELECT l_orderkey AS doc_id, pos // 2 AS para_idx, pos % 2 AS line_no, (pos * 1600 + qty * 60) % 7000 AS vertpos, 1000 AS vertsize, 300 AS spacing, l_partkey % 11 = 0 AS forced_break, l_partkey % 400 AS para_space FROM {A._NUMBERED}),
-cuts AS (SELECT *, coalesce(vertpos < lag(vertpos) OVER o OR (line_no = 0 AND forced_break AND lag(vertpos) OVER o IS NOT NULL), false)::INT AS cut FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY para_idx, line_no)),
-pg AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY para_idx, line_no) AS page FROM cuts),
-p AS (SELECT doc_id, page, max(vertpos + vertsize) AS bottom, sum(vertsize + spacing) AS tall, sum(CASE WHEN line_no = 0 THEN para_space END) AS spaces, bool_or(forced_break AND line_no = 0 AND f) AS forced, min(para_idx) AS para_idx
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_idx, line_no) = 1 AS f FROM pg) GROUP BY 1, 2),
-h AS (SELECT p.doc_id, p.page - 1 AS page, any_value(p.forced) AS forced, count(*) FILTER (pg.page = p.page) AS n, max(pg.page) = p.page AS whole, coalesce(max(CASE WHEN line_no = 0 AND pg.page = p.page THEN para_space END), 0) AS space FROM p JOIN pg ON pg.doc_id = p.doc_id AND pg.para_idx = p.para_idx GROUP BY p.doc_id, p.page),
-b AS (SELECT p.doc_id, p.page, 8000 - bottom AS gap, round((8000 - bottom) * 100.0::DOUBLE / 8000, 2) AS gap_pct, tall, coalesce(spaces, 0) AS spaces, h.forced, CASE WHEN whole THEN n END AS n, CASE WHEN whole THEN space END AS space, CASE WHEN whole THEN n * 1300 - 300 END AS height FROM p JOIN h ON h.doc_id = p.doc_id AND h.page = p.page),
-k AS (SELECT *, CASE WHEN forced THEN CASE WHEN gap_pct >= 10 THEN 'forced' END WHEN gap_pct >= 10 THEN 'gap' WHEN n <= 3 THEN 'pull' END AS kind, CASE WHEN NOT forced THEN 300 + space + height - gap END AS needed FROM b),
-f AS (SELECT *, list_filter([{_STEPS}], lambda x: floor(((spaces + space) * x.s + (tall + height) * x.c) / 100) >= greatest(needed, 0) + 100)[1] AS step FROM k WHERE kind IS NOT NULL)
-SELECT doc_id, 0::BIGINT AS section_no, page::BIGINT AS page, gap_pct, kind, needed::BIGINT AS needed, CASE WHEN kind = 'forced' THEN 'forced' WHEN step IS NULL OR needed IS NULL THEN 'unfittable' ELSE 'fittable' END AS status,
-  CASE WHEN needed IS NOT NULL THEN step.s END::BIGINT AS spacing_cut, CASE WHEN needed IS NOT NULL THEN step.c END::BIGINT AS line_cut FROM f""",
+    f"""WITH x AS (SELECT doc_id, i // 5 AS para_idx, i % 5 AS line_no, length(text) AS n, (i * 1600 + length(text) % 600) % 9000 AS vertpos, 300 + length(text) % 3 * 50 AS spacing, length(text) % 17 = 0 AS fb, CASE WHEN length(text) % 13 = 0 THEN 500 ELSE 0 END AS note FROM {A._LINES}),
+pr AS (SELECT doc_id, para_idx, CASE WHEN n % 7 = 0 THEN 'empty' WHEN n % 7 = 6 THEN 'object' ELSE 'text' END AS kind, n % 4 = 1 AS heading, n % 400 AS sb, n % 150 AS sa, n % 9 <> 0 AS soft FROM x WHERE line_no = 0),
+ct AS (SELECT *, coalesce(vertpos < lag(vertpos) OVER o OR (line_no = 0 AND fb AND lag(vertpos) OVER o IS NOT NULL), false)::INT AS cut FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY para_idx, line_no)),
+pg AS (SELECT *, 1000 + spacing AS tall, sum(cut) OVER (PARTITION BY doc_id ORDER BY para_idx, line_no) AS page, max(line_no) OVER (PARTITION BY doc_id, para_idx) AS endl FROM ct),
+lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, para_idx ORDER BY line_no) AS r FROM pg),
+bl AS (SELECT doc_id, page, para_idx, count(*) AS n, bool_or(line_no = 0) AS first, bool_or(line_no = endl) AS last, sum(tall) AS tall, arg_max(spacing, line_no) AS lsp, arg_max(tall, line_no) AS lt, sum(note) AS notes, max(vertpos + 1000) AS bottom, bool_or(fb AND line_no = 0) AS forced,
+  sum(CASE WHEN r <= 2 THEN tall END) AS tall2, max(CASE WHEN r = 2 THEN spacing END) AS lsp2, max(CASE WHEN r = 2 THEN tall END) AS lt2 FROM lr GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_idx) AS k, count(*) OVER (PARTITION BY doc_id, page) AS size FROM bl JOIN pr USING (doc_id, para_idx)),
+hd AS (SELECT doc_id, page, min(CASE WHEN kind <> 'empty' THEN k END) AS h FROM b GROUP BY 1, 2),
+lm AS (SELECT hd.doc_id, hd.page, CASE WHEN NOT f.first THEN CASE WHEN f.last THEN 1 END WHEN h IS NULL OR NOT m.last THEN NULL WHEN NOT m.heading THEN h WHEN x.k IS NULL OR NOT x.first THEN NULL WHEN (x.kind = 'text' AND x.n >= 4) OR x.last THEN h + 1 END AS size,
+  coalesce(f.first AND m.heading AND x.kind = 'text' AND x.n >= 4, false) AS part FROM hd JOIN b f ON f.doc_id = hd.doc_id AND f.page = hd.page AND f.k = 1 LEFT JOIN b m ON m.doc_id = hd.doc_id AND m.page = hd.page AND m.k = h LEFT JOIN b x ON x.doc_id = hd.doc_id AND x.page = hd.page AND x.k = h + 1),
+ch AS (SELECT b.doc_id, b.page, b.k, lm.size, kind, soft, sb, sa, notes, first, CASE WHEN part AND b.k = lm.size THEN 2 ELSE n END AS n, NOT (part AND b.k = lm.size) AND last AS last, CASE WHEN part AND b.k = lm.size THEN tall2 ELSE tall END AS tall, CASE WHEN part AND b.k = lm.size THEN lsp2 ELSE lsp END AS lsp, CASE WHEN part AND b.k = lm.size THEN lt2 ELSE lt END AS lt
+  FROM b JOIN lm ON lm.doc_id = b.doc_id AND lm.page = b.page WHERE b.k <= lm.size),
+cs AS (SELECT doc_id, page, sum(CASE WHEN kind <> 'empty' THEN n ELSE 0 END) AS n, bool_or(kind = 'object') AS obj, sum(CASE WHEN first THEN sb ELSE 0 END) AS sb, sum(tall) AS tall, sum(CASE WHEN last AND k < size THEN sa ELSE 0 END) AS sa, max(CASE WHEN k = size THEN lsp END) AS lsp, sum(notes) AS notes,
+  sum(CASE WHEN soft AND kind <> 'object' THEN tall ELSE 0 END) - max(CASE WHEN k = size THEN CASE WHEN soft AND kind <> 'object' THEN lt ELSE 0 END END) AS soft FROM ch GROUP BY 1, 2),
+p AS (SELECT doc_id, page, max(bottom) AS bottom, arg_min(forced, para_idx) AS forced, sum(notes) AS notes, arg_max(lsp + CASE WHEN last THEN sa ELSE 0 END, para_idx) AS tail, sum(CASE WHEN first THEN sb + CASE WHEN last THEN sa ELSE 0 END ELSE 0 END) AS spaces, sum(CASE WHEN first AND soft AND kind <> 'object' THEN tall ELSE 0 END) AS soft FROM b GROUP BY 1, 2),
+n AS (SELECT p.*, q.forced AS nf, 8000 - CASE WHEN p.notes > 0 THEN 40 + p.notes ELSE 0 END - p.bottom AS gap, CASE WHEN p.notes > 0 THEN 40 + p.notes ELSE 0 END AS own, cs.n AS cn, obj, cs.sb + cs.tall + cs.sa - cs.lsp AS add, cs.notes AS cnotes, cs.sb + cs.sa AS cspaces, cs.soft AS csoft FROM p JOIN p q ON q.doc_id = p.doc_id AND q.page = p.page + 1 LEFT JOIN cs ON cs.doc_id = q.doc_id AND cs.page = q.page),
+k AS (SELECT *, gap * 100.0::DOUBLE / 8000 AS share, CASE WHEN nf THEN CASE WHEN gap * 100.0 / 8000 >= 10 THEN 'forced' END WHEN gap * 100.0 / 8000 >= 10 THEN 'gap' WHEN cn <= 3 AND NOT obj THEN 'pull' END AS kind FROM n),
+m AS (SELECT *, kind <> 'forced' AND cn IS NOT NULL AS moves, bottom + tail + add + CASE WHEN cnotes > 0 THEN CASE WHEN own > 0 THEN own ELSE 40 END + cnotes ELSE own END - 8000 AS need FROM k WHERE kind IS NOT NULL),
+f AS (SELECT *, CASE WHEN moves THEN list_filter([{_STEPS}], lambda x: floor(((spaces + cspaces) * x.s + (soft + csoft) * x.c) / 100) >= greatest(need, 0) + 100)[1] END AS step FROM m)
+SELECT doc_id, 0::BIGINT AS section_no, page::BIGINT AS page, round_even(gap * 10000.0::DOUBLE / 8000, 0) / 100 AS gap_pct, kind, CASE WHEN moves THEN cn ELSE 0 END::BIGINT AS chunk_lines, CASE WHEN moves THEN need ELSE 0 END::BIGINT AS needed, CASE WHEN kind = 'forced' THEN 'forced' WHEN step IS NULL THEN 'unfittable' ELSE 'fittable' END AS status, step.s::BIGINT AS spacing_cut, step.c::BIGINT AS line_cut FROM f""",
 )
 def wn13_plan(s, d):  # noqa: ANN001, ANN201
-    x = A._numbered(s, d)
-    lines = x.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("section_no"), F.floor(F.col("pos") / 2).alias("para_idx"), (F.col("pos") % 2).alias("line_no"), ((F.col("pos") * 1600 + F.col("qty") * 60) % 7000).alias("vertpos"), F.lit(1000).alias("vertsize"), F.lit(300).alias("spacing"), (F.col("l_partkey") % 11 == 0).alias("forced_break"), (F.col("l_partkey") % 400).alias("para_space"))
-    return layout.page_plan(lines, 8000, layout.ladder())
+    i, n = F.col("i"), F.length("text")
+    x = A.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    x = x.select("doc_id", F.lit(0).cast("long").alias("section_no"), F.floor(i / 5).alias("para_idx"), (i % 5).alias("line_no"), ((i * 1600 + n % 600) % 9000).alias("vertpos"), F.lit(1000).alias("vertsize"), (300 + n % 3 * 50).alias("spacing"), (n % 17 == 0).alias("forced_break"), F.when(n % 13 == 0, 500).otherwise(0).alias("note_height"), n.alias("n"))
+    kind, n = F.when(F.col("n") % 7 == 0, "empty").when(F.col("n") % 7 == 6, "object").otherwise("text"), F.col("n")
+    paras = x.where("line_no = 0").select("doc_id", "section_no", "para_idx", kind.alias("kind"), (n % 4 == 1).alias("heading"), (n % 400).alias("sb"), (n % 150).alias("sa"), (n % 9 != 0).alias("percent"))
+    return layout.page_plan(x.drop("n"), paras, 8000, layout.ladder(), note_gap=40)

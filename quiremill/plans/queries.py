@@ -91,8 +91,7 @@ tbl AS (SELECT doc_id, section_no, para_idx, concat_ws(chr(10) || chr(10), CASE
   || '| ' || replace(coalesce(w[3], ''), '|', '\\|') || ' | ' || replace(coalesce(w[3], ''), '|', '\\|') || ' |') AS line FROM w WHERE n % 14 = 6),
 fig AS (SELECT doc_id, section_no, para_idx, '![' || substr(text, 1, 9) || '](p' || para_idx || '.png)' || CASE WHEN n % 3 = 0 THEN ' ![](<b c.png>)' ELSE '' END || CASE WHEN n % 4 = 1 THEN '{#f' || (n % 5) || '}' ELSE '' END
   || CASE WHEN n % 3 = 1 THEN chr(10) || '자료: ' || n ELSE '' END AS line FROM w WHERE n % 14 = 13),
-nt AS (SELECT doc_id, section_no, para_idx, 'note ' || n AS text, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, para_idx) AS no FROM w WHERE in_note),
-said AS (SELECT c.doc_id, c.section_no, c.para_idx, role_kind, greatest(coalesce(role_level, 1), 1) AS level, c.text || coalesce('[^' || nt.no || ']', '') AS text, coalesce(tbl.line, fig.line) AS object
+NOTESsaid AS (SELECT c.doc_id, c.section_no, c.para_idx, role_kind, greatest(coalesce(role_level, 1), 1) AS level, c.text || coalesce('[^' || nt.no || ']', '') AS text, coalesce(tbl.line, fig.line) AS object
   FROM classified c LEFT JOIN tbl USING (doc_id, section_no, para_idx) LEFT JOIN fig USING (doc_id, section_no, para_idx) LEFT JOIN nt USING (doc_id, section_no, para_idx)),
 lines AS (SELECT doc_id, section_no, para_idx, object IS NULL AND role_kind = 'HEADING' AND level = 1 AS h1, CASE WHEN object IS NOT NULL THEN object WHEN role_kind = 'HEADING' THEN repeat('#', least(6, level)::INT) || ' ' || text
   WHEN role_kind = 'BULLET' THEN repeat('  ', (level - 1)::INT) || '* ' || text WHEN role_kind = 'ORDERED' THEN repeat('  ', (level - 1)::INT) || '1. ' || text ELSE text END AS line FROM said WHERE object IS NOT NULL OR text <> '')"""
@@ -119,14 +118,21 @@ def _markdown(s: SparkSession, d: str, body_from_h1: bool) -> DataFrame:
     return markdown.corpus_markdown(_classified(s, d), tables, figures, notes, body_from_h1)
 
 
-@query("sc35_corpus_markdown", f"{_ROLED},\n{_KINDS},\n{_OBJECTS},\n{_WHOLE}".replace("KEPT", "true"))
+_NOTES = "nt AS (SELECT doc_id, section_no, para_idx, 'note ' || n AS text, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, para_idx) AS no FROM w FROM_START WHERE in_note),\n"
+_STARTS = """starts AS (SELECT doc_id, arg_min(struct_pack(s := section_no, p := para_idx), struct_pack(s := section_no, p := para_idx)) AS start FROM classified c WHERE role_kind = 'HEADING' AND role_level = 1
+  AND NOT EXISTS (SELECT 1 FROM tbl t WHERE t.doc_id = c.doc_id AND t.section_no = c.section_no AND t.para_idx = c.para_idx) AND NOT EXISTS (SELECT 1 FROM fig t WHERE t.doc_id = c.doc_id AND t.section_no = c.section_no AND t.para_idx = c.para_idx) GROUP BY 1),
+"""
+_LATER = "JOIN starts ON starts.doc_id = {0}.doc_id AND struct_pack(s := {0}.section_no, p := {0}.para_idx) >= start"
+
+
+@query("sc35_corpus_markdown", f"{_ROLED},\n{_KINDS},\n{_OBJECTS},\n{_WHOLE}".replace("NOTES", _NOTES.replace("FROM_START ", "")).replace("KEPT", "true"))
 def sc35(s, d):  # noqa: ANN001, ANN201
     return _markdown(s, d, body_from_h1=False)
 
 
 @query(
     "sc35_body_only",
-    f"{_ROLED},\n{_KINDS},\n{_OBJECTS},\nstarts AS (SELECT doc_id, arg_min(struct_pack(s := section_no, p := para_idx), struct_pack(s := section_no, p := para_idx)) AS start FROM lines WHERE h1 GROUP BY 1),\n{_WHOLE}".replace("FROM lines WHERE KEPT", "FROM lines JOIN starts USING (doc_id) WHERE struct_pack(s := section_no, p := para_idx) >= start"),
+    f"{_ROLED},\n{_KINDS},\n{_OBJECTS},\n{_WHOLE}".replace("NOTES", _STARTS + _NOTES.replace("SELECT doc_id,", "SELECT w.doc_id,").replace("PARTITION BY doc_id", "PARTITION BY w.doc_id").replace("FROM_START", _LATER.format("w"))).replace("SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY section_no, para_idx) AS body FROM lines WHERE KEPT", f"SELECT lines.doc_id, string_agg(line, chr(10) || chr(10) ORDER BY section_no, para_idx) AS body FROM lines {_LATER.format('lines')}"),
 )
 def sc35_body(s, d):  # noqa: ANN001, ANN201
     return _markdown(s, d, body_from_h1=True)
@@ -254,11 +260,14 @@ def st2(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "ag13_page_verdicts",
-    f"""{A.with_tables("verdicts")} SELECT doc_id, count(*) AS n_pages, bool_and(ok) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN page::VARCHAR END, ',' ORDER BY page), '') AS problem_pages,
-  count(*) FILTER (issue = 'overflow') AS n_overflow, count(*) FILTER (issue = 'overlap') AS n_overlap FROM verdicts GROUP BY 1""",
+    f"""{A.with_tables("verdicts")}, d AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE count(*) END AS page_count, CASE WHEN doc_id % 11 = 0 THEN 'no file' ELSE '' END AS error FROM verdicts GROUP BY 1),
+a AS (SELECT doc_id, count(*) AS checked, bool_and(ok) AS good, string_agg(CASE WHEN NOT ok THEN page::VARCHAR END, ',' ORDER BY page) AS bad, {", ".join(f"sum(len(list_filter(issues, lambda x: x = '{t}')))::BIGINT AS n_{t}" for t in checks.ISSUES)} FROM verdicts WHERE ok IS NOT NULL GROUP BY 1)
+SELECT doc_id, page_count, coalesce(checked, 0) AS checked, error = '' AND page_count > 0 AND coalesce(good, false) AS passed, coalesce(bad, '') AS problem_pages, error, {", ".join(f"coalesce(n_{t}, 0) AS n_{t}" for t in checks.ISSUES)} FROM d LEFT JOIN a USING (doc_id)""",
 )
 def ag13(s, d):  # noqa: ANN001, ANN201
-    return checks.page_verdicts(A.verdicts(s, d))
+    v, k = A.verdicts(s, d), F.col("doc_id")
+    documents = v.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.when(k % 13 == 0, 0).otherwise(F.col("n")).alias("page_count"), F.when(k % 11 == 0, "no file").alias("error"))
+    return checks.page_verdicts(v, documents)
 
 
 _GRID = """rng AS (SELECT *, max("row") OVER (PARTITION BY doc_id, table_index) AS last_row FROM cells),
@@ -330,7 +339,7 @@ def ag10(s, d):  # noqa: ANN001, ANN201
 _HEADINGS = "kind = 'heading' AND level = 1"
 
 
-@query("pf5_body_only", f"{A.with_tables('md_blocks')}, f AS (SELECT *, min(CASE WHEN {_HEADINGS} THEN ord END) OVER (PARTITION BY doc_id) AS f FROM md_blocks) SELECT doc_id, ord, kind, text FROM f WHERE f IS NULL OR ord >= f")
+@query("pf5_body_only", f"{A.with_tables('md_blocks')}, f AS (SELECT *, min(CASE WHEN {_HEADINGS} THEN ord END) OVER (PARTITION BY doc_id) AS f FROM md_blocks) SELECT doc_id, ord, kind, text FROM f WHERE ord >= f")
 def pf5(s, d):  # noqa: ANN001, ANN201
     return markdown.body_only(A.md_blocks(s, d), _HEADINGS, "ord").select("doc_id", "ord", "kind", "text")
 
@@ -448,7 +457,19 @@ def wn10(s, d):  # noqa: ANN001, ANN201
     return media.recurring_hashes(A.page_images(s, d))
 
 
-@query("wn11_bands")
+@query(
+    "wn11_bands",
+    f"""{A.with_tables("page_images").replace("WITH ", "WITH RECURSIVE ")}, e AS (SELECT doc_id, page, unnest(hashes) AS h FROM page_images), hn AS (SELECT doc_id, h FROM e GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2),
+sg AS (SELECT p.doc_id, p.page, coalesce(string_agg(DISTINCT hn.h, ',' ORDER BY hn.h), '') AS sig, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.page) AS i FROM page_images p LEFT JOIN e ON e.doc_id = p.doc_id AND e.page = p.page LEFT JOIN hn ON hn.doc_id = e.doc_id AND hn.h = e.h GROUP BY 1, 2),
+st AS (SELECT *, coalesce(sig = lag(sig, 2) OVER o AND sig <> lag(sig) OVER o, false) AS goes_on, coalesce(lead(sig) OVER o <> sig, false) AS differs, count(*) OVER (PARTITION BY doc_id) AS n FROM sg WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+en AS (SELECT *, coalesce(min(CASE WHEN NOT goes_on THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, n) AS j FROM st),
+wk AS (SELECT doc_id, 1::BIGINT AS i FROM en WHERE i = 1 UNION ALL SELECT wk.doc_id, CASE WHEN differs AND j - en.i >= 3 THEN j + 1 ELSE en.i + 1 END FROM wk JOIN en ON en.doc_id = wk.doc_id AND en.i = wk.i),
+rn AS (SELECT en.doc_id, en.i AS a, j AS z FROM wk JOIN en ON en.doc_id = wk.doc_id AND en.i = wk.i WHERE differs AND j - en.i >= 3),
+mg AS (SELECT en.doc_id, page, en.i, rn.a, CASE WHEN rn.a IS NULL THEN sig ELSE (SELECT coalesce(string_agg(DISTINCT x, ',' ORDER BY x), '') FROM (SELECT unnest(string_split(f.sig, ',')) AS x FROM en f WHERE f.doc_id = en.doc_id AND f.i BETWEEN rn.a AND rn.z) WHERE x <> '') END AS sig FROM en LEFT JOIN rn ON rn.doc_id = en.doc_id AND en.i BETWEEN rn.a AND rn.z),
+ct AS (SELECT *, (coalesce(sig <> lag(sig) OVER o, true) OR a IS DISTINCT FROM lag(a) OVER o)::INT AS cut FROM mg WINDOW o AS (PARTITION BY doc_id ORDER BY i)), bn AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS band FROM ct),
+bs AS (SELECT doc_id, band, sig, min(page) AS first_page, max(page) AS last_page FROM bn GROUP BY 1, 2, 3), sn AS (SELECT doc_id, sig, min(first_page) AS seen FROM bs WHERE sig <> '' GROUP BY 1, 2), lt AS (SELECT doc_id, sig, row_number() OVER (PARTITION BY doc_id ORDER BY seen) - 1 AS k FROM sn)
+SELECT doc_id, first_page, last_page, CASE WHEN k IS NULL THEN '—' ELSE CASE WHEN k >= 26 THEN chr(64 + (k // 26)::INT) ELSE '' END || chr(65 + (k % 26)::INT) END AS letter, count(*) OVER (PARTITION BY doc_id) > 1 AND count(k) OVER (PARTITION BY doc_id) > 0 AS decidable FROM bs LEFT JOIN lt USING (doc_id, sig)""",
+)
 def wn11(s, d):  # noqa: ANN001, ANN201
     return media.bands(media.recurring_hashes(A.page_images(s, d)))
 
@@ -660,7 +681,7 @@ def wn15(s, d):  # noqa: ANN001, ANN201
 @query(
     "tk2_insertion_marker",
     f"""{A.with_tables("form_lines")}, e AS (SELECT doc_id, section_no, para_idx, unnest(list_concat({_TOKENS}, [''])) AS token FROM form_lines), f AS (SELECT *, CASE token WHEN 'body' THEN 0 WHEN '' THEN 2 ELSE 1 END AS rank FROM e WHERE token IN ('', 'body', 't1', 't2'))
-SELECT doc_id, section_no, CASE WHEN token <> '' THEN para_idx END AS para_idx, nullif(token, '') AS token FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, CASE WHEN rank = 2 THEN -section_no ELSE section_no END, para_idx) = 1""",
+SELECT doc_id, section_no, CASE WHEN token <> '' THEN para_idx END AS para_idx, nullif(token, '') AS token, token = '' AND min(section_no) OVER (PARTITION BY doc_id) < max(section_no) OVER (PARTITION BY doc_id) AS warned FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, CASE WHEN rank = 2 THEN -section_no ELSE section_no END, para_idx) = 1""",
 )
 def tk2(s, d):  # noqa: ANN001, ANN201
     return markdown.insertion_marker(A.form_lines(s, d), ["body", "t1", "t2"])
@@ -745,13 +766,42 @@ def sc16(s, d):  # noqa: ANN001, ANN201
     return t.select("page_id", F.posexplode(inline.links(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.url")
 
 
+def _glyphs(s: SparkSession, d: str) -> DataFrame:
+    """Style systems with plain styles named by a glyph, unknown glyphs, equal neighbours and declared ladders."""
+    k, m = F.col("style_id"), F.col("doc_id") % 7
+    name = F.when((k == "3") & m.isin(1, 2), "-").when((k == "4") & (m == 3), "■ head").when((k == "0") & (m == 4), "•").when((k == "6") & (m == 5), "AI:BULLET_1").otherwise(F.col("name"))
+    glyph = F.when((k == "4") & (m == 3), "?").otherwise(F.col("glyph"))
+    size = F.when((k == "3") & (m == 2), 10.0).otherwise(F.col("size_pt"))
+    kind = F.when((k == "3") & (m == 2), "BULLET").otherwise(F.col("heading_type"))
+    return _system(s, d).withColumns({"name": name, "glyph": F.when((k == "3") & (m == 2), "○").otherwise(glyph), "size_pt": size, "heading_type": kind})
+
+
+_LADDERS = f"""g AS (SELECT * REPLACE (CASE WHEN style_id = '3' AND doc_id % 7 IN (1, 2) THEN '-' WHEN style_id = '4' AND doc_id % 7 = 3 THEN '■ head' WHEN style_id = '0' AND doc_id % 7 = 4 THEN '•' WHEN style_id = '6' AND doc_id % 7 = 5 THEN 'AI:BULLET_1' ELSE name END AS name,
+  CASE WHEN style_id = '4' AND doc_id % 7 = 3 THEN '?' WHEN style_id = '3' AND doc_id % 7 = 2 THEN '○' ELSE glyph END AS glyph, CASE WHEN style_id = '3' AND doc_id % 7 = 2 THEN 10.0 ELSE size_pt END AS size_pt, CASE WHEN style_id = '3' AND doc_id % 7 = 2 THEN 'BULLET' ELSE heading_type END AS heading_type) FROM system),
+gr AS (SELECT *, CASE WHEN glyph IN ('●', '○') THEN 1 ELSE 4 END AS own, CASE trim(name)[1] WHEN '■' THEN 0 WHEN '•' THEN 1 WHEN '-' THEN 2 ELSE 4 END AS named FROM g WHERE use_count > 0),
+gb AS (SELECT *, CASE WHEN heading_type = 'NONE' OR own = 4 THEN named ELSE own END AS rank FROM gr WHERE heading_type = 'BULLET' OR (heading_type = 'NONE' AND trim(name) IN ('-', '•'))),
+gt AS (SELECT doc_id, style_id, rank::BIGINT AS rank, row_number() OVER o AS rung, coalesce(lag(rank) OVER o = rank AND lag(size_pt) OVER o IS NOT DISTINCT FROM size_pt, false) AS tie FROM gb WINDOW o AS (PARTITION BY doc_id ORDER BY rank, coalesce(size_pt, 0) DESC, coalesce(outline_level, 0), use_count DESC, style_id::INT)),
+bullets AS (SELECT doc_id, style_id, rank, rung, bool_or(tie) OVER (PARTITION BY doc_id) AS aborted FROM gt)"""
+
+
+@query("wn3_bullet_ladder", f"{_STYLED},\n{_LADDERS} SELECT * FROM bullets")
+def wn3(s, d):  # noqa: ANN001, ANN201
+    return styles.bullet_ladder(_glyphs(s, d))
+
+
 @query(
-    "wn3_bullet_ladder",
-    f"""{_STYLED}, b AS (SELECT *, CASE WHEN trim(coalesce(glyph, '')) = '' THEN 4 WHEN contains('■□▣◼￭▪◾', glyph) THEN 0 WHEN contains('●○⦁•◦', glyph) THEN 1 WHEN contains('-–—―−', glyph) THEN 2 WHEN contains('·ㆍ', glyph) THEN 3 ELSE 4 END::BIGINT AS rank FROM system WHERE heading_type = 'BULLET' OR glyph IS NOT NULL)
-SELECT doc_id, style_id, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank, size_pt DESC, outline_level, use_count DESC, pos) AS rung, false AS aborted FROM b""",
+    "wn4_normalization_plan",
+    f"""{_STYLED},\n{_LADDERS}, hx AS (SELECT *, {_ENUM} AS class, bool_or(heading_type = 'OUTLINE' AND use_count > 0) OVER (PARTITION BY doc_id) AS outlined, min(CASE WHEN lower(trim(name)) IN ('normal', '바탕글') OR lower(trim(eng_name)) = 'normal' THEN size_pt END) OVER (PARTITION BY doc_id) AS body_pt FROM g),
+hc AS (SELECT * FROM hx WHERE class IS NOT NULL AND use_count > 0 AND heading_type = 'NONE' AND size_pt > coalesce(body_pt, 10)), ht AS (SELECT doc_id FROM hc GROUP BY 1 HAVING NOT bool_or(outlined) AND count(*) >= 2 AND count(DISTINCT class) = count(*) AND count(DISTINCT size_pt) = count(*)),
+hl AS (SELECT doc_id, style_id, row_number() OVER (PARTITION BY doc_id ORDER BY size_pt DESC, pos) AS rung FROM hc WHERE doc_id IN (FROM ht)), said AS (SELECT doc_id, {_OVERRIDE} AS role FROM g WHERE {_OVERRIDE} IS NOT NULL),
+plan AS (SELECT doc_id, style_id, 'HEADING_' || rung AS role FROM hl WHERE rung <= 6 AND doc_id NOT IN (SELECT doc_id FROM said WHERE starts_with(role, 'HEADING_')) UNION ALL SELECT doc_id, style_id, 'BULLET_' || rung FROM bullets WHERE NOT aborted AND doc_id NOT IN (SELECT doc_id FROM said WHERE starts_with(role, 'BULLET_'))),
+lv AS (SELECT doc_id, count(DISTINCT role) AS n FROM (SELECT doc_id, role FROM plan UNION ALL SELECT doc_id, role FROM said) WHERE regexp_matches(role, '^HEADING_[0-9]+$') GROUP BY 1),
+gc AS (SELECT doc_id, sum(use_count) AS n, sum(CASE WHEN heading_type = 'OUTLINE' THEN use_count ELSE 0 END) AS n_outline, count(DISTINCT CASE WHEN heading_type = 'OUTLINE' AND use_count > 0 THEN outline_level END) AS n_levels, count(DISTINCT CASE WHEN regexp_matches({_OVERRIDE}, '^HEADING_[0-9]+$') THEN {_OVERRIDE} END) AS n_declared FROM g GROUP BY 1),
+gk AS (SELECT doc_id, CASE WHEN n = 0 THEN 'flat' WHEN n_outline >= 3 AND n_levels >= 2 THEN 'structured' WHEN n_declared >= 2 THEN 'structured' WHEN n_outline = 0 THEN 'flat' ELSE 'weak' END AS before FROM gc)
+SELECT doc_id, style_id, role, before, CASE WHEN coalesce(lv.n, 0) >= 2 THEN 'structured' ELSE before END AS expected FROM plan JOIN gk USING (doc_id) LEFT JOIN lv USING (doc_id)""",
 )
-def wn3(s, d):  # noqa: ANN001, ANN201
-    return styles.bullet_ladder(_system(s, d))
+def wn4(s, d):  # noqa: ANN001, ANN201
+    return styles.normalization_plan(_glyphs(s, d))
 
 
 @query("jn14_applied_roles", f"{_STYLED}, m AS (SELECT DISTINCT doc_id, unnest(['1.', 'none']) AS name, unnest(['HEADING_1', 'BODY']) AS role FROM documents) SELECT m.doc_id, m.name, m.role, s.style_id, s.style_id IS NULL AS missing FROM m LEFT JOIN system s ON s.doc_id = m.doc_id AND s.name = m.name")
@@ -820,27 +870,89 @@ def wn17_repeats(s, d):  # noqa: ANN001, ANN201
 def _tables(s: SparkSession, d: str) -> DataFrame:
     o = A.read(s, d, "orders")
     k = F.col("o_orderkey")
-    caption = F.when(k % 5 == 0, "{{table 1}}").when(k % 5 == 1, "[그림 1] x").otherwise("표")
+    caption = F.when(k % 5 == 0, "{{table_1}}").when(k % 5 == 1, "[그림 1] x").otherwise("표")
     return o.select((k % 500).alias("doc_id"), k.alias("table_index"), caption.alias("caption"), (k % 2).cast("long").alias("treat_as_char"), F.when(k % 3 == 0, "TABLE").otherwise("CELL").alias("page_break"))
 
 
-_TABLES = "tables AS (SELECT o_orderkey % 500 AS doc_id, o_orderkey AS table_index, CASE o_orderkey % 5 WHEN 0 THEN '{{table 1}}' WHEN 1 THEN '[그림 1] x' ELSE '표' END AS caption, (o_orderkey % 2)::BIGINT AS treat_as_char, CASE WHEN o_orderkey % 3 = 0 THEN 'TABLE' ELSE 'CELL' END AS page_break FROM orders)"
+_TABLES = "tables AS (SELECT o_orderkey % 500 AS doc_id, o_orderkey AS table_index, CASE o_orderkey % 5 WHEN 0 THEN '{{table_1}}' WHEN 1 THEN '[그림 1] x' ELSE '표' END AS caption, (o_orderkey % 2)::BIGINT AS treat_as_char, CASE WHEN o_orderkey % 3 = 0 THEN 'TABLE' ELSE 'CELL' END AS page_break FROM orders)"
 
 
-@query("tk3_reference_tables", f"WITH {_TABLES} SELECT doc_id, table_index FROM tables QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY starts_with(caption, '{{{{table') DESC, table_index) = 1")
+@query("tk3_reference_tables", f"WITH {_TABLES} SELECT doc_id, table_index, starts_with(caption, '{{{{table') OR starts_with(caption, '[') AS designated FROM tables QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY designated DESC, table_index) = 1")
 def tk3(s, d):  # noqa: ANN001, ANN201
-    return markdown.reference_table(_tables(s, d))
+    return markdown.reference_table(_tables(s, d), r"^\[그림")
 
 
-@query("pf11_released_tables", f"WITH {_TABLES} SELECT doc_id, table_index, caption, 0::BIGINT AS treat_as_char, CASE WHEN treat_as_char = 1 THEN 'CELL' ELSE page_break END AS page_break, treat_as_char = 1 AS changed FROM tables")
+@query("pf11_released_tables", f"WITH {_TABLES} SELECT doc_id, table_index, caption, 0::BIGINT AS treat_as_char, 'CELL' AS page_break, treat_as_char = 1 OR page_break = 'TABLE' AS changed FROM tables")
 def pf11(s, d):  # noqa: ANN001, ANN201
     return edits.released_tables(_tables(s, d)).withColumn("treat_as_char", F.col("treat_as_char").cast("long"))
 
 
-@query("pf12_without_residue", f"WITH {_TABLES} SELECT t.* FROM tables t JOIN orders o ON o_orderkey = table_index WHERE NOT starts_with(caption, '{{{{table') AND o_orderstatus <> 'O'")
+@query(
+    "pf11_flow_warnings",
+    f"""WITH {_TABLES}, m AS (SELECT doc_id % 500 AS doc_id FROM documents GROUP BY 1 HAVING max(length(text)) > 200)
+SELECT doc_id, 'may be cut off' AS warning, sum(treat_as_char)::BIGINT AS n FROM tables JOIN m USING (doc_id) GROUP BY 1 HAVING sum(treat_as_char) > 0 UNION ALL SELECT doc_id, 'released', count(*) FROM tables WHERE treat_as_char = 1 OR page_break = 'TABLE' GROUP BY 1""",
+)
+def pf11_warnings(s, d):  # noqa: ANN001, ANN201
+    values = A.read(s, d, "documents").select((F.col("doc_id") % 500).alias("doc_id"), F.col("text").alias("value"))
+    t = _tables(s, d)
+    return edits.flow_warnings(t, values).unionByName(edits.flow_warnings(t, values, release=True))
+
+
+@query("pf12_without_residue", f"WITH {_TABLES} SELECT * FROM tables WHERE NOT starts_with(caption, '{{{{table')")
 def pf12(s, d):  # noqa: ANN001, ANN201
-    cells = A.read(s, d, "orders").select((F.col("o_orderkey") % 500).alias("doc_id"), F.col("o_orderkey").alias("table_index"), F.when(F.col("o_orderstatus") == "O", " ").otherwise("x").alias("text"))
-    return edits.without_residue(_tables(s, d), cells)
+    return edits.without_residue(_tables(s, d))
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    """Each line as an outermost paragraph; some hold a table with a caption and a paragraph in a cell, some a picture."""
+    p = A.paragraphs(s, d).select("doc_id", "section_no", "para_idx", "text", F.length("text").alias("n"), (F.col("para_idx") * 10).alias("x"))
+    m = F.col("n") % 10
+    token = F.when(m == 3, F.concat(F.lit("{{intro}} "), "text")).when(m == 4, F.concat("text", F.lit("{{ Figure_template }}"))).otherwise(F.col("text"))
+    table, none = F.col("n") % 7 == 6, F.lit(None).cast("string")
+
+    def node(kind: str, at: int, stop: int, when, text=none, caption=none, ref=none, opens=None):  # noqa: ANN001, ANN202
+        fields = {"kind": F.lit(kind), "node": F.col("x") + at, "stop": F.col("x") + stop, "text": text, "caption": caption, "ref": ref, "has_secpr": F.lit(False) if opens is None else opens}
+        return F.when(when, F.struct(*(v.alias(k) for k, v in fields.items())))
+
+    some = F.array_compact(F.array(
+        node("paragraph", 1, 9, F.lit(True), token, opens=F.col("para_idx") < 2),
+        node("table", 2, 6, table, caption=F.when(F.col("n") % 3 == 0, "{{table_template:sample}}").otherwise("표")),
+        node("paragraph", 4, 5, table, F.when(F.col("n") % 5 == 0, "{{figure}}").when(F.col("n") % 5 == 1, "{{intro}}").otherwise("x")),
+        node("picture", 8, 8, F.col("n") % 2 == 0, ref=F.concat(F.lit("image"), (F.col("n") % 4).cast("string"))),
+    ))
+    return p.select("doc_id", "section_no", F.explode(some).alias("k")).select("doc_id", "section_no", "k.*")
+
+
+_RESIDUE = f"""x AS (SELECT doc_id, section_no, para_idx, length(text) AS n FROM paragraphs),
+residue AS (SELECT doc_id, section_no, para_idx * 10 + 1 AS top, n, CASE WHEN n % 7 = 6 AND n % 3 = 0 THEN 'table' WHEN n % 10 = 4 OR (n % 7 = 6 AND n % 5 = 0) THEN 'figure' WHEN n % 10 = 3 AND para_idx < 2 THEN 'emptied' WHEN n % 10 = 3 THEN 'marker' END AS reason FROM x)"""
+
+
+@query("pf12_residue", f"{A.with_tables('paragraphs')},\n{_RESIDUE} SELECT doc_id, section_no, top, reason FROM residue WHERE reason IS NOT NULL")
+def pf12_residue(s, d):  # noqa: ANN001, ANN201
+    return edits.residue(_nodes(s, d))
+
+
+@query("pf12_counts", f"{A.with_tables('paragraphs')},\n{_RESIDUE} SELECT doc_id, count(*) FILTER (reason = 'table') AS n_tables, count(*) FILTER (reason = 'figure') AS n_figures, count(*) FILTER (reason IN ('marker', 'emptied')) AS n_markers FROM residue WHERE reason IS NOT NULL GROUP BY 1")
+def pf12_counts(s, d):  # noqa: ANN001, ANN201
+    return edits.residue_counts(edits.residue(_nodes(s, d)))
+
+
+@query("pf12_cleared", f"{A.with_tables('paragraphs')},\n{_RESIDUE} SELECT doc_id, count(*) AS n_nodes, count(*) FILTER (coalesce(blank, false)) AS n_blank FROM (SELECT doc_id, unnest(CASE WHEN n % 7 = 6 THEN [top < 20 AND (n = 0 OR reason = 'emptied'), false, false] ELSE [top < 20 AND (n = 0 OR reason = 'emptied')] END || CASE WHEN n % 2 = 0 THEN [false] ELSE [] END) AS blank FROM residue WHERE reason IS NULL OR reason = 'emptied') GROUP BY 1")
+def pf12_cleared(s, d):  # noqa: ANN001, ANN201
+    n = _nodes(s, d)
+    left = edits.cleared(n, edits.residue(n))
+    return left.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count_if((F.col("text") == "") & F.col("has_secpr")).alias("n_blank"))
+
+
+@query(
+    "jn16_unused_binaries",
+    f"""{A.with_tables("paragraphs")},\n{_RESIDUE}, u AS (SELECT doc_id, 'image' || (n % 4) AS ref, coalesce(reason = 'figure', false) AS figure, reason IS NULL OR reason = 'emptied' AS stays FROM residue WHERE n % 2 = 0 UNION ALL SELECT doc_id, 'image2', false, true FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, ref FROM u GROUP BY 1, 2 HAVING bool_or(figure) AND NOT bool_or(stays)""",
+)
+def jn16_unused(s, d):  # noqa: ANN001, ANN201
+    n = _nodes(s, d)
+    elsewhere = A.read(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("image2").alias("ref"))
+    return edits.unused_binaries(n, edits.residue(n), elsewhere)
 
 
 @query(
@@ -868,12 +980,6 @@ def wn8(s, d):  # noqa: ANN001, ANN201
     return markdown.footnote_numbers(A.paragraphs(s, d).where("in_note").select("doc_id", "section_no", "para_idx", F.lit(0).cast("long").alias("pos")))
 
 
-@query("wn4_normalization_plan")
-def wn4(s, d):  # noqa: ANN001, ANN201
-    system = _system(s, d)
-    return styles.normalization_plan(system, styles.role_map(system))
-
-
 @query("jn12_office_holders", "SELECT o_orderkey AS doc_id, o_orderdate::DATE::VARCHAR AS end_date, CASE WHEN o_orderdate::DATE BETWEEN DATE '1992-01-01' AND DATE '1994-06-30' THEN 'A' WHEN o_orderdate::DATE >= DATE '1995-01-01' THEN 'B' END AS name FROM orders")
 def jn12(s, d):  # noqa: ANN001, ANN201
     holders = s.createDataFrame([("1992-01-01", "1994-06-30", "A"), ("1995-01-01", None, "B")], "first string, last string, name string").select(F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"), "name")
@@ -894,7 +1000,7 @@ def tk5(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "sm3_output_guard",
-    "SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN 'overwrite' WHEN o_orderkey % 3 = 0 THEN 'versioned-foreign' WHEN o_custkey % 2 = 0 THEN 'overwrite-own' ELSE 'versioned-drift' END AS status FROM orders",
+    "SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN 'overwrite-own' WHEN o_orderkey % 3 = 0 THEN 'versioned-foreign' WHEN o_custkey % 2 = 0 THEN 'overwrite-own' ELSE 'versioned-drift' END AS status FROM orders",
 )
 def sm3(s, d):  # noqa: ANN001, ANN201
     o = A.read(s, d, "orders").withColumn("path", F.col("o_orderkey").cast("string"))
@@ -910,8 +1016,8 @@ def pf4(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "jn19_indent_templates",
-    f"""{A.with_tables("paragraphs")}, p AS (SELECT doc_id, section_no, para_idx, length(text) % 5 * 100 AS indent, forced_break FROM paragraphs),
-j AS (SELECT a.doc_id, a.section_no, a.para_idx, p.indent, p.para_idx AS template_idx FROM p a JOIN p ON p.doc_id = a.doc_id AND p.section_no = a.section_no AND abs(p.para_idx - a.para_idx) <= 40 WHERE a.forced_break)
+    f"""{A.with_tables("paragraphs")}, p AS (SELECT doc_id, section_no, para_idx, length(text) % 5 * 100 AS indent, forced_break, text FROM paragraphs),
+j AS (SELECT a.doc_id, a.section_no, a.para_idx, p.indent, p.para_idx AS template_idx FROM p a JOIN p ON p.doc_id = a.doc_id AND p.section_no = a.section_no AND abs(p.para_idx - a.para_idx) <= 40 WHERE a.forced_break AND trim(p.text, ' ') <> '')
 SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, section_no, para_idx, indent ORDER BY abs(template_idx - para_idx), template_idx) = 1""",
 )
 def jn19(s, d):  # noqa: ANN001, ANN201
@@ -919,6 +1025,23 @@ def jn19(s, d):  # noqa: ANN001, ANN201
     return edits.indent_templates(p, p.where("forced_break").select("doc_id", "section_no", "para_idx"))
 
 
+@query(
+    "jn19_picked_templates",
+    f"""{A.with_tables("paragraphs")}, p AS (SELECT doc_id, section_no, para_idx, length(text) % 5 * 100 AS indent, text, length(text) AS n FROM paragraphs), an AS (SELECT *, 1 + n % 3 AS anchor_level FROM p WHERE n % 17 = 0 AND n > 0),
+j AS (SELECT a.doc_id, a.section_no, a.para_idx, a.anchor_level, a.indent AS own, p.indent, p.para_idx AS template_idx FROM an a JOIN p ON p.doc_id = a.doc_id AND p.section_no = a.section_no AND abs(p.para_idx - a.para_idx) <= 40 WHERE trim(p.text, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.section_no, a.para_idx, p.indent ORDER BY abs(p.para_idx - a.para_idx), p.para_idx) = 1),
+l AS (SELECT *, row_number() OVER k - 1 AS rung, count(*) OVER (PARTITION BY doc_id, section_no, para_idx) AS n FROM j WINDOW k AS (PARTITION BY doc_id, section_no, para_idx ORDER BY indent)), bs AS (SELECT doc_id, section_no, para_idx, n, rung - (anchor_level - 1) AS base FROM l WHERE indent = own),
+b AS (SELECT bs.*, ord, kind, level, CASE WHEN kind = 'bullet' THEN base + level - 1 END AS wanted FROM bs, (VALUES (0, 'paragraph', 0), (1, 'bullet', 1), (2, 'bullet', 2), (3, 'ordered', 0), (4, 'bullet', 6)) v(ord, kind, level)), c AS (SELECT *, least(greatest(wanted, 0), n - 1) AS pick FROM b)
+SELECT c.doc_id, c.section_no, c.para_idx, ord, l.template_idx, (CASE WHEN pick <> wanted THEN pick + 1 - base END)::BIGINT AS clamped_to FROM c JOIN l ON l.doc_id = c.doc_id AND l.section_no = c.section_no AND l.para_idx = c.para_idx AND CASE WHEN wanted IS NULL THEN l.indent = l.own ELSE l.rung = pick END""",
+)
+def jn19_picked(s, d):  # noqa: ANN001, ANN201
+    n = F.length("text")
+    p = A.paragraphs(s, d).withColumn("indent", (n % 5 * 100).cast("long"))
+    anchors = p.where((n % 17 == 0) & (n > 0)).select("doc_id", "section_no", "para_idx", "indent", (1 + n % 3).cast("long").alias("anchor_level"))
+    blocks = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(k).alias("kind"), F.lit(level).cast("long").alias("level")) for o, k, level in ((0, "paragraph", 0), (1, "bullet", 1), (2, "bullet", 2), (3, "ordered", 0), (4, "bullet", 6))))
+    asked = anchors.select("doc_id", "section_no", "para_idx", F.explode(blocks).alias("b")).select("doc_id", "section_no", "para_idx", "b.*")
+    return edits.pick_templates(edits.indent_templates(p, anchors.select("doc_id", "section_no", "para_idx")), anchors, asked)
+
+
 @query("sc29_widow_tails", f"{A.with_tables('paragraphs')}, t AS (SELECT doc_id, section_no, para_idx, length(text) AS total, length(text) % 40 AS tail FROM paragraphs WHERE line_breaks = 0 AND length(text) > 40) SELECT doc_id, section_no, para_idx, tail::BIGINT AS tail, -least(ceil(100.0 * tail / total), 5)::BIGINT AS spacing, (100 - least(ceil(100.0 * tail / total) - least(ceil(100.0 * tail / total), 5), 5))::BIGINT AS ratio, ceil(100.0 * tail / total) <= 10 AS fittable FROM t WHERE tail BETWEEN 1 AND 4")
 def sc29(s, d):  # noqa: ANN001, ANN201
     p = A.paragraphs(s, d)
@@ -930,11 +1053,11 @@ def sc29(s, d):  # noqa: ANN001, ANN201
 @query(
     "st1_all_slots",
     f"""{A.with_tables("form_lines", "cells")},\n{_SLOTTED},\n{_GRID},\n{_TARGETS}, ph AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS name FROM form_lines),
-every AS (SELECT doc_id, 'placeholder' AS kind, name AS locator, name, NULL::VARCHAR AS cur FROM ph UNION ALL SELECT doc_id, kind, kind || ':' || name, name, NULL FROM sl
-  UNION ALL SELECT doc_id, 'cell', 'cell:' || table_index || ':' || ("row" + (side = 'below')::INT) || ':' || (col + (side = 'right')::INT), text, '' FROM targets
-  UNION ALL SELECT doc_id, 'checkbox', 'checkbox:' || regexp_extract(text, '☑ (\\S+)', 1), regexp_extract(text, '☑ (\\S+)', 1), 'on' FROM form_lines WHERE contains(text, '☑')
-  UNION ALL SELECT doc_id, 'inline', 'tab:' || trim(string_split(text, chr(9))[1]), trim(string_split(text, chr(9))[1]), trim(array_to_string(string_split(text, chr(9))[2:], ''), ' ') FROM form_lines WHERE contains(text, chr(9)))
-SELECT doc_id, kind, locator, min(name) AS name, min(cur) AS current FROM every GROUP BY 1, 2, 3""",
+every AS (SELECT doc_id, 'placeholder' AS kind, name AS locator, name, NULL::VARCHAR AS cur, 0 AS place FROM ph UNION ALL SELECT doc_id, kind, kind || ':' || name, name, NULL, para_idx FROM sl
+  UNION ALL SELECT doc_id, 'cell', 'cell:' || table_index || ':' || ("row" + (side = 'below')::INT) || ':' || (col + (side = 'right')::INT), text, '', "row" * 100 + col FROM targets
+  UNION ALL SELECT doc_id, 'checkbox', 'checkbox:' || regexp_extract(text, '☑ (\\S+)', 1), regexp_extract(text, '☑ (\\S+)', 1), 'on', para_idx FROM form_lines WHERE contains(text, '☑')
+  UNION ALL SELECT doc_id, 'inline', 'tab:' || trim(string_split(text, chr(9))[1]), trim(string_split(text, chr(9))[1]), trim(array_to_string(string_split(text, chr(9))[2:], ''), ' '), para_idx FROM form_lines WHERE contains(text, chr(9)))
+SELECT doc_id, kind, locator, name, cur AS current FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, kind, locator ORDER BY place) = 1""",
 )
 def st1(s, d):  # noqa: ANN001, ANN201
     return forms.all_slots(A.form_lines(s, d), A.cells(s, d))

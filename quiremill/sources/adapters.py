@@ -132,7 +132,14 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "labels").select((F.col("doc_id") % 97).alias("doc_id"), F.col("doc_id").alias("page"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok"), F.when(F.col("quality") == 0, "overflow").when(F.col("toxic") == 1, "overlap").alias("issue"))
+    """A page for each labelled document; some aren't judged."""
+
+    def issue(kind: str, detail: str):  # noqa: ANN202
+        return F.struct(F.lit(kind).alias("type"), F.lit(detail).alias("detail"))
+
+    issues = F.array_compact(F.array(F.when(F.col("quality") == 0, issue("layout_broken", "q")), F.when(F.col("toxic") == 1, issue("object_overlap", "t"))))
+    ok = F.when(F.col("doc_id") % 7 != 3, (F.col("quality") == 1) & (F.col("toxic") == 0))
+    return read(spark, sf_dir, "labels").select((F.col("doc_id") % 97).alias("doc_id"), F.col("doc_id").alias("page"), ok.alias("ok"), issues.alias("issues"))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +211,7 @@ SQL = {
   CASE m WHEN 0 THEN (1 + i % 9) || '. ' || text WHEN 1 THEN text || ' {{ref:t' || (n % 7) || '}}' ELSE text END AS text, (n % 2)::BIGINT AS blank_before,
   CASE WHEN m IN (3, 4) THEN 't' || (n % 5) END AS label, m = 3 AND n % 4 = 0 AS plain_cell FROM (SELECT *, length(text) AS n, i % 6 AS m FROM {_LINES}))""",
     "page_images": """page_images AS (SELECT conv_id AS doc_id, turn::BIGINT AS page, min(list_sort(list_distinct([role, 'h' || (length(text) % 5)]))) AS hashes FROM conversations GROUP BY 1, 2)""",
-    "verdicts": """verdicts AS (SELECT doc_id % 97 AS doc_id, doc_id AS page, quality = 1 AND toxic = 0 AS ok, CASE WHEN quality = 0 THEN 'overflow' WHEN toxic = 1 THEN 'overlap' END AS issue FROM labels)""",
+    "verdicts": """verdicts AS (SELECT doc_id % 97 AS doc_id, doc_id AS page, CASE WHEN doc_id % 7 <> 3 THEN quality = 1 AND toxic = 0 END AS ok, list_filter([CASE WHEN quality = 0 THEN 'layout_broken' END, CASE WHEN toxic = 1 THEN 'object_overlap' END], lambda x: x IS NOT NULL) AS issues FROM labels)""",
     "revisions": """revisions AS (SELECT event_type || '-' || (user_id % 50) AS name, event_id AS file_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS modified_time, floor(value)::BIGINT % 5 AS declarations, event_id % 10 < 7 AS confirmed FROM events)""",
 }
 

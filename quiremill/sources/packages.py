@@ -26,10 +26,10 @@ CONTENTS = (
     "kind string, doc_id string, part_name string, part_order int, content binary, error string, section_no int, node int, stop int, para_idx int, in_cell boolean, style_id string, "
     "para_pr_id string, text string, line_breaks int, line_segs int, has_table boolean, line_no int, textpos int, vertpos int, vertsize int, spacing int, ord int, side string, "
     "field_id string, field_type string, url string, ref string, width int, height int, comment string, caption string, table_index int, row int, col int, row_span int, col_span int, "
-    "row_cnt int, col_cnt int, page_break string, treat_as_char int, item string, ref_id long, n long"
+    "row_cnt int, col_cnt int, page_break string, treat_as_char int, has_secpr boolean, item string, ref_id long, n long"
 )
 PARTS = ["doc_id", "part_name", "part_order", "content", "error"]
-PARAGRAPHS = ["doc_id", "section_no", "para_idx", "in_cell", "style_id", "para_pr_id", "text", "line_breaks", "line_segs", "has_table"]
+PARAGRAPHS = ["doc_id", "section_no", "para_idx", "in_cell", "style_id", "para_pr_id", "text", "line_breaks", "line_segs", "has_table", "has_secpr"]
 LINES = ["doc_id", "section_no", "para_idx", "line_no", "textpos", "vertpos", "vertsize", "spacing"]
 FIELDS = ["doc_id", "section_no", "ord", "side", "field_id", "field_type"]
 CELLS = ["doc_id", "section_no", "table_index", "row", "col", "row_span", "col_span", "width", "height", "text"]
@@ -198,8 +198,8 @@ def tables(found: DataFrame) -> DataFrame:
 
 
 def nodes(found: DataFrame) -> DataFrame:
-    """Begin and end numbers of paragraphs, tables, pictures and fields: (doc_id, section_no, kind, node, stop, para_idx, table_index, in_cell, text, caption, ref)."""
-    return found.where("kind in ('paragraph', 'table', 'picture')").select("doc_id", "section_no", "kind", "node", "stop", "para_idx", "table_index", "in_cell", "text", "caption", "ref")
+    """Begin and end numbers of paragraphs, tables and pictures: (doc_id, section_no, kind, node, stop, para_idx, table_index, in_cell, text, caption, ref, has_secpr)."""
+    return found.where("kind in ('paragraph', 'table', 'picture')").select("doc_id", "section_no", "kind", "node", "stop", "para_idx", "table_index", "in_cell", "text", "caption", "ref", "has_secpr")
 
 
 def header_items(found: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ class Section:
         para = self._paras[-1] if self._paras else None
         own = para is not None and len(self._path) == para["depth"] + 1 and self._path[-1] == "run"  # right below a run of the paragraph
         if tag == "p":
-            self._paras.append({"kind": "paragraph", "section_no": self._number, "node": self._node, "para_idx": self._paragraphs, "in_cell": bool(self._cells), "style_id": a.get("styleIDRef"), "para_pr_id": a.get("paraPrIDRef"), "line_segs": 0, "has_table": False, "depth": len(self._path) + 1, "said": [], "in_text": 0, "mute": 0, "pictures": [], "of_cell": self._under("tc", "subList"), "of_caption": self._under("tbl", "caption", "subList") or self._under("tbl", "caption")})
+            self._paras.append({"kind": "paragraph", "section_no": self._number, "node": self._node, "para_idx": self._paragraphs, "in_cell": bool(self._cells), "style_id": a.get("styleIDRef"), "para_pr_id": a.get("paraPrIDRef"), "line_segs": 0, "has_table": False, "has_secpr": False, "depth": len(self._path) + 1, "said": [], "in_text": 0, "mute": 0, "pictures": [], "of_cell": self._under("tc", "subList"), "of_caption": self._under("tbl", "caption", "subList") or self._under("tbl", "caption")})
             self._paragraphs += 1
         elif tag in ("fieldBegin", "fieldEnd"):
             begins = tag == "fieldBegin"
@@ -60,6 +60,8 @@ class Section:
                 para["has_table"] = True
             self._open_tables.append({"kind": "table", "section_no": self._number, "node": self._node, "table_index": self._tables, "para_idx": para["para_idx"] if para else None, "row_cnt": _int(a, "rowCnt"), "col_cnt": _int(a, "colCnt"), "page_break": a.get("pageBreak"), "treat_as_char": 0, "depth": len(self._path) + 1, "captions": []})
             self._tables += 1
+        elif tag == "secPr" and own:
+            para["has_secpr"] = True
         elif tag == "pic" and own:
             self._pictures.append({"kind": "picture", "section_no": self._number, "node": self._node, "para_idx": para["para_idx"], "depth": len(self._path) + 1, "sizes": {}, "ref": None, "said": None})
         elif tag == "tc" and self._under("tbl", "tr"):
@@ -143,5 +145,5 @@ class Section:
         if para["of_caption"] and self._open_tables:
             self._open_tables[-1]["captions"].append(text)
         self.rows += [r | {"caption": text} for r in para["pictures"]]
-        keep = ("kind", "section_no", "node", "para_idx", "in_cell", "style_id", "para_pr_id", "line_segs", "has_table")
+        keep = ("kind", "section_no", "node", "para_idx", "in_cell", "style_id", "para_pr_id", "line_segs", "has_table", "has_secpr")
         self.rows.append({k: para[k] for k in keep} | {"stop": self._node, "text": text, "line_breaks": text.count("\n")})

@@ -1,7 +1,9 @@
 """Expectations of the library's rules, restated as data; and every SQL twin against its query."""
 
+import hashlib
 import io
 import os
+import random
 import zipfile
 from datetime import date, datetime
 
@@ -311,11 +313,16 @@ def test_edits(spark):
     p = table(spark, "doc_id long, section_no long, para_idx long, text string", (1, 0, 0, "a"), (1, 0, 1, "b"))
     new = table(spark, "doc_id long, section_no long, anchor_idx long, before boolean, i int, text string", (1, 0, 1, True, 0, "x"), (1, 0, 0, True, 0, "w"), (1, 0, 1, False, 0, "z"))
     assert [r.text for r in edits.insert_paragraphs(p, new).orderBy("para_idx").collect()] == ["w", "a", "x", "b", "z"]
-    t = table(spark, "doc_id long, table_index long, caption string", (1, 0, "{{table 1}}"), (1, 1, "x"))
-    c = table(spark, "doc_id long, table_index long, text string", (1, 1, " "), (1, 1, "v"))
-    assert [r.table_index for r in edits.without_residue(t, c).collect()] == [1]
-    assert markdown.reference_table(t).collect() == [(1, 0)]
-    ip = table(spark, "doc_id long, section_no long, para_idx long, indent long", (1, 0, 0, 0), (1, 0, 4, 0), (1, 0, 90, 5))
+    t = table(spark, "doc_id long, table_index long, caption string", (1, 0, "x"), (1, 1, "표 {{ Table_template:sample }}"), (1, 2, "{{table 1}}"), (1, 3, None), (2, 0, "standard"), (2, 1, "표 7"), (3, 0, None))
+    assert [r.table_index for r in edits.without_residue(t.where("doc_id = 1")).orderBy("table_index").collect()] == [0, 2, 3]
+    assert sorted(markdown.reference_table(t).collect()) == [(1, 1, True), (2, 0, False), (3, 0, False)]
+    assert sorted(markdown.reference_table(t, "표 [0-9]").collect()) == [(1, 1, True), (2, 1, True), (3, 0, False)]
+    held = table(spark, "doc_id long, table_index long, treat_as_char long, page_break string", (1, 0, 1, "TABLE"), (1, 1, 0, "TABLE"), (1, 2, 0, "CELL"), (1, 3, 1, None), (2, 0, 0, None))
+    assert [tuple(r)[1:] for r in edits.released_tables(held).orderBy("doc_id", "table_index").collect()] == [(0, 0, "CELL", True), (1, 0, "CELL", True), (2, 0, "CELL", False), (3, 0, None, True), (0, 0, None, False)]
+    values = table(spark, "doc_id long, key string, value string", (1, "a", "x" * 201), (1, "b", None), (2, "a", "x" * 999))
+    assert edits.flow_warnings(held, values).collect() == [(1, "may be cut off", 2)] and edits.flow_warnings(held, values, release=True).collect() == [(1, "released", 3)]
+    assert edits.flow_warnings(held, values.where("doc_id = 2")).count() == 0
+    ip = table(spark, "doc_id long, section_no long, para_idx long, indent long, text string", (1, 0, 0, 0, "a"), (1, 0, 4, 0, "b"), (1, 0, 90, 5, "c"), (1, 0, 2, 7, " "))
     assert [tuple(r)[3:] for r in edits.indent_templates(ip, table(spark, "doc_id long, section_no long, para_idx long", (1, 0, 2))).collect()] == [(0, 0)]
 
 
@@ -323,9 +330,9 @@ def test_media(spark):
     p = table(spark, "doc_id long, page long, hashes array<string>", *[(1, i, [h]) for i, h in enumerate("AABBBCC", 1)], *[(2, i, [h]) for i, h in enumerate("xyxyx", 1)], (3, 1, None))
     got = sorted((r.doc_id, r.first_page, r.last_page, r.letter) for r in media.bands(media.recurring_hashes(p)).collect())
     assert got == [(1, 1, 2, "A"), (1, 3, 5, "B"), (1, 6, 7, "C"), (2, 1, 5, "A"), (3, 1, 1, "—")]
-    req = table(spark, "doc_id long, request_id long, ref string, caption string, ext string", (1, 1, "i1", None, "png"), (1, 2, None, "cap", "png"), (1, 3, None, "a", "png"), (1, 4, None, "zzz", "png"), (1, 5, "i1", None, "jpg"))
-    pics = table(spark, "doc_id long, ref string, caption string, ext string", (1, "i1", "cap", "png"), (1, "i2", "cap a", "png"))
-    assert {(r.request_id, r.ref, r.status) for r in media.match_images(req, pics).collect()} == {(1, "i1", "replaced"), (2, "i1", "replaced"), (3, None, "ambiguous"), (4, None, "unmatched"), (5, "i1", "format_mismatch")}
+    req = table(spark, "doc_id long, request_id long, ref string, caption string, ext string, present boolean", (1, 1, "i1", None, "png", True), (1, 2, None, "cap", "png", True), (1, 3, None, "a", "png", True), (1, 4, None, "zzz", "png", True), (1, 5, "i1", None, "jpg", True), (1, 6, "i1", None, "png", False), (1, 7, "zzz", None, None, True), (1, 8, "i3", None, "jpeg", True))
+    pics = table(spark, "doc_id long, ref string, caption string, ext string", (1, "i1", "cap", "png"), (1, "i2", "cap a", "png"), (1, "i3", "a b", "JPG"))
+    assert {(r.request_id, r.ref, r.status) for r in media.match_images(req, pics).collect()} == {(1, "i1", "replaced"), (2, "i1", "replaced"), (3, None, "ambiguous"), (4, None, "unmatched"), (5, "i1", "format_mismatch"), (6, None, "missing_file"), (7, None, "bad_image"), (8, "i3", "replaced")}
     assert media.next_image_id(table(spark, "doc_id long, id string", (1, "image9"), (1, "x"), (2, "y"))).orderBy("doc_id").collect() == [(1, 10), (2, 1)]
 
 
@@ -335,13 +342,25 @@ def test_checks(spark):
     v = table(spark, "name string, version long", ("a", 1), ("a", 2), ("a", 4), ("b", 1))
     assert sorted(checks.next_version(v).collect()) == [("a", 3), ("b", 2)]
     g = checks.output_guard(table(spark, "path string, force boolean", ("new", False), ("own", False), ("drift", False), ("foreign", False), ("f", True)), table(spark, "path string, fingerprint string", ("own", "1"), ("drift", "1")), table(spark, "path string, fingerprint string", ("own", "1"), ("drift", "2"), ("foreign", "3"), ("f", "4")))
-    assert dict(g.collect()) == {"new": "new", "own": "overwrite-own", "drift": "versioned-drift", "foreign": "versioned-foreign", "f": "overwrite"}
+    assert dict(g.collect()) == {"new": "new", "own": "overwrite-own", "drift": "versioned-drift", "foreign": "versioned-foreign", "f": "overwrite-own"}
     o = table(spark, "doc_id long, part_name string, numbering_type string, has_caption boolean", (1, "Contents/section0.xml", "TABLE", False), (1, "Contents/section0.xml", "TABLE", True), (1, "Contents/header.xml", "TABLE", False))
     assert [r.numbering_type for r in checks.neutral_numbering(o).collect()] == ["NONE", "TABLE", "TABLE"]
     c = checks.marker_census(table(spark, "doc_id long, section_no long, text string", (1, 0, "{{body}} {{body}} {{odd}} {{title}} {{title}}")))
     assert {(r.token, r.finding) for r in checks.marker_warnings(c, ["body"], ["title"]).collect()} == {("body", "ambiguous"), ("odd", "unrecognized")}
-    judged = table(spark, "doc_id long, page long, ok boolean, issue string", (1, 1, None, None), (2, 1, True, None), (2, 2, False, "overlap"))
-    assert {(r.doc_id, r.passed, r.problem_pages) for r in checks.page_verdicts(judged).collect()} == {(1, False, ""), (2, False, "2")}
+    judged = table(spark, "doc_id long, page long, ok boolean, issues array<struct<type:string,detail:string>>", (1, 1, None, None), (2, 1, True, []), (2, 2, False, [("object_overlap", "a"), ("object_overlap", "b"), ("empty_page", "")]), (3, 1, True, None), (4, 1, True, None), (5, 1, True, None))
+    documents = table(spark, "doc_id long, page_count int, error string", (1, 1, None), (2, 3, ""), (3, 1, ""), (4, 1, "no file"), (5, 0, None), (6, 2, None))
+    got = {r.doc_id: r for r in checks.page_verdicts(judged, documents).collect()}
+    assert {i: (r.checked, r.passed, r.problem_pages) for i, r in got.items()} == {1: (0, False, ""), 2: (2, False, "2"), 3: (1, True, ""), 4: (1, False, ""), 5: (1, False, ""), 6: (0, False, "")}
+    assert (got[2].n_object_overlap, got[2].n_empty_page, got[2].n_missing_image, got[6].n_layout_broken, got[4].error) == (2, 1, 0, 0, "no file")
+    parts = [(d, n, c) for d, names in (("a", ["Contents/b", "Contents/a", "é", "META-INF/fp"]), ("b", ["x"]), ("c", ["META-INF/fp"])) for n in names for c in [bytes(d + n, "utf-8") * 9]]
+    df = spark.createDataFrame([*parts, ("b", "empty", None)], "doc_id string, part_name string, content binary").repartition(3)
+    want = {}
+    for d, n, c in sorted([*parts, ("b", "empty", b"")], key=lambda p: (p[0], p[1].encode())):
+        if n != "META-INF/fp":
+            want.setdefault(d, hashlib.sha256()).update(n.encode() + b"\0" + c)
+    digests = checks.fingerprints(df, "META-INF/fp")
+    assert dict(digests.collect()) == {d: h.hexdigest() for d, h in want.items()}
+    assert "collect_list" not in digests._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_office_and_meta(spark):
@@ -351,7 +370,9 @@ def test_office_and_meta(spark):
     m = markdown.merged_meta(table(spark, "doc_id long, priority int, key string, value string", (1, 1, "title", "b"), (1, 0, "title", "a"), (1, 0, "odd", "x")), ["title"])
     assert m.collect() == [(1, "title", "a")]
     s = markdown.meta_slots(table(spark, "doc_id long, name string, fallback string", (1, "title", None), (1, "printer", "P")), table(spark, "doc_id long, name string, value string", (1, "title", "")), ["title"])
-    assert {(r.name, r.value, r.missing) for r in s.collect()} == {("title", "", True), ("printer", "P", False)}
+    assert {(r.name, r.value, r.missing) for r in s.collect()} == {("title", "", "title"), ("printer", "P", None)}
+    brief = markdown.meta_slots(table(spark, "doc_id long, name string, fallback string", (1, "title_1", None), (1, "title_2", None)), table(spark, "doc_id long, name string, value string", (1, "x", "")), ["title"])
+    assert {(r.name, r.missing) for r in brief.collect()} == {("title_1", "title"), ("title_2", None)}
     co = markdown.co_researchers(table(spark, "a array<string>, b array<string>", (["x"], ["x", "y", "y"])), "a", "b")
     assert co.first().names == ["x", "y", "y"]
 
@@ -417,7 +438,10 @@ def test_ladders(spark):
     s = table(spark, "doc_id long, pos long, style_id string, name string, eng_name string, heading_type string, outline_level long, size_pt double, glyph string, use_count long", (1, 0, "0", "바탕글", "Normal", "NONE", None, 10.0, None, 9), (1, 1, "1", "로마자", "", "NONE", None, 20.0, None, 1), (1, 2, "2", "1.", "", "NONE", None, 13.0, None, 2), (1, 3, "3", "ㄱ", "", "BULLET", 0, 10.0, "■", 1), (1, 4, "4", "ㄴ", "", "BULLET", 1, 10.0, "●", 1))
     assert [(r.style_id, r.rung, r.status) for r in styles.heading_ladder(s).orderBy("rung").collect()] == [("1", 1, "ok"), ("2", 2, "ok")]
     assert [(r.style_id, r.rung, r.aborted) for r in styles.bullet_ladder(s).orderBy("rung").collect()] == [("3", 1, False), ("4", 2, False)]
-    assert {(r.style_id, r.role, r.expected) for r in styles.normalization_plan(s, styles.role_map(s)).collect()} == {("1", "HEADING_1", "structured"), ("2", "HEADING_2", "structured"), ("3", "BULLET_1", "structured"), ("4", "BULLET_2", "structured")}
+    more = table(spark, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema), (2, 0, "1", "x", "", "BULLET", 0, 10.0, "■", 0), (2, 1, "2", "● head", "", "BULLET", 0, 10.0, "?", 4), (2, 2, "3", " - ", "", "NONE", None, 10.0, None, 1), (2, 3, "4", "- x", "", "NONE", None, 10.0, "●", 9), (3, 0, "1", "a", "", "BULLET", 0, None, "●", 1), (3, 1, "2", "b", "", "BULLET", 1, None, "○", 1), (4, 0, "1", "AI:BULLET_2", "", "NONE", None, 10.0, None, 3), (4, 1, "2", "b", "", "BULLET", 0, 10.0, "●", 3), (4, 2, "3", "1.", "", "NONE", None, 12.0, None, 1), (4, 3, "4", "로마자", "", "NONE", None, 14.0, None, 1))
+    assert sorted(tuple(r) for r in styles.bullet_ladder(more.where("doc_id < 4")).collect()) == [(2, "2", 1, 1, False), (2, "3", 2, 2, False), (3, "1", 1, 1, True), (3, "2", 1, 2, True)]
+    assert {tuple(r)[1:] for r in styles.normalization_plan(more.where("doc_id = 4")).collect()} == {("4", "HEADING_1", "flat", "structured"), ("3", "HEADING_2", "flat", "structured")}
+    assert {(r.style_id, r.role, r.expected) for r in styles.normalization_plan(s).collect()} == {("1", "HEADING_1", "structured"), ("2", "HEADING_2", "structured"), ("3", "BULLET_1", "structured"), ("4", "BULLET_2", "structured")}
 
 
 def test_layout(spark):
@@ -425,15 +449,146 @@ def test_layout(spark):
     p = table(spark, "doc_id long, section_no long, para_idx long, text string, line_breaks long", (1, 0, 0, "x" * 100, 0), (1, 0, 1, "y", 0))
     assert layout.widow_tails(seg, p).collect() == [(1, 0, 0, 3, -3, 100, True)]
     assert layout.ladder(25, 3) == [(10, 0), (20, 0), (25, 0), (25, 2), (25, 3)]
-    names = "doc_id long, section_no long, para_idx long, line_no long, vertpos long, vertsize long, spacing long, forced_break boolean, para_space long"
-    # A full page and a short paragraph; a gap before a paragraph that goes on; a forced break.
-    rows = [(1, 0, 0, 0, 100, 9500, 300, False, 2000), (1, 0, 1, 0, 0, 500, 300, False, 100), (1, 0, 1, 1, 800, 500, 300, False, 100), (1, 0, 2, 0, 0, 500, 300, True, 0)]
-    plan = layout.page_plan(table(spark, names, *rows), 10000, layout.ladder()).orderBy("page").collect()
-    assert [tuple(r)[2:] for r in plan] == [(0, 4.0, "pull", 1300, "fittable", 50, 4), (1, 87.0, "forced", None, "forced", None, None)]
     cells = table(spark, "doc_id long, table_index long, row long, text string, em double, height long", (1, 0, 0, "가" * 19, 9.5, 100), (1, 0, 0, "a", 9.5, 100))
     assert layout.row_growth(cells).collect() == [(1, 0, 0, 300)]
 
 
+def plan_of(spark, lines, paras, **how):
+    """lines: (page, para, number of lines, first line); positions are made so that each page begins anew. A line is 1000 high with 300 below."""
+    rows, at = [], {}
+    for page, para, n, start in lines:
+        for i in range(start, start + n):
+            v = at.get(page, 0)
+            at[page] = v + 1300
+            rows.append((1, 0, para, i, v, 1000, 300, paras[para].get("break", False) and i == 0, paras[para].get("note", 0) if i == 0 else 0))
+    l = table(spark, "doc_id long, section_no long, para_idx long, line_no long, vertpos long, vertsize long, spacing long, forced_break boolean, note_height long", *rows)
+    p = table(spark, "doc_id long, section_no long, para_idx long, kind string, heading boolean, sb long, sa long, percent boolean", *((1, 0, i, x.get("kind", "text"), x.get("heading", False), x.get("sb", 0), x.get("sa", 0), x.get("percent", True)) for i, x in paras.items()))
+    return [tuple(r)[2:] for r in layout.page_plan(l, p, 10000, layout.ladder(), **how).orderBy("page").collect()]
+
+
+def test_page_plan(spark):
+    text, head = {}, {"heading": True}
+    # Seven lines of a page, a rest of two lines comes back whole; its need is met by line spacing.
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 0, 2, 7)], {0: text}) == [(0, 12.0, "gap", 2, 1400, "unfittable", None, None)]
+    got = plan_of(spark, [(0, 0, 7, 0), (1, 0, 2, 7)], {0: {"sb": 3000}})
+    # bottom 8800; the flow goes on with 300 and two lines of 1300 less the last 300: 11400; 1400 too many.
+    assert got == [(0, 12.0, "gap", 2, 1400, "fittable", 50, 0)]
+    # A heading takes the two-line paragraph after it along, and the first two of a paragraph of four.
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 2, 0)], {0: text, 1: head, 2: text})[0][2:5] == ("gap", 3, 2700)
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 5, 0)], {0: text, 1: head, 2: text})[0][2:5] == ("gap", 3, 2700)
+    # A heading alone on the page, or before a paragraph of three that goes on, can't come back.
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: text, 1: head})[0][2:6] == ("gap", 0, 0, "unfittable")
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 3, 0), (2, 2, 1, 3)], {0: text, 1: head, 2: text})[0][2:6] == ("gap", 0, 0, "unfittable")
+    # Blank paragraphs before a chunk come along but don't count; an object is no pull; a paragraph that goes on is none.
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 1, 0)], {0: text, 1: {"kind": "empty"}, 2: text}, threshold=20.0)[0][2:5] == ("pull", 1, 1400)
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: text, 1: {"kind": "object"}}, threshold=20.0) == []
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 2, 0), (2, 1, 1, 2)], {0: text, 1: text}, threshold=20.0) == [(1, 77.0, "gap", 1, -6400, "fittable", 50, 4)]
+    # Spaces of the paragraph and the chunk count, and so do notes: those on the page and those that come along.
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: {"sa": 200}, 1: {"sb": 50, "sa": 999}}, threshold=20.0)[0][4] == 8800 + 300 + 200 + 50 + 1300 - 300 - 10000
+    assert plan_of(spark, [(0, 0, 6, 0), (1, 1, 1, 0)], {0: text, 1: {"note": 400}}, threshold=99.0, note_gap=30)[0][4] == 7500 + 300 + 1000 + 430 - 10000
+    assert plan_of(spark, [(0, 0, 6, 0), (1, 1, 1, 0)], {0: {"note": 500}, 1: {"note": 400}}, threshold=99.0, note_gap=30)[0][4] == 7500 + 300 + 1000 + 930 - 10000
+    # A forced break needs a gap to tell of.
+    assert plan_of(spark, [(0, 0, 1, 0), (1, 1, 1, 0)], {0: text, 1: {"break": True}}) == [(0, 90.0, "forced", 0, 0, "forced", None, None)]
+    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: text, 1: {"break": True}}, threshold=50.0) == []
+
+
+def test_residue_of_templates(spark):
+    """What lies in the outermost paragraph of a pattern goes with it; binaries that nothing else uses are found."""
+
+    def p(inside, extra=""):
+        return f"<p:p><p:run>{extra}{inside}</p:run></p:p>"
+
+    def pic(ref):
+        return f'<p:pic><p:img binaryItemIDRef="{ref}"/></p:pic>'
+
+    def tbl(caption, cell):
+        return f"<p:tbl><p:caption><p:subList>{p(f'<p:t>{caption}</p:t>')}</p:subList></p:caption><p:tr><p:tc><p:subList>{cell}</p:subList></p:tc></p:tr></p:tbl>"
+
+    t = "<p:t>{}</p:t>".format
+    section = "".join([
+        p(t("{{intro}}"), "<p:secPr/>"), p(tbl("표 {{table_template}}", p(pic("i1")))), p(tbl("표", p(t("in {{figure}} cell") + pic("i2")))), p(t("text") + pic("i3")),
+        p(t("{{figure_template:sample}}") + pic("i3") + pic("i4")), p(t("{{body}}")), p(tbl("{{table 1}}", p(t("{{intro}}")))), p(t("{{other}}")),
+    ])
+    n = packages.nodes(packages.contents(spark.createDataFrame([("d", package({"Contents/section0.xml": f'<s:sec xmlns:s="u" xmlns:p="v">{section}</s:sec>'}))], "doc_id string, content binary"))).cache()
+    top = {r.node: i for i, r in enumerate(edits.tops(n).where("kind = 'paragraph' and node = top").orderBy("node").collect())}
+    found = edits.residue(n)
+    assert {(top[r.top], r.reason) for r in found.collect()} == {(0, "emptied"), (1, "table"), (2, "figure"), (4, "figure"), (5, "marker")}
+    assert edits.residue_counts(found).collect() == [("d", 1, 2, 2)]
+    left = edits.cleared(n, found).where("kind = 'paragraph'").orderBy("node").collect()
+    assert [r.text for r in left] == ["", "text", "", "{{table 1}}", "{{intro}}", "{{other}}"]
+    elsewhere = table(spark, "doc_id string, ref string", ("d", "i4"))
+    assert edits.unused_binaries(n, found, elsewhere.limit(0)).orderBy("ref").collect() == [("d", "i2"), ("d", "i4")]
+    assert edits.unused_binaries(n, found, elsewhere).collect() == [("d", "i2")]
+
+
+def bands_by_loop(sigs):
+    """The bands of one document, page by page."""
+    n, i, runs = len(sigs), 0, []
+    while i < n:
+        j = i + 1
+        while j < n and sigs[j] != sigs[j - 1] and (j < i + 2 or sigs[j] == sigs[j - 2]):
+            j += 1
+        if j - i >= 4:
+            runs.append((i, j, ",".join(sorted({x for s in sigs[i:j] for x in s.split(",") if x}))))
+            i = j
+        else:
+            if runs and runs[-1][1] == i and runs[-1][2] == sigs[i] and runs[-1][3:] == ("plain",):
+                runs[-1] = (runs[-1][0], i + 1, sigs[i], "plain")
+            else:
+                runs.append((i, i + 1, sigs[i], "plain"))
+            i += 1
+    letters = {}
+    for r in runs:
+        if r[2]:
+            letters.setdefault(r[2], chr(65 + len(letters)))
+    return [(a + 1, z, letters.get(s, "—"), len(runs) > 1 and bool(letters)) for a, z, s, *_ in runs]
+
+
+def test_bands_against_a_loop(spark):
+    """Mirrored runs that overlap, follow each other or hold pages without a signature."""
+    r = random.Random(4)
+    docs = [[r.choice(["a", "b", "c", "", "a,b"][: r.choice([2, 3, 5])]) for _ in range(r.choice([1, 3, 4, 7, 30]))] for _ in range(150)]
+    docs += [list("abab"), list("ababcbcb"), list("ababcbcbcdcd"), list("abacacadadad"), list("ababbabaab"), ["a", "", "a", "", "b"], list("abcbcdcdedef")]
+    df = table(spark, "doc_id long, page long, signature string", *((d, i, s) for d, pages in enumerate(docs) for i, s in enumerate(pages, 1)))
+    got = {}
+    for row in media.bands(df).orderBy("doc_id", "first_page").collect():
+        got.setdefault(row.doc_id, []).append(tuple(row)[1:])
+    assert got == {d: bands_by_loop(pages) for d, pages in enumerate(docs)}
+
+
+def test_templates_of_levels(spark):
+    """A bullet's level counts from the anchor's on the ladder of indents; beyond the ladder it is clamped with the level that it got."""
+    p = table(spark, "doc_id long, section_no long, para_idx long, indent long, text string", (1, 0, 0, 0, "a"), (1, 0, 1, 200, "b"), (1, 0, 2, 400, "c"), (1, 0, 3, 200, "d"), (1, 0, 4, 300, " "))
+    anchors = table(spark, "doc_id long, section_no long, para_idx long, indent long, anchor_level long", (1, 0, 3, 200, 1), (1, 0, 1, 200, 2), (1, 0, 4, 300, 1))
+    kinds = [("bullet", 1), ("bullet", 2), ("bullet", 3), ("paragraph", 0), ("ordered", 1)]
+    blocks = table(spark, "doc_id long, section_no long, para_idx long, ord long, kind string, level long", *((1, 0, i, o, *k) for i in (1, 3, 4) for o, k in enumerate(kinds)))
+    got = edits.pick_templates(edits.indent_templates(p, anchors.select("doc_id", "section_no", "para_idx")), anchors, blocks)
+    by = {}
+    for r in got.orderBy("para_idx", "ord").collect():
+        by.setdefault(r.para_idx, []).append((r.template_idx, r.clamped_to))
+    assert by == {3: [(3, None), (2, None), (2, 2), (3, None), (3, None)], 1: [(0, None), (1, None), (2, None), (1, None), (0, None)], 4: [(0, None), (3, None), (2, None), (3, None), (0, None)]}
+
+
+def test_body_begins_with_its_first_heading(spark):
+    c = table(spark, "doc_id long, section_no long, para_idx long, role_kind string, role_level long, text string", (1, 0, 0, "BODY", None, "front"), (1, 0, 1, "HEADING", 1, "holds a table"), (1, 0, 2, "HEADING", 1, ""), (1, 0, 3, "BODY", None, "text"), (2, 0, 0, "HEADING", 2, "no body"), (2, 0, 1, "BODY", None, "x"))
+    t = table(spark, "doc_id long, section_no long, para_idx long, markdown string", (1, 0, 1, "| t |"))
+    notes = table(spark, "doc_id long, section_no long, para_idx long, pos long, text string", (1, 0, 0, 0, "lost"), (1, 0, 3, 0, "kept"), (2, 0, 1, 0, "lost"))
+    assert markdown.corpus_markdown(c, t, None, notes, body_from_h1=True).collect() == [(1, "text[^1]\n\n[^1]: kept")]
+    assert dict(markdown.corpus_markdown(c, t, None, notes).collect())[1] == "front[^1]\n\n| t |\n\ntext[^2]\n\n[^1]: lost\n[^2]: kept"
+    b = table(spark, "doc_id long, ord long, kind string, level long, text string", (1, 0, "paragraph", None, "a"), (1, 1, "heading", 1, "b"), (1, 2, "paragraph", None, "c"), (2, 0, "heading", 2, "d"))
+    assert [r.text for r in markdown.body_only(b, "kind = 'heading' and level = 1", "ord").orderBy("ord").collect()] == ["b", "c"]
+
+
+def test_first_box_of_a_label_and_given_markers(spark):
+    p = table(spark, "doc_id long, section_no long, para_idx long, text string, has_table boolean", (1, 0, 0, "■ 동의함", False), (1, 0, 1, "□ 동의함", False), (1, 1, 0, "{{intro}} {{body}} {{end}}", False), (2, 0, 0, "x", False), (2, 1, 0, "y", False))
+    cells = table(spark, "doc_id long, table_index long, row long, col long, row_span long, col_span long, text string", (9, 0, 0, 0, 1, 1, "x"))
+    assert [(r.locator, r.current) for r in forms.all_slots(p, cells).where("kind = 'checkbox'").collect()] == [("checkbox:동의함", "on")]
+    picked = {r.doc_id: (r.section_no, r.token, r.warned) for r in markdown.insertion_marker(p, ["intro", "body"]).collect()}
+    assert picked == {1: (1, "body", False), 2: (1, None, True)}
+    assert {r.doc_id: (r.section_no, r.token) for r in markdown.insertion_marker(p, ["intro", "body"], token="end").collect()} == {1: (1, "end"), 2: (1, None)}
+    assert {r.doc_id: (r.section_no, r.token, r.warned) for r in markdown.insertion_marker(p, ["intro"], token="none").collect()}[1] == (1, None, True)
+
+
 def test_normalized_meta(spark):
     m = table(spark, "doc_id long, key string, value string", (1, "제목", "First // Second"), (1, "부제", "more"), (1, "연구책임", "Hong  Institute"), (1, "공동책임", "Kim X"), (1, "발행일", "2026-08"), (1, "인쇄처", " "), (2, "author", "me"))
     got = {(r.doc_id, r.key): r.value for r in markdown.normalized_meta(m).collect()}
@@ -463,7 +618,7 @@ def test_checkboxes(spark):
 
 def test_judges(spark):
     pages = table(spark, "doc_id long, page long, image binary", (1, 1, b"x"), (1, 2, b""))
-    got = media.judge_pages(pages, lambda b: b.assign(ok=b["image"].map(len) > 0, issue=None)[["doc_id", "page", "ok", "issue"]])
+    got = media.judge_pages(pages, lambda b: b.assign(ok=b["image"].map(len) > 0, issues=None, note="")[["doc_id", "page", "ok", "issues", "note"]])
     assert {(r.page, r.ok) for r in got.collect()} == {(1, True), (2, False)}
 
 
@@ -476,7 +631,7 @@ def test_figures_images_and_instructions(spark):
     got = spark.createDataFrame([(i, c) for i, c in enumerate([png, jpg, bmp, b"GIF89a\x05\0\x06\0", b"\xff\xd8\xff", b"", None])], "i int, c binary").select("i", T.image_size(F.col("c")).alias("s")).orderBy("i").collect()
     assert [tuple(r.s) for r in got] == [(300, 200), (30, 20), (7, 9), (5, 6), (None, None), (None, None), (None, None)]
     e = table(spark, "w long, x long, y long, cap long", (1000, 200, 100, 600), (1000, 100, 200, 600)).select(T.fitted(F.col("w"), F.col("x"), F.col("y"), F.col("cap")).alias("e"))
-    assert [tuple(r.e) for r in e.collect()] == [(1000, 500, 1.0), (300, 600, 0.3)]
+    assert [tuple(r.e) for r in e.collect()] == [(1000, 500, 2.0), (300, 600, 0.5)]
     p = table(spark, "doc_id long, section_no long, para_idx long, style_id string, text string", (1, 0, 0, "9", "쓰기 {{a}}"), (1, 0, 1, "9", " "), (1, 0, 2, "0", "b"))
     assert [tuple(r) for r in markdown.instructions(p, table(spark, "doc_id long, role string, style_id string", (1, "INSTRUCTION", "9"), (1, "BODY", "0"))).collect()] == [(1, 0, 0, "쓰기 {{a}}", ["a"])]
 
