@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
@@ -216,34 +215,37 @@ def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, tod
     return r.unionByName(m.select("doc_id", "locator", value.alias("value"), F.when(dated, "today").when(own.isNotNull(), "matched").otherwise("blank").alias("source")))
 
 
-def _solve_rows(group: pd.DataFrame) -> pd.DataFrame:
-    """Heights of a table's rows: single-row cells first, then merges with one open row, then open rows share evenly."""
-    last = int((group["row"] + group["row_span"]).max())
-    height: dict[int, int] = {}
-    spans = sorted(zip(group["row_span"], group["row"], group["height"], strict=True))
-    for span, row, h in spans:
-        if span == 1:
-            height[row] = max(height.get(row, 0), h)
-    moved = True
-    while moved:
-        moved = False
-        for span, row, h in spans:
-            free = [r for r in range(row, row + span) if r not in height]
-            if len(free) == 1:
-                height[free[0]] = max(h - sum(height[r] for r in range(row, row + span) if r in height), 0)
-                moved = True
-    for span, row, h in spans:
-        free = [r for r in range(row, row + span) if r not in height]
-        rest = max(h - sum(height.get(r, 0) for r in range(row, row + span)), 0)
-        height |= {r: rest // len(free) for r in free}
-    return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "table_index": group["table_index"].iloc[0], "row": range(last), "height": [height.get(r, 0) for r in range(last)]})
-
-
 def row_heights(cells: DataFrame) -> DataFrame:
-    """AG12: the height of every row; only tables with merges over several rows are solved by themselves, the others are an aggregation."""
-    t = W.partitionBy(*AT)
-    c = cells.select(*AT, "row", "row_span", "height").withColumn("merged", F.max("row_span").over(t) > 1)
-    solved = c.where("merged").groupBy(*AT).applyInPandas(_solve_rows, "doc_id long, table_index long, row long, height long")
-    plain = c.where("not merged").groupBy(*AT, "row").agg(F.max("height").alias("height"))
-    rows = plain.groupBy(*AT).agg(F.max("row").alias("last")).select(*AT, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("row"))
-    return solved.unionByName(rows.join(plain, [*AT, "row"], "left").select(*AT, "row", F.coalesce("height", F.lit(0)).cast("long").alias("height")))
+    """AG12: the height of every row: cells of one row fix theirs; a merge with one open row fixes that, the narrower first, as long as one can; merges that still have open rows share their rest among them evenly.
+
+    Only tables with merges over several rows are solved, each by folds over the array of its merges, with the heights so far as
+    the state; every round of folds closes a row, so there are as many rounds as open rows. The others are an aggregation.
+    """
+    c = cells.select(*AT, "row", "col", "row_span", F.coalesce("height", F.lit(0)).cast("long").alias("height"))
+    known = c.where("row_span = 1").groupBy(*AT, "row").agg(F.max("height").alias("height"))
+    merges = c.groupBy(*AT).agg(F.max(F.col("row") + F.col("row_span")).cast("int").alias("rows"), F.sort_array(F.collect_list(F.when(F.col("row_span") > 1, F.struct(F.col("row_span").cast("int").alias("span"), F.col("row").cast("int").alias("row"), F.col("col").alias("col"), "height")))).alias("merges"))
+    rows = merges.select(*AT, F.posexplode(F.sequence(F.lit(1), "rows")).alias("row", "one")).drop("one").join(known, [*AT, "row"], "left")
+    state = rows.groupBy(*AT).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "height"))), lambda r: r["height"]).alias("heights"))
+    t = state.join(merges.where(F.size("merges") > 0).select(*AT, "merges"), AT, "left")
+
+    def parts(heights: Column, merge: Column) -> tuple[Column, Column]:
+        """Open rows of a merge, and what its height leaves for them."""
+        own = F.sequence(merge["row"], merge["row"] + merge["span"] - 1)
+        fixed = F.aggregate(F.slice(heights, merge["row"] + 1, merge["span"]), F.lit(0).cast("long"), lambda s, h: s + F.coalesce(h, F.lit(0)))
+        return F.filter(own, lambda r: F.get(heights, r).isNull()), F.greatest(merge["height"] - fixed, F.lit(0).cast("long"))
+
+    def close(heights: Column, merge: Column) -> Column:
+        free, rest = parts(heights, merge)
+        return F.when(F.size(free) == 1, F.transform(heights, lambda h, i: F.when(i == free[0], rest).otherwise(h))).otherwise(heights)
+
+    def share(heights: Column, merge: Column) -> Column:
+        free, rest = parts(heights, merge)
+        even = F.try_divide(rest - F.pmod(rest, F.greatest(F.size(free), F.lit(1)).cast("long")), F.size(free)).cast("long")
+        return F.transform(heights, lambda h, i: F.when(F.array_contains(free, i), even).otherwise(h))
+
+    open_rows = F.size(F.filter("heights", lambda h: h.isNull()))
+    rounds = F.when(open_rows > 0, F.sequence(F.lit(1), open_rows)).otherwise(F.array().cast("array<int>"))
+    closed = F.aggregate(rounds, F.col("heights"), lambda s, _: F.aggregate(F.col("merges"), s, close))
+    t = t.withColumn("heights", F.when(F.col("merges").isNotNull(), closed).otherwise(F.col("heights")))
+    t = t.withColumn("heights", F.when(F.col("merges").isNotNull(), F.aggregate("merges", F.col("heights"), share)).otherwise(F.col("heights")))
+    return t.select(*AT, F.posexplode("heights").alias("row", "height")).select(*AT, F.col("row").cast("long").alias("row"), F.coalesce("height", F.lit(0)).cast("long").alias("height"))

@@ -745,11 +745,21 @@ def ag16(s, d):  # noqa: ANN001, ANN201
 
 @query(
     "ag12_row_heights",
-    f"""{A.with_tables("cells")}, h AS (SELECT *, 1000 + length(text) * 10 AS h FROM cells), f AS (SELECT doc_id, table_index, "row", max(h) AS h FROM h WHERE row_span = 1 GROUP BY 1, 2, 3),
-r AS (SELECT doc_id, table_index, unnest(range(max("row" + row_span))) AS "row" FROM cells GROUP BY 1, 2) SELECT r.doc_id, r.table_index, r."row", coalesce(f.h, 0)::BIGINT AS height FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.table_index = r.table_index AND f."row" = r."row" """,
+    f"""WITH RECURSIVE c AS (SELECT l_orderkey AS doc_id, pos - 1 AS "row", 0 AS col, 1 + l_partkey % 3 AS span, 500 + qty * 10 AS h FROM {A._NUMBERED} UNION ALL SELECT l_orderkey, pos - 1, 1, 1 + l_partkey % 4, 700 + qty * 7 FROM {A._NUMBERED} WHERE pos % 2 = 1),
+one AS (SELECT doc_id, "row", max(h) AS h FROM c WHERE span = 1 GROUP BY 1, 2), size AS (SELECT doc_id, max("row" + span) AS n FROM c GROUP BY 1), rw AS (SELECT doc_id, unnest(range(n)) AS "row" FROM size),
+st AS (SELECT rw.doc_id, list(one.h ORDER BY rw."row") AS hs FROM rw LEFT JOIN one ON one.doc_id = rw.doc_id AND one."row" = rw."row" GROUP BY 1), mg AS (SELECT doc_id, list({{'r': "row", 's': span, 'h': h}} ORDER BY span, "row", col) AS ms FROM c WHERE span > 1 GROUP BY 1),
+go AS (SELECT st.doc_id, 0 AS k, ms, hs, len(ms) * len(list_filter(hs, lambda x: x IS NULL)) AS steps FROM st JOIN mg ON mg.doc_id = st.doc_id
+  UNION ALL SELECT doc_id, k + 1, ms, list_transform(range(1, len(hs) + 1), lambda i: CASE WHEN len(free) > 0 AND list_contains(free, i) AND (len(free) = 1 OR k >= steps) THEN greatest(m.h - known, 0) // len(free) ELSE hs[i] END), steps
+  FROM (SELECT *, list_filter(range(m.r + 1, m.r + m.s + 1), lambda i: hs[i] IS NULL) AS free, coalesce(list_sum(hs[m.r + 1:m.r + m.s]), 0) AS known FROM (SELECT *, ms[k % len(ms) + 1] AS m FROM go WHERE k < steps + len(ms)))),
+en AS (SELECT doc_id, hs FROM go WHERE k = steps + len(ms) UNION ALL SELECT doc_id, hs FROM st WHERE doc_id NOT IN (SELECT doc_id FROM mg)), fl AS (SELECT doc_id, unnest(hs) AS h, unnest(range(len(hs))) AS "row" FROM en)
+SELECT doc_id, 0::BIGINT AS table_index, "row"::BIGINT AS "row", coalesce(h, 0)::BIGINT AS height FROM fl""",
 )
 def ag12(s, d):  # noqa: ANN001, ANN201
-    return forms.row_heights(A.cells(s, d).withColumn("height", (1000 + F.length("text") * 10).cast("long")))
+    """Tables whose rows are covered by merges of one to four rows, a cell or two for each."""
+    n = A._numbered(s, d)
+    first = n.select(F.col("l_orderkey").alias("doc_id"), (F.col("pos") - 1).alias("row"), F.lit(0).alias("col"), (1 + F.col("l_partkey") % 3).alias("row_span"), (500 + F.col("qty") * 10).alias("height"))
+    second = n.where("pos % 2 = 1").select(F.col("l_orderkey").alias("doc_id"), (F.col("pos") - 1).alias("row"), F.lit(1).alias("col"), (1 + F.col("l_partkey") % 4).alias("row_span"), (700 + F.col("qty") * 7).alias("height"))
+    return forms.row_heights(first.unionByName(second).withColumn("table_index", F.lit(0).cast("long")))
 
 
 @query("sc21_markdown_blocks")
