@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import unicodedata
 from functools import reduce
 
@@ -205,34 +204,47 @@ def image_format(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head.startswith("424D"), "bmp")
 
 
+def _number(content: Column, at: int, n: int, little: bool = False) -> Column:
+    """The unsigned number in n bytes from a place (counted from 1)."""
+    digits = F.hex(F.substring(content, at, n))
+    if little:
+        digits = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(n - 1, -1, -1)))
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def image_size(content: Column) -> Column:
+    """struct<px_w, px_h> from the header of a png, gif, bmp or jpeg; nulls for anything else. Only jpegs go to a helper, with the bytes that hold their header."""
+    form, n = image_format(content), F.length(content)
+    high = _number(content, 23, 4, little=True)
+    tall = F.when(high >= 1 << 31, F.lit(1 << 32) - high).otherwise(high)  # rows from the top down are counted below zero
+    w = F.when((form == "png") & (n >= 24), _number(content, 17, 4)).when((form == "gif") & (n >= 10), _number(content, 7, 2, little=True)).when((form == "bmp") & (n >= 26), _number(content, 19, 4, little=True))
+    h = F.when((form == "png") & (n >= 24), _number(content, 21, 4)).when((form == "gif") & (n >= 10), _number(content, 9, 2, little=True)).when((form == "bmp") & (n >= 26), tall)
+    frame = _jpeg_size(F.when(form == "jpg", F.substring(content, 1, JPEG_HEAD)))
+    return F.struct(F.coalesce(w.cast("int"), frame["px_w"]).alias("px_w"), F.coalesce(h.cast("int"), frame["px_h"]).alias("px_h"))
+
+
+#: Where the frame header of a jpeg is looked for: behind metadata segments of 64 KB each.
+JPEG_HEAD = 1 << 20
+
+
 @F.pandas_udf(types.StructType([types.StructField("px_w", types.IntegerType()), types.StructField("px_h", types.IntegerType())]))
-def image_size(content: pd.Series) -> pd.DataFrame:
-    """struct<px_w, px_h> from the header of a png, gif, bmp or jpeg; nulls for anything else."""
-    return pd.DataFrame([_size(bytes(c)) if c is not None else (None, None) for c in content], columns=["px_w", "px_h"], dtype="Int32")
-
-
-def _size(b: bytes) -> tuple[int | None, int | None]:
-    try:
-        if b.startswith(b"\x89PNG\r\n\x1a\n"):
-            return struct.unpack(">II", b[16:24])
-        if b[:6] in (b"GIF87a", b"GIF89a"):
-            return struct.unpack("<HH", b[6:10])
-        if b.startswith(b"BM"):
-            w, h = struct.unpack("<ii", b[18:26])
-            return w, abs(h)
-        at = 2
-        while b.startswith(b"\xff\xd8") and at + 9 <= len(b):  # segments of a jpeg up to the frame header
-            if b[at] != 0xFF:
-                at += 1
-            elif b[at + 1] in (0xFF, 0x01, *range(0xD0, 0xDA)):
-                at += 1 if b[at + 1] == 0xFF else 2
-            elif 0xC0 <= b[at + 1] <= 0xCF and b[at + 1] not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", b[at + 5 : at + 9])
-                return w, h
-            else:
-                at += 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
-    except struct.error:
-        pass
+def _jpeg_size(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_frame(bytes(c)) if c is not None else (None, None) for c in content], columns=["px_w", "px_h"], dtype="Int32")
+
+
+def _frame(b: bytes) -> tuple[int | None, int | None]:
+    """Size in the first frame header: segments are a marker and, but for bare ones, a length that counts itself."""
+    at = 2
+    while at + 9 <= len(b):
+        marker = b[at + 1]
+        if b[at] != 0xFF or marker == 0xFF:
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD9:
+            at += 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+        else:
+            at += 2 + int.from_bytes(b[at + 2 : at + 4], "big")
     return None, None
 
 

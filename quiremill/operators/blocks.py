@@ -9,23 +9,28 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
 
-#: Kinds of lines in order of precedence, note lines below tables and figures, the frame of a figure's caption.
+#: Kinds of lines in order of precedence, note lines below tables and figures.
 _IMAGE = r"!\[([^\]]*)\]\((<[^>]*>|[^)\s]+)[^)]*\)"
 FIGURE_LINE = rf"^\s*(?:{_IMAGE}\s*)+(?:\{{#[^}}]+\}})?\s*$"
-RULE_LINE = r"^\s*(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$"
 HEADING_LINE = r"^(#{1,6})\s+(.*)$"
 ORDERED_LINE = r"^(\s*)[0-9]+[.)]\s+(.*)$"
 BULLET_LINE = r"^(\s*)[-*]\s+(.*)$"
 LITERAL_BULLET_LINE = r"^(\s*)[-*+■□▣◼￭▪◾●○⦁•◦–—―−·ㆍ]\s+(.*)$"
 DELIMITER_ROW = r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$"
 NOTE_LINE = r"^\s*<?\s*(?:주|출처|자료)\s*[>)\].:]"
-FIGURE_FRAME = r"^\s*\[\s*그림[^\]]*\]\s*"
 NOTE_DEFINITION = r"^\[\^([^\]\s]+)\]:[ \t]?(.*)$"
 FRONT = r"(?s)\A\x{feff}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 #: A cell of a pipe row: escapes and inline math hold no column break.
 _CELL = r"((?:\\.|\$[^\s$](?:[^$]*[^\s$\\])?\$(?![0-9$])|[^|])*)\|"
 
 
+def _is_rule(line: Column) -> Column:
+    """A rule: three marks or more of one kind, a dash, a star or a low line, with nothing but blanks between them."""
+    marks = F.regexp_replace(line, r"\s", "")
+    first = F.substring(marks, 1, 1)
+    return (F.length(marks) >= 3) & first.isin("-", "*", "_") & (F.replace(marks, first, F.lit("")) == "")
+
+
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -82,7 +87,8 @@ def _kinds(lines: DataFrame, bullet: str) -> DataFrame:
     inside = F.col("edge") | (F.col("edges") % 2 == 1)
     display = F.coalesce((F.col("of_pair") == 2) & F.col("led.led") & inside & ~F.col("table"), F.lit(False))
     kind = F.when(F.col("table"), "table").when(F.col("alone") | display, "math").when(F.col("line").rlike(FIGURE_LINE), "figure").when(F.col("line") == "", "blank")
-    for name, pattern in (("rule", RULE_LINE), ("heading", HEADING_LINE), ("ordered", ORDERED_LINE), ("bullet", bullet)):
+    kind = kind.when(_is_rule(F.col("line")), "rule")
+    for name, pattern in (("heading", HEADING_LINE), ("ordered", ORDERED_LINE), ("bullet", bullet)):
         kind = kind.when(F.col("line").rlike(pattern), name)
     first = F.when(F.col("table"), F.col("first")).when(F.col("alone"), F.col("n")).when(display, F.col("led.n"))
     return l.select("doc_id", "n", "line", kind.otherwise("paragraph").alias("kind"), first.alias("first"))
@@ -95,7 +101,7 @@ def _grouped(lines: DataFrame) -> DataFrame:
     under = F.last(F.when(~said, F.col("kind")), ignorenulls=True).over(o)
     l = lines.withColumn("kind", F.when(said & under.isin("table", "figure"), "note").otherwise(F.col("kind")))  # noqa: E741
     next_one, next_two = F.lead("kind", 1).over(o), F.lead("kind", 2).over(o)
-    framed = F.col("line").rlike(FIGURE_FRAME) & ((next_one == "figure") | ((next_one == "blank") & (next_two == "figure")))
+    framed = F.col("line").rlike(T.CAPTION_FRAME) & F.ltrim("line").startswith("[") & ((next_one == "figure") | ((next_one == "blank") & (next_two == "figure")))
     l = l.withColumn("kind", F.when((F.col("kind") == "paragraph") & ((next_one == "table") | F.coalesce(framed, F.lit(False))), "caption").otherwise(F.col("kind")))  # noqa: E741
     one, two = F.lag("kind", 1).over(o), F.lag("kind", 2).over(o)
     captioned = (one == "caption") | ((one == "blank") & (two == "caption"))
@@ -149,7 +155,7 @@ def parse_markdown(docs: DataFrame, text: str = "text", literal_bullets: bool =
     alt = F.coalesce(F.try_element_at(F.filter(F.transform(alts, F.trim), lambda a: a != ""), F.lit(1)), F.lit(""))
     said = F.when(F.col("kind") == "paragraph", F.col("whole")).when(F.col("kind") == "heading", T.strip_heading_number(title)).when(F.col("kind").isin("ordered", "bullet"), item_text).when(F.col("kind") == "math", latex).when(F.col("kind") == "figure", alt).otherwise("")
     is_table, is_figure = F.col("kind") == "table", F.col("kind") == "figure"
-    caption = F.when(is_figure, F.nullif(F.trim(F.regexp_replace("caption", FIGURE_FRAME, "")), F.lit(""))).when(is_table, F.col("caption"))
+    caption = F.when(is_figure, F.nullif(F.trim(F.regexp_replace("caption", T.CAPTION_FRAME, "")), F.lit(""))).when(is_table, F.col("caption"))
     return blocks.select(
         "doc_id",
         (F.row_number().over(o) - 1).cast("long").alias("ord"),

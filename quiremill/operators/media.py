@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T_
 
 from quiremill.functions import text as T
 
@@ -111,11 +110,50 @@ def link_census(fields: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return said.join(linked, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_bare", "n_equations", "latex_left")
 
 
-def judge_pages(pages: DataFrame, judge, schema: str = "doc_id long, page long, ok boolean, issues array<struct<type:string,detail:string>>, note string") -> DataFrame:  # noqa: ANN001
-    """UF1, UF2: a caller's function over page rows, a pandas batch at a time."""
+def hooked(rows: DataFrame, setup: Callable[[], Callable[..., Iterable[tuple]]], inputs: list[str], outputs: str) -> DataFrame:
+    """A caller's function as a table function, called laterally: for each row its columns and those of every tuple that the function gives for ``inputs``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield judge(b)
+    ``setup`` is called once in each worker and returns the function, so that a model is loaded once. A row for which
+    it raises has one row with the outputs null and the error's text; ``outputs`` is a schema. The hook's ``error`` is null otherwise.
+    """
+
+    class Hook:
+        def __init__(self) -> None:
+            self._call = None
+
+        def eval(self, *values):  # noqa: ANN002, ANN202, A003
+            try:
+                self._call = self._call or setup()
+                for got in self._call(*values):
+                    yield (*got, None)
+            except Exception as e:  # noqa: BLE001 (whatever a caller's function raises is that row's result)
+                yield (*[None] * width, f"{type(e).__name__}: {e}")
+
+    width = len(T_._parse_datatype_string(outputs).fields)
+    table = F.udtf(Hook, returnType=f"{outputs}, error string")
+    return rows.lateralJoin(table(*(F.col(c).outer() for c in inputs)))
+
+
+VERDICT = "ok boolean, issues array<struct<type:string,detail:string>>, note string"
+
+
+def judge_pages(pages: DataFrame, setup: Callable[[], Callable[[bytes, int, int], tuple]]) -> DataFrame:
+    """UF1: pages (doc_id, page, image) through ``judge(image, page, pages of the document) -> (ok, issues, note)``; a page whose judge raises isn't judged (ok null) and names the error in the note."""
+    total = pages.withColumn("pages", F.count("*").over(W.partitionBy("doc_id")))
+
+    def one() -> Callable[..., Iterable[tuple]]:
+        judge = setup()
+        return lambda image, page, n: [judge(image, page, n)]
+
+    got = hooked(total, one, ["image", "page", "pages"], VERDICT)
+    return got.select("doc_id", "page", "ok", "issues", F.coalesce("error", "note").alias("note"))
+
+
+def hash_pages(documents: DataFrame, setup: Callable[[], Callable[[bytes], Iterable[Iterable[str]]]]) -> DataFrame:
+    """UF2: documents (doc_id, content) through ``hashes(content) -> one set of hashes for each page``: (doc_id, page from 1, hashes, error), as ``recurring_hashes`` takes them."""
+
+    def one() -> Callable[..., Iterable[tuple]]:
+        hashes = setup()
+        return lambda content: [(i, sorted(h)) for i, h in enumerate(hashes(content), 1)]
 
-    return pages.mapInPandas(run, schema)
+    return hooked(documents, one, ["content"], "page long, hashes array<string>").select("doc_id", "page", "hashes", "error")

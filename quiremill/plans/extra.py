@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.functions import inline, text as T
-from quiremill.operators import blocks, edits, forms, layout, markdown, media
-from quiremill.plans.queries import _MATCHED, _TABLES, _TOKENS, _people_slots, _tables, query
+from quiremill.operators import blocks, checks, edits, forms, layout, markdown, media
+from quiremill.plans.queries import _MATCHED, _TABLES, _TOKENS, ORACLES, QUERIES, _people_slots, _tables, query
 from quiremill.sources import adapters as A, landing, packages
 from quiremill.sources.shared import shared_folder
 
@@ -264,14 +264,88 @@ def sc30(s, d):  # noqa: ANN001, ANN201
     return A.form_lines(s, d).select("doc_id", "para_idx", F.array_join(T.split_run_tokens(F.col("text"), runs), ",").alias("tokens"))
 
 
-@query("uf1_judged_pages", "SELECT conv_id AS doc_id, turn::BIGINT AS page, length(text) % 2 = 0 AS ok, CASE WHEN length(text) % 2 = 1 THEN 'text_truncated' END AS issue FROM conversations")
+@query("uf1_judged_pages", "SELECT conv_id AS doc_id, turn::BIGINT AS page, CASE WHEN length(text) % 11 <> 0 THEN length(text) % 2 = 0 END AS ok, CASE WHEN length(text) % 2 = 1 AND length(text) % 11 <> 0 THEN 'text_truncated' END AS issue, CASE WHEN length(text) % 11 = 0 THEN 'ValueError: no picture' ELSE turn || ' of ' || count(*) OVER (PARTITION BY conv_id) END AS note FROM conversations")
 def uf1(s, d):  # noqa: ANN001, ANN201
-    def judge(b: pd.DataFrame) -> pd.DataFrame:
-        odd = b["n"] % 2 == 1
-        return pd.DataFrame({"doc_id": b["doc_id"], "page": b["page"], "ok": ~odd, "issues": [[{"type": "text_truncated", "detail": ""}] if x else [] for x in odd], "note": ""})
+    """A stand-in for a judge that looks at the length of a page's text, and can't read some."""
 
-    c = A.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("page"), F.length("text").alias("n"))
-    return media.judge_pages(c, judge).select("doc_id", "page", "ok", F.get("issues", F.lit(0))["type"].alias("issue"))
+    def setup():  # noqa: ANN202
+        def judge(image: bytes, page: int, pages: int) -> tuple:
+            n = len(image.decode())
+            if n % 11 == 0:
+                raise ValueError("no picture")
+            return n % 2 == 0, [("text_truncated", "")] * (n % 2), f"{page} of {pages}"
+
+        return judge
+
+    c = A.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("page"), F.encode("text", "UTF-8").alias("image"))
+    return media.judge_pages(c, setup).select("doc_id", "page", "ok", F.get("issues", F.lit(0))["type"].alias("issue"), "note")
+
+
+@query(
+    "uf2_page_signatures",
+    f"""WITH l AS (SELECT doc_id, i + 1 AS page, 'h' || (length(text) % 5) AS h FROM {A._LINES}), n AS (SELECT doc_id, h FROM l GROUP BY 1, 2 HAVING count(*) >= 2) SELECT l.doc_id, page::BIGINT AS page, coalesce(n.h, '') AS signature FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.h = l.h""",
+)
+def uf2(s, d):  # noqa: ANN001, ANN201
+    """Each line of a document as a page with one picture: page hashes from the hook, and from them the signatures of pages."""
+
+    def setup():  # noqa: ANN202
+        return lambda content: [{f"h{len(line) % 5}"} for line in content.decode().split("\n")]
+
+    docs = A.read(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return media.recurring_hashes(media.hash_pages(docs, setup))
+
+
+@query("src8_pictures", f"""SELECT doc_id::VARCHAR AS doc_id, i::INT AS para_idx, 'image' || (length(text) % 4) AS ref, text AS caption, 'f' || i || '.png' AS origname, (length(text) + 1)::INT AS px_w, (i + 2)::INT AS px_h FROM {A._LINES} WHERE length(text) % 3 = 0 AND length(text) > 0""")
+def src8(s, d):  # noqa: ANN001, ANN201
+    """Packages in which some lines hold a picture with a description."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pd.DataFrame([(str(i), A.pictured(t or "")) for i, t in zip(b["doc_id"], b["text"], strict=True)], columns=["doc_id", "content"])
+
+    made = A.read(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id string, content binary")
+    return packages.pictures(packages.contents(made)).select("doc_id", "para_idx", "ref", "caption", "origname", "px_w", "px_h")
+
+
+@query("src9_profiles", "SELECT c_custkey AS person_id, c_name AS name, 'n' || c_nationkey AS mobile, [c_mktsegment, c_name] AS schools FROM customer")
+def src9(s, d):  # noqa: ANN001, ANN201
+    """Customers saved as profile files and read back."""
+    c = A.read(s, d, "customer")
+    made = c.select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("mobile"), F.array(F.struct(F.col("c_mktsegment").alias("school")), F.struct(F.col("c_name").alias("school"))).alias("education"))
+    made.write.json(folder := shared_folder(s))
+    back = s.read.schema(made.schema).json(folder)
+    return back.select("person_id", "name", "mobile", F.transform("education", lambda e: e["school"]).alias("schools")).withColumn("schools", F.array_join("schools", "|"))
+
+
+ORACLES["src9_profiles"] = ORACLES["src9_profiles"].replace("[c_mktsegment, c_name] AS schools", "c_mktsegment || '|' || c_name AS schools")
+
+
+@query("snk1_texts", ORACLES["sc35_corpus_markdown"].replace("SELECT doc_id, regexp_replace(regexp_replace(concat_ws", "SELECT doc_id, (doc_id % 4)::INT AS part, regexp_replace(regexp_replace(concat_ws"))
+def snk1(s, d):  # noqa: ANN001, ANN201
+    """Extracted Markdown written by a partition and read back."""
+    packages.write_texts(QUERIES["sc35_corpus_markdown"](s, d).withColumn("part", (F.col("doc_id") % 4).cast("int")), folder := shared_folder(s), "part")
+    return s.read.parquet(folder)
+
+
+_FOUND = ["duplicate id", "wrong count", "id order"]
+
+
+@query(
+    "snk2_reports",
+    f"""{A.with_tables("header_items")}, f AS (SELECT doc_id, 'duplicate id' AS kind, id::VARCHAR AS w FROM header_items GROUP BY doc_id, item, id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'wrong count', item FROM header_items GROUP BY doc_id, item HAVING max(item_cnt) <> count(*)
+  UNION ALL SELECT doc_id, 'id order', item || ':' || pos FROM (SELECT *, lag(id) OVER (PARTITION BY doc_id, item ORDER BY pos) AS before FROM header_items) WHERE id <> coalesce(before, -1) + 1 QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY pos) = 1),
+g AS (SELECT doc_id, {", ".join(f"coalesce(list(w ORDER BY w) FILTER (kind = '{k}'), []) AS {k.split()[0]}" for k in _FOUND)} FROM f GROUP BY 1), n AS (SELECT doc_id, count(*) AS items FROM header_items GROUP BY 1)
+SELECT doc_id, '{{"doc_id":' || doc_id || ',"items":' || items || ',' || {" || ',' || ".join(f"""'"{k}":' || to_json(coalesce({k.split()[0]}, []))""" for k in _FOUND)} || '}}' AS report FROM n LEFT JOIN g USING (doc_id)""",
+)
+def snk2(s, d):  # noqa: ANN001, ANN201
+    """A report of each order's ids, written twice and read back."""
+    items = A.header_items(s, d)
+    found = checks.findings(("'duplicate id'", checks.duplicate_ids(items), "id"), ("'wrong count'", checks.wrong_counts(items), "item"), ("'id order'", checks.id_order(items), "concat(item, ':', pos)"))
+    made = packages.reports(found, _FOUND, items=items.groupBy("doc_id").agg(F.count("*").alias("value")))
+    folder = shared_folder(s)
+    for _ in range(2):
+        packages.write_reports(made, folder, 8)
+    return s.read.text(folder).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("report"))
 
 
 _STEPS = ", ".join(f"{{'s': {a}, 'c': {b}}}" for a, b in layout.ladder())

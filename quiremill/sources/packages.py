@@ -249,6 +249,23 @@ def write_texts(texts: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """SNK2: a report as JSON, one row a finding."""
-    report.write.mode("overwrite").json(path)
+def reports(findings: DataFrame, kinds: list[str], **scalars: DataFrame) -> DataFrame:
+    """SNK2: (doc_id, report): one JSON object for each document, with an array of what was found of each kind, empty ones too.
+
+    findings: (doc_id, kind, where); scalars: tables (doc_id, value) that become plain members, null where a document has none.
+    """
+    by_kind = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("where")))).alias(k) for k in kinds]
+    r = findings.groupBy("doc_id").agg(*by_kind)
+    for name, df in scalars.items():
+        r = r.join(df.select("doc_id", F.col("value").alias(name)), "doc_id", "full")
+    members = [F.col(f"`{n}`") for n in scalars] + [F.coalesce(F.col(f"`{k}`"), F.array().cast("array<string>")).alias(k) for k in kinds]
+    return r.select("doc_id", F.to_json(F.struct(F.col("doc_id"), *members), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def write_reports(report: DataFrame, path: str, parts: int = 64) -> None:
+    """SNK2: reports (doc_id, report) as JSON lines in ``parts`` folders by document; each folder that a run writes to replaces the one before, so a repeated run leaves the same files.
+
+    A run over some documents must hold all of their folders (``part``), or replaces the rest of them.
+    """
+    keyed = report.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    keyed.select(F.col("report").alias("value"), "part").repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import os
 import random
 import zipfile
@@ -453,43 +454,56 @@ def test_layout(spark):
     assert layout.row_growth(cells).collect() == [(1, 0, 0, 300)]
 
 
-def plan_of(spark, lines, paras, **how):
-    """lines: (page, para, number of lines, first line); positions are made so that each page begins anew. A line is 1000 high with 300 below."""
-    rows, at = [], {}
-    for page, para, n, start in lines:
-        for i in range(start, start + n):
-            v = at.get(page, 0)
-            at[page] = v + 1300
-            rows.append((1, 0, para, i, v, 1000, 300, paras[para].get("break", False) and i == 0, paras[para].get("note", 0) if i == 0 else 0))
+def plans_of(spark, cases, **how):
+    """cases: ((page, para, number of lines, first line), ..., paras): each is a document of its own. A line is 1000 high with 300 below; each page begins at 0."""
+    rows, infos = [], []
+    for doc, (lines, paras) in enumerate(cases):
+        at = {}
+        for page, para, n, start in lines:
+            for i in range(start, start + n):
+                v = at.get(page, 0)
+                at[page] = v + 1300
+                rows.append((doc, 0, para, i, v, 1000, 300, paras[para].get("break", False) and i == 0, paras[para].get("note", 0) if i == 0 else 0))
+        infos += [(doc, 0, i, x.get("kind", "text"), x.get("heading", False), x.get("sb", 0), x.get("sa", 0), True) for i, x in paras.items()]
     l = table(spark, "doc_id long, section_no long, para_idx long, line_no long, vertpos long, vertsize long, spacing long, forced_break boolean, note_height long", *rows)
-    p = table(spark, "doc_id long, section_no long, para_idx long, kind string, heading boolean, sb long, sa long, percent boolean", *((1, 0, i, x.get("kind", "text"), x.get("heading", False), x.get("sb", 0), x.get("sa", 0), x.get("percent", True)) for i, x in paras.items()))
-    return [tuple(r)[2:] for r in layout.page_plan(l, p, 10000, layout.ladder(), **how).orderBy("page").collect()]
+    p = table(spark, "doc_id long, section_no long, para_idx long, kind string, heading boolean, sb long, sa long, percent boolean", *infos)
+    out = [[] for _ in cases]
+    for r in layout.page_plan(l, p, 10000, layout.ladder(), **how).orderBy("doc_id", "page").collect():
+        out[r.doc_id].append(tuple(r)[2:])
+    return out
 
 
 def test_page_plan(spark):
     text, head = {}, {"heading": True}
-    # Seven lines of a page, a rest of two lines comes back whole; its need is met by line spacing.
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 0, 2, 7)], {0: text}) == [(0, 12.0, "gap", 2, 1400, "unfittable", None, None)]
-    got = plan_of(spark, [(0, 0, 7, 0), (1, 0, 2, 7)], {0: {"sb": 3000}})
-    # bottom 8800; the flow goes on with 300 and two lines of 1300 less the last 300: 11400; 1400 too many.
-    assert got == [(0, 12.0, "gap", 2, 1400, "fittable", 50, 0)]
-    # A heading takes the two-line paragraph after it along, and the first two of a paragraph of four.
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 2, 0)], {0: text, 1: head, 2: text})[0][2:5] == ("gap", 3, 2700)
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 5, 0)], {0: text, 1: head, 2: text})[0][2:5] == ("gap", 3, 2700)
-    # A heading alone on the page, or before a paragraph of three that goes on, can't come back.
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: text, 1: head})[0][2:6] == ("gap", 0, 0, "unfittable")
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 3, 0), (2, 2, 1, 3)], {0: text, 1: head, 2: text})[0][2:6] == ("gap", 0, 0, "unfittable")
-    # Blank paragraphs before a chunk come along but don't count; an object is no pull; a paragraph that goes on is none.
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 1, 0)], {0: text, 1: {"kind": "empty"}, 2: text}, threshold=20.0)[0][2:5] == ("pull", 1, 1400)
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: text, 1: {"kind": "object"}}, threshold=20.0) == []
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 2, 0), (2, 1, 1, 2)], {0: text, 1: text}, threshold=20.0) == [(1, 77.0, "gap", 1, -6400, "fittable", 50, 4)]
-    # Spaces of the paragraph and the chunk count, and so do notes: those on the page and those that come along.
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: {"sa": 200}, 1: {"sb": 50, "sa": 999}}, threshold=20.0)[0][4] == 8800 + 300 + 200 + 50 + 1300 - 300 - 10000
-    assert plan_of(spark, [(0, 0, 6, 0), (1, 1, 1, 0)], {0: text, 1: {"note": 400}}, threshold=99.0, note_gap=30)[0][4] == 7500 + 300 + 1000 + 430 - 10000
-    assert plan_of(spark, [(0, 0, 6, 0), (1, 1, 1, 0)], {0: {"note": 500}, 1: {"note": 400}}, threshold=99.0, note_gap=30)[0][4] == 7500 + 300 + 1000 + 930 - 10000
-    # A forced break needs a gap to tell of.
-    assert plan_of(spark, [(0, 0, 1, 0), (1, 1, 1, 0)], {0: text, 1: {"break": True}}) == [(0, 90.0, "forced", 0, 0, "forced", None, None)]
-    assert plan_of(spark, [(0, 0, 7, 0), (1, 1, 1, 0)], {0: text, 1: {"break": True}}, threshold=50.0) == []
+    rest, heading, blank, forced = [(0, 0, 7, 0), (1, 0, 2, 7)], [(0, 0, 7, 0), (1, 1, 1, 0)], [(0, 0, 7, 0), (1, 1, 1, 0), (1, 2, 1, 0)], [(0, 0, 7, 0), (1, 1, 1, 0)]
+    got = plans_of(spark, [
+        (rest, {0: text}),  # bottom 8800; the flow goes on with 300 and two lines of 1300 less the last 300: 1400 too many for line spacing alone
+        (rest, {0: {"sb": 3000}}),  # half of the paragraph spacing is enough
+        ([*heading, (1, 2, 2, 0)], {0: text, 1: head, 2: text}),  # a heading takes the paragraph of two lines after it along
+        ([*heading, (1, 2, 5, 0)], {0: text, 1: head, 2: text}),  # and the first two lines of one of four or more
+        (heading, {0: text, 1: head}),  # a heading alone on its page stays
+        ([*heading, (1, 2, 3, 0), (2, 2, 1, 3)], {0: text, 1: head, 2: text}),  # and so does one before three lines that go on
+        ([(0, 0, 1, 0), (1, 1, 1, 0)], {0: text, 1: {"break": True}}),  # a forced break after a gap
+    ])
+    assert got[0] == [(0, 12.0, "gap", 2, 1400, "unfittable", None, None)]
+    assert got[1] == [(0, 12.0, "gap", 2, 1400, "fittable", 50, 0)]
+    assert [g[0][2:5] for g in got[2:4]] == [("gap", 3, 2700)] * 2
+    assert [g[0][2:6] for g in got[4:6]] == [("gap", 0, 0, "unfittable")] * 2
+    assert got[6] == [(0, 90.0, "forced", 0, 0, "forced", None, None)]
+    got = plans_of(spark, [
+        (blank, {0: text, 1: {"kind": "empty"}, 2: text}),  # blank paragraphs come along but don't count
+        (heading, {0: text, 1: {"kind": "object"}}),  # an object is no pull
+        ([(0, 0, 7, 0), (1, 1, 2, 0), (2, 1, 1, 2)], {0: text, 1: text}),  # a paragraph that goes on can't come back, its rest can
+        (heading, {0: {"sa": 200}, 1: {"sb": 50, "sa": 999}}),  # spaces between, not behind
+        (forced, {0: text, 1: {"break": True}}),  # no gap, nothing to tell
+    ], threshold=20.0)
+    assert got[0][0][2:5] == ("pull", 1, 8800 + 300 + 2 * 1300 - 300 - 10000)
+    assert got[1] == got[4] == []
+    assert got[2] == [(1, 77.0, "gap", 1, -6400, "fittable", 50, 4)]
+    assert got[3][0][4] == 8800 + 300 + 200 + 50 + 1300 - 300 - 10000
+    notes = [(0, 0, 6, 0), (1, 1, 1, 0)]
+    got = plans_of(spark, [(notes, {0: text, 1: {"note": 400}}), (notes, {0: {"note": 500}, 1: {"note": 400}})], threshold=99.0, note_gap=30)
+    assert [g[0][4] for g in got] == [7500 + 300 + 1000 + 430 - 10000, 7500 + 300 + 1000 + 930 - 10000]
 
 
 def test_residue_of_templates(spark):
@@ -606,9 +620,40 @@ def test_repairs(spark):
     assert sorted(r.ls_percent for r in edits.repaired_packages(pr).collect()) == [160, 160, 2000]
 
 
+def heights_by_loop(cells):
+    """cells: (row, col, span, height)."""
+    n = max(r + s for r, _, s, _ in cells)
+    known = {}
+    for r, _, s, h in cells:
+        if s == 1:
+            known[r] = max(known.get(r, 0), h)
+    merges = sorted((s, r, c, h) for r, c, s, h in cells if s > 1)
+    while True:
+        before = len(known)
+        for s, r, _, h in merges:
+            free = [i for i in range(r, r + s) if i not in known]
+            if len(free) == 1:
+                known[free[0]] = max(h - sum(known.get(i, 0) for i in range(r, r + s)), 0)
+        if len(known) == before:
+            break
+    for s, r, _, h in merges:
+        free = [i for i in range(r, r + s) if i not in known]
+        left = max(h - sum(known.get(i, 0) for i in range(r, r + s)), 0)
+        known |= {i: left // len(free) for i in free}
+    return [known.get(i, 0) for i in range(n)]
+
+
 def test_row_heights(spark):
-    c = table(spark, "doc_id long, table_index long, row long, row_span long, height long", (1, 0, 0, 1, 10), (1, 0, 0, 2, 25), (1, 0, 2, 2, 40))
-    assert sorted((r.row, r.height) for r in forms.row_heights(c).collect()) == [(0, 10), (1, 15), (2, 20), (3, 20)]
+    """Merges that fix one another's open rows, that conflict, and that share what is left."""
+    r = random.Random(8)
+    tables = [[(0, 0, 1, 10), (0, 1, 2, 25), (2, 0, 2, 40)], [(0, 0, 2, 30), (1, 1, 2, 50), (2, 2, 2, 70), (3, 3, 1, 8)], [(1, 0, 1, 5)], [(0, 0, 3, 100), (0, 1, 2, 30), (1, 2, 2, 10)]]
+    tables += [[(i, c, r.choice([1, 2, 3, 4]), r.randint(0, 90)) for i in range(r.randint(1, 7)) for c in range(2) if r.random() < 0.6] or [(0, 0, 1, 1)] for _ in range(40)]
+    c = table(spark, "doc_id long, table_index long, row long, col long, row_span long, height long", *((d, 0, *x) for d, cells in enumerate(tables) for x in cells))
+    got = {}
+    for row in forms.row_heights(c).orderBy("doc_id", "row").collect():
+        got.setdefault(row.doc_id, []).append(row.height)
+    assert got == {d: heights_by_loop(cells) for d, cells in enumerate(tables)}
+    assert got[0] == [10, 15, 20, 20]
 
 
 def test_checkboxes(spark):
@@ -616,10 +661,50 @@ def test_checkboxes(spark):
     assert column(spark, ["□ 동의함", "동의함. □", "■ 동의함"], lambda c: T.toggled(c, "동의함")) == ["■ 동의함", "동의함. ■", "■ 동의함"]
 
 
-def test_judges(spark):
-    pages = table(spark, "doc_id long, page long, image binary", (1, 1, b"x"), (1, 2, b""))
-    got = media.judge_pages(pages, lambda b: b.assign(ok=b["image"].map(len) > 0, issues=None, note="")[["doc_id", "page", "ok", "issues", "note"]])
-    assert {(r.page, r.ok) for r in got.collect()} == {(1, True), (2, False)}
+def test_hooks(spark, tmp_path):
+    """A hook is set up once in each worker; a page for which it raises is a row with the error, and the others go on."""
+    log = str(tmp_path / "setups")
+    pages = table(spark, "doc_id long, page long, image binary", (1, 1, b"x"), (1, 2, b""), (2, 1, b"yy"), (2, 2, None))
+
+    def setup():
+        with open(log, "a") as f:
+            f.write("x")
+
+        def judge(image, page, pages):
+            if not image:
+                raise ValueError("blank")
+            return len(image) == 1, [("empty_page", f"{page}/{pages}")] * (len(image) - 1), "seen"
+
+        return judge
+
+    got = {(r.doc_id, r.page): (r.ok, [tuple(i) for i in r.issues or []], r.note) for r in media.judge_pages(pages.coalesce(1), setup).collect()}
+    assert got[1, 1] == (True, [], "seen") and got[2, 1] == (False, [("empty_page", "1/2")], "seen")
+    assert got[1, 2] == (None, [], "ValueError: blank") and got[2, 2][0] is None and "blank" in got[2, 2][2]
+    assert len(open(log).read()) <= 4  # at most once for each task
+    docs = table(spark, "doc_id long, content binary", (1, b"a,b|a|c"), (2, b""), (3, b"!"))
+
+    def hashes():
+        def of(content):
+            if content == b"!":
+                raise RuntimeError("damaged")
+            return [set(p.split(",")) for p in content.decode().split("|") if p]
+
+        return of
+
+    got = media.hash_pages(docs, hashes)
+    assert {(r.doc_id, r.page, tuple(r.hashes or []), r.error) for r in got.collect()} == {(1, 1, ("a", "b"), None), (1, 2, ("a",), None), (1, 3, ("c",), None), (3, None, (), "RuntimeError: damaged")}
+    assert {(r.page, r.signature) for r in media.recurring_hashes(got.where("error is null")).collect()} == {(1, "a"), (2, "a"), (3, "")}
+
+
+def test_reports_are_written_once(spark, tmp_path):
+    found = table(spark, "doc_id long, kind string, where string", (1, "b", "2"), (1, "b", "1"), (1, "a", "x"), (2, "c", "not asked for"))
+    made = packages.reports(found, ["a", "b"], pages=table(spark, "doc_id long, value long", (1, 5), (3, 7)))
+    want = {1: {"doc_id": 1, "pages": 5, "a": ["x"], "b": ["1", "2"]}, 2: {"doc_id": 2, "pages": None, "a": [], "b": []}, 3: {"doc_id": 3, "pages": 7, "a": [], "b": []}}
+    assert {r.doc_id: json.loads(r.report) for r in made.collect()} == want
+    for _ in range(2):
+        packages.write_reports(made, str(tmp_path / "out"), 2)
+    back = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).select("value").collect()]
+    assert sorted(r["doc_id"] for r in back) == [1, 2, 3] and {r["doc_id"]: r for r in back} == want
 
 
 def test_figures_images_and_instructions(spark):
