@@ -91,6 +91,45 @@ def findings(*parts: tuple[str, DataFrame, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.select("doc_id", F.expr(kind).alias("kind"), F.expr(where).cast("string").alias("where")) for kind, df, where in parts))
 
 
+def _found(kind: Column | str, where: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), where.cast("string").alias("where"))
+
+
+def list_findings(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """ST2: AG3, AG4, WN6 and JN8 of each list of a header from one aggregation of its ids and of what refers to it: (doc_id, kind, where)."""
+    rows = items.select("doc_id", "item", F.struct("pos", "id").alias("entry"), "item_cnt", F.lit(None).cast("long").alias("used"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("entry", "item_cnt")]
+    used = refs.where(F.col("ref_id") != NO_REF).select("doc_id", "item", *none, F.col("ref_id").cast("long").alias("used"))
+    a = rows.unionByName(used).groupBy("doc_id", "item").agg(F.sort_array(F.collect_list("entry")).alias("entries"), F.max("item_cnt").alias("cnt"), F.collect_set("used").alias("used")).where(F.size("entries") > 0)
+    a = a.withColumn("ids", F.array_sort(F.transform("entries", lambda e: e["id"].cast("long"))))
+    first = lambda i: (i == 0) | (F.get("ids", i - 1) != F.get("ids", i))
+    twice = F.filter("ids", lambda x, i: first(i) & (F.get("ids", i + 1) == x))
+    bad = F.filter("entries", lambda e, i: e["id"] != F.when(i == 0, -1).otherwise(F.get("entries", i - 1)["id"]) + 1)
+    found = F.concat(
+        F.transform(twice, lambda x: _found("duplicate id", x)),
+        F.when(F.col("cnt") != F.size("entries"), F.array(_found("wrong count", F.col("item")))).otherwise(F.array().cast("array<struct<kind:string,where:string>>")),
+        F.transform(F.slice(bad, 1, 1), lambda e: _found("id order", F.concat_ws(":", "item", e["pos"].cast("string")))),
+        F.transform(F.array_except("used", "ids"), lambda x: _found("dangling reference", F.concat_ws(":", "item", x.cast("string")))),
+    )
+    return a.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+
+
+def field_findings(fields: DataFrame) -> DataFrame:
+    """ST2: JN9 from one aggregation by field: a row for every begin without an end, or end without a begin."""
+    n = fields.groupBy("doc_id", "section_no", "field_id").agg(F.count_if(F.col("side") == "begin").alias("begins"), F.count_if(F.col("side") == "end").alias("ends"))
+    alone = n.where("begins = 0 or ends = 0").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("begins") + F.col("ends"))))
+    return alone.select("doc_id", F.when(F.col("begins") > 0, "begin alone").otherwise("end alone").alias("kind"), F.col("field_id").cast("string").alias("where"))
+
+
+def paragraph_findings(paragraphs: DataFrame, has_secpr: str = "has_secpr") -> DataFrame:
+    """ST2: AG5 and PF2 from one aggregation by section."""
+    stale = (F.col("line_segs") >= 1) & (F.col("line_breaks") + 1 > F.col("line_segs"))
+    a = paragraphs.groupBy("doc_id", "section_no").agg(F.bool_or(has_secpr).alias("has"), F.collect_list(F.when(stale, F.col("para_idx"))).alias("stale"))
+    none = F.array().cast("array<struct<kind:string,where:string>>")
+    found = F.concat(F.when(~F.col("has"), F.array(_found("no page", F.col("section_no")))).otherwise(none), F.transform("stale", lambda i: _found("stale lines", i)))
+    return a.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+
+
 def fingerprints(parts: DataFrame, skip: str) -> DataFrame:
     """AG14: digest of a package's parts but the fingerprint's own: sha256 over name, NUL and bytes in name order.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quiremill.functions import inline, text as T
 from quiremill.operators import blocks, checks, edits, forms, layout, markdown, media, styles
 from quiremill.sources import adapters as A
-from quiremill.sources.shared import shared_folder
+from quiremill.sources.shared import kept, shared_folder
 from quiremill.streaming import revisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,19 +241,16 @@ UNION ALL SELECT doc_id, 'stale lines', para_idx::VARCHAR FROM paragraphs WHERE
 UNION ALL SELECT doc_id, 'unmapped style', style_id FROM system s WHERE use_count > 0 AND NOT EXISTS (SELECT 1 FROM roles r WHERE r.doc_id = s.doc_id AND r.style_id = s.style_id)""",
 )
 def st2(s, d):  # noqa: ANN001, ANN201
-    items, system, p = A.header_items(s, d), _system(s, d), A.paragraphs(s, d)
+    """Each source is read once or twice: lists, fields and sections are aggregated to arrays of findings, the style system is written once for its four rules."""
+    system = kept(_system(s, d))
     roles = styles.role_map(system)
     return checks.findings(
         ("'not structured'", styles.classify(system).where("classification <> 'structured'"), "classification"),
-        ("'duplicate id'", checks.duplicate_ids(items), "id"),
-        ("'wrong count'", checks.wrong_counts(items), "item"),
-        ("'no page'", checks.sections_without_page(p, "forced_break"), "section_no"),
+        ("kind", checks.list_findings(A.header_items(s, d), A.refs(s, d)), "where"),
+        ("kind", checks.paragraph_findings(A.paragraphs(s, d), "forced_break"), "where"),
         ("finding", checks.marker_warnings(checks.marker_census(A.form_lines(s, d)), ["t1", "t2"], ["t3"]), "token"),
         ("finding", styles.ladder_gaps(system, roles), "level"),
-        ("'id order'", checks.id_order(items), "concat(item, ':', pos)"),
-        ("'dangling reference'", checks.dangling_refs(A.refs(s, d), items), "concat(item, ':', ref_id)"),
-        ("finding", checks.unpaired_fields(_fields(s, d)), "field_id"),
-        ("'stale lines'", checks.stale_lines(p), "para_idx"),
+        ("kind", checks.field_findings(_fields(s, d)), "where"),
         ("'unmapped style'", styles.unmapped_styles(system, roles), "style_id"),
     )
 
@@ -738,6 +735,26 @@ def jn6(s, d):  # noqa: ANN001, ANN201
     return forms.fill(slots.withColumns({"kind": F.lit("cell"), "current": F.lit("")}), values)
 
 
+_ROUTES = "m AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '금 액 > right' WHEN 1 THEN '우선순위 > left' WHEN 2 THEN 'nowhere > below' ELSE 'cell:0:0:1' END AS key, 'v' || o_custkey AS value FROM orders)"
+
+
+def _routes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    key = F.when(k == 0, "금 액 > right").when(k == 1, "우선순위 > left").when(k == 2, "nowhere > below").otherwise("cell:0:0:1")
+    return A.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), key.alias("key"), F.concat(F.lit("v"), "o_custkey").alias("value"))
+
+
+@query("jn6_located", f"WITH {_ROUTES} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'cell:0:2:1' ELSE key END AS key, value FROM m")
+def jn6_located(s, d):  # noqa: ANN001, ANN201
+    return forms.located(_routes(s, d), A.cells(s, d))
+
+
+@query("jn6_missing_keys", f"WITH {_ROUTES} SELECT doc_id, key FROM m WHERE key <> 'cell:0:0:1'")
+def jn6_missing(s, d):  # noqa: ANN001, ANN201
+    slots, _ = _people_slots(s, d)
+    return forms.missing_keys(slots.withColumns({"kind": F.lit("cell"), "current": F.lit("")}), _routes(s, d))
+
+
 @query("ag16_fill_summary", f"{A.with_tables('people')},\n{_MATCHED} SELECT doc_id, count(value) AS n_filled, count(*) - count(value) AS n_blank FROM matched GROUP BY 1")
 def ag16(s, d):  # noqa: ANN001, ANN201
     return forms.fill_summary(jn6(s, d))

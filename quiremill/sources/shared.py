@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once as Parquet below the shared folder and read from there, for several rules that start from it."""
+    df.write.parquet(path := shared_folder(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
