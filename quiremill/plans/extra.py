@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.functions import inline, text as T
 from quiremill.operators import blocks, checks, edits, forms, layout, markdown, media
-from quiremill.plans.queries import _MATCHED, _TABLES, _TOKENS, ORACLES, QUERIES, _people_slots, _tables, query
+from quiremill.plans.queries import _MATCHED, _PLAIN, _TABLES, _TOKENS, ORACLES, QUERIES, _people_slots, _plain, _tables, query
 from quiremill.sources import adapters as A, landing, packages
 from quiremill.sources.shared import shared_folder
 
@@ -188,17 +188,16 @@ def sc15(s, d):  # noqa: ANN001, ANN201
     return m.select("doc_id", F.col("meta")["title"][0].alias("title"), F.array_join(F.col("meta")["co"], "|").alias("co"), F.col("meta")["note"][0].alias("note"), "body")
 
 
-@query("sc18_left_aligned", "SELECT page_id, page_id % 60 >= 30 AS aligned FROM pages")
+@query("sc18_left_aligned", f"SELECT doc_id, i, length(v) + 1 >= 30 AS aligned FROM {_PLAIN}")
 def sc18(s, d):  # noqa: ANN001, ANN201
-    n = (F.col("page_id") % 60).cast("int")
-    t = A.read(s, d, "pages").select("page_id", F.concat(F.lit("see ["), F.repeat(F.lit("x"), n), F.lit("](https://a.kr/b) now")).alias("t"))
-    return t.select("page_id", inline.left_aligned(F.col("t")).alias("aligned"))
+    t = _plain(s, d).select("doc_id", "i", F.concat(F.lit("see [x"), "v", F.lit("](https://a.kr/b) now")).alias("t"))
+    return t.select("doc_id", "i", inline.left_aligned(F.col("t")).alias("aligned"))
 
 
-@query("sc20_spans", "SELECT page_id, unnest([0, 1, 2, 3, 4]) AS i, unnest(['a ', 'b' || page_id, ' *c* `\\-` $x*y*z$ ', 'd', ' e']) AS text, unnest([false, true, false, false, false]) AS bold, unnest([false, false, false, true, false]) AS italic FROM pages")
+@query("sc20_spans", f"SELECT doc_id, i, unnest([0, 1, 2, 3, 4]) AS k, unnest(['a ', 'b' || w || 'b', ' *c* `\\-` $x*y*z$ ', 'd' || v, ' e' || w]) AS text, unnest([false, true, false, false, false]) AS bold, unnest([false, false, false, true, false]) AS italic FROM {_PLAIN}")
 def sc20(s, d):  # noqa: ANN001, ANN201
-    t = A.read(s, d, "pages").select("page_id", F.concat(F.lit("a **b"), "page_id", F.lit("** \\*c\\* `\\-` $x*y*z$ *d* e")).alias("t"))
-    return t.select("page_id", F.posexplode(inline.spans(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.bold", "p.italic")
+    t = _plain(s, d).select("doc_id", "i", F.concat(F.lit("a **b"), "w", F.lit("b** \\*c\\* `\\-` $x*y*z$ *d"), "v", F.lit("* e"), "w").alias("t"))
+    return t.select("doc_id", "i", F.posexplode(inline.spans(F.col("t"))).alias("k", "p")).select("doc_id", "i", "k", "p.text", "p.bold", "p.italic")
 
 
 _BUILT = "# 1. T{id}\n\na\nb {id}\n\n\n- x\n  - y\n+ no\n1) n\n***\n표 {id}\n| p | q |\n|---|:-:|\n| 1 | $a|b$ |\n주) n\n![f](a.png){#f}\n![](b.png)\n\n$$\nz\n$$\n[^1]: note\n  more\nend"
@@ -209,32 +208,40 @@ _ROWS = [
 
 
 def _sql_list(values: list) -> str:
-    return "[" + ", ".join(str(v) if isinstance(v, int) else f"replace('{v}', '{{id}}', doc_id::VARCHAR)" for v in values) + "]"
+    return "[" + ", ".join(str(v) if isinstance(v, int) else f"replace('{v}', '{{id}}', w)" for v in values) + "]"
 
 
-@query("sc21_built_blocks", f"SELECT doc_id, {', '.join(f'unnest({_sql_list(c)}) AS {n}' for n, c in (('ord', list(range(len(_ROWS)))), *zip(('kind', 'level', 'text', 'blank_before', 'more'), map(list, zip(*_ROWS, strict=True)), strict=True)))} FROM documents")
+@query("sc21_built_blocks", f"SELECT doc_id, {', '.join(f'unnest({_sql_list(c)}) AS {n}' for n, c in (('ord', list(range(len(_ROWS)))), *zip(('kind', 'level', 'text', 'blank_before', 'more'), map(list, zip(*_ROWS, strict=True)), strict=True)))} FROM (SELECT doc_id, 'x' || regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g') AS w FROM documents)")
 def sc21_built(s, d):  # noqa: ANN001, ANN201
-    t = A.read(s, d, "documents").select("doc_id", F.replace(F.lit(_BUILT), F.lit("{id}"), F.col("doc_id").cast("string")).alias("text"))
+    words = F.concat(F.lit("x"), F.regexp_replace("text", "[^가-힣a-zA-Z0-9]", ""))
+    t = A.read(s, d, "documents").select("doc_id", F.replace(F.lit(_BUILT), F.lit("{id}"), words).alias("text"))
     b = blocks.parse_markdown(t)
     table = F.concat_ws("/", "caption", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";"), F.array_join("aligns", ","), "note")
     more = F.when(F.col("kind") == "table", table).when(F.col("kind") == "figure", F.array_join("paths", ",")).otherwise("")
     return b.select("doc_id", "ord", "kind", "level", "text", "blank_before", more.alias("more"))
 
 
-@query("sc22_footnotes", "SELECT doc_id, unnest(['1', 'b']) AS note_id, unnest(['new ' || doc_id || ' more', 'x']) AS note FROM documents")
+@query("sc22_footnotes", """SELECT doc_id, unnest(['1', 'b']) AS note_id, unnest(['new ' || w || ' more', 'x' || w || 'x']) AS note FROM (SELECT doc_id, regexp_replace(text, '[^가-힣a-zA-Z0-9.,:*|#-]+', ' ', 'g') || 'x' AS w FROM documents)""")
 def sc22(s, d):  # noqa: ANN001, ANN201
-    t = A.read(s, d, "documents").select("doc_id", F.concat(F.lit("[^1]: old\na [^1]\n[^b]:x\n\n  not\n[^1]: new "), "doc_id", F.lit("\n\tmore\nend")).alias("text"))
+    """Notes that hold the whole text of a document."""
+    w = F.concat(F.regexp_replace("text", "[^가-힣a-zA-Z0-9.,:*|#-]+", " "), F.lit("x"))
+    t = A.read(s, d, "documents").select("doc_id", F.concat(F.lit("[^1]: old\na [^1]\n[^b]:x"), w, F.lit("x\n\n  not\n[^1]: new "), w, F.lit("\n\tmore\nend")).alias("text"))
     return blocks.footnote_definitions(t)
 
 
-@query("sc24_images", "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL WHEN page_id % 3 = 1 THEN 'gif' ELSE 'png' END AS format, CASE WHEN page_id % 3 = 2 THEN NULL WHEN page_id % 3 = 1 THEN 5 ELSE page_id END AS px_w, CASE WHEN page_id % 3 = 2 THEN NULL WHEN page_id % 3 = 1 THEN 6 ELSE page_id * 2 END AS px_h FROM pages")
+@query("sc24_images", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN NULL ELSE ['png', 'gif', 'bmp'][page_id % 4 + 1] END AS format, CASE page_id % 4 WHEN 3 THEN NULL WHEN 1 THEN length(html) % 60000 ELSE length(html) END AS px_w, CASE WHEN page_id % 4 = 3 THEN NULL ELSE page_id % 60000 END AS px_h FROM pages")
 def sc24(s, d):  # noqa: ANN001, ANN201
-    def number(c):  # noqa: ANN001, ANN202
-        return F.unhex(F.lpad(F.hex(c), 8, "0"))
+    """Headers with the length of a page's html as width, and the html itself behind them."""
 
-    k = F.col("page_id")
-    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), number(k), number(k * 2))
-    image = F.when(k % 3 == 0, png).when(k % 3 == 1, F.unhex(F.lit("47494638396105000600"))).otherwise(F.unhex(F.lit("00")))
+    def number(c, digits: int, little: bool = False):  # noqa: ANN001, ANN202
+        x = F.lpad(F.hex(c.cast("long")), digits, "0")
+        return F.unhex(F.concat(*(F.substring(x, i, 2) for i in range(digits - 1, 0, -2))) if little else x)
+
+    k, n, m = F.col("page_id") % 60000, F.length("html"), F.col("page_id") % 4
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), number(n, 8), number(k, 8))
+    gif = F.concat(F.unhex(F.lit("474946383961")), number(n % 60000, 4, True), number(k, 4, True))
+    bmp = F.concat(F.unhex(F.lit("424D" + "00" * 16)), number(n, 8, True), number((F.lit(1 << 32) - k) % (1 << 32), 8, True))
+    image = F.concat(F.when(m == 0, png).when(m == 1, gif).when(m == 2, bmp).otherwise(F.unhex(F.lit("00"))), F.encode("html", "UTF-8"))
     t = A.read(s, d, "pages").select("page_id", image.alias("b"))
     return t.select("page_id", T.image_format(F.col("b")).alias("format"), T.image_size(F.col("b")).alias("s")).select("page_id", "format", F.col("s.px_w").cast("long").alias("px_w"), F.col("s.px_h").cast("long").alias("px_h"))
 

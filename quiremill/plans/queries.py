@@ -784,13 +784,23 @@ def sc21(s, d):  # noqa: ANN001, ANN201
     return blocks.parse_markdown(A.read(s, d, "documents").select("doc_id", "text")).select("doc_id", "ord", "kind", "level", "text", "blank_before")
 
 
+#: Words of a line without marks that mean something in Markdown, and the same without blanks.
+_PLAIN = f"(SELECT doc_id, i, regexp_replace(text, '[^가-힣a-zA-Z0-9 ]', '', 'g') AS w, regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g') AS v FROM {A._LINES})"
+
+
+def _plain(s: SparkSession, d: str) -> DataFrame:
+    lines = A.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return lines.select("doc_id", "i", F.regexp_replace("text", "[^가-힣a-zA-Z0-9 ]", "").alias("w"), F.regexp_replace("text", "[^가-힣a-zA-Z0-9]", "").alias("v"))
+
+
 @query(
     "sc16_links",
-    """SELECT page_id, unnest([0, 1, 2, 3]) AS i, unnest(['see ', url, ', ', 'page']) AS text, unnest([NULL, url, NULL, url]) AS url FROM pages""",
+    f"""SELECT doc_id, i, unnest([0, 1, 2, 3]) AS k, unnest(['see ' || w || ' ', u, ', ', 'x' || w]) AS text, unnest([NULL, u, NULL, u]) AS url FROM (SELECT *, 'https://a.kr/' || v || '/' || doc_id AS u FROM {_PLAIN})""",
 )
 def sc16(s, d):  # noqa: ANN001, ANN201
-    t = A.read(s, d, "pages").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(", [page]("), F.col("url"), F.lit(")")).alias("t"))
-    return t.select("page_id", F.posexplode(inline.links(F.col("t"))).alias("i", "p")).select("page_id", "i", "p.text", "p.url")
+    url = F.concat(F.lit("https://a.kr/"), "v", F.lit("/"), "doc_id")
+    t = _plain(s, d).select("doc_id", "i", F.concat(F.lit("see "), "w", F.lit(" "), url, F.lit(", [x"), "w", F.lit("]("), url, F.lit(")")).alias("t"))
+    return t.select("doc_id", "i", F.posexplode(inline.links(F.col("t"))).alias("k", "p")).select("doc_id", "i", "k", "p.text", "p.url")
 
 
 def _glyphs(s: SparkSession, d: str) -> DataFrame:
