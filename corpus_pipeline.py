@@ -2,8 +2,9 @@
 
 Defined cases, for every stage: a null or empty text is a text without words; a null id is kept and never the
 copy, source or member of anything; repeated rows are treated alike; further columns of documents pass through
-all stages but the last; an empty table gives an empty table. Ids are whole numbers, others are an error before any
-job runs, and so is a column named ``score``, ``found``, ``ids`` or ``decoded``. Long texts are taken whole.
+all stages but the last, whatever their names: they travel in one struct, so that none meets a name that an operator
+uses; an empty table gives an empty table. Ids are whole numbers, others are an error before any job runs. Long texts are
+taken whole.
 """
 
 from __future__ import annotations
@@ -20,13 +21,24 @@ from quiremill.llm.io import discard, saved, table, texts
 LEAST_QUALITY = 0.5
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as the struct ``own``."""
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others).alias("own")) if others else docs.select("doc_id", "text")
+
+
+def _unpacked(packed: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of like, in their order, from a packed table."""
+    return packed.select(*(F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in like.columns))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier, trained on the labelled documents, rejects.
 
     Null and empty texts have the score of the bias; without usable labels nothing is rejected.
     """
     models = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), F.lit(True))
-    return quality.score(docs, models).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return _unpacked(quality.score(_packed(docs), models).where(F.col("score") >= LEAST_QUALITY), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +46,18 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Texts without words are no duplicates of each other; rows that share an id stay or go together.
     """
-    return jaccard.one_of_each(docs)
+    return _unpacked(jaccard.one_of_each(_packed(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a test item, whichever row of an id holds it; a null id stays."""
     hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _unpacked(_packed(docs).join(hits.select("doc_id").distinct(), "doc_id", "left_anti"), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; no document goes, a null text stays null, n_chars follows the text."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _unpacked(secrets.redacted(_packed(docs)), docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

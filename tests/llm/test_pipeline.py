@@ -7,6 +7,7 @@ import re
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quiremill.llm import decontam, quality
@@ -115,3 +116,19 @@ def test_bpe(stages):
 
 def test_run(spark, corpus, stages):
     assert rows(corpus_pipeline.run(spark, corpus[0])) == rows(stages[5])
+
+
+def test_columns_of_any_name(spark, corpus):
+    """Names with dots, and names that operators use inside, go through all stages; values stay with their rows."""
+    folder, _, _ = corpus
+    names = ["a.b", "found", "score", "__gone", "__slot", "own", "node", "component", "rid", "__rid"]
+    plain = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 120 or doc_id > 590")
+    docs = plain.select("doc_id", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names), "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = saved(stage(spark, docs, folder))
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names), name
+        docs = out
+    assert "[SECRET]" in rows(docs)[720].text
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert last.columns == ["doc_id", "n_tokens", "ids", "intact"] and last.where("intact").count() == docs.count()
