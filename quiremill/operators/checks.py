@@ -96,11 +96,10 @@ def _found(kind: Column | str, where: Column) -> Column:
 
 
 def list_findings(items: DataFrame, refs: DataFrame) -> DataFrame:
-    """ST2: AG3, AG4, WN6 and JN8 of each list of a header from one aggregation of its ids and of what refers to it: (doc_id, kind, where)."""
-    rows = items.select("doc_id", "item", F.struct("pos", "id").alias("entry"), "item_cnt", F.lit(None).cast("long").alias("used"))
-    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("entry", "item_cnt")]
-    used = refs.where(F.col("ref_id") != NO_REF).select("doc_id", "item", *none, F.col("ref_id").cast("long").alias("used"))
-    a = rows.unionByName(used).groupBy("doc_id", "item").agg(F.sort_array(F.collect_list("entry")).alias("entries"), F.max("item_cnt").alias("cnt"), F.collect_set("used").alias("used")).where(F.size("entries") > 0)
+    """ST2: AG3, AG4, WN6 and JN8 of each list of a header from one aggregation of its ids and one of what refers to it: (doc_id, kind, where)."""
+    lists = items.groupBy("doc_id", "item").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("entries"), F.max("item_cnt").alias("cnt"))
+    used = refs.where(F.col("ref_id") != NO_REF).groupBy("doc_id", "item").agg(F.collect_set(F.col("ref_id").cast("long")).alias("used"))
+    a = lists.join(used, ["doc_id", "item"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<long>")))
     a = a.withColumn("ids", F.array_sort(F.transform("entries", lambda e: e["id"].cast("long"))))
     first = lambda i: (i == 0) | (F.get("ids", i - 1) != F.get("ids", i))
     twice = F.filter("ids", lambda x, i: first(i) & (F.get("ids", i + 1) == x))
