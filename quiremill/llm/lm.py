@@ -1,28 +1,24 @@
 """Language-model scoring by logistic context mixing.
 
-A text is its tokens: the words, A-Z lower-cased, then one end. Four sources, all from every
-training text, are put together:
+A text is its tokens: the words, A-Z lower-cased, then one end. All is learned from every training text:
 
 1. Bits. A token is written by a prefix code: each word of the vocabulary has its own code, one code
-   is the escape to all other words, one is the end. Every bit is predicted in three contexts: none,
-   the last word, and the last of the ``FREQUENT`` most frequent words; the last two share hashed
-   tables of how often the bit was 1 and 0. The predictions are mixed in the logistic domain by
-   weights that a gate chooses (by how much evidence the two longer contexts have), and each text
-   refines the weights for itself: after 32, 64, 128, ... tokens, then every ``STEP``, they move by what
-   was mispredicted so far. Each step only uses what precedes it.
+   is the escape to all other words, one is the end. Every bit is predicted in five contexts: none,
+   the last word, the last of the ``FREQUENT`` most frequent words, the last two words, and the last
+   three (words outside the vocabulary too). The last four have hashed tables of how often the bit was 1
+   and 0. The predictions are mixed in the logistic domain by weights that a gate chooses (by how
+   much evidence the contexts of one, two and three words have), and each text refines the weights
+   for itself: after 32, 64, 128, ... tokens, then every ``STEP``, they move by what was mispredicted so
+   far. Each step only uses what precedes it.
 2. Words outside the vocabulary. One bit says whether the word is new (never seen in training, one
    event, as in the base score), predicted by how many of those words were seen only once; a word
    that isn't new has its share of the counts.
-3. Longer contexts. Three words whose hash is divisible by ``EVERY`` predict what follows, words outside
-   the vocabulary too, by exact counts from a table that grows with the corpus; they are mixed with the probability
-   from 1 and 2 by how many different tokens have followed (Witten-Bell). A training text doesn't count for itself there.
-4. Gate weights: Newton steps of logistic regression over the training texts whose hash is divisible
-   by ``SAMPLED``, where a bit's own count is taken from its slot first. The sums of each step are made
-   on the workers, so they don't depend on how the texts are dealt out.
+3. Gate weights: Newton steps of logistic regression over all training texts, where a bit's own count is
+   taken from its slot first. The workers make the sums of each step.
 
-So what is gathered grows with the corpus: counts of all words and of all longer contexts are exact
-Spark tables, joined to the texts. What every worker holds is bounded: ``VOCABULARY`` words, and
-tables of up to 2**``MOST_BITS`` slots, sized by the number of training tokens.
+Counts of all words are an exact Spark table that grows with the corpus, joined to the texts. What every
+worker holds is bounded: ``VOCABULARY`` words, and tables of up to 2**``MOST_BITS`` slots, sized by the
+number of training tokens; contexts that meet in a slot share its counts, and the gate weighs them by that.
 
 ``base_score`` is the unigram score with add-one smoothing over exact counts of all tokens.
 
@@ -42,29 +38,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quiremill.llm.io import maybe_in, saved
+from quiremill.llm.io import saved
 from quiremill.llm.kernel import Slab, Words, mix, row_sums, signed, slabs
 
 VOCABULARY = 1 << 16
 #: The most slots of a hashed table, as a power of two.
-MOST_BITS = 20
+MOST_BITS = 21
 FREQUENT = 32
-#: One in so many contexts of three words has exact counts.
-EVERY = 8
-#: One in so many training texts is used for the gate weights.
-SAMPLED = 64
-TURNS = 3
+TURNS = 2
 SLICES, SALTS = 64, 8
 #: Bytes of texts taken together: each slab costs a pass over the counters.
 SLAB = 1 << 20
 #: Tokens whose bits are expanded at once.
 BLOCK = 1 << 16
 FIRST, STEP = 32, 512
-INPUTS = 4  # three contexts and a constant
-GATES = 16
+CONTEXTS = 4
+INPUTS = CONTEXTS + 2  # with no context and a constant
+#: Levels of evidence of the contexts of one, two and three words.
+GATES = 64
 END = np.uint64(0x0E4D)
 _U32, _U64 = np.uint32, np.uint64
-_HASHED = (_U32(0x9E3779B1), _U32(0xC2B2AE35))
+_HASHED = (_U32(0x9E3779B1), _U32(0xC2B2AE35), _U32(0x85EBCA6B), _U32(0x27D4EB2F))
+_BACK = (_U64(1), _U64(0x9E3779B97F4A7C15), _U64(0xC2B2AE3D27D4EB4F))
 
 
 class Code:
@@ -128,23 +123,19 @@ class Tokens:
         at = np.minimum(np.searchsorted(known, self.hash), max(len(known) - 1, 0))
         self.symbol = np.where(known[at] == self.hash, at, len(known)) if len(known) else np.zeros(n, np.int64)
         self.symbol[~own] = len(known) + 1
-        short = (self.hash >> _U64(32)).astype(_U32)
-        last = np.maximum.accumulate(np.where(frequent[self.symbol], np.arange(n), -1))
-        before = np.arange(n) - 1
-        last = np.where(before >= 0, last[before], -1)
-        first = self.borders[self.row]
-        self.before = [np.where(at >= first, short[at], _U32(0)) * odd for at, odd in zip((before, last), _HASHED, strict=True)]
-
-    def longer(self, every: int) -> tuple[np.ndarray, np.ndarray]:
-        """(token, context) of the tokens whose three words before are a context that has exact counts."""
-        at = np.flatnonzero(self.place >= 3)
-        h = mix(self.hash[at - 1] + self.hash[at - 2] * _U64(0x9E3779B97F4A7C15) + self.hash[at - 3] * _U64(0xC2B2AE3D27D4EB4F))
-        own = h % _U64(every) == 0
-        return at[own], h[own]
+        first, all_at = self.borders[self.row], np.arange(n)
+        last = np.maximum.accumulate(np.where(frequent[self.symbol], all_at, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        # The hash of the word one, two and three places back, 0 before the text.
+        back = [np.where(self.place >= k, self.hash[np.maximum(all_at - k, 0)], _U64(0)) for k in (1, 2, 3)]
+        two = back[0] * _BACK[0] + back[1] * _BACK[1]
+        often = np.where(last >= first, self.hash[np.maximum(last, 0)], _U64(0))
+        contexts = (back[0], often, mix(two), mix(two + back[2] * _BACK[2]))
+        self.before = [(h >> _U64(32)).astype(_U32) * odd for h, odd in zip(contexts, _HASHED, strict=True)]
 
 
 def _bits(t: Tokens, sel: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """(place in the code, number in sel, slots of the two hashed contexts) of every bit of the selected tokens, and where each token's begin."""
+    """(place in the code, number in sel, slots of the hashed contexts) of every bit of the selected tokens, and where each token's begin."""
     length = code.length[t.symbol[sel]]
     begin = np.cumsum(length) - length
     off = np.repeat(code.start[t.symbol[sel]] - begin, length) + np.arange(length.sum())
@@ -170,42 +161,45 @@ class Model:
     def __init__(self, known: np.ndarray, frequent: np.ndarray, code: Code, seen: np.ndarray, counts: np.ndarray):
         self.known, self.frequent, self.code, self.seen, self.counts = known, frequent, code, seen, counts
         self.bits = int(counts.shape[1]).bit_length() - 1
-        self.weights = np.tile([0.3, 0.3, 0.3, 0.0], (GATES, 1))
-
-    def ready(self) -> Model:
-        """With tables of predictions in place of counts."""
-        self.alone = stretched(*self.seen)[0]
-        both = [stretched(c[:, 0], c[:, 1]) for c in self.counts]
-        self.stretch, self.evidence = [b[0] for b in both], [b[1] for b in both]
-        self.seen = self.counts = None
-        return self
+        self.weights = np.tile([0.3] * (INPUTS - 1) + [0.0], (GATES, 1))
+
+    def ready(self, trained: bool = False) -> Model:
+        """The same with tables of predictions in place of counts. If texts are ``trained`` on, each bit's own count is taken away: tables have one entry for each slot and bit."""
+        made = Model(self.known, self.frequent, self.code, self.seen, self.counts)
+        made.weights, made.trained = self.weights, trained
+        bit = self.code.bit
+        made.alone = stretched(np.maximum(self.seen[0] - trained * (bit == 0), 0), np.maximum(self.seen[1] - trained * bit, 0))[0]
+        made.stretch, made.evidence = [], []
+        for zeros, ones in (c.T for c in self.counts):
+            both = [(np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))] if trained else [(zeros, ones)]
+            tables = [stretched(*x) for x in both]
+            made.stretch.append(np.stack([x[0] for x in tables], axis=1).ravel())
+            made.evidence.append(np.stack([x[1] for x in tables], axis=1).ravel())
+        made.seen = made.counts = None
+        return made
 
     def inputs(self, t: Tokens, sel: np.ndarray) -> tuple:
+        """(bit, gate, predictions, number in sel) of every bit of the selected tokens, and where each token's begin."""
         off, which, slots, begin = _bits(t, sel, self.code, self.bits)
-        gate = self.evidence[1][slots[1]] * np.uint8(4) + self.evidence[0][slots[0]]
-        return self.code.bit[off], gate, (self.alone[off], self.stretch[0][slots[0]], self.stretch[1][slots[1]]), which, begin
-
-    def without_own(self, t: Tokens, sel: np.ndarray) -> tuple:
-        """The same from counts, each bit's own taken from its slots."""
-        off, _, slots, _ = _bits(t, sel, self.code, self.bits)
         bit = self.code.bit[off]
-        seen = [self.seen[:, off], *(c[s].T for c, s in zip(self.counts, slots, strict=True))]
-        both = [stretched(np.maximum(zeros - (bit == 0), 0), np.maximum(ones - bit, 0)) for zeros, ones in seen]
-        return bit, both[2][1] * np.uint8(4) + both[1][1], tuple(b[0] for b in both)
+        if self.trained:
+            slots = [s * _U32(2) + bit for s in slots]
+        one, two, three = (self.evidence[k][slots[k]] for k in (0, 2, 3))
+        return bit, three * np.uint8(16) + two * np.uint8(4) + one, (self.alone[off], *(x[s] for x, s in zip(self.stretch, slots, strict=True))), which, begin
 
     def sums(self, t: Tokens) -> np.ndarray:
-        """For each gate, gradient and curvature of the loss of all tokens in the weights."""
-        out = np.zeros((GATES, INPUTS + INPUTS * INPUTS))
+        """For each gate, gradient (first column) and curvature of the loss of all tokens in the weights."""
+        out, weights = np.zeros((GATES, INPUTS, INPUTS + 1)), self.weights.astype(np.float32)
         for sel in _blocks(np.arange(len(t.hash))):
-            bit, gate, x = self.without_own(t, sel)
-            x = np.stack([*x, np.ones(len(bit), np.float32)])
-            p = 1 / (1 + np.exp(-(self.weights[gate].T * x).sum(0)))
-            for i in range(INPUTS):
-                out[:, i] += np.bincount(gate, (p - bit) * x[i], GATES)
-                for j in range(i + 1):
-                    bend = np.bincount(gate, p * (1 - p) * x[i] * x[j], GATES)
-                    out[:, INPUTS + INPUTS * i + j] += bend
-                    out[:, INPUTS + INPUTS * j + i] += bend * (i != j)
+            bit, gate, x, _, _ = self.inputs(t, sel)
+            order = np.argsort(gate, kind="stable")
+            x = np.stack([*(a[order] for a in x), np.ones(len(bit), np.float32)])
+            bit, borders = bit[order], np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
+            for g in np.flatnonzero(np.diff(borders)):
+                own = x[:, borders[g] : borders[g + 1]]
+                p = 1 / (1 + np.exp(-(weights[g] @ own)))
+                out[g, :, 0] += own @ (p - bit[borders[g] : borders[g + 1]])
+                out[g, :, 1:] += (own * (p * (1 - p))) @ own.T
         return out
 
     def log10s(self, t: Tokens, rows: int) -> np.ndarray:
@@ -224,7 +218,7 @@ class Model:
                 row = t.row[sel]
                 if begin:
                     w = [a + own[k][row][which] for k, a in enumerate(w)]
-                z = w[3]
+                z = w[-1]
                 for a, b in zip(w, x, strict=False):
                     z = z + a * b
                 sign = np.where(bit == 1, -z, z)
@@ -235,7 +229,7 @@ class Model:
                     wrong, bend = p - bit, p * (1 - p)
                     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                     for k in range(INPUTS):
-                        g, h = (wrong * x[k], bend * x[k] * x[k]) if k < 3 else (wrong, bend)
+                        g, h = (wrong * x[k], bend * x[k] * x[k]) if k < INPUTS - 1 else (wrong, bend)
                         slope[k][row[first]] += np.add.reduceat(g, at[first], dtype=np.float64)
                         curve[k][row[first]] += np.add.reduceat(h, at[first], dtype=np.float64)
             own = np.clip(own - slope / (100 + INPUTS * curve), -1, 1).astype(np.float32)
@@ -270,24 +264,24 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def bit_counts(train: DataFrame, known: np.ndarray, frequent: np.ndarray, code: Code, bits: int) -> np.ndarray:
-    """Counts of zeros and ones in every slot of both tables: summed in each task, then slice by slice on the workers."""
+    """Counts of zeros and ones in every slot of all tables: summed in each task, then slice by slice on the workers."""
     shared = train.sparkSession.sparkContext.broadcast((known, frequent, code))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent, code = shared.value
-        sums, any_rows = np.zeros((2, 2 << bits), np.int64), False
+        sums, any_rows = np.zeros((CONTEXTS, 2 << bits), np.int64), False
         for slab in slabs(batches, size=SLAB):
             t, any_rows = Tokens(slab, own, frequent), True
             for sel in _blocks(np.arange(len(t.hash))):
                 off, _, slots, _ = _bits(t, sel, code, bits)
                 for k, s in enumerate(slots):
-                    sums[k] += np.bincount(s.astype(np.int64) * 2 + code.bit[off], minlength=2 << bits)
+                    np.add.at(sums[k], s.astype(np.int64) * 2 + code.bit[off], 1)
         if any_rows:
             parts = sums.reshape(SLICES, -1)
             salt = TaskContext.get().partitionId() % SALTS
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts], pa.binary())], names=["slice", "salt", "sums"])
 
-    size = (4 << bits) // SLICES
+    size = (2 * CONTEXTS << bits) // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -301,26 +295,28 @@ def bit_counts(train: DataFrame, known: np.ndarray, frequent: np.ndarray, code:
     for r in parts.toLocalIterator():
         out[r["slice"]] += np.frombuffer(pa.decompress(r["sums"], 8 * size, "zstd"), np.int64)
     shared.destroy()
-    return out.reshape(2, 1 << bits, 2).astype(np.float32)
+    return out.reshape(CONTEXTS, 1 << bits, 2).astype(np.float32)
 
 
-def gate_weights(sample: DataFrame, model: Model) -> np.ndarray:
-    """Newton steps over the sample; the workers make the sums."""
-    names = [f"s{i}" for i in range(GATES * (INPUTS + INPUTS * INPUTS))]
-    tables, weights = sample.sparkSession.sparkContext.broadcast(model), model.weights
+def gate_weights(train: DataFrame, model: Model) -> np.ndarray:
+    """Newton steps over all training texts; the workers make the sums. model: made ready for texts that it is trained on."""
+    size, weights = INPUTS * (INPUTS + 1), model.weights
+    tables = train.sparkSession.sparkContext.broadcast(model)
     for _ in range(TURNS):
 
         def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            m, out = tables.value, np.zeros((GATES, INPUTS + INPUTS * INPUTS))
+            m, out = tables.value, np.zeros((GATES, INPUTS, INPUTS + 1))
             m.weights = now
             for slab in slabs(batches, size=SLAB):
                 out += m.sums(Tokens(slab, m.known, m.frequent))
-            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
-
-        made = sample.select("text").mapInArrow(run, "s array<double>").select(*(F.sum(F.col("s")[i]).alias(n) for i, n in enumerate(names))).first()
-        sums = np.array([x or 0.0 for x in made]).reshape(GATES, -1)
-        slope, curve = sums[:, :INPUTS], sums[:, INPUTS:].reshape(GATES, INPUTS, INPUTS)
-        weights = np.clip(weights - np.linalg.solve(curve + np.eye(INPUTS), slope[:, :, None])[:, :, 0], -2, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(range(GATES), pa.int32()), pa.array(out.reshape(GATES, size).tolist(), pa.list_(pa.float64()))], names=["gate", "s"])
+
+        parts = train.select("text").mapInArrow(run, "gate int, s array<double>").select("gate", F.posexplode("s").alias("i", "s"))
+        sums = np.zeros((GATES, size))
+        for r in parts.groupBy("gate", "i").agg(F.sum("s").alias("s")).collect():
+            sums[r.gate, r.i] = r.s
+        sums = sums.reshape(GATES, INPUTS, INPUTS + 1)
+        weights = np.clip(weights - np.linalg.solve(sums[:, :, 1:] + np.eye(INPUTS), sums[:, :, :1])[:, :, 0], -2, 2)
     tables.destroy()
     return weights
 
@@ -347,8 +343,7 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     code = Code(np.append(often, [max(1, rare_tokens), max(1, n_docs)]))
     seen, bits = code.seen(), min(MOST_BITS, max(12, total.bit_length()))
     model = Model(known, frequent, code, seen, bit_counts(train, known, frequent, code, bits))
-    sample = saved(train.where(F.pmod(F.xxhash64(F.lit(10), "text"), F.lit(SAMPLED)) == 0).select("text"))
-    model.weights = gate_weights(sample, model)
+    model.weights = gate_weights(train, model.ready(trained=True))
     shared = df.sparkSession.sparkContext.broadcast((model.ready(), np.log10(np.append(often, [0, n_docs]) + 1.0)))
     by_end = int(n_docs > 0)
 
@@ -360,26 +355,22 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
             rare = t.symbol == len(model.known)
             log10s = model.log10s(t, len(slab))
             logged, score = (np.add.reduceat(x, t.borders[:-1]) for x in (logs[t.symbol], log10s))
-            at, context = t.longer(EVERY)
-            follows = pa.array(np.searchsorted(at, t.borders), pa.int32())
-            word = np.where(rare[at], signed(t.hash[at]), 0)
-            lists = [pa.ListArray.from_arrays(follows, x) for x in (pa.array(signed(context)), pa.array(t.symbol[at], pa.int32()), pa.array(word), pa.array(log10s[at].astype(np.float32)))]
             unknown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(row_sums(rare, t.borders))]), pa.int32()), pa.array(signed(t.hash[rare])))
-            cols = [slab.batch["rid"], slab.batch["doc_id"], slab.batch["held_out"], pa.array(n), pa.array(n - 1 + by_end - row_sums(rare, t.borders)), pa.array(logged), pa.array(score), pa.array(np.diff(slab.offs)), unknown, *lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "bits", "n_bytes", "rare", "context", "symbol", "word", "log10"])
+            cols = [slab.batch["rid"], slab.batch["doc_id"], slab.batch["held_out"], pa.array(n), pa.array(n - 1 + by_end - row_sums(rare, t.borders)), pa.array(logged), pa.array(score), pa.array(np.diff(slab.offs)), unknown]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "bits", "n_bytes", "rare"])
 
-    schema = f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, bits double, n_bytes long, rare array<long>, context array<long>, symbol array<int>, word array<long>, log10 array<float>"
+    schema = f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, bits double, n_bytes long, rare array<long>"
     rows = saved(docs.mapInArrow(run, schema))
     copies = rows.groupBy("rid").agg(F.count("*").alias("copies"))
     rare = rows.select("rid", F.explode("rare").alias("h")).join(counts, "h").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.log10(F.col("c").cast("double"))).alias("share"), F.count("*").alias("met"))
     smooth = math.log10(total + (kinds + 1))
     new = (once + 0.5) / (rare_tokens + 1) if rare_words else 1.0
     told = math.log10((1 - new) / rare_tokens) if new < 1 else 0.0
-    extra = copies.join(rare, "rid", "left").join(followed(rows, counts, len(known), told), "rid", "left")
-    of_copies = [(F.coalesce(F.col(c), F.lit(0.0)) / F.col("copies")).alias(c) for c in ("more", "share", "met", "gain")]
+    extra = copies.join(rare, "rid", "left")
+    of_copies = [(F.coalesce(F.col(c), F.lit(0.0)) / F.col("copies")).alias(c) for c in ("more", "share", "met")]
     done = rows.join(extra.select("rid", *of_copies), "rid")
     n_rare = F.size("rare")
-    score = F.col("bits") + F.col("share") + F.col("met") * told + (n_rare - F.col("met")) * math.log10(new) + F.col("gain")
+    score = F.col("bits") + F.col("share") + F.col("met") * told + (n_rare - F.col("met")) * math.log10(new)
     done = done.withColumn("score", score)
     return done.select(
         "doc_id",
@@ -391,35 +382,3 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
         "score",
         F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-
-
-def _mixed(events: DataFrame, what: str) -> DataFrame:
-    """events (context, ``what``, own) with c, n and k: how often this and any thing followed the context in other training texts, and how many different ones."""
-    pairs = events.groupBy("context", what).agg(F.sum("own").alias("c"))
-    whole = pairs.groupBy("context").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("k"))
-    met = events.join(pairs.join(whole, "context"), ["context", what])
-    own = {"c": F.col("c") - F.col("own"), "n": F.col("n") - F.col("own"), "k": F.col("k") - F.when(F.col("c") == 1, F.col("own")).otherwise(F.lit(0))}
-    return met.withColumns(own).where("n > 0")
-
-
-def followed(rows: DataFrame, counts: DataFrame, escape: int, told: float) -> DataFrame:
-    """(rid, gain): what the longer contexts add to the log10 probability of a row.
-
-    After a context with n tokens of k kinds in other training texts, a token seen c times has the
-    probability (c + k * p) / (n + k), where p is what the bits say. If the token is the escape, the same
-    holds for the words that followed by an escape, where p is the word's share: ``told`` and the log10 of its count.
-    Contexts that occur once say nothing: those that recur are counted first, and only their tokens are shuffled.
-    """
-    own = (~F.col("held_out")).cast("long").alias("own")
-    seen = rows.select(own, F.explode("context").alias("context")).groupBy("context").agg(F.sum("own").alias("n"), F.count("*").alias("seen"))
-    again = saved(seen.where("n > 0 and seen > 1").select("context"))
-    events = rows.select("rid", own, F.inline(F.arrays_zip("context", "symbol", "word", "log10")))
-    events = saved(maybe_in(events, "context", again, 1 << 26).join(again, "context", "left_semi"))
-    p = F.pow(F.lit(10.0), "log10")
-    symbols = _mixed(events.drop("word"), "symbol").select("rid", (F.log10((F.col("c") + F.col("k") * p) / (F.col("n") + F.col("k"))) - F.col("log10")).alias("gain"))
-    rare = saved(_mixed(events.where(F.col("symbol") == escape).select("rid", "own", "context", "word"), "word"))
-    missed = rare.where("c = 0").select("rid", F.log10(F.col("k") / (F.col("n") + F.col("k"))).alias("gain"))
-    share = F.log10(F.col("all").cast("double")) + told
-    hit = rare.where("c > 0").join(counts.select(F.col("h").alias("word"), F.col("c").alias("all")), "word")
-    hit = hit.select("rid", (F.log10((F.col("c") + F.col("k") * F.pow(F.lit(10.0), share)) / (F.col("n") + F.col("k"))) - share).alias("gain"))
-    return symbols.unionByName(missed).unionByName(hit).groupBy("rid").agg(F.sum("gain").alias("gain"))

@@ -244,7 +244,7 @@ def small_model(words, seed=4):
     known = np.sort(own)
     frequent = np.append(np.isin(known, own[:3]), [False, False])
     code = lm.Code(r.integers(1, 90, len(words) + 2))
-    model = lm.Model(known, frequent, code, code.seen(), r.integers(0, 60, (2, 1 << 12, 2)).astype(np.float32))
+    model = lm.Model(known, frequent, code, code.seen(), r.integers(0, 60, (lm.CONTEXTS, 1 << 12, 2)).astype(np.float32))
     model.weights = r.normal(0.3, 0.2, (lm.GATES, lm.INPUTS))
     return model
 
@@ -272,57 +272,78 @@ def test_lm_bit_by_bit():
     counts, seen, weights = model.counts.copy(), model.seen.copy(), model.weights.copy()
     r, texts = random.Random(2), ["", "w1", "nothing known here"]
     texts += [" ".join(r.choice([*words[:9], "other"]) for _ in range(n)) for n in (31, 32, 33, 700, 1700)]
-    model.ready()
+    model = model.ready()
     t = tokens_of(model, texts)
     got = model.log10s(t, len(texts))
-    code, mask = model.code, (1 << 32) - 1
     for row in range(len(texts)):
-        own, slope, curve, end = [0.0] * 4, [0.0] * 4, [0.0] * 4, lm.FIRST
-        last = often = None
-        for place, i in enumerate(range(t.borders[row], t.borders[row + 1])):
+        own, slope, curve, end = [0.0] * lm.INPUTS, [0.0] * lm.INPUTS, [0.0] * lm.INPUTS, lm.FIRST
+        for place, bits in enumerate(plain_inputs(model, t, row, counts, seen)):
             if place == end:
-                own = [max(-1, min(1, w - g / (100 + 4 * h))) for w, g, h in zip(own, slope, curve)]
-                slope, end = [0.0] * 4, end + min(end, lm.STEP)
+                own = [max(-1, min(1, w - g / (100 + lm.INPUTS * h))) for w, g, h in zip(own, slope, curve)]
+                slope, end = [0.0] * lm.INPUTS, end + min(end, lm.STEP)
             total = 0.0
-            for at in range(code.start[t.symbol[i]], code.start[t.symbol[i]] + code.length[t.symbol[i]]):
-                bit, x, evidence = int(code.bit[at]), [math.log((seen[1][at] + 0.4) / (seen[0][at] + 0.4))], []
-                for k, (word, odd) in enumerate(((last, 0x9E3779B1), (often, 0xC2B2AE35))):
-                    context = (int(word) >> 32) * odd & mask if word is not None else 0
-                    zeros, ones = counts[k][((context ^ int(code.key[at])) * 0x2C1B3C6D & mask) >> 20]
-                    x.append(math.log((ones + 0.4) / (zeros + 0.4)))
-                    evidence.append(sum(int(zeros + ones > most) for most in (0, 4, 40)))
-                x.append(1.0)
-                z = sum((w + o) * v for w, o, v in zip(weights[evidence[1] * 4 + evidence[0]], own, x))
+            for bit, gate, x in bits:
+                z = sum((w + o) * v for w, o, v in zip(weights[gate], own, x))
                 p = 1 / (1 + math.exp(-z))
                 total += math.log10(p if bit else 1 - p)
-                for k in range(4):
+                for k in range(lm.INPUTS):
                     slope[k] += (p - bit) * x[k]
                     curve[k] += p * (1 - p) * x[k] ** 2
-            assert math.isclose(got[i], total, rel_tol=2e-3, abs_tol=2e-4), (row, place)
-            last = t.hash[i]
-            often = t.hash[i] if model.frequent[t.symbol[i]] else often
-
-
-def test_lm_longer_contexts(spark):
-    """Against sums over all other training texts; symbol 3 is the escape, behind which there are words."""
-    r, told = random.Random(6), math.log10(0.01)
-    rows = [(i, r.random() < 0.3, [r.randrange(6) for _ in range(n)], [r.randrange(4) for _ in range(n)], [-r.random() * 3 for _ in range(n)]) for i, n in enumerate([0, 1, 5, 9, 4, 60])]
-    rows = [(i, held, cs, ss, [r.randrange(1, 4) if s == 3 else 0 for s in ss], ls) for i, held, cs, ss, ls in rows]
-    df = spark.createDataFrame(rows, "rid long, held_out boolean, context array<long>, symbol array<int>, word array<long>, log10 array<double>")
-    every = {1: 7, 2: 11, 3: 2}
-    train = Counter((c, s) for _, held, cs, ss, _, _ in rows if not held for c, s in zip(cs, ss))
-    words = Counter((c, w) for _, held, cs, _, ws, _ in rows if not held for c, w in zip(cs, ws) if w)
-    want = {}
-    for rid, held, cs, ss, ws, ls in rows:
-        for c, s, w, log in zip(cs, ss, ws, ls):
-            for counts, own, p in ((train, s, 10**log), *([(words, w, 0.01 * every[w])] if w else [])):
-                others = {k: n - (k == own and not held) for (x, k), n in counts.items() if x == c}
-                n, kinds = sum(others.values()), sum(v > 0 for v in others.values())
-                if n:
-                    want[rid] = want.get(rid, 0) + math.log10((others.get(own, 0) / p + kinds) / (n + kinds))
-    counts = spark.createDataFrame(list(every.items()), "h long, c long")
-    got = {x.rid: x.gain for x in lm.followed(df, counts, 3, told).collect()}
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+            assert math.isclose(got[t.borders[row] + place], total, rel_tol=2e-3, abs_tol=2e-4), (row, place)
+
+
+def plain_inputs(model, t, row, counts, seen, less=0):
+    """For each token of a row, (bit, gate, inputs) of its bits, by a plain loop; ``less`` is what a bit takes from its own counts."""
+    code, mask, before, often = model.code, (1 << 32) - 1, [0, 0, 0], 0
+    for i in range(t.borders[row], t.borders[row + 1]):
+        two = before[0] + before[1] * 0x9E3779B97F4A7C15
+        mixed = [int(lm.mix(np.array([x % 2**64], np.uint64))[0]) for x in (two, two + before[2] * 0xC2B2AE3D27D4EB4F)]
+        bits = []
+        for at in range(code.start[t.symbol[i]], code.start[t.symbol[i]] + code.length[t.symbol[i]]):
+            bit, x, evidence = int(code.bit[at]), [], []
+            for k, (word, odd) in enumerate(((None, 0), (before[0], 0x9E3779B1), (often, 0xC2B2AE35), (mixed[0], 0x85EBCA6B), (mixed[1], 0x27D4EB2F))):
+                slot = (((word or 0) >> 32) * odd & mask ^ int(code.key[at])) * 0x2C1B3C6D & mask
+                had = [float(v) for v in (seen[:, at] if word is None else counts[k - 1][slot >> 32 - model.bits])]
+                had[bit] = max(0.0, had[bit] - less)
+                x.append(math.log((had[1] + 0.4) / (had[0] + 0.4)))
+                evidence.append(sum(sum(had) > most for most in (0, 4, 40)))
+            bits.append((bit, evidence[4] * 16 + evidence[3] * 4 + evidence[1], [*x, 1.0]))
+        yield bits
+        before = [int(t.hash[i]), *before[:2]]
+        often = int(t.hash[i]) if model.frequent[t.symbol[i]] else often
+
+
+def test_lm_sums_for_the_gates():
+    """Gradient and curvature of each gate's weights are those of a plain loop in which each bit's own count is taken away."""
+    words = [f"w{i}" for i in range(30)]
+    model = small_model(words)
+    r = random.Random(3)
+    texts = ["", *(" ".join(r.choice([*words, "other"]) for _ in range(n)) for n in (1, 40, 300))]
+    t = tokens_of(model, texts)
+    want = np.zeros((lm.GATES, lm.INPUTS, lm.INPUTS + 1))
+    for row in range(len(texts)):
+        for bit, gate, x in (b for bits in plain_inputs(model, t, row, model.counts, model.seen, less=1) for b in bits):
+            x = np.array(x)
+            p = 1 / (1 + math.exp(-float(model.weights[gate] @ x)))
+            want[gate, :, 0] += (p - bit) * x
+            want[gate, :, 1:] += p * (1 - p) * np.outer(x, x)
+    assert np.allclose(model.ready(trained=True).sums(t), want, rtol=1e-3, atol=1e-2)
+
+
+def test_lm_bit_counts(spark):
+    """Counts of every slot, summed over tasks and slices, are those of all bits of all texts."""
+    words = [f"w{i}" for i in range(30)]
+    model, bits = small_model(words), 12
+    r = random.Random(5)
+    texts = [None, "", *(" ".join(r.choice([*words, "other"]) for _ in range(n)) for n in (1, 40, 300, 900))]
+    got = lm.bit_counts(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3), model.known, model.frequent, model.code, bits)
+    t = tokens_of(model, [x or "" for x in texts])
+    off, _, slots, _ = lm._bits(t, np.arange(len(t.hash)), model.code, bits)
+    want = np.zeros((lm.CONTEXTS, 1 << bits, 2))
+    for k, slot in enumerate(slots):
+        for s, b in zip(slot.tolist(), model.code.bit[off].tolist()):
+            want[k, s, b] += 1
+    assert np.array_equal(got, want) and got.sum() == lm.CONTEXTS * len(off)
 
 
 def test_lm_beats_its_base_on_held_out_texts(spark):
