@@ -45,12 +45,12 @@ VOCABULARY = 1 << 16
 #: The most slots of a hashed table, as a power of two.
 MOST_BITS = 21
 FREQUENT = 32
-TURNS = 2
+TURNS = 1
 SLICES, SALTS = 64, 8
 #: Bytes of texts taken together: each slab costs a pass over the counters.
 SLAB = 1 << 20
-#: Tokens whose bits are expanded at once.
-BLOCK = 1 << 16
+#: Tokens whose bits are expanded at once: few enough that their arrays stay in a core's cache.
+BLOCK = 1 << 13
 FIRST, STEP = 32, 512
 CONTEXTS = 4
 INPUTS = CONTEXTS + 2  # with no context and a constant
@@ -141,7 +141,14 @@ def _bits(t: Tokens, sel: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray
     off = np.repeat(code.start[t.symbol[sel]] - begin, length) + np.arange(length.sum())
     which = np.repeat(np.arange(len(sel)), length)
     key = code.key[off]
-    return off, which, [((b[sel][which] ^ key) * _U32(0x2C1B3C6D)) >> _U32(32 - bits) for b in t.before], begin
+    slots = []
+    for b in t.before:
+        h = b[sel][which]
+        h ^= key
+        h *= _U32(0x2C1B3C6D)
+        h >>= _U32(32 - bits)
+        slots.append(h.astype(np.intp))
+    return off, which, slots, begin
 
 
 def _blocks(sel: np.ndarray) -> Iterator[np.ndarray]:
@@ -155,6 +162,11 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32), (total > 0).astype(np.uint8) + (total > 4) + (total > 40)
 
 
+def packed(stretch: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Predictions with their evidence in the two lowest bits, so that both are read at once."""
+    return (stretch.view(_U32) & ~_U32(3) | evidence).view(np.float32)
+
+
 class Model:
     """What predicts the bits: vocabulary, code, tables and gate weights."""
 
@@ -169,12 +181,10 @@ class Model:
         made.weights, made.trained = self.weights, trained
         bit = self.code.bit
         made.alone = stretched(np.maximum(self.seen[0] - trained * (bit == 0), 0), np.maximum(self.seen[1] - trained * bit, 0))[0]
-        made.stretch, made.evidence = [], []
+        made.tables = []
         for zeros, ones in (c.T for c in self.counts):
             both = [(np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))] if trained else [(zeros, ones)]
-            tables = [stretched(*x) for x in both]
-            made.stretch.append(np.stack([x[0] for x in tables], axis=1).ravel())
-            made.evidence.append(np.stack([x[1] for x in tables], axis=1).ravel())
+            made.tables.append(np.stack([packed(*stretched(*x)) for x in both], axis=1).ravel())
         made.seen = made.counts = None
         return made
 
@@ -183,28 +193,35 @@ class Model:
         off, which, slots, begin = _bits(t, sel, self.code, self.bits)
         bit = self.code.bit[off]
         if self.trained:
-            slots = [s * _U32(2) + bit for s in slots]
-        one, two, three = (self.evidence[k][slots[k]] for k in (0, 2, 3))
-        return bit, three * np.uint8(16) + two * np.uint8(4) + one, (self.alone[off], *(x[s] for x, s in zip(self.stretch, slots, strict=True))), which, begin
+            slots = [s * 2 + bit for s in slots]
+        x = [table[s] for table, s in zip(self.tables, slots, strict=True)]
+        one, two, three = (x[k].view(_U32) & _U32(3) for k in (0, 2, 3))
+        return bit, (three << _U32(4) | two << _U32(2) | one).astype(np.intp), (self.alone[off], *x), which, begin
 
     def sums(self, t: Tokens) -> np.ndarray:
         """For each gate, gradient (first column) and curvature of the loss of all tokens in the weights."""
-        out, weights = np.zeros((GATES, INPUTS, INPUTS + 1)), self.weights.astype(np.float32)
+        out, weights = np.zeros((GATES, INPUTS, INPUTS + 1)), self.weights.T.astype(np.float32, order="C")
         for sel in _blocks(np.arange(len(t.hash))):
             bit, gate, x, _, _ = self.inputs(t, sel)
-            order = np.argsort(gate, kind="stable")
-            x = np.stack([*(a[order] for a in x), np.ones(len(bit), np.float32)])
-            bit, borders = bit[order], np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
-            for g in np.flatnonzero(np.diff(borders)):
-                own = x[:, borders[g] : borders[g + 1]]
-                p = 1 / (1 + np.exp(-(weights[g] @ own)))
-                out[g, :, 0] += own @ (p - bit[borders[g] : borders[g + 1]])
-                out[g, :, 1:] += (own * (p * (1 - p))) @ own.T
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            x, own = [*(a[order] for a in x), np.ones(len(bit), np.float32)], gate[order]
+            z = sum(weights[k][own] * a for k, a in enumerate(x))
+            p = 1 / (1 + np.exp(-z))
+            wrong, bend = p - bit[order], p * (1 - p)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            met = own[first]
+            for i in range(INPUTS):
+                out[met, i, 0] += np.add.reduceat(wrong * x[i], first)
+                bent = bend * x[i]
+                for j in range(i + 1):
+                    out[met, i, j + 1] += np.add.reduceat(bent * x[j], first)
+        for i in range(INPUTS):
+            out[:, :i, i + 1] = out[:, i, 1 : i + 1]
         return out
 
     def log10s(self, t: Tokens, rows: int) -> np.ndarray:
         """log10 probability of each token's symbol; weights are refined within each row, block after block."""
-        weights = self.weights.astype(np.float32)
+        weights = self.weights.T.astype(np.float32, order="C")
         own = np.zeros((INPUTS, rows), np.float32)
         slope, curve = np.zeros((INPUTS, rows)), np.zeros((INPUTS, rows))
         out = np.zeros(len(t.hash))
@@ -214,7 +231,7 @@ class Model:
             rest = t.place >= begin if begin else np.ones(len(t.place), bool)
             for sel in _blocks(np.flatnonzero(rest & (t.place < end))):
                 bit, gate, x, which, at = self.inputs(t, sel)
-                w = [weights[gate, k] for k in range(INPUTS)]
+                w = [column[gate] for column in weights]
                 row = t.row[sel]
                 if begin:
                     w = [a + own[k][row][which] for k, a in enumerate(w)]
@@ -275,7 +292,7 @@ def bit_counts(train: DataFrame, known: np.ndarray, frequent: np.ndarray, code:
             for sel in _blocks(np.arange(len(t.hash))):
                 off, _, slots, _ = _bits(t, sel, code, bits)
                 for k, s in enumerate(slots):
-                    np.add.at(sums[k], s.astype(np.int64) * 2 + code.bit[off], 1)
+                    np.add.at(sums[k], s * 2 + code.bit[off], 1)
         if any_rows:
             parts = sums.reshape(SLICES, -1)
             salt = TaskContext.get().partitionId() % SALTS
