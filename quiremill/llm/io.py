@@ -43,13 +43,17 @@ def saved(df: DataFrame) -> DataFrame:
     return back
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``saved`` wrote, once nothing reads them any more."""
     for df in tables:
         if path := getattr(df, "saved_at", None):
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            removed(df.sparkSession, path)
 
 
 def fresh(df: DataFrame, *names: str) -> None:

@@ -3,15 +3,16 @@
 A window is ``window`` consecutive words of one document. A window repeats when its word sequence
 also starts in a document with a smaller id; every word that a repeated window covers is removed.
 
-The index holds sorted immutable runs of (fp, rid, doc_id), each a Parquet table in buckets of fp, so a
-batch is merge-joined with them where they lie: only the batch itself is dealt out. A window's
+The index holds sorted immutable runs of (fp, rid, doc_id), each a Parquet table in buckets of fp with one
+sorted file a bucket, so a batch is merge-joined with them where they lie: history is neither dealt out nor
+sorted again (``spark.sql.legacy.bucketedTableScan.outputOrdering`` is set for the session). A window's
 fingerprint is the least hash of its ``k``-word grams, so equal windows have equal fingerprints while
 neighbours share theirs: a run has about one row for every (window - k) / 2 words. What a batch shares with
 the runs before it is verified: only the windows behind shared fingerprints get their full 64-bit
 hash, compared within one fingerprint (so on 128 bits). Windows that share a fingerprint travel as
 one array; equal arrays (copies) are aggregated to their least doc_id before any window is listed by
 itself, so a group of copies costs one row for each map task. ``fan`` runs of one level are compacted
-to one of the next.
+to one of the next, and then removed. Tables of a batch go once its result is written; ``close`` removes what is left.
 
 An index in a folder keeps the texts of its documents and a list of its runs there, and
 ``SubstringIndex.opened`` goes on from it in a later session; one without a folder is for one job.
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quiremill.llm.io import marked, maybe_in, saved, shared_folder, whole_numbers
+from quiremill.llm.io import discard, marked, maybe_in, removed, saved, shared_folder, whole_numbers
 from quiremill.llm.kernel import Slab, Words, row_sums, sha256, signed, slabs
 
 _RUN = "fp bigint, rid bigint, doc_id bigint"
@@ -69,6 +70,9 @@ class SubstringIndex:
         self.kept, self.folder = folder is not None, (folder or shared_folder(spark)).rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.version = 0
+        self.scratch: list[DataFrame] = []  # tables that only the batch at hand needs
+        self.known: set[str] = set()  # runs that this index told the catalog of
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         self.runs: list[tuple[int, str]] = []  # level and name of each run, oldest first
         self.texts: list[DataFrame] = []  # documents that the runs come from
 
@@ -88,14 +92,36 @@ class SubstringIndex:
         """A run as a table in buckets; a session that hasn't seen it yet learns of it here."""
         if not self.spark.catalog.tableExists(name):
             self.spark.sql(f"CREATE TABLE {name} ({_RUN}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, rid) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+            self.known.add(name)
         return self.spark.table(name)
 
     def written(self, rows: DataFrame) -> str:
         """Write a run, one file for each bucket, and give its name."""
         name = f"run_{uuid.uuid4().hex}"
+        self.known.add(name)
         rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp", "rid").option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(name)
         return name
 
+    def met(self, name: str, batch: DataFrame) -> DataFrame:
+        """The rows of a run whose fingerprint is among those of a batch (fp, each once): both are read in order of fp."""
+        return self.run(name).join(batch.hint("merge"), "fp", "left_semi")
+
+    def dropped(self, *names: str, files: bool = True) -> None:
+        """Take runs out of the catalog, and with their files out of the folder."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.known.discard(name)
+            if files:
+                removed(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        """Leave nothing in the catalog; an index that isn't kept leaves no files either."""
+        self.dropped(*self.known, files=not self.kept)
+
+    def _saved(self, df: DataFrame) -> DataFrame:
+        self.scratch.append(saved(df))
+        return self.scratch[-1]
+
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         """(fp, rid, doc_id), once for each fingerprint of a row."""
         window, k = self.window, self.k
@@ -152,29 +178,33 @@ class SubstringIndex:
         shared = totals.where("lo < hi").select("fp")
         wanted, texts = self.run(new), docs
         if self.runs:
-            hits = [self.run(name).join(totals.select("fp"), "fp", "left_semi") for _, name in self.runs]
-            past = saved(_union(hits))  # each run and the batch, merged on fp
+            hits = [self.met(name, totals.select("fp")) for _, name in self.runs]
+            past = self._saved(_union(hits))  # each run and the batch, merged on fp
             shared, wanted = shared.unionByName(past.select("fp")).distinct(), wanted.unionByName(past)
             texts = _union([docs, *self.texts])
-        wanted = saved(wanted.join(shared, "fp", "left_semi").groupBy("rid").agg(F.collect_set("fp").alias("fps")))
+        wanted = self._saved(wanted.join(shared, "fp", "left_semi").groupBy("rid").agg(F.collect_set("fp").alias("fps")))
         found = self.verify(maybe_in(texts, "rid", wanted.select("rid")).join(wanted, "rid"))
         if self.runs:
             found = found.join(docs.select("rid").distinct(), "rid", "left_semi")
-        if not last or self.kept:
-            found = saved(found)
+        found = saved(found)
+        discard(*self.scratch)
+        self.scratch.clear()
+        if last and not self.kept:
+            self.dropped(new)
+        else:
             self.add(new, docs)
         return found
 
     def verify(self, candidates: DataFrame) -> DataFrame:
         """(rid, starts): starts of the windows that a smaller doc_id has too."""
-        occ = saved(self.occurrences(candidates).withColumn("vid", F.xxhash64("fp", "hs")))
+        occ = self._saved(self.occurrences(candidates).withColumn("vid", F.xxhash64("fp", "hs")))
         variants = occ.groupBy("fp", "vid", "hs").agg(F.min("doc_id").alias("first"))
-        variants = saved(variants)
-        many = saved(variants.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+        variants = self._saved(variants)
+        many = self._saved(variants.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
         # Both are written: one fingerprint may have many arrays and one window be in many of them, and joins that count
         # nothing on the way can be split.
-        listed = saved(variants.join(many, "fp", "left_semi").select("fp", "vid", "first", F.posexplode("hs").alias("i", "h")))
-        least = saved(listed.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most"))
+        listed = self._saved(variants.join(many, "fp", "left_semi").select("fp", "vid", "first", F.posexplode("hs").alias("i", "h")))
+        least = self._saved(listed.groupBy("fp", "h").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most"))
         earlier = listed.join(least, ["fp", "h"]).where("least < first")
         earlier = earlier.groupBy("fp", "vid").agg(F.map_from_entries(F.collect_list(F.struct("i", "least"))).alias("earlier"))
         firsts = variants.select("fp", "vid", "first").join(earlier, ["fp", "vid"], "left")
@@ -187,11 +217,14 @@ class SubstringIndex:
     def add(self, run: str, docs: DataFrame) -> None:
         """Append a run, compact while ``fan`` runs have one level, and note the new state."""
         self.runs.append((0, run))
+        old: list[str] = []
         while len(self.runs) >= self.fan and len({level for level, _ in self.runs[-self.fan :]}) == 1:
             merged = self.runs[-self.fan :]
-            self.runs[-self.fan :] = [(merged[0][0] + 1, self.written(_union([self.run(name) for _, name in merged])))]
+            self.runs[-self.fan :] = [(merged[0][0] + 1, self.written(self.spark.read.schema(_RUN).parquet(*(f"{self.folder}/{name}" for _, name in merged))))]
+            old += [name for _, name in merged]
         if not self.kept:
             self.texts.append(docs)
+            self.dropped(*old)
             return
         docs.select("rid", "doc_id", "text").write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/texts")
         self.texts = [self.spark.read.parquet(f"{self.folder}/texts")]
@@ -199,18 +232,20 @@ class SubstringIndex:
         rows = [(self.version, no, level, name, self.window, self.k, self.fan, self.max_run, self.buckets) for no, (level, name) in enumerate(self.runs)]
         schema = "version long, no long, level long, name string, window int, k int, fan int, max_run int, buckets int"
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/list")
+        self.dropped(*old)  # only now: until the new list is there, the old one holds
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 10, batches: int = 2) -> DataFrame:
+def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 10, batches: int = 3, fan: int = 2) -> DataFrame:
     """docs with ``starts`` (array of int, null if none): the first words of repeated windows.
 
-    docs go through the index in ``batches`` ascending ranges of key.
+    docs go through the index in ``batches`` ascending ranges of key; with the defaults, the last batch meets the
+    compacted run of the two before it.
     """
-    index = SubstringIndex(docs.sparkSession, None, window, k)
+    index = SubstringIndex(docs.sparkSession, None, window, k, fan)
     own = docs.select(whole_numbers(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"), row_id(key, text).alias("rid"))
     known = own.where("doc_id is not null")
     cuts = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
@@ -223,7 +258,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         if hi is not None:
             part = part.where(F.col("doc_id") <= hi)
         parts.append(index.repeats(part, last=hi is None))
-    found = saved(_union(parts))
+    index.close()
+    found = _union(parts)
     # Rows without repeats needn't meet the result: the bitmap leaves them where they are.
     own = marked(own, "rid", found.select("rid"), "hit")
     none = F.lit(None).cast(found.schema["starts"].dataType).alias("starts")

@@ -214,8 +214,23 @@ def test_substring_index_goes_on_in_another_session(spark, docs, tmp_path):
         got |= {r.rid: sorted(r.starts) for r in index.repeats(part).collect()}
     assert got == want and len(want) > 10
     assert [level for level, _ in index.runs] == [2]
-    plan = index.run(index.runs[0][1]).join(index.run(index.runs[0][1]).groupBy("fp").count(), "fp")._jdf.queryExecution().toString()
-    assert "Exchange hashpartitioning" not in plan
+    name = index.runs[0][1]
+    plan = index.met(name, index.run(name).select("fp").distinct())._jdf.queryExecution().executedPlan().toString()
+    # History is merge-joined as it lies: neither dealt out nor sorted; the batch's own fingerprints may be sorted.
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert plan.count("Sort [") <= 1 and ":- Sort [" not in plan and ":- Filter" in plan, plan
+    assert sorted(x.name for x in (tmp_path / "index").iterdir()) == sorted(["list", "texts", name])
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_substring_query_compacts_and_leaves_nothing(spark, docs, monkeypatch):
+    """The registered parameters meet a compacted run; no run stays in the catalog."""
+    met, levels = substring.SubstringIndex.met, []
+    monkeypatch.setattr(substring.SubstringIndex, "met", lambda self, name, batch: levels.append(dict((n, v) for v, n in self.runs)[name]) or met(self, name, batch))
+    assert substring.find_repeats(docs, window=12, k=4).count() == docs.count()
+    assert 1 in levels
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
 def test_substring_empty(empty):
