@@ -14,8 +14,9 @@ agreement can begin, up to its ``WEIGHT``-th match (its sum never falls below ze
 nine). Every alignment with a stretch of ``WEIGHT`` matches is therefore met, whichever words were
 changed; one that only a beginning meets counts if its stretch has eight words or the whole item.
 
-Test items come to the workers in blocks of about ``BLOCK_WORDS`` words (their hashes are what is
-broadcast); each block makes one pass over the texts. Texts are whole, no hit is dropped.
+Test items come to the workers in blocks of about ``BLOCK_BYTES`` bytes of text, whatever its script (a word
+has at least one byte and one separator, and some 200 bytes of hashes are broadcast for it); each block makes one
+pass over the texts. Texts are whole, no hit is dropped.
 
 Defined cases: null and empty texts or items have no words and match nothing; items with equal
 words are all reported; repeated rows are reported alike, with a null id if theirs is null; ids are
@@ -43,7 +44,8 @@ PASSAGE = 13
 WEIGHT = 5
 #: Fixed masks: 1 is a word that must match.
 MASKS = ("11101100111", "11011010111", "10111101011")
-BLOCK_WORDS = 1 << 20
+#: Bytes of test items that are collected and broadcast at once.
+BLOCK_BYTES = 1 << 21
 _TABLE = 20
 
 
@@ -161,8 +163,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     docs = df.select(whole_numbers(df, key).alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
     tests = benchmark.where(F.col(item_text).isNotNull()).select(whole_numbers(benchmark, item).alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text"))
-    n_words = F.size(F.split("text", " "))
-    blocks = max(1, -(-(tests.agg(F.sum(n_words)).first()[0] or 0) // BLOCK_WORDS))
+    blocks = max(1, -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out = None
     for b in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()

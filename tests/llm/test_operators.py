@@ -404,6 +404,19 @@ def test_decontam(spark, docs):
     assert decontam.contaminated(docs, bench).count() == 0
 
 
+def test_decontam_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """Items without blanks count by their bytes too; blocks change no result."""
+    chinese = ["今天天气很好我们一起去公园散步吧" * 3, "数据处理系统可以在许多机器上运行" * 3, "这是第三个测试项目没有任何空格" * 3]
+    bench = spark.createDataFrame([*enumerate(chinese), (3, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    df = spark.createDataFrame([(1, chinese[1]), (2, "x " + chinese[2]), (3, "say one two three four five six seven eight nine ten"), (4, "none of it")], "doc_id long, text string")
+    want, blocks, saved = set(map(tuple, decontam.contaminated(df, bench).collect())), [], decontam.saved
+    assert {x[:2] for x in want} == {(1, 1), (2, 2), (3, 3)}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontam, "saved", lambda found: blocks.append(1) or saved(found))
+    assert set(map(tuple, decontam.contaminated(df, bench).collect())) == want
+    assert len(blocks) >= 8
+
+
 def test_decontam_finds_what_the_verifier_accepts(spark):
     r = random.Random(5)
     sizes = [6, 8, 9, 10, 12, 15, 15, 17, 20, 28, 45]
