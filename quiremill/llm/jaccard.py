@@ -310,5 +310,6 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """df without the rows whose id isn't the least of its component: one document of each group stays, with all columns of df (rows with a null id stay)."""
-    gone = jaccard_components(df, key, text, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[key] == F.col("__gone"), "left_anti")
+    name = "gone" + "_" * max(len(c) for c in df.columns)  # longer than any column of df
+    gone = jaccard_components(df, key, text, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, df[f"`{key}`"] == F.col(name), "left_anti")

@@ -404,6 +404,14 @@ def test_decontam(spark, docs):
     assert decontam.contaminated(docs, bench).count() == 0
 
 
+def test_one_of_each_with_any_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, 7, 8), (2, text, 7, 8), (3, "other words", None, 9)], "doc_id long, text string, __gone int, `a.b` int")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, text, 7, 8), (3, "other words", None, 9)]
+
+
 def test_decontam_blocks_are_bounded_by_bytes(spark, monkeypatch):
     """Items without blanks count by their bytes too; blocks change no result."""
     chinese = ["今天天气很好我们一起去公园散步吧" * 3, "数据处理系统可以在许多机器上运行" * 3, "这是第三个测试项目没有任何空格" * 3]
