@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
+from quiremill.sources.shared import dealt, joined
 
 AT = ["doc_id", "table_index"]
 
@@ -31,7 +32,7 @@ def pipe_tables(cells: DataFrame, captions: DataFrame | None = None) -> DataFram
     if captions is None:
         return tables
     above = F.concat_ws("\n\n", F.nullif(F.trim("caption"), F.lit("")), "markdown")
-    return tables.join(captions.select(*AT, "caption"), AT, "left").select(*AT, above.alias("markdown"))
+    return joined(tables, captions.select(*AT, "caption"), AT, "left").select(*AT, above.alias("markdown"))
 
 
 def label_targets(cells: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def labelled_cell(cells: DataFrame, asked: DataFrame) -> DataFrame:
     found = cells.withColumn("label", T.without_space(F.col("text"))).withColumn("n", F.count("*").over(d)).where("n = 1").select(*AT, "row", "col", "label")
     dr = F.when(F.col("direction") == "down", 1).when(F.col("direction") == "up", -1).otherwise(0)
     dc = F.when(F.col("direction") == "right", 1).when(F.col("direction") == "left", -1).otherwise(0)
-    to = asked.withColumn("label", T.without_space(F.col("label"))).join(found, ["doc_id", "label"], "left").withColumns({"row": F.col("row") + dr, "col": F.col("col") + dc})
-    return to.join(full_grid(cells), [*AT, "row", "col"], "left").select("doc_id", "label", "direction", "table_index", "row", "col", F.col("text").alias("value"))
+    to = joined(asked.withColumn("label", T.without_space(F.col("label"))), found, ["doc_id", "label"], "left").withColumns({"row": F.col("row") + dr, "col": F.col("col") + dc})
+    return joined(to, full_grid(cells), [*AT, "row", "col"], "left").select("doc_id", "label", "direction", "table_index", "row", "col", F.col("text").alias("value"))
 
 
 def repeated_section(cells: DataFrame, columns: dict[str, str], items: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def repeated_section(cells: DataFrame, columns: dict[str, str], items: DataFrame
     heads = known.groupBy(*AT, "row").agg(F.count("*").alias("n")).where("n >= 2")
     first = heads.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("table_index", "row"))).where("rn = 1").select(*AT, F.col("row").alias("head"))
     rows = cells.groupBy(*AT).agg(F.max(F.col("row") + F.col("row_span") - 1).alias("last"))
-    where = known.join(first, AT).where("row = head").join(rows, AT).select(*AT, "head", "last", "col", "field")
-    return where.join(items.where("value <> ''"), ["doc_id", "field"]).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last").select(*AT, "row", "col", "field", "value")
+    where = joined(joined(known, first, AT).where("row = head"), rows, AT).select(*AT, "head", "last", "col", "field")
+    return joined(where, items.where("value <> ''"), ["doc_id", "field"]).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last").select(*AT, "row", "col", "field", "value")
 
 
 def _keys(kind: Column, name: Column, locator: Column) -> Column:
@@ -84,7 +85,7 @@ def located(mapping: DataFrame, cells: DataFrame) -> DataFrame:
     asked = m.where("label is not null")
     found = labelled_cell(cells, asked.select("doc_id", "label", "direction").distinct()).where("value is not null")
     found = found.select("doc_id", "label", "direction", F.concat_ws(":", F.lit("cell"), "table_index", "row", "col").alias("locator"))
-    asked = asked.withColumn("label", T.without_space(F.col("label"))).join(found, ["doc_id", "label", "direction"], "left").select("doc_id", F.coalesce("locator", "key").alias("key"), "value")
+    asked = joined(asked.withColumn("label", T.without_space(F.col("label"))), found, ["doc_id", "label", "direction"], "left").select("doc_id", F.coalesce("locator", "key").alias("key"), "value")
     return m.where("label is null").select("doc_id", "key", "value").unionByName(asked)
 
 
@@ -96,22 +97,22 @@ def fill(slots: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     m = mapping.groupBy("doc_id", "key").agg(F.min("value").alias("value"))
     asked = slots.select("doc_id", "kind", "locator", F.posexplode(_keys(F.col("kind"), F.col("name"), F.col("locator"))).alias("rank", "key"))
-    got = asked.join(m, ["doc_id", "key"]).groupBy("doc_id", "kind", "locator").agg(F.min_by(F.struct("value"), "rank").alias("got"))
+    got = joined(asked, m, ["doc_id", "key"]).groupBy("doc_id", "kind", "locator").agg(F.min_by(F.struct("value"), "rank").alias("got"))
     off = F.lower(F.trim("got.value")).isin("off", "0", "false", "no", "")
     value = F.when(F.col("kind") == "checkbox", F.when(off, "off").otherwise("on")).otherwise(F.col("got.value"))
     filled = F.col("got").isNotNull()
-    return slots.join(got, ["doc_id", "kind", "locator"], "left").select("doc_id", "kind", "locator", "name", F.when(filled, value).otherwise(F.col("current")).alias("value"), filled.alias("filled"))
+    return joined(slots, got, ["doc_id", "kind", "locator"], "left").select("doc_id", "kind", "locator", "name", F.when(filled, value).otherwise(F.col("current")).alias("value"), filled.alias("filled"))
 
 
 def missing_keys(slots: DataFrame, mapping: DataFrame) -> DataFrame:
     """JN6: keys of mapping that no slot answers to."""
     keys = slots.select("doc_id", F.explode(_keys(F.col("kind"), F.col("name"), F.col("locator"))).alias("key")).distinct()
-    return mapping.select("doc_id", "key").distinct().join(keys, ["doc_id", "key"], "left_anti")
+    return joined(mapping.select("doc_id", "key").distinct(), keys, ["doc_id", "key"], "left_anti")
 
 
 def blank_slots(slots: DataFrame, filled: DataFrame) -> DataFrame:
     """ST3: slots that nothing filled."""
-    return slots.join(filled.where("filled"), ["doc_id", "kind", "locator"], "left_anti")
+    return joined(slots, filled.where("filled"), ["doc_id", "kind", "locator"], "left_anti")
 
 
 def column_content(cells: DataFrame) -> DataFrame:
@@ -192,10 +193,10 @@ def matched_slots(slots: DataFrame, people: DataFrame, assigned: DataFrame, own:
     """JN3: the profile value for each slot (doc_id, locator, name) of the person assigned to the document; own aliases (person_id, label, field) come first, then the common ones, then ``extra.<label>``."""
     pairs = F.array(*(F.struct(F.lit(k).alias("label"), F.lit(v).alias("common")) for k, v in ALIASES.items()))
     common = slots.sparkSession.range(1).select(F.explode(pairs).alias("a")).select("a.*")
-    s = slots.withColumn("label", T.normalize_label(F.col("name"))).join(assigned, "doc_id").join(F.broadcast(common), "label", "left")
-    s = s.join(own.withColumnRenamed("field", "own"), ["person_id", "label"], "left") if own is not None else s.withColumn("own", F.lit(None).cast("string"))
+    s = joined(slots.withColumn("label", T.normalize_label(F.col("name"))), assigned, ["doc_id"]).join(F.broadcast(common), "label", "left")
+    s = joined(s, own.withColumnRenamed("field", "own"), ["person_id", "label"], "left") if own is not None else s.withColumn("own", F.lit(None).cast("string"))
     s = s.withColumn("field", F.coalesce("own", "common", F.concat(F.lit("extra."), "label")))
-    return s.join(people, ["person_id", "field"], "left").select("doc_id", "locator", "field", "value")
+    return joined(s, people, ["person_id", "field"], "left").select("doc_id", "locator", "field", "value")
 
 
 #: Labels that today's date answers to.
@@ -206,9 +207,9 @@ def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, tod
     """JN5: what to fill: cells of repeated sections own their targets and column labels, then matched values, then today for date labels without one; the rest is blank."""
     cell = F.concat_ws(":", F.lit("cell"), "table_index", "row", "col")
     r = repeated.select("doc_id", cell.alias("locator"), "value", F.lit("repeated").alias("source"))
-    m = matched.select("doc_id", "locator", "value").join(r, ["doc_id", "locator"], "left_anti")
+    m = joined(matched.select("doc_id", "locator", "value"), r, ["doc_id", "locator"], "left_anti")
     names = slots.select("doc_id", "locator", T.normalize_label(F.col("name")).alias("label"))
-    m = m.join(names, ["doc_id", "locator"], "left").where(~F.coalesce(F.col("label").isin(*columns), F.lit(False)))
+    m = joined(m, names, ["doc_id", "locator"], "left").where(~F.coalesce(F.col("label").isin(*columns), F.lit(False)))
     own = F.nullif("value", F.lit("@today"))
     dated = own.isNull() & (F.coalesce(F.col("label").isin(*DATE_LABELS), F.lit(False)) | (F.col("value") == "@today"))
     value = F.when(dated, F.lit(today)).otherwise(own)

@@ -23,3 +23,34 @@ def kept(df: DataFrame) -> DataFrame:
     """df written once as Parquet below the shared folder and read from there, for several rules that start from it."""
     df.write.parquet(path := shared_folder(df.sparkSession))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of files whose rows one task of ``dealt`` and ``joined`` holds.
+SHARE = 1 << 22
+
+
+def shares(*tables: DataFrame) -> int:
+    """How many tasks rows of tables are dealt to: one for every SHARE bytes of the files that they are read from, as many as there are cores at least.
+
+    Left to itself, adaptive execution joins what was shuffled to as few tasks as there are cores, so that what a task sorts grows with the corpus.
+    """
+    size = 0
+    for t in tables:
+        leaves = t._jdf.queryExecution().optimizedPlan().collectLeaves()
+        known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        size += sum(n for n in known if n < 1 << 60)  # rows without files have no size
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // SHARE))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with rows of equal keys in one of so many tasks; windows and groups by these keys shuffle no more."""
+    return df.repartition(shares(df), *keys)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, two tables that grow with the corpus, by sort and merge in so many tasks.
+
+    Nothing is broadcast: the compressed size of their files, or of what was shuffled, may look small enough where the rows are not.
+    """
+    n = shares(left, right)
+    return left.repartition(n, *on).join(right.repartition(n, *on).hint("merge"), on, how)
