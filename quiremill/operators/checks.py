@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T_
 
 from quiremill.functions import text as T
+from quiremill.sources.shared import joined
 
 #: A reference to nothing.
 NO_REF = 4294967295
@@ -99,7 +100,7 @@ def list_findings(items: DataFrame, refs: DataFrame) -> DataFrame:
     """ST2: AG3, AG4, WN6 and JN8 of each list of a header from one aggregation of its ids and one of what refers to it: (doc_id, kind, where)."""
     lists = items.groupBy("doc_id", "item").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("entries"), F.max("item_cnt").alias("cnt"))
     used = refs.where(F.col("ref_id") != NO_REF).groupBy("doc_id", "item").agg(F.collect_set(F.col("ref_id").cast("long")).alias("used"))
-    a = lists.join(used, ["doc_id", "item"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<long>")))
+    a = joined(lists, used, ["doc_id", "item"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<long>")))
     a = a.withColumn("ids", F.array_sort(F.transform("entries", lambda e: e["id"].cast("long"))))
     first = lambda i: (i == 0) | (F.get("ids", i - 1) != F.get("ids", i))
     twice = F.filter("ids", lambda x, i: first(i) & (F.get("ids", i + 1) == x))

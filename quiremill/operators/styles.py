@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
+from quiremill.sources.shared import joined
 
 
 def style_usage(paragraphs: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def style_usage(paragraphs: DataFrame) -> DataFrame:
 
 def style_system(styles: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """SRC5: styles with their use count, 0 if unused."""
-    return styles.join(style_usage(paragraphs), ["doc_id", "style_id"], "left").withColumn("use_count", F.coalesce("use_count", F.lit(0)).cast("long"))
+    return joined(styles, style_usage(paragraphs), ["doc_id", "style_id"], "left").withColumn("use_count", F.coalesce("use_count", F.lit(0)).cast("long"))
 
 
 def classify(system: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def role_map(system: DataFrame) -> DataFrame:
     canonical = F.coalesce(F.col("eng_name").rlike(r"(?i)^\s*Outline\s+[0-9]+\s*$"), F.lit(False))
     best = W.partitionBy("doc_id", "role").orderBy(F.desc(canonical), F.desc("use_count"), "pos")
     rest = s.where("declared is null").withColumn("role", auto).where("role is not null").withColumn("rn", F.row_number().over(best)).where("rn = 1").select("doc_id", "role", "style_id")
-    return own.unionByName(rest.join(own, ["doc_id", "role"], "left_anti"))
+    return own.unionByName(joined(rest, own, ["doc_id", "role"], "left_anti"))
 
 
 def paragraph_roles(paragraphs: DataFrame, system: DataFrame, roles: DataFrame) -> DataFrame:
@@ -99,9 +100,9 @@ def normalization_plan(system: DataFrame) -> DataFrame:
 
 def ladder_gaps(system: DataFrame, roles: DataFrame) -> DataFrame:
     """WN5: missing heading levels, and levels that are bigger than the last sized level above them."""
-    h = roles.where("role like 'HEADING_%'").join(system.select("doc_id", "style_id", "size_pt"), ["doc_id", "style_id"], "left").select("doc_id", F.substring_index("role", "_", -1).cast("long").alias("level"), "size_pt")
+    h = joined(roles.where("role like 'HEADING_%'"), system.select("doc_id", "style_id", "size_pt"), ["doc_id", "style_id"], "left").select("doc_id", F.substring_index("role", "_", -1).cast("long").alias("level"), "size_pt")
     span = h.groupBy("doc_id").agg(F.min("level").alias("lo"), F.max("level").alias("hi"))
-    gaps = span.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("level")).join(h.select("doc_id", "level"), ["doc_id", "level"], "left_anti").withColumn("finding", F.lit("missing level"))
+    gaps = joined(span.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("level")), h.select("doc_id", "level"), ["doc_id", "level"], "left_anti").withColumn("finding", F.lit("missing level"))
     above = F.last("size_pt", ignorenulls=True).over(W.partitionBy("doc_id").orderBy("level").rowsBetween(W.unboundedPreceding, -1))
     big = h.withColumn("above", above).where("size_pt > above").select("doc_id", "level", F.lit("bigger than the level above").alias("finding"))
     return gaps.unionByName(big)
@@ -109,7 +110,7 @@ def ladder_gaps(system: DataFrame, roles: DataFrame) -> DataFrame:
 
 def unmapped_styles(system: DataFrame, roles: DataFrame) -> DataFrame:
     """TK1: used styles without a role, by use; rank tells the three that a warning names."""
-    free = system.where("use_count > 0").join(roles.select("doc_id", "style_id").distinct(), ["doc_id", "style_id"], "left_anti")
+    free = joined(system.where("use_count > 0"), roles.select("doc_id", "style_id").distinct(), ["doc_id", "style_id"], "left_anti")
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("use_count"), "pos"))
     sibling = T.enumerator_class(F.col("name")).isNotNull() | F.col("heading_type").isin("OUTLINE", "BULLET")
     return free.select("doc_id", "style_id", "use_count", F.when(sibling, "ladder sibling").otherwise("structural").alias("kind"), rank.cast("long").alias("rank"))

@@ -15,3 +15,7 @@ def plan(df):
 @pytest.mark.parametrize("name", ["ag16_fill_summary", "jn5_mapping", "jn6_filled_slots", "st3_blank_slots"])
 def test_only_the_fixed_aliases_are_broadcast(spark, name):
     assert plan(QUERIES[name](spark, SF)).count("BroadcastHashJoin") == 1
+
+
+def test_findings_broadcast_nothing(spark):
+    assert "BroadcastHashJoin" not in plan(QUERIES["st2_findings"](spark, SF))
