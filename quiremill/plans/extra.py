@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.functions import inline, text as T
@@ -305,12 +304,7 @@ def uf2(s, d):  # noqa: ANN001, ANN201
 @query("src8_pictures", f"""SELECT doc_id::VARCHAR AS doc_id, i::INT AS para_idx, 'image' || (length(text) % 4) AS ref, text AS caption, 'f' || i || '.png' AS origname, (length(text) + 1)::INT AS px_w, (i + 2)::INT AS px_h FROM {A._LINES} WHERE length(text) % 3 = 0 AND length(text) > 0""")
 def src8(s, d):  # noqa: ANN001, ANN201
     """Packages in which some lines hold a picture with a description."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            yield pd.DataFrame([(str(i), A.pictured(t or "")) for i, t in zip(b["doc_id"], b["text"], strict=True)], columns=["doc_id", "content"])
-
-    made = A.read(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id string, content binary")
+    made = A.packed(A.read(s, d, "documents").select("doc_id", "text"), lambda _, t: A.pictured(t or ""))
     return packages.pictures(packages.contents(made)).select("doc_id", "para_idx", "ref", "caption", "origname", "px_w", "px_h")
 
 

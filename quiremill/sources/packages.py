@@ -36,7 +36,7 @@ CELLS = ["doc_id", "section_no", "table_index", "row", "col", "row_span", "col_s
 TABLES = ["doc_id", "section_no", "table_index", "para_idx", "row_cnt", "col_cnt", "page_break", "treat_as_char", "caption"]
 #: Bytes of a member that are inflated, and bytes that are parsed at a time.
 LARGEST, PIECE = 1 << 28, 1 << 16
-_ROWS, _BYTES = 4096, 1 << 26
+_ROWS, _BYTES = 1024, 1 << 21
 
 
 _FILES = "binaryFile"
@@ -83,7 +83,7 @@ def contents(packages: DataFrame, binaries: bool = False, bodies: bool = False,
             for doc, content in zip(b["doc_id"], b["content"], strict=True):
                 for rows in _package_rows(doc.as_py(), content, binaries, bodies, walk, largest):
                     held += rows
-                    size += len(rows[0].get("content") or b"")
+                    size += sum(len(r.get("content") or b"") + len(r.get("text") or "") + len(r.get("caption") or "") + len(r.get("comment") or "") for r in rows)
                     if len(held) >= _ROWS or size >= _BYTES:
                         yield from (batch(held[i : i + _ROWS]) for i in range(0, len(held), _ROWS))
                         held, size = [], 0
