@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T_
 
 from quiremill.functions import text as T
-from quiremill.sources.shared import joined
+from quiremill.sources.shared import dealt, joined
 
 #: A reference to nothing.
 NO_REF = 4294967295
@@ -49,8 +49,10 @@ def dangling_refs(refs: DataFrame, items: DataFrame) -> DataFrame:
 def unpaired_fields(fields: DataFrame) -> DataFrame:
     """JN9: begins without an end and ends without a begin, by section."""
     key = ["doc_id", "section_no", "field_id"]
-    begins, ends = fields.where("side = 'begin'"), fields.where("side = 'end'")
-    return begins.join(ends, key, "left_anti").unionByName(ends.join(begins, key, "left_anti")).select(*key, F.concat(F.col("side"), F.lit(" alone")).alias("finding"))
+    n = dealt(fields, *key).groupBy(*key).agg(F.count_if(F.col("side") == "begin").cast("int").alias("begins"), F.count_if(F.col("side") == "end").cast("int").alias("ends"))
+    # An id that is null pairs with none.
+    alone = n.where("begins = 0 or ends = 0 or doc_id is null or section_no is null or field_id is null")
+    return alone.select(*key, F.explode(F.concat(F.array_repeat(F.lit("begin alone"), F.col("begins")), F.array_repeat(F.lit("end alone"), F.col("ends")))).alias("finding"))
 
 
 def stale_lines(paragraphs: DataFrame) -> DataFrame:
