@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T_
 
 from quiremill.functions import text as T
+from quiremill.sources.shared import joined
 
 
 def recurring_hashes(page_images: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def unreferenced(dropped: DataFrame, remaining: DataFrame) -> DataFrame:
 def match_images(requests: DataFrame, pics: DataFrame) -> DataFrame:
     """JN15: requests (doc_id, request_id, ref or caption, ext or null if the bytes are no picture, present): by ref, else by exact caption, else by a caption that contains it. What is wrong with the file comes first."""
     p = pics.select("doc_id", F.col("ref").alias("pic"), T.caption_key(F.col("caption")).alias("have"), F.col("ext").alias("slot"))
-    j = requests.withColumn("want", T.caption_key(F.col("caption"))).join(p, "doc_id", "left")
+    j = joined(requests.withColumn("want", T.caption_key(F.col("caption"))), p, ["doc_id"], "left")
     score = F.when(F.col("ref") == F.col("pic"), 3).when(F.col("ref").isNull() & (F.col("want") == F.col("have")), 2).when(F.col("ref").isNull() & F.contains("have", F.col("want")), 1)
     best = F.max("score").over(W.partitionBy("doc_id", "request_id"))
     m = j.withColumn("score", score).withColumn("best", best).where("best is null or score = best")
