@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
+from quiremill.sources.shared import dealt
 
 #: Kinds of lines in order of precedence, note lines below tables and figures.
 _IMAGE = r"!\[([^\]]*)\]\((<[^>]*>|[^)\s]+)[^)]*\)"
@@ -41,7 +42,7 @@ def _by_line():  # noqa: ANN202
 
 def _lines(docs: DataFrame, text: Column, breaks: str = r"\r\n|\r|\n") -> DataFrame:
     """(doc_id, i, line)."""
-    return docs.select("doc_id", F.posexplode(F.split(text, breaks)).alias("i", "line"))
+    return dealt(docs, "doc_id").select("doc_id", F.posexplode(F.split(text, breaks)).alias("i", "line"))
 
 
 def _with_notes(lines: DataFrame) -> DataFrame:
