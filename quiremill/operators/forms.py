@@ -15,7 +15,7 @@ AT = ["doc_id", "table_index"]
 def full_grid(cells: DataFrame) -> DataFrame:
     """SC32: a row for every covered position, with the anchor cell's text; spans are clipped to the table first."""
     t = W.partitionBy(*AT)
-    c = cells.withColumns({"rows": F.max("row").over(t), "cols": F.max("col").over(t)})
+    c = dealt(cells, *AT).withColumns({"rows": F.max("row").over(t), "cols": F.max("col").over(t)})
     rows = F.sequence("row", F.least(F.col("row") + F.col("row_span") - 1, "rows"))
     cols = F.sequence("col", F.least(F.col("col") + F.col("col_span") - 1, "cols"))
     return c.withColumns({"row": F.explode(rows), "cols": cols}).withColumn("col", F.explode("cols")).select(*AT, "row", "col", "text")
@@ -137,13 +137,13 @@ def column_widths(content: DataFrame, total: int, char_w: int = 1100, floor: int
 
 def box_height(cells: DataFrame, height: str = "height") -> DataFrame:
     """AG11: the sum over rows of the tallest cell."""
-    return cells.groupBy(*AT, "row").agg(F.max(height).alias("h")).groupBy(*AT).agg(F.sum("h").alias("height"))
+    return dealt(cells, *AT).groupBy(*AT, "row").agg(F.max(height).alias("h")).groupBy(*AT).agg(F.sum("h").alias("height"))
 
 
 def section_slots(paragraphs: DataFrame) -> DataFrame:
     """WN15: ``label :`` lines followed by empty paragraphs (section slots) or not (label slots); none before a table; the first of each label."""
     o = W.partitionBy("doc_id", "section_no").orderBy("para_idx")
-    p = paragraphs.withColumns({"label": T.label_line(F.col("text")), "next_empty": F.lead(F.col("text") == "").over(o), "next_table": F.lead("has_table").over(o)})
+    p = dealt(paragraphs, "doc_id").withColumns({"label": T.label_line(F.col("text")), "next_empty": F.lead(F.col("text") == "").over(o), "next_table": F.lead("has_table").over(o)})
     s = p.where("label is not null and not coalesce(next_table, false)").withColumn("kind", F.when(F.col("next_empty"), "section").otherwise("label"))
     first = F.row_number().over(W.partitionBy("doc_id", "kind", "label").orderBy("section_no", "para_idx")) == 1
     return s.withColumn("first", first).where("first").select("doc_id", "kind", F.col("label").alias("name"), "section_no", "para_idx")
@@ -169,7 +169,7 @@ def all_slots(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     for more in (by_cell, by_line, boxes, tails):
         every = every.unionByName(more)
     first = F.min_by(F.struct("name", "current"), F.struct("section_no", "place", "i"))
-    return every.groupBy("doc_id", "kind", "locator").agg(first.alias("s")).select("doc_id", "kind", "locator", "s.name", "s.current")
+    return dealt(every, "doc_id", "kind", "locator").groupBy("doc_id", "kind", "locator").agg(first.alias("s")).select("doc_id", "kind", "locator", "s.name", "s.current")
 
 
 def fill_summary(filled: DataFrame) -> DataFrame:
