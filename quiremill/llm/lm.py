@@ -51,6 +51,8 @@ SLICES, SALTS = 64, 8
 SLAB = 1 << 20
 #: Tokens whose bits are expanded at once: few enough that their arrays stay in a core's cache.
 BLOCK = 1 << 13
+#: Bits that a task counts in counters of 32 bits.
+FULL = (1 << 32) - 1
 FIRST, STEP = 32, 512
 CONTEXTS = 4
 INPUTS = CONTEXTS + 2  # with no context and a constant
@@ -58,6 +60,8 @@ INPUTS = CONTEXTS + 2  # with no context and a constant
 GATES = 64
 END = np.uint64(0x0E4D)
 _U32, _U64 = np.uint32, np.uint64
+#: By which a prediction is multiplied for a bit of 0 or 1, so that it is positive if wrong.
+_SIDE = np.array([1, -1], np.float32)
 _HASHED = (_U32(0x9E3779B1), _U32(0xC2B2AE35), _U32(0x85EBCA6B), _U32(0x27D4EB2F))
 _BACK = (_U64(1), _U64(0x9E3779B97F4A7C15), _U64(0xC2B2AE3D27D4EB4F))
 
@@ -175,6 +179,12 @@ class Model:
         self.bits = int(counts.shape[1]).bit_length() - 1
         self.weights = np.tile([0.3] * (INPUTS - 1) + [0.0], (GATES, 1))
 
+    def __setstate__(self, state: dict) -> None:
+        """Tables are copied, so that numpy's own memory (in large pages) holds them, not a pickle's."""
+        self.__dict__ = state
+        if "tables" in state:
+            self.tables = [t.copy() for t in self.tables]
+
     def ready(self, trained: bool = False) -> Model:
         """The same with tables of predictions in place of counts. If texts are ``trained`` on, each bit's own count is taken away: tables have one entry for each slot and bit."""
         made = Model(self.known, self.frequent, self.code, self.seen, self.counts)
@@ -193,30 +203,29 @@ class Model:
         off, which, slots, begin = _bits(t, sel, self.code, self.bits)
         bit = self.code.bit[off]
         if self.trained:
-            slots = [s * 2 + bit for s in slots]
-        x = [table[s] for table, s in zip(self.tables, slots, strict=True)]
+            for s in slots:
+                s += s
+                s += bit
+        x = [table.take(s, mode="clip") for table, s in zip(self.tables, slots, strict=True)]
         one, two, three = (x[k].view(_U32) & _U32(3) for k in (0, 2, 3))
         return bit, (three << _U32(4) | two << _U32(2) | one).astype(np.intp), (self.alone[off], *x), which, begin
 
     def sums(self, t: Tokens) -> np.ndarray:
         """For each gate, gradient (first column) and curvature of the loss of all tokens in the weights."""
-        out, weights = np.zeros((GATES, INPUTS, INPUTS + 1)), self.weights.T.astype(np.float32, order="C")
+        out, weights = np.zeros((GATES, INPUTS, INPUTS + 1)), self.weights.astype(np.float32)
         for sel in _blocks(np.arange(len(t.hash))):
             bit, gate, x, _, _ = self.inputs(t, sel)
-            order = np.argsort(gate.astype(np.uint8), kind="stable")
-            x, own = [*(a[order] for a in x), np.ones(len(bit), np.float32)], gate[order]
-            z = sum(weights[k][own] * a for k, a in enumerate(x))
-            p = 1 / (1 + np.exp(-z))
-            wrong, bend = p - bit[order], p * (1 - p)
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            met = own[first]
-            for i in range(INPUTS):
-                out[met, i, 0] += np.add.reduceat(wrong * x[i], first)
-                bent = bend * x[i]
-                for j in range(i + 1):
-                    out[met, i, j + 1] += np.add.reduceat(bent * x[j], first)
-        for i in range(INPUTS):
-            out[:, :i, i + 1] = out[:, i, 1 : i + 1]
+            gate = gate.astype(np.uint8)
+            order = np.argsort(gate, kind="stable")
+            borders = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
+            by_gate, bit = np.ones((INPUTS, len(bit)), np.float32), bit[order]
+            for k, a in enumerate(x):
+                a.take(order, mode="clip", out=by_gate[k])
+            for g in np.flatnonzero(np.diff(borders)):
+                own = by_gate[:, borders[g] : borders[g + 1]]
+                p = 1 / (1 + np.exp(-(weights[g] @ own)))
+                out[g, :, 0] += own @ (p - bit[borders[g] : borders[g + 1]])
+                out[g, :, 1:] += own * (p * (1 - p)) @ own.T
         return out
 
     def log10s(self, t: Tokens, rows: int) -> np.ndarray:
@@ -225,30 +234,42 @@ class Model:
         own = np.zeros((INPUTS, rows), np.float32)
         slope, curve = np.zeros((INPUTS, rows)), np.zeros((INPUTS, rows))
         out = np.zeros(len(t.hash))
-        longest = int(np.diff(t.borders).max(initial=0))
+        length = np.diff(t.borders)
+        longest = int(length.max(initial=0))
         begin, end = 0, FIRST
         while begin < longest:
-            rest = t.place >= begin if begin else np.ones(len(t.place), bool)
-            for sel in _blocks(np.flatnonzero(rest & (t.place < end))):
+            now = np.flatnonzero((t.place >= begin) & (t.place < end))
+            goes_on = (length > end)[t.row[now]]
+            # Only rows that go on learn from these tokens.
+            for learns, sel in [(True, b) for b in _blocks(now[goes_on])] + [(False, b) for b in _blocks(now[~goes_on])]:
                 bit, gate, x, which, at = self.inputs(t, sel)
-                w = [column[gate] for column in weights]
                 row = t.row[sel]
-                if begin:
-                    w = [a + own[k][row][which] for k, a in enumerate(w)]
-                z = w[-1]
-                for a, b in zip(w, x, strict=False):
-                    z = z + a * b
-                sign = np.where(bit == 1, -z, z)
-                e = np.exp(-np.abs(sign))
-                out[sel] = -np.add.reduceat(np.log1p(e) + np.maximum(sign, 0), at, dtype=np.float64)
-                if end < longest:
-                    p = np.where(z >= 0, 1, e) / (1 + e)
-                    wrong, bend = p - bit, p * (1 - p)
-                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                w = weights
+                if begin:  # weights by row and gate
+                    w = (weights[:, None, :] + own[:, row[first], None]).reshape(INPUTS, -1)
+                    gate += np.repeat(np.arange(len(first)) * GATES, np.diff(np.append(first, len(row))))[which]
+                z = w[-1].take(gate, mode="clip")
+                for k, a in enumerate(x):
+                    b = w[k].take(gate, mode="clip")
+                    b *= a
+                    z += b
+                side = _SIDE[bit]
+                z *= side
+                e = np.exp(-np.abs(z))
+                q = e + 1
+                out[sel] = -np.log(np.multiply.reduceat(q, at)) - np.add.reduceat(np.maximum(z, 0), at)
+                if learns:
+                    e[z > 0] = 1
+                    wrong = np.divide(e, q, out=e)
+                    bend = wrong * (1 - wrong)
+                    wrong *= side
                     for k in range(INPUTS):
-                        g, h = (wrong * x[k], bend * x[k] * x[k]) if k < INPUTS - 1 else (wrong, bend)
-                        slope[k][row[first]] += np.add.reduceat(g, at[first], dtype=np.float64)
-                        curve[k][row[first]] += np.add.reduceat(h, at[first], dtype=np.float64)
+                        g, h = (wrong * x[k], bend * x[k]) if k < INPUTS - 1 else (wrong, bend)
+                        if k < INPUTS - 1:
+                            h *= x[k]
+                        slope[k][row[first]] += np.add.reduceat(g, at[first])
+                        curve[k][row[first]] += np.add.reduceat(h, at[first])
             own = np.clip(own - slope / (100 + INPUTS * curve), -1, 1).astype(np.float32)
             slope[:] = 0
             begin, end = end, end + min(end, STEP)
@@ -286,15 +307,22 @@ def bit_counts(train: DataFrame, known: np.ndarray, frequent: np.ndarray, code:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent, code = shared.value
-        sums, any_rows = np.zeros((CONTEXTS, 2 << bits), np.int64), False
+        # Counters of 32 bits, half the memory to hit at random; before one could overflow they go to those of 64 bits.
+        sums, whole, left, any_rows = np.zeros((CONTEXTS, 2 << bits), _U32), np.int64(0), FULL, False
         for slab in slabs(batches, size=SLAB):
             t, any_rows = Tokens(slab, own, frequent), True
             for sel in _blocks(np.arange(len(t.hash))):
                 off, _, slots, _ = _bits(t, sel, code, bits)
+                bit, ones = code.bit[off], np.ones(len(off), _U32)  # an array of ones of the table's type: numpy's fast loop
+                if (left := left - len(off)) < 0:
+                    whole, left = whole + sums, FULL - len(off)
+                    sums[:] = 0
                 for k, s in enumerate(slots):
-                    np.add.at(sums[k], s * 2 + code.bit[off], 1)
+                    s += s
+                    s += bit
+                    np.add.at(sums[k], s, ones)
         if any_rows:
-            parts = sums.reshape(SLICES, -1)
+            parts = (whole + sums).astype(np.int64).reshape(SLICES, -1)
             salt = TaskContext.get().partitionId() % SALTS
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts], pa.binary())], names=["slice", "salt", "sums"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -361,6 +362,35 @@ def test_lm_bit_counts(spark):
     assert np.array_equal(got, want) and got.sum() == lm.CONTEXTS * len(off)
 
 
+def test_lm_bit_counts_beyond_32_bits(spark, monkeypatch):
+    """Counters of 32 bits are emptied into those of 64 before they can overflow; here after every 1,000 bits."""
+    words = [f"w{i}" for i in range(30)]
+    model, bits, r = small_model(words), 12, random.Random(8)
+    texts = spark.createDataFrame([(" ".join(r.choice(words) for _ in range(300)),) for _ in range(50)], "text string").repartition(2)
+    want = lm.bit_counts(texts, model.known, model.frequent, model.code, bits)
+    monkeypatch.setattr(lm, "FULL", 1000)
+    monkeypatch.setattr(lm, "BLOCK", 32)
+    assert np.array_equal(lm.bit_counts(texts, model.known, model.frequent, model.code, bits), want)
+
+
+def test_lm_rows_do_not_meet():
+    """A text's score is the same alone and among texts that end in other windows, whose rows share its blocks."""
+    words = [f"w{i}" for i in range(30)]
+    model, r = small_model(words).ready(), random.Random(9)
+    texts = [" ".join(r.choice([*words, "other"]) for _ in range(n)) for n in (0, 31, 32, 40, 64, 65, 500, 520, 1100, 3, 1024, 7)] * 3
+    t = tokens_of(model, texts)
+    among = model.log10s(t, len(texts))
+    for i, text in enumerate(texts):
+        alone = tokens_of(model, [text])
+        assert np.allclose(model.log10s(alone, 1), among[t.borders[i] : t.borders[i + 1]], rtol=1e-4, atol=1e-5)
+
+
+def test_lm_tables_come_in_memory_of_their_own():
+    """What a worker unpickles is copied out of the pickle's bytes, so that numpy can put it into large pages."""
+    model = pickle.loads(pickle.dumps(small_model([f"w{i}" for i in range(9)]).ready()))
+    assert all(x.flags.owndata for x in model.tables)
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = lm.scores(docs, fold("doc_id", 7) == 2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
