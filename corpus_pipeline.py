@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiremill.llm import bpe, decontam, jaccard, quality, secrets
-from quiremill.llm.io import discard, saved, table, texts
+from quiremill.llm.io import discard, saved, small_batches, table, texts, without
 
 #: Documents whose quality score is lower go.
 LEAST_QUALITY = 0.5
@@ -37,6 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts have the score of the bias; without usable labels nothing is rejected.
     """
+    small_batches(spark)
     models = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), F.lit(True))
     return _unpacked(quality.score(_packed(docs), models).where(F.col("score") >= LEAST_QUALITY), docs)
 
@@ -46,13 +47,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Texts without words are no duplicates of each other; rows that share an id stay or go together.
     """
+    small_batches(spark)
     return _unpacked(jaccard.one_of_each(_packed(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a test item, whichever row of an id holds it; a null id stays."""
+    small_batches(spark)
     hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return _unpacked(_packed(docs).join(hits.select("doc_id").distinct(), "doc_id", "left_anti"), docs)
+    return _unpacked(without(_packed(docs), "doc_id", saved(hits.select("doc_id").distinct())), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +65,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the decoded ids are the text's bytes; null and empty texts have no ids."""
+    small_batches(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    done = bpe.round_trip(docs.select("doc_id", "text"), ranks, pattern)
     intact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", intact.alias("intact"))
 

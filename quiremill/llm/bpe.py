@@ -96,6 +96,22 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", decoded: s
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What ``decode`` gives after ``encode``, in one pass: a task keeps one Python worker with its encoder, not two."""
+    fresh(df, ids, decoded)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks, pattern)
+        for b in batches:
+            for part in _parts(b, text):
+                got = [encode_text(enc, x.as_py()) for x in part[text]]
+                cols = [pa.array(got, pa.list_(pa.int32())), pa.array((enc.decode_bytes(x) for x in got), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, ids, decoded])
+
+    return df.mapInArrow(run, schema)
+
+
 def _parts(batch: pa.RecordBatch, text: str, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH = 512
 #: A table read in fewer splits than this (1 GB at the usual size of a split) is dealt out to all cores first.
 FEW_SPLITS = 8
 
@@ -62,6 +64,13 @@ def fresh(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {sorted(clash)} are there already")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python ``BATCH`` at a time: of whole texts its usual 10,000 are tens of MB, held on both sides by every worker. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def whole_numbers(df: DataFrame, key: str) -> Column:
     """The column of ids as long; ids of another type than a whole number are an error before any job runs."""
     if not isinstance(df.schema[key].dataType, T.IntegralType):
@@ -90,3 +99,13 @@ def marked(df: DataFrame, column: str, ids: DataFrame, mark: str = "__maybe", bi
 def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """The rows of df whose column may be among ids (one column): a filter before a join, which alone decides."""
     return marked(df, column, ids, bits=bits).where("__maybe").drop("__maybe")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key isn't among ids (one column of a table that ``saved`` wrote, read twice); null keys stay.
+
+    Only rows that a bitmap can't rule out are shuffled to the join that decides; all others go on as they lie.
+    """
+    rows = marked(df.select(df[f"`{key}`"].alias("id"), F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("own")), "id", ids)
+    met = rows.where("__maybe").join(ids.select(ids.columns[0]).withColumnRenamed(ids.columns[0], "__gone"), F.col("id") == F.col("__gone"), "left_anti")
+    return rows.where("not __maybe").unionByName(met).select(*(F.col("own").getField(c).alias(c) for c in df.columns))

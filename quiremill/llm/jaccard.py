@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quiremill.llm.graph import components
-from quiremill.llm.io import maybe_in, saved, whole_numbers
+from quiremill.llm.io import maybe_in, saved, whole_numbers, without
 from quiremill.llm.kernel import Slab, Words, mix, row_sums, signed, slabs
 
 #: Most recurring shingles that are put last in the order; the bound on what is broadcast for them.
@@ -310,6 +310,5 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """df without the rows whose id isn't the least of its component: one document of each group stays, with all columns of df (rows with a null id stay)."""
-    name = "gone" + "_" * max(len(c) for c in df.columns)  # longer than any column of df
-    gone = jaccard_components(df, key, text, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    return df.join(gone, df[f"`{key}`"] == F.col(name), "left_anti")
+    gone = jaccard_components(df, key, text, n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
+    return without(df, key, saved(gone))

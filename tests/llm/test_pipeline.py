@@ -10,8 +10,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quiremill.llm import decontam, quality
-from quiremill.llm.io import saved
+from quiremill.llm import bpe, decontam, io, quality
+from quiremill.llm.io import BATCH, saved, without
 from .test_operators import brute_components
 
 
@@ -132,3 +132,38 @@ def test_columns_of_any_name(spark, corpus):
     assert "[SECRET]" in rows(docs)[720].text
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.columns == ["doc_id", "n_tokens", "ids", "intact"] and last.where("intact").count() == docs.count()
+
+
+def test_texts_are_not_shuffled_to_drop_a_few(spark, corpus):
+    """Rows that surely stay aren't shuffled or sorted: the only shuffle that carries texts comes after the bitmap's filter; batches of texts are small."""
+    folder, _, _ = corpus
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        kept = stage(spark, docs, folder)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and plan.count("LeftAnti") == 1, name
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == BATCH, name
+        assert kept.count() < docs.count()
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_without(spark, tmp_path, bits, monkeypatch):
+    """Nulls, repeated ids and rows that the bitmap doesn't rule out; columns of any name keep their values."""
+    monkeypatch.setattr(io.marked, "__defaults__", (*io.marked.__defaults__[:-1], bits))
+    df = spark.createDataFrame([(i if i % 10 else None, f"t{i}", f"s{i}") for i in range(300)] + [(3, "t3", "s3"), (4, "t4", "s4")], "`a.b` long, __slot string, own string")
+    ids = saved(spark.createDataFrame([(i,) for i in (3, 7, 299, 1000)], "x long"))
+    got = without(df, "a.b", ids)
+    assert got.columns == df.columns
+    assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in df.collect() if r[0] not in (3, 7, 299))
+
+
+def test_bpe_has_one_python_worker_a_task(spark, corpus):
+    """Encoding and decoding in one pass: chained, each task would keep two workers with an encoder in each."""
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ranks, both = P.path("byte_bpe_multi_50k.tiktoken"), ["doc_id", "ids", "decoded"]
+    chained = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks, P.PATTERN)
+    assert rows(bpe.round_trip(docs, ranks, P.PATTERN).select(both)) == rows(chained.select(both))
