@@ -76,7 +76,8 @@ def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
     """Up to HEAVY shingles that recur most, sorted by hash, with the rank as second column (rarest first).
 
     A task adds up those that recur within a slab of 512 KB, so a passage in one of a thousand texts is met in
-    some slabs of a large corpus; only the order depends on that, no result.
+    some slabs of a large corpus; only the order depends on that, no result. Executors pick the most recurring
+    ones: as Arrow the driver gets 16 bytes for each (a collected limit sends it those of every task, as rows).
     """
 
     def most(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +96,10 @@ def find_heavy(docs: DataFrame, n: int) -> np.ndarray:
         h, c = most(h, c)
         yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], names=["h", "c"])
 
-    top = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).collect()
-    ranked = np.array([(x.h, len(top) - i) for i, x in enumerate(top)], dtype=np.uint64).reshape(-1, 2)
+    top = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    h, c = (top[name].to_numpy() for name in ("h", "c"))
+    h = h[np.lexsort((h, -c))].astype(np.uint64)
+    ranked = np.stack([h, np.arange(len(h), 0, -1, dtype=np.uint64)], axis=1)
     return ranked[np.argsort(ranked[:, 0])]
 
 
@@ -304,7 +307,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     if not again.isEmpty():
         pairs = F.expr("filter(transform(sequence(0, n_blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j, cast(x < block as int) as side)), p -> p.i < p.j)")
         asked = again.select("g", "node", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "node", "p.side")
-        found = saved(components(edges.unionByName(linked(asked))))
+        # What is connected already comes as stars: the classes aren't joined a second time.
+        found = saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(asked))))
     return rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from quiremill.llm.io import fresh
 from quiremill.llm.kernel import Slab, slabs
 
+#: Tasks that bring the chosen rows to the driver, each some 200 of them: what has come goes on to Python before the next.
+DEALT = 32
 #: (borders, indices, values) of a slab's rows: sparse vectors, row after row.
 Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -42,7 +44,7 @@ def featured(docs: DataFrame, chosen: DataFrame, key: str, text: str, features:
     order = F.xxhash64(F.lit(5), F.col(key), F.col(text))
     rows = docs.join(F.broadcast(chosen), key).select(order.alias("k"), F.col("y").cast("int").alias("y"), F.col(text).cast("string").alias("text"))
     vectors = rows.mapInArrow(run, "k long, y int, i array<int>, v array<float>")
-    got = pa.concat_tables(vectors.where(F.col("y") == y).orderBy("k").limit(most).toArrow() for y in (0, 1))
+    got = pa.concat_tables(vectors.where(F.col("y") == y).orderBy("k").limit(most).repartition(DEALT).toArrow() for y in (0, 1))
     order = np.lexsort((got["k"].to_numpy(), got["y"].to_numpy()))
     order = order[np.random.Generator(np.random.PCG64(11)).permutation(len(order))]
     index, value = got["i"].combine_chunks(), got["v"].combine_chunks()

@@ -16,6 +16,7 @@ empty table gives an empty result. A text is taken whole and needs about 150 byt
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quiremill.llm.io import fresh
@@ -57,15 +58,19 @@ def ftrl(rows: list, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1
             g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - y) * v
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
             n[i] += g * g
-    w = weights(np.arange(len(z)))
-    return w[:-1].astype(np.float32), float(w[-1] * 0.3)
+    part = 1 << (BITS - 6)  # for all slots at once, every step of weights() would be an array of 8 MB
+    w = np.concatenate([weights(np.arange(i, i + part)).astype(np.float32) for i in range(0, 1 << BITS, part)])
+    return w, float(weights(np.array([1 << BITS]))[0] * 0.3)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[np.ndarray, float]]:
     known = labels.where(usable).where(F.col(label).isin(0, 1)).select(key, F.col(label).alias("y")).groupBy(key).agg(F.min("y").alias("y"))
     chosen = known.join(F.broadcast(bounded(known, key, ROWS)), key)
     rows = featured(docs.select(key, text), chosen, key, text, ngrams_of, ROWS)
-    return [ftrl(rows)] if rows else []
+    models = [ftrl(rows)] if rows else []
+    del rows
+    pa.default_memory_pool().release_unused()  # else the driver holds the rows' memory through all that follows
+    return models
 
 
 def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], text: str = "text") -> DataFrame:
