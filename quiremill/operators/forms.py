@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiremill.functions import text as T
-from quiremill.sources.shared import dealt, joined
+from quiremill.sources.shared import common_shares, dealt, joined
 
 AT = ["doc_id", "table_index"]
 
@@ -57,19 +57,25 @@ def labelled_cell(cells: DataFrame, asked: DataFrame) -> DataFrame:
     return joined(to, full_grid(cells), [*AT, "row", "col"], "left").select("doc_id", "label", "direction", "table_index", "row", "col", F.col("text").alias("value"))
 
 
-def repeated_section(cells: DataFrame, columns: dict[str, str], items: DataFrame) -> DataFrame:
+def repeated_section(cells: DataFrame, columns: dict[str, str], items: DataFrame, n: int | None = None) -> DataFrame:
     """JN4: items (doc_id, i, field, value) go below the first row with two or more known column labels, while there are rows.
 
-    columns: labels and the fields they stand for; labels are compared normalized.
+    columns: labels and the fields they stand for; labels are compared normalized. Of the cells, those with known labels are
+    shuffled, and the last row of each table; the result lies in n tasks by document.
     """
+    n = n or common_shares(cells, items)
     pairs = F.create_map(*(F.lit(x) for kv in columns.items() for x in kv))
     labelled = cells.where(F.length(F.trim("text")) > 0).select(*AT, "row", "col", F.try_element_at(pairs, T.normalize_label(F.col("text"))).alias("field"))
-    known = labelled.where("field is not null")
-    heads = known.groupBy(*AT, "row").agg(F.count("*").alias("n")).where("n >= 2")
-    first = heads.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("table_index", "row"))).where("rn = 1").select(*AT, F.col("row").alias("head"))
-    rows = cells.groupBy(*AT).agg(F.max(F.col("row") + F.col("row_span") - 1).alias("last"))
-    where = joined(joined(known, first, AT).where("row = head"), rows, AT).select(*AT, "head", "last", "col", "field")
-    return joined(where, items.where("value <> ''"), ["doc_id", "field"]).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last").select(*AT, "row", "col", "field", "value")
+    ends = cells.groupBy(*AT).agg(F.max(F.col("row") + F.col("row_span") - 1).alias("last"))
+    marks = dealt(labelled.where("field is not null").unionByName(ends, allowMissingColumns=True), "doc_id", n=n)
+    # Windows by table and row lie within documents, so nothing is shuffled for them.
+    marks = marks.withColumns({"last": F.max("last").over(W.partitionBy(*AT)), "labels": F.count("field").over(W.partitionBy(*AT, "row"))})
+    first = F.rank().over(W.partitionBy("doc_id").orderBy("table_index", "row")) == 1
+    heads = marks.where("field is not null and labels >= 2").withColumn("first", first).where("first")
+    heads = heads.groupBy("doc_id", "table_index", F.col("row").alias("head"), "last").agg(F.collect_list(F.struct("col", "field")).alias("cols"))
+    placed = joined(items.where("value <> ''"), heads, ["doc_id"], n=n).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last")
+    col = F.explode(F.transform(F.filter("cols", lambda c: c["field"] == F.col("field")), lambda c: c["col"]))
+    return placed.select(*AT, "row", col.alias("col"), "field", "value")
 
 
 def _keys(kind: Column, name: Column, locator: Column) -> Column:
@@ -189,27 +195,52 @@ ALIASES = {
 }
 
 
-def matched_slots(slots: DataFrame, people: DataFrame, assigned: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """JN3: the profile value for each slot (doc_id, locator, name) of the person assigned to the document; own aliases (person_id, label, field) come first, then the common ones, then ``extra.<label>``."""
+def _by_person(pairs: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """(person_id, <key>s, <value>s): the rows of a person in two arrays, a row at the same place in both."""
+    rows = F.sort_array(F.collect_list(F.struct(key, value)))
+    return dealt(pairs, "person_id", n=n).groupBy("person_id").agg(rows.alias("r")).select("person_id", F.col(f"r.{key}").alias(f"{key}s"), F.col(f"r.{value}").alias(f"{value}s"))
+
+
+def _beside(keys: str, values: str, key: Column) -> Column:
+    """A row for each of the values beside a key, one with null if there are none."""
+    return F.explode_outer(F.transform(F.filter(F.arrays_zip(F.col(keys), F.col(values)), lambda x: x[keys] == key), lambda x: x[values]))
+
+
+def matched_slots(slots: DataFrame, people: DataFrame, assigned: DataFrame, own: DataFrame | None = None, labels: bool = False, n: int | None = None) -> DataFrame:
+    """JN3: the profile value for each slot (doc_id, locator, name) of the person assigned to the document; own aliases (person_id, label, field) come first, then the common ones, then ``extra.<label>``.
+
+    A profile comes to its documents as one row, so slots are shuffled once, by document; the result lies in n tasks by document.
+    With labels, the slots' labels are returned too.
+    """
+    n = n or common_shares(slots, people, assigned)
     pairs = F.array(*(F.struct(F.lit(k).alias("label"), F.lit(v).alias("common")) for k, v in ALIASES.items()))
     common = slots.sparkSession.range(1).select(F.explode(pairs).alias("a")).select("a.*")
-    s = joined(slots.withColumn("label", T.normalize_label(F.col("name"))), assigned, ["doc_id"]).join(F.broadcast(common), "label", "left")
-    s = joined(s, own.withColumnRenamed("field", "own"), ["person_id", "label"], "left") if own is not None else s.withColumn("own", F.lit(None).cast("string"))
+    told = joined(assigned, _by_person(people, "field", "value", n), ["person_id"], "left", n=n)
+    if own is not None:
+        told = joined(told, _by_person(own.withColumnRenamed("field", "own"), "label", "own", n), ["person_id"], "left", n=n)
+    s = joined(slots.select("doc_id", "locator", T.normalize_label(F.col("name")).alias("label")), told, ["doc_id"], n=n)
+    s = s.withColumn("own", _beside("labels", "owns", F.col("label")) if own is not None else F.lit(None).cast("string")).join(F.broadcast(common), "label", "left")
     s = s.withColumn("field", F.coalesce("own", "common", F.concat(F.lit("extra."), "label")))
-    return joined(s, people, ["person_id", "field"], "left").select("doc_id", "locator", "field", "value")
+    return s.withColumn("value", _beside("fields", "values", F.col("field"))).select("doc_id", "locator", *(["label"] if labels else []), "field", "value")
 
 
 #: Labels that today's date answers to.
 DATE_LABELS = ("날짜", "작성일", "작성일자", "신청일", "신청일자", "작성년월일")
 
 
-def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, today: str, columns: Iterable[str] = ()) -> DataFrame:
-    """JN5: what to fill: cells of repeated sections own their targets and column labels, then matched values, then today for date labels without one; the rest is blank."""
+def build_mapping(matched: DataFrame, repeated: DataFrame, slots: DataFrame, today: str, columns: Iterable[str] = (), n: int | None = None) -> DataFrame:
+    """JN5: what to fill: cells of repeated sections own their targets and column labels, then matched values, then today for date labels without one; the rest is blank.
+
+    Matched values may bring the labels of their slots. All is dealt to n tasks by document; what lies so already, as by the same n above, isn't shuffled again.
+    """
+    n = n or common_shares(matched, repeated, slots)
     cell = F.concat_ws(":", F.lit("cell"), "table_index", "row", "col")
     r = repeated.select("doc_id", cell.alias("locator"), "value", F.lit("repeated").alias("source"))
-    m = joined(matched.select("doc_id", "locator", "value"), r, ["doc_id", "locator"], "left_anti")
-    names = slots.select("doc_id", "locator", T.normalize_label(F.col("name")).alias("label"))
-    m = joined(m, names, ["doc_id", "locator"], "left").where(~F.coalesce(F.col("label").isin(*columns), F.lit(False)))
+    taken = dealt(r.select("doc_id", "locator"), "doc_id", n=n).groupBy("doc_id").agg(F.collect_set("locator").alias("taken"))
+    if "label" not in matched.columns:
+        matched = joined(matched, slots.select("doc_id", "locator", T.normalize_label(F.col("name")).alias("label")), ["doc_id", "locator"], "left", n=n)
+    m = joined(matched.select("doc_id", "locator", "label", "value"), taken, ["doc_id"], "left", n=n)
+    m = m.where(~F.coalesce(F.array_contains("taken", F.col("locator")) | F.col("label").isin(*columns), F.lit(False)))
     own = F.nullif("value", F.lit("@today"))
     dated = own.isNull() & (F.coalesce(F.col("label").isin(*DATE_LABELS), F.lit(False)) | (F.col("value") == "@today"))
     value = F.when(dated, F.lit(today)).otherwise(own)

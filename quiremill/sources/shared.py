@@ -42,15 +42,21 @@ def shares(*tables: DataFrame) -> int:
     return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // SHARE))
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df with rows of equal keys in one of so many tasks; windows and groups by these keys shuffle no more."""
-    return df.repartition(shares(df), *keys)
+def common_shares(*tables: DataFrame) -> int:
+    """Tasks for a chain of joins by one key whose tables are each dealt once: not fewer than Spark's own, for which it would deal them anew."""
+    return max(shares(*tables), int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right, two tables that grow with the corpus, by sort and merge in so many tasks.
+def dealt(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """df with rows of equal keys in one of so many tasks, or of n; windows, groups and joins by these keys shuffle no more."""
+    return df.repartition(n or shares(df), *keys)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", n: int | None = None) -> DataFrame:
+    """left joined with right, two tables that grow with the corpus, by sort and merge in so many tasks, or in n.
 
     Nothing is broadcast: the compressed size of their files, or of what was shuffled, may look small enough where the rows are not.
+    A side that is dealt to n tasks by the same keys already isn't shuffled again.
     """
-    n = shares(left, right)
+    n = n or shares(left, right)
     return left.repartition(n, *on).join(right.repartition(n, *on).hint("merge"), on, how)

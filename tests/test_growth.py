@@ -1,5 +1,7 @@
 """Plans whose figures must not grow with the corpus."""
 
+import re
+
 import pyarrow as pa
 import pytest
 
@@ -20,6 +22,14 @@ def test_only_the_fixed_aliases_are_broadcast(spark, name):
     assert plan(QUERIES[name](spark, SF)).count("BroadcastHashJoin") == 1
 
 
+def test_mapping_shuffles_by_document_and_person_alone(spark):
+    """Slots, values and repeated cells meet by document; nothing is dealt anew for a longer key, and of the cells only ends and labels travel."""
+    text = plan(QUERIES["jn5_mapping"](spark, SF))
+    keys = {",".join(re.findall(r"(\w+)#", k)) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)}
+    assert keys == {"l_orderkey", "person_id", "doc_id", "doc_id,table_index"}
+    assert all("partial_max" in line for line in re.findall(r"hashpartitioning\(doc_id#\w+, table_index.*\n(.*)", text))
+
+
 def test_findings_broadcast_nothing(spark):
     assert "BroadcastHashJoin" not in plan(QUERIES["st2_findings"](spark, SF))
 

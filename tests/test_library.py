@@ -327,6 +327,24 @@ def test_edits(spark):
     assert [tuple(r)[3:] for r in edits.indent_templates(ip, table(spark, "doc_id long, section_no long, para_idx long", (1, 0, 2))).collect()] == [(0, 0)]
 
 
+def test_mapping_of_odd_profiles(spark):
+    """Several values of a field, several persons of a document, none, and own aliases; a repeated cell owns its slot in its document alone."""
+    slots = table(spark, "doc_id long, locator string, name string", (1, "cell:0:1:0", "성 명"), (1, "b", "비고"), (1, "c", "작성일"), (2, "cell:0:1:0", "성 명"), (3, "d", "성 명"), (4, "e", None))
+    assigned = table(spark, "doc_id long, person_id long", (1, 7), (2, 7), (2, 8), (4, None))
+    people = table(spark, "person_id long, field string, value string", (7, "name", "김"), (7, "note", "n"), (7, "extra.작성일", "@today"), (8, "name", "이"), (8, "name", None), (8, None, "x"))
+    matched = sorted(map(tuple, forms.matched_slots(slots, people, assigned).collect()), key=str)
+    assert matched == sorted([(1, "cell:0:1:0", "name", "김"), (1, "b", "extra.비고", None), (1, "c", "extra.작성일", "@today"), (2, "cell:0:1:0", "name", "김"), (2, "cell:0:1:0", "name", "이"), (2, "cell:0:1:0", "name", None), (4, "e", None, None)], key=str)
+    own = table(spark, "person_id long, label string, field string", (7, "비고", "note"), (8, "성명", "none"))
+    assert {(r.doc_id, r.field, r.value) for r in forms.matched_slots(slots, people, assigned, own).collect()} == {(1, "name", "김"), (1, "note", "n"), (1, "extra.작성일", "@today"), (2, "name", "김"), (2, "none", None), (4, None, None)}
+    cells = table(spark, "doc_id long, table_index long, row long, col long, row_span long, col_span long, text string", (1, 0, 0, 0, 1, 1, "A"), (1, 0, 0, 1, 1, 1, "a"), (1, 0, 1, 0, 1, 1, ""), (1, 1, 0, 0, 1, 1, "A"), (1, 1, 0, 1, 1, 1, "A"), (1, 1, 9, 0, 1, 1, ""), (2, 0, 0, 0, 1, 1, "A"), (2, 0, 1, 0, 1, 1, "a"))
+    items = table(spark, "doc_id long, i long, field string, value string", (1, 0, "f", "x"), (1, 1, "f", "past the end"), (1, 0, "g", "other"), (2, 0, "f", "no head"))
+    repeated = forms.repeated_section(cells, {"a": "f"}, items)
+    assert sorted(map(tuple, repeated.collect())) == [(1, 0, 1, 0, "f", "x"), (1, 0, 1, 1, "f", "x")]
+    for labels in (False, True):
+        got = forms.build_mapping(forms.matched_slots(slots, people, assigned, labels=labels), repeated, slots, "t", ["이름"]).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, "cell:0:1:0", "x", "repeated"), (1, "cell:0:1:1", "x", "repeated"), (1, "b", None, "blank"), (1, "c", "t", "today"), (2, "cell:0:1:0", "김", "matched"), (2, "cell:0:1:0", "이", "matched"), (2, "cell:0:1:0", None, "blank"), (4, "e", None, "blank")], key=str)
+
+
 def test_media(spark):
     p = table(spark, "doc_id long, page long, hashes array<string>", *[(1, i, [h]) for i, h in enumerate("AABBBCC", 1)], *[(2, i, [h]) for i, h in enumerate("xyxyx", 1)], (3, 1, None))
     got = sorted((r.doc_id, r.first_page, r.last_page, r.letter) for r in media.bands(media.recurring_hashes(p)).collect())
