@@ -68,11 +68,11 @@ def repeated_section(cells: DataFrame, columns: dict[str, str], items: DataFrame
     labelled = cells.where(F.length(F.trim("text")) > 0).select(*AT, "row", "col", F.try_element_at(pairs, T.normalize_label(F.col("text"))).alias("field"))
     ends = cells.groupBy(*AT).agg(F.max(F.col("row") + F.col("row_span") - 1).alias("last"))
     marks = dealt(labelled.where("field is not null").unionByName(ends, allowMissingColumns=True), "doc_id", n=n)
-    # Windows by table and row lie within documents, so nothing is shuffled for them.
-    marks = marks.withColumns({"last": F.max("last").over(W.partitionBy(*AT)), "labels": F.count("field").over(W.partitionBy(*AT, "row"))})
-    first = F.rank().over(W.partitionBy("doc_id").orderBy("table_index", "row")) == 1
-    heads = marks.where("field is not null and labels >= 2").withColumn("first", first).where("first")
-    heads = heads.groupBy("doc_id", "table_index", F.col("row").alias("head"), "last").agg(F.collect_list(F.struct("col", "field")).alias("cols"))
+    # All windows lie within documents and share one order, so a task sorts its marks once and nothing is shuffled for them.
+    table, o = W.partitionBy(*AT).orderBy("row"), W.partitionBy("doc_id").orderBy("table_index", "row")
+    cols = F.collect_list(F.when(F.col("field").isNotNull(), F.struct("col", "field"))).over(W.partitionBy(*AT, "row"))
+    marks = marks.withColumns({"last": F.max("last").over(table.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "cols": cols})
+    heads = marks.where("field is not null and size(cols) >= 2").withColumn("first", F.row_number().over(o)).where("first = 1").select(*AT, F.col("row").alias("head"), "last", "cols")
     placed = joined(items.where("value <> ''"), heads, ["doc_id"], n=n).withColumn("row", F.col("head") + 1 + F.col("i")).where("row <= last")
     col = F.explode(F.transform(F.filter("cols", lambda c: c["field"] == F.col("field")), lambda c: c["col"]))
     return placed.select(*AT, "row", col.alias("col"), "field", "value")
